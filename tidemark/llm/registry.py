@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing
 
 
 def queries() -> dict:
-    return {"op9_mixing": mixing.query}
+    return {"op7_chat": chat.query, "op9_mixing": mixing.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL}
+    return {"op7_chat": chat.SQL, "op9_mixing": mixing.SQL}
