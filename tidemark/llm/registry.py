@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, topk
+from . import chat, ctph, mixing, topk
 
 
 def queries() -> dict:
-    return {"op2_topk": topk.query, "op7_chat": chat.query, "op9_mixing": mixing.query}
+    return {
+        "op2_topk": topk.query,
+        "op3_fingerprints": ctph.query,
+        "op7_chat": chat.query,
+        "op9_mixing": mixing.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.SQL, "op7_chat": chat.SQL, "op9_mixing": mixing.SQL}
+    return {
+        "op2_topk": topk.SQL,
+        "op7_chat": chat.SQL,
+        "op9_mixing": mixing.SQL,
+    }
