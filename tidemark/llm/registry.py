@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, ctph, mixing, topk
+from . import chat, ctph, mixing, sentencepiece_viterbi, topk
 
 
 def queries() -> dict:
     return {
         "op2_topk": topk.query,
         "op3_fingerprints": ctph.query,
+        "op6_sentencepiece": sentencepiece_viterbi.query,
         "op7_chat": chat.query,
         "op9_mixing": mixing.query,
     }
