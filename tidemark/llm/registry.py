@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, ctph, mixing, sentencepiece_viterbi, topk, toxicity
+from . import chat, ctph, mixing, pii, sentencepiece_viterbi, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_topk": topk.query,
         "op3_fingerprints": ctph.query,
+        "op4_pii": pii.query,
         "op5_toxicity": toxicity.query,
         "op6_sentencepiece": sentencepiece_viterbi.query,
         "op7_chat": chat.query,
