@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, ctph, mixing, pii, sentencepiece_viterbi, topk, toxicity
+from . import chat, ctph, licenses, mixing, pii, sentencepiece_viterbi, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.query,
         "op2_topk": topk.query,
         "op3_fingerprints": ctph.query,
         "op4_pii": pii.query,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": licenses.SQL,
         "op2_topk": topk.SQL,
         "op7_chat": chat.SQL,
         "op9_mixing": mixing.SQL,
