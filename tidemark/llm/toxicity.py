@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from .common import bytes_of, mix64, table
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 40_000
-FIT_TOKENS = 400_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 1500, 40_000
+FIT_TOKENS = 300_000
 BITS = 18
 KINDS = 5
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -99,11 +99,14 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def pick_cues(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, most: int = 400) -> np.ndarray:
-    """Hashes of words and heads that explain toxic documents, greedily. doc: each token's document."""
+    """Upper 52 bits of the hashes of words and heads that explain toxic documents, greedily. doc: each token's document."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    pairs = np.unique(np.stack([hashes[:, :4].ravel(), np.repeat(doc, 4).astype(np.uint64)]), axis=1)
-    cue, of = pairs[0], pairs[1].astype(np.int64)
-    names, at = np.unique(cue, return_inverse=True)
+    # the upper 52 bits of a hash and 12 bits for the document
+    pairs = np.unique(np.concatenate([hashes[:, k] & ~np.uint64(4095) | doc.astype(np.uint64) for k in range(4)]))
+    of = (pairs & np.uint64(4095)).astype(np.int64)
+    pairs &= ~np.uint64(4095)
+    names, at = np.unique(pairs, return_inverse=True)
+    del pairs
     clean = np.bincount(at, weights=~toxic[of], minlength=len(names))
     bad = np.bincount(at, weights=toxic[of], minlength=len(names))
     least = 3 if n1 >= 20 else 1
@@ -186,21 +189,37 @@ class Field:
         return float(1 / (1 + np.exp(-np.clip(self.a * odds + self.c, -30, 30))))
 
 
+def _lots(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """About half a megabyte of texts at a time: number of the first, bytes, offsets."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < 1 << 19):
+            size += len(texts[end])
+            end += 1
+        yield at, *bytes_of(pa.array(texts[at:end], pa.large_string()))
+        at = end
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Field:
     """From labelled documents. Deterministic."""
     none = Field(-8.0, np.zeros((2, 2)), np.zeros(1 << BITS), 0.0, -1e-6)
     toxic = np.asarray(toxic, bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return none
-    raw, offsets = bytes_of(pa.array(texts, pa.large_string()))
-    starts, ends, doc = tokens(raw, offsets)
-    if not len(starts):
+    assert len(texts) < 4096, "pick_cues keeps 12 bits for a document"
+    parts = []
+    for first, raw, offsets in _lots(texts):
+        starts, ends, of = tokens(raw, offsets)
+        parts.append((of + first, features(raw, starts, ends)))
+    doc, hashes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    del parts
+    if not len(doc):
         return none
-    hashes = features(raw, starts, ends)
     cues = np.sort(pick_cues(hashes, doc, toxic))
     if not len(cues):
         return none
-    y = toxic[doc] & np.isin(hashes[:, :4], cues).any(axis=1)
+    y = toxic[doc] & np.logical_or.reduce([np.isin(hashes[:, k] & ~np.uint64(4095), cues) for k in range(4)])
     # windows around toxic tokens, and every so many windows of the rest
     size = 16
     window = np.arange(len(doc)) // size
@@ -215,6 +234,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
         size = len(doc)
     rows = used[:, None] * size + np.arange(size)[None, :]
     s, target = slots(hashes[rows.ravel()]).reshape(*rows.shape, KINDS), y[rows].astype(float)
+    del hashes
     m = len(used)
     w, bias, trans = np.zeros(1 << BITS), -4.0, np.zeros((2, 2))
     seen = np.bincount(s.ravel(), minlength=1 << BITS)
@@ -246,7 +266,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
         trans = trans - 0.3 * pair / np.sqrt(gt)
     w[np.abs(w) < 0.4] = 0
     field = Field(float(bias), trans, w)
-    odds = np.array([o for o, _ in score_texts(field, raw, offsets)])
+    odds = np.array([o for _, raw, offsets in _lots(texts) for o, _ in score_texts(field, raw, offsets)])
     # logistic calibration by Newton's method, each kind with equal weight
     v = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * len(toxic)
     t = np.where(toxic, 0.98, 0.02)
@@ -329,7 +349,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by = F.xxhash64("doc_id", F.lit(11))
     pick = lambda k, n: known.where(F.col("toxic") == k).orderBy(by, "doc_id").limit(n)
-    ids = F.broadcast(pick(1, SAMPLE_TOXIC).unionAll(pick(0, SAMPLE_CLEAN)))  # at most 4,000 rows of 12 bytes
+    ids = F.broadcast(pick(1, SAMPLE_TOXIC).unionAll(pick(0, SAMPLE_CLEAN)))  # at most 2,500 rows of 12 bytes
     rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
