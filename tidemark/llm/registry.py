@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, ctph, licenses, mixing, pii, sentencepiece_viterbi, topk, toxicity
+from . import chat, ctph, licenses, mixing, near, pii, sentencepiece_viterbi, topk, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.query,
         "op6_sentencepiece": sentencepiece_viterbi.query,
         "op7_chat": chat.query,
+        "op8_near_dedup": near.query,
         "op9_mixing": mixing.query,
     }
 
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": licenses.SQL,
         "op2_topk": topk.SQL,
         "op7_chat": chat.SQL,
+        "op8_near_dedup": near.SQL,
         "op9_mixing": mixing.SQL,
     }
