@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, ctph, licenses, mixing, near, pii, sentencepiece_viterbi, topk, toxicity
+from . import chat, ctph, licenses, mixing, near, pii, repeats, sentencepiece_viterbi, topk, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_chat": chat.query,
         "op8_near_dedup": near.query,
         "op9_mixing": mixing.query,
+        "op10_repeats": repeats.query,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat": chat.SQL,
         "op8_near_dedup": near.SQL,
         "op9_mixing": mixing.SQL,
+        "op10_repeats": repeats.SQL,
     }
