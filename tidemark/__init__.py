@@ -1 +1,27 @@
 """tidemark: a Spark-native engine for transcript analytics and corpus preparation."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Give executors this package: a zip of its sources goes to them once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(home):
+        path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(home):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("tidemark", os.path.relpath(full, home)))
+        context.addPyFile(path)
+    _shipped.add(context.applicationId)
