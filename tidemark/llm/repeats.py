@@ -36,10 +36,10 @@ from .suffixes import common_prefixes, suffix_array
 LENGTH = 100
 GRAM = 32
 #: Bytes of text that a task holds as one lot, and that a shard of documents or pieces is to have.
-LOT, SHARD = 16 << 20, 16 << 20
+LOT, SHARD = 8 << 20, 16 << 20
 SHARD_PIECES = 50_000
 _RUN = 64  # neighbouring ids that go to one shard of documents
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _MULT = 0x9E3779B97F4A7C15
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
