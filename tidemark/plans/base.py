@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Added before rounding on both sides: means of round numbers lie on rounding's edge exactly, sums in another order not.
+OFF_EDGE = 1.234e-9
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
@@ -23,11 +25,11 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Doubles rounded, minus zero made zero; the SQL does the same by :func:`r`."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[(F.round(F.col(f"`{c}`") + F.lit(OFF_EDGE), digits) + F.lit(0.0)).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
 def r(expression: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0.0" + (f' AS "{name}"' if name else "")
+    return f"round({expression} + {OFF_EDGE}, {digits}) + 0.0" + (f' AS "{name}"' if name else "")
 
 
 def sql_corr(x: str, y: str) -> str:

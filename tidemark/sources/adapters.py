@@ -39,15 +39,16 @@ def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, mro, shadow, ois_1m, ois_3m, ois_6m, ois_1y, stoxx50: one row a month."""
     li = table(spark, sf_dir, "lineitem")
+    edge = lambda x, k: F.round(x + F.lit(1.234e-9), k)  # noqa: E731  off the edges that means of round numbers lie on
     flag = lambda f, c: F.avg(F.when(F.col("l_returnflag") == f, F.col(c)))
     return li.groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("date")).agg(
-        F.round(F.avg("l_tax") * 100, 1).alias("mro"),
-        F.round(F.avg("l_discount") * 100, 1).alias("shadow"),
-        F.round(flag("A", "l_discount"), 6).alias("ois_1m"),
-        F.round(flag("N", "l_discount"), 6).alias("ois_3m"),
-        F.round(flag("R", "l_discount"), 6).alias("ois_6m"),
-        F.round(flag("A", "l_tax"), 6).alias("ois_1y"),
-        F.round(F.avg("l_quantity") - 25, 6).alias("stoxx50"),
+        edge(F.avg("l_tax") * 100, 1).alias("mro"),
+        edge(F.avg("l_discount") * 100, 1).alias("shadow"),
+        edge(flag("A", "l_discount"), 6).alias("ois_1m"),
+        edge(flag("N", "l_discount"), 6).alias("ois_3m"),
+        edge(flag("R", "l_discount"), 6).alias("ois_6m"),
+        edge(flag("A", "l_tax"), 6).alias("ois_1y"),
+        edge(F.avg("l_quantity") - 25, 6).alias("stoxx50"),
     )
 
 
@@ -77,10 +78,10 @@ VIEWS = {
     CAST(CAST(floor(o_totalprice) AS BIGINT) % 2001 AS DOUBLE) / CAST(1000 AS DOUBLE) - 1 AS score
   FROM orders)""",
     "market": """market AS (
-  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, round(avg(l_tax) * 100, 1) AS mro, round(avg(l_discount) * 100, 1) AS shadow,
-    round(avg(l_discount) FILTER (l_returnflag = 'A'), 6) AS ois_1m, round(avg(l_discount) FILTER (l_returnflag = 'N'), 6) AS ois_3m,
-    round(avg(l_discount) FILTER (l_returnflag = 'R'), 6) AS ois_6m, round(avg(l_tax) FILTER (l_returnflag = 'A'), 6) AS ois_1y,
-    round(avg(l_quantity) - 25, 6) AS stoxx50
+  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, round(avg(l_tax) * 100 + 1.234e-9, 1) AS mro, round(avg(l_discount) * 100 + 1.234e-9, 1) AS shadow,
+    round(avg(l_discount) FILTER (l_returnflag = 'A') + 1.234e-9, 6) AS ois_1m, round(avg(l_discount) FILTER (l_returnflag = 'N') + 1.234e-9, 6) AS ois_3m,
+    round(avg(l_discount) FILTER (l_returnflag = 'R') + 1.234e-9, 6) AS ois_6m, round(avg(l_tax) FILTER (l_returnflag = 'A') + 1.234e-9, 6) AS ois_1y,
+    round(avg(l_quantity) - 25 + 1.234e-9, 6) AS stoxx50
   FROM lineitem GROUP BY 1)""",
     "qa_turns": """qa_turns AS (
   SELECT conv_id, turn, role = 'user' AS is_question, text, CAST(length(text) % 201 AS DOUBLE) / CAST(100 AS DOUBLE) - 1 AS score

@@ -87,11 +87,16 @@ def marked_text(node) -> str:
     return f"[{whole}]" if node.tag in _MARKED else "".join(marked_text(c) for c in node.children)
 
 
-def page_elements(html: str, root: str = "main") -> list[tuple[str, str]]:
-    """(spaced text, marked text) of the blocks and headings two levels below the root, skipped classes left out."""
+def page_elements(html: str, root: str = "main", nested: bool = True) -> list[tuple[str, str]]:
+    """(spaced text, marked text) of the blocks and headings two levels below the root, skipped classes left out; or of
+    those right below it, if not ``nested``."""
     main = next((n for n in parse(html).walk() if n.tag == root), None)
     out = []
     for child in main.children if main else ():
+        if not nested:
+            if isinstance(child, Node) and (child.tag in BLOCKS or "h" in child.tag):
+                out.append((child.text("  "), marked_text(child)))
+            continue
         if not isinstance(child, Node) or child.tag not in BLOCKS or SKIPPED & set((child.attrs.get("class") or "").split()):
             continue
         for g in child.children:
@@ -120,14 +125,14 @@ def index_links(html: str) -> list[tuple[str, str]]:
     return out[::-1]
 
 
-def elements(pages: DataFrame, root: str = "main", key: str = "page_id", html: str = "html") -> DataFrame:
+def elements(pages: DataFrame, root: str = "main", key: str = "page_id", html: str = "html", nested: bool = True) -> DataFrame:
     """key, pos, text, marked: the elements of each page."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [(k, i, a, b) for k, h in zip(pdf["key"], pdf["html"], strict=True) for i, (a, b) in enumerate(page_elements(h, root))]
+            rows = [(k, i, a, b) for k, h in zip(pdf["key"], pdf["html"], strict=True) for i, (a, b) in enumerate(page_elements(h, root, nested))]
             yield pd.DataFrame(rows, columns=["key", "pos", "text", "marked"])
 
     return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, "key long, pos int, text string, marked string").withColumnRenamed("key", key)
@@ -159,11 +164,11 @@ def split_position(els: DataFrame, key: str = "page_id", text: str = "text") ->
     return g.select(key, F.coalesce(head, "p2", F.col("p1") - 1, F.lit(-1)).cast("int").alias("sep"))
 
 
-def transcripts(pages: DataFrame, root: str = "main", key: str = "page_id") -> DataFrame:
+def transcripts(pages: DataFrame, root: str = "main", key: str = "page_id", nested: bool = True) -> DataFrame:
     """key, intro, qa: tab-joined elements before and after the split, quotes normalised."""
     from ..functions.text import normalise_quotes, qa_text
 
-    els = elements(pages, root, key)
+    els = elements(pages, root, key, nested=nested)
     both = els.join(split_position(els, key), key)
     whole = (F.col("sep") < 0) | (F.col("pos") <= F.col("sep"))
     ordered = lambda test, c: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("pos", c)))), lambda x: x[c])

@@ -23,7 +23,7 @@ class Store:
     def _schema(self, name: str):
         s = TABLES[name]
         if name in ("sentiments", "topics"):
-            s = type(s)(list(s.fields)).add("chunk_limit", "int")
+            s = type(s)(list(s.fields)).add("chunk_limit", "integer")
         return s
 
     def create(self, confirm: bool = False) -> None:
@@ -42,10 +42,10 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(self._schema(name)).parquet(self.path(name))
 
-    def _write(self, df: DataFrame, name: str, mode: str) -> None:
+    def _write(self, df: DataFrame, name: str, mode: str, partitions_only: bool = False) -> None:
         w = df.select(*self._schema(name).names).write.mode(mode)
         if name in self.PARTITIONS:
-            w = w.partitionBy(*self.PARTITIONS[name]).option("partitionOverwriteMode", "dynamic" if mode == "overwrite" and df.columns else "static")
+            w = w.partitionBy(*self.PARTITIONS[name]).option("partitionOverwriteMode", "dynamic" if partitions_only else "static")
         w.parquet(self.path(name))
 
     # scans
@@ -108,13 +108,13 @@ class Store:
     def replace_sentiments(self, df: DataFrame, model: str, limit: int) -> None:
         """(chunk_rowid, score) of one limit and model; what was there goes in the same commit."""
         rows = self._keyed(df, "sentiment_models", model).withColumn("chunk_limit", F.lit(limit))
-        self._write(rows, "sentiments", "overwrite")
+        self._write(rows, "sentiments", "overwrite", partitions_only=True)
 
     def replace_topics(self, df: DataFrame, model: str, limit: int, version: int = 0) -> None:
         """(chunk_rowid, topic name, prob) of one limit and model; names are resolved against the label dimension."""
         lab = F.broadcast(self.topic_labels(version).select("label_id", F.col("name").alias("topic")))
         rows = self._keyed(df.join(lab, "topic"), "topic_models", model).withColumn("chunk_limit", F.lit(limit))
-        self._write(rows, "topics", "overwrite")
+        self._write(rows, "topics", "overwrite", partitions_only=True)
 
     def clear(self, name: str, limit: int, model_id: int) -> None:
         """Empties one partition of scores."""
