@@ -1,0 +1,577 @@
+"""Each corpus operator: defined cases, and brute force on small fixtures."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat, chat_template, common, ctph, graph, licenses, mixing, near, pii, repeats, sentencepiece_viterbi, shingles, suffixes, topk, toxicity
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, ids=None, extra=()):
+    rows = [(i if ids is None else ids[i], t, None, "s" if i % 2 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOC)
+    for name in extra:
+        df = df.withColumn(name, F.lit(7))
+    return df
+
+
+LONG = "sehr langer Text. " * 20_000
+ODD = [None, "", " ", "x", LONG, "same text here", "same text here", "é😀 \\<turn> ☃", "\x00\x01"]
+
+
+# 1 -------------------------------------------------------------------------------------------------------------------
+
+
+def brute_base(text):
+    import re
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    at = [(i, lab) for p, lab in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({lab for _, lab in at}))
+
+
+def test_license_scan(spark):
+    texts = [*ODD, "CC-BY 4.0, cc by; All Rights\nReserved", "Licensed under the Apache License, Version 2.0", "general public licence", "gnu General Public License " * 40, "cc by cc by", "permission is hereby granted free of any charge to any person obtaining a copy of this software and its associated documentation files"]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts, extra=("h", "w", "key", "labels"))).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(t)
+        assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+    assert got[10].labels == "apache" and got[len(texts) - 1].labels == "mit"
+
+
+def test_license_scan_plan_is_native(spark):
+    plan = licenses.scan(docs(spark, ["a"]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_license_scan_of_nothing_and_twins(spark):
+    assert licenses.scan(docs(spark, [])).count() == 0
+    got = licenses.scan(docs(spark, ["all rights reserved"] * 3, [1, 1, None])).collect()
+    assert [r.n_base for r in got] == [1, 1, 1]
+
+
+# 2 -------------------------------------------------------------------------------------------------------------------
+
+
+def brute_top(rows, k=5):
+    out = set()
+    for q, v in rows:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:k]
+            out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("shard,group", [(8192, 1024), (64, 3)])
+def test_top_k(spark, shard, group):
+    r = random.Random(1)
+    rows = [(i, [r.randint(-9, 9) for _ in range(6)]) for i in r.sample(range(2000), 400)] + [(5000 + i, [3] * 6) for i in range(60)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, v array<double>")
+    got = {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard, group).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute_top(rows)
+
+
+def test_top_k_odd_vectors(spark, tmp_path):
+    rows = [(0, [0.5, 0.25], 1), (1, [0.5, None], 1), (2, None, 1), (3, [float("nan"), 1.0], 1), (4, [1.0, 1.0], 1), (4, [1.0, 1.0], 1), (5, [float("inf"), 0.0], 1), (None, [1.0, 1.0], 1), (6, [-0.001, 0.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in topk.query(spark, str(tmp_path)).select("rank", "query_id", "vec_id", "score").collect())
+    assert got == [(1, 0, 4, 128 * 256 + 64 * 256), (2, 0, 6, -128)]
+
+
+def test_top_k_of_nothing(spark):
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, v array<double>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_pruning_skips_blocks():
+    v = np.concatenate([np.full((128, 2), 100.0), np.full((1280, 2), 1.0)])
+    *_, scored = topk.search(np.ones((1, 2)), np.array([-1]), np.array([np.iinfo(np.int64).min]), v, np.arange(len(v)), 5, True)
+    assert scored == 1
+
+
+# 3 -------------------------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprints(rows):
+    rows = sorted(rows, key=lambda r: -r[0])
+    out = {}
+    for i, (d, x) in enumerate(rows):
+        y = rows[(i + 1) % len(rows)][1]
+        e = x[: len(x) - len(x) // 3] + y[: len(x) // 3]
+        f = [ctph.fingerprint_texts([t])[0] for t in (x, e, y)]
+        out[d] = (len(x), hashlib.sha256(e.encode()).hexdigest(), f[0], f[1], ctph.likeness(f[0], f[1]), ctph.likeness(f[0], f[2]))
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [2000, 7])
+def test_fingerprints(spark, range_rows):
+    texts = [t or "" for t in ODD] + [" ".join(random.Random(i).choices(["und", "the", "les", "queso"], k=50 + i)) for i in range(40)]
+    got = {r[0]: tuple(r)[1:] for r in ctph.compare_with_next(docs(spark, texts, [3 * i for i in range(len(texts))], ("o", "h", "to")), range_rows).collect()}
+    assert got == brute_fingerprints([(3 * i, t) for i, t in enumerate(texts)])
+
+
+def test_fingerprints_tell_texts_apart():
+    r = random.Random(2)
+    text = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(900))
+    near_text, other = text[:2000] + "new words" + text[2100:], " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(900))
+    a, b, c = ctph.fingerprint_texts([text, near_text, other])
+    assert ctph.likeness(a, a) == 1 and ctph.likeness(a, b) > 0.8 > 0.5 > ctph.likeness(a, c)
+
+
+def test_common_length_is_that_of_the_table():
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        assert ctph.common_length(a, b) == t[len(a)][len(b)]
+
+
+def test_fingerprints_of_one_and_none(spark):
+    assert ctph.compare_with_next(docs(spark, [])).count() == 0
+    r = ctph.compare_with_next(docs(spark, ["abc" * 50])).first()
+    assert r.near_next == 1.0
+
+
+# 4 -------------------------------------------------------------------------------------------------------------------
+
+
+def brute_pii(text):
+    import re
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(*m.span(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    out += [(*m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2]), s[1]))
+
+
+def test_base_spans_against_the_patterns():
+    r = random.Random(5)
+    for n in range(6000):
+        t = "".join(r.choice("ab.@-+ 0123( )4_%.@é" if n % 2 else "0123456789 -.+()@a") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(t) == brute_pii(t)
+
+
+def test_decoding_is_the_best_segmentation():
+    weights = pii.model()
+    for text in ("call (363) 555-6578 now", "4111 1111 1111 1111 or 1.2.3.4", "a at b dot com"):
+        edges, found = pii.lattice(text)
+        score = lambda seg: sum(weights.get(x, 0.0) for x in seg[3])
+
+        @__import__("functools").cache
+        def best(i):
+            if i == len(edges) - 1:
+                return 0.0
+            return max([best(i + 1), *(score(s) + best(s[1]) for s in found if s[0] == i)])
+
+        got = 0.0
+        for a, b, kind in pii.decode(text, weights):
+            got += next(score(s) for s in found if (edges[s[0]], edges[s[1]], s[2]) == (a, b, kind))
+        assert got == pytest.approx(best(0))
+
+
+def test_field_on_held_out_sentences():
+    weights, r = pii.model(), random.Random(99)
+    hit = false = missed = 0
+    for _ in range(200):
+        text, gold = pii._sentence(r)
+        got = set(pii.decode(text, weights))
+        hit, false, missed = hit + len(got & set(gold)), false + len(got - set(gold)), missed + len(set(gold) - got)
+    assert hit / (hit + false) > 0.97 and hit / (hit + missed) > 0.95
+
+
+def test_pii_columns_and_redaction(spark):
+    texts = [*ODD, "mail a.b@c.de, host 10.0.0.1, +1 (363) 555-6578 and 4111 1111 1111 1111", "password=8985f69a751217166f end"]
+    got = {r.doc_id: r for r in pii.digests(docs(spark, texts, extra=("pii", "spans"))).collect()}
+    r = got[len(ODD)]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    for i, t in enumerate(texts):
+        base = pii.written(brute_pii(t or ""))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(got[i].spans.split(","))
+    red = {r.doc_id: r for r in pii.redact(docs(spark, texts, extra=("pii",))).collect()}
+    assert red[len(ODD)].text == "mail [EMAIL], host [IP], [PHONE] and [CARD]" and red[len(ODD)].n_chars == len(red[len(ODD)].text)
+    assert red[len(ODD) + 1].text == "password=[SECRET] end" and red[0].text is None and red[4].text == LONG
+    assert len(pii.find(docs(spark, texts)).where("size(pii) > 0").collect()) == 2 and pii.digests(docs(spark, [])).count() == 0
+
+
+# 5 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_marginals_against_all_labellings():
+    f = toxicity.Field(-1.0, np.array([[0.4, -0.3], [0.1, 0.8]]), np.zeros(1 << toxicity.BITS))
+    n, places, lifts = 8, [1, 4, 5], [2.0, -1.0, 3.0]
+    e = np.full(n, f.bias)
+    e[places] += lifts
+    total, mass = 0.0, np.zeros(n)
+    for y in itertools.product((0, 1), repeat=n):
+        w = np.exp(sum(e[i] for i in range(n) if y[i]) + f.trans[0, y[0]] + sum(f.trans[a, b] for a, b in zip(y, y[1:])))
+        total, mass = total + w, mass + w * np.array(y)
+    assert f.marginals(places, lifts, n) == pytest.approx((mass / total)[places])
+
+
+def test_tokens_keep_to_their_texts():
+    texts = ["ab", "cd éf", "", "g1-h"]
+    raw, at = common.bytes_of(pa.array(texts))
+    s, e, d = toxicity.tokens(raw, at)
+    assert [(bytes(raw[a:b]).decode(), int(k)) for a, b, k in zip(s, e, d)] == [("ab", 0), ("cd", 1), ("éf", 1), ("g1", 3), ("h", 3)]
+    h = toxicity.features(raw, s, e)
+    one, at1 = common.bytes_of(pa.array(["ÉF CD"]))
+    h1 = toxicity.features(one, *toxicity.tokens(one, at1)[:2])
+    assert (h1[0] == h[2]).all() and (h1[1] == h[1]).all()
+
+
+def toxic_fixture(n=400):
+    r = random.Random(4)
+    texts, labels = [], []
+    for i in range(n):
+        w = r.choices([f"{a}{b}" for a in ("an", "the", "ou", "le") for b in ("re", "st", "ing", "ion", "que")], k=60)
+        if i % 4 == 0:
+            w[r.randrange(60)] = r.choice(["zornik", "zornika", "blarg"])
+        texts.append(" ".join(w))
+        labels.append((i, 1, int(i % 4 == 0)))
+    return texts, labels
+
+
+def test_toxicity_on_held_out_documents(spark):
+    texts, labels = toxic_fixture()
+    d, lab = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.score(d, toxicity.fit_on(d, lab)).select("doc_id", "score", "spans", (toxicity.fold(F.col("doc_id")) == 0).alias("held")).collect()
+    for r in got:
+        assert r.held == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert (r.score >= 0.5) == (r.doc_id % 4 == 0)
+        assert all(texts[r.doc_id][s["start"] : s["end"]][:4] in ("zorn", "blar") for s in r.spans)
+
+
+def test_toxicity_odd_cases(spark):
+    texts, labels = toxic_fixture()
+    d, lab = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    field = toxicity.fit_on(d, lab)
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, [*ODD, None], [*range(len(ODD)), None], ("score", "spans")), field).collect()}
+    assert len(got) == len(ODD) + 1 and all(r.score < 0.5 for r in got.values())
+    assert toxicity.score(docs(spark, []), field).count() == 0
+    none = toxicity.fit_on(d, lab.where("toxic = 5"))
+    assert all(r.score < 0.5 for r in toxicity.score(d.limit(3), none).collect())
+
+
+# 6 -------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece_viterbi.Model(open(sentencepiece_viterbi.MODEL, "rb").read())
+
+
+def test_viterbi_is_the_best_path(model):
+    pieces = {p.replace("▁", " "): s for p, s, k in model.pieces if k == 1}
+    r = random.Random(6)
+    for _ in range(300):
+        u = " " + "".join(r.choice(["the", "qu", "é", "☃", "an", "x", "-", "12"]) for _ in range(r.randint(1, 6)))
+        best = [0.0] + [-1e18] * len(u)
+        for e in range(1, len(u) + 1):
+            for s in range(max(0, e - 16), e):
+                if u[s:e] in pieces:
+                    best[e] = max(best[e], best[s] + pieces[u[s:e]])
+            if u[e - 1] not in pieces:
+                best[e] = max(best[e], best[e - 1] + model.unknown)
+        assert model.segment(u)[1] == best[-1]
+
+
+def test_encoding_round_trips(spark, model):
+    texts = [*ODD, "  two  spaces\n\tand ▁ lower bars ▁▁", "a" * 5000]
+    df = docs(spark, texts, extra=("token_ids", "decoded"))
+    enc = sentencepiece_viterbi.encode(df)
+    back = {r.doc_id: (r.text, r.decoded, r.token_ids) for r in sentencepiece_viterbi.decode(enc).collect()}
+    for t, d, ids in back.values():
+        assert t == d and (ids is None) == (t is None)
+    got = {r.doc_id: r for r in sentencepiece_viterbi.digests(df).collect()}
+    assert all(r.round_trip for r in got.values()) and got[0].n_tokens == got[1].n_tokens == 0
+    assert all(got[i].n_tokens == len(model.encode(t or "")) for i, t in enumerate(texts))
+    assert sentencepiece_viterbi.encode(docs(spark, [])).count() == 0
+
+
+def test_same_as_the_library_in_unigram_mode(model):
+    import struct
+
+    import sentencepiece
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def message(fields):
+        out = b""
+        for k, v in fields:
+            if isinstance(v, bytes):
+                out += number(k << 3 | 2) + number(len(v)) + v
+            elif isinstance(v, float):
+                out += number(k << 3 | 5) + struct.pack("<f", v)
+            else:
+                out += number(k << 3) + number(v)
+        return out
+
+    parts = sentencepiece_viterbi._fields
+    fields = []
+    for k, v in parts(open(sentencepiece_viterbi.MODEL, "rb").read()):
+        if k == 1:  # huge negative scores round away all others in single precision
+            d = dict(parts(v))
+            v = message(list((d | ({2: -40000.0} if d.get(2, 0.0) < -1e8 else {})).items()))
+        elif k == 2:
+            v = message([(a, 1 if a == 3 else b) for a, b in parts(v)])
+        fields.append((k, v))
+    data = message(fields)
+    theirs, ours = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_viterbi.Model(data)
+    score = lambda ids: sum(ours.pieces[i][1] for i in ids)
+    for w in "internationalisation queso Straße naïve 12345 antidisestablishmentarianism éèêë".split():
+        assert score(theirs.encode(w)) == pytest.approx(score(ours.encode(w)), rel=1e-4)
+
+
+# 7 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_template_language():
+    t = chat_template
+    run = lambda s, **n: "".join(x for x, _ in t.compile_template(s)(**n))
+    assert run('{{ "a" ~ "b" | upper }}{% if 1 == 1 %}x{% else %}y{% endif %}') == "aBx"
+    assert t.fold(t.parse('{{ "a" ~ "b" }}c{% if not "" %}d{% endif %}')) == ("block", (("const", "abcd"),))
+    assert run("{% for m in ms %}{{ m.x }}{% if not loop.last %},{% endif %}{% endfor %}", ms=[{"x": 1}, {"x": 2}]) == "1,2"
+    assert list(t.compile_template("a{% generation %}b{{ c }}{% endgeneration %}")(c="d")) == [("a", False), ("b", True), ("d", True)]
+    assert run('{% if r == "u" %}U{% elif "z" in r %}Z{% else %}N{% endif %}', r="az") == "Z"
+    for bad in ("{{ a", "{% for %}", "{{ a.__class__ }}", "{{ a | run }}", "{% if a %}", "{{ f(a) }}", "{% import os %}", "{{ a[0] }}"):
+        with pytest.raises(t.TemplateError):
+            t.parse(bad)
+
+
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def test_chat_reads_back(spark):
+    hard = ["", chat.HARD, "</turn>\n<turn>user<says>", "\\", "\\\\<", "<says>", "a\n", None]
+    rows = [(i, j, r, t) for i, (a, b) in enumerate(itertools.product(hard, hard)) for j, (r, t) in enumerate((("user", a), ("assistant", b), ("<odd: role>\\", a)))]
+    rows += [(None, 1, "assistant", "x"), (None, None, None, None), (100, 0, "user", "twin"), (100, 0, "user", "twin")]
+    df = spark.createDataFrame(rows, CHAT).withColumn("n_turns", F.lit(1))
+    got = {r.conv_id: r for r in chat.digests(df).collect()}
+    whole = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        g = got[conv]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert g.formatted_chars == len(whole[conv].formatted)
+        assert chat.unescape("".join(whole[conv].formatted[s["start"] : s["end"]] for s in whole[conv].learned)) == loss
+    assert chat.digests(spark.createDataFrame([], CHAT)).count() == 0
+
+
+# 8 -------------------------------------------------------------------------------------------------------------------
+
+
+def brute_sets(text, k):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def brute_components(rows, k):
+    sets = {d: brute_sets(t, k) for d, t in rows}
+    label = {d: d for d in sets}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            a, b = root(a), root(b)
+            label[max(a, b)] = min(a, b)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def family(n, words, r):
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, words // 8)):
+            w[r.randrange(words)] = f"v{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, k, monkeypatch):
+    r = random.Random(8)
+    texts = [*ODD, "Same TEXT here", "one two", "two one", *family(150, 80, r), *family(12, 40, r), *family(30, 120, r), *(f"alone {i} {r.random()}" for i in range(60))]
+    texts += texts[20:30]
+    monkeypatch.setattr(near, "BLOCK", 32)  # so that a cluster spans blocks
+    monkeypatch.setattr(near, "NODE_MOST", 40)
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    df = docs(spark, [t for _, t in rows], [d for d, _ in rows], ("key", "rep", "n"))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near.link_components(df, k).collect()}
+    assert got == brute_components(rows, k)
+    kept = sorted(x.doc_id for x in near.dedup(df, k).collect())
+    assert kept == sorted(d for d, (_, c) in got.items() if d == c)
+
+
+def test_near_null_ids_and_nothing(spark):
+    got = near.link_components(docs(spark, ["a b c d e f"] * 3, [None, 4, 4])).collect()
+    assert sorted((x.doc_id is None, x.component_id) for x in got if x.doc_id is not None) == [(False, 4), (False, 4)]
+    assert near.link_components(docs(spark, [])).count() == 0
+    assert near.dedup(docs(spark, ["a b c d e f"] * 3, [None, 4, 4]), 2).count() == 2
+
+
+def test_target_recall():
+    assert near.miss_probability(0.8) < 2e-6
+
+
+def test_minwise_values_estimate_similarity():
+    r = random.Random(1)
+    a = [f"w{i}" for i in range(400)]
+    b = a[:360] + [f"x{i}" for i in range(40)]
+    raw, at = common.bytes_of(pa.array([" ".join(a), " ".join(b)]))
+    v, o = shingles.sets(raw, at, 1)
+    m = shingles.minima(v, o)
+    assert abs((m[0] == m[1]).mean() - 360 / 440) < 0.2
+    del r
+
+
+def test_components_both_ways(spark):
+    r = random.Random(0)
+    edges = [(r.randint(0, 900), r.randint(0, 900)) for _ in range(500)] + [(i, i + 1) for i in range(5000, 5040)] + [(7000, 7000 + i) for i in range(100)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    a, b = ({tuple(x) for x in graph.components(df, small=s).collect()} for s in (graph.SMALL, 0))
+    assert a == b and (5040, 5000) in a
+    assert graph.components(spark.createDataFrame([], "u long, v long"), small=0).count() == 0
+
+
+# 9 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_targets_are_the_fixpoint(spark):
+    r = random.Random(9)
+    for _ in range(4):
+        sizes = {f"s{i:02d}" if i else None: r.choice([0, 1, 5, 50, 1000, 4000]) for i in range(7)}
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        order = sorted((s for s in sizes if s is not None)) + [None]
+        weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+        cut, total = set(), sum(sizes.values())
+        while True:
+            left, w = total - sum(3 * sizes[s] for s in cut), sum(weight[s] for s in sizes if s not in cut)
+            t = {s: 3 * sizes[s] if s in cut else left * weight[s] / w for s in sizes}
+            over = {s for s in sizes if s not in cut and t[s] > 3 * sizes[s]}
+            if not over:
+                break
+            cut |= over
+        got = {x.source: x.target for x in mixing.source_targets(df).collect()}
+        assert got == pytest.approx(t, abs=1e-6)
+
+
+def test_mix(spark):
+    texts = ["wort " * (1 + i % 40) for i in range(3000)]
+    df = docs(spark, texts, extra=("size", "rate", "target"))
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    taken = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    t = {r.source: r.target for r in mixing.source_targets(df.select("source", mixing.word_count(F.col("text")).alias("size"))).collect()}
+    assert taken == pytest.approx(t, rel=0.05)
+    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    assert out.exceptAll(mixing.mix(df.repartition(7))).isEmpty()
+    assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [None, "", " "])).count() == 0
+
+
+# 10 ------------------------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(rows):
+    seen, out = {}, {}
+    rows = sorted(rows)
+    for d, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 99):
+            seen.setdefault(b[p : p + 100], (d, p))
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 2, bool)
+        for p in range(len(b) - 99):
+            if seen[b[p : p + 100]] != (d, p):
+                gone[p + 1 : p + 101] = True
+        kept = bytes(x for x, g in zip(b, gone[1:-1]) if not g)
+        out[d] = (len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def repeat_texts():
+    r = random.Random(10)
+    word = lambda: "".join(r.choices("abcdeé", k=r.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    line, passage = prose(14), prose(60)
+    texts = [t for t in ODD if t != LONG] + ["sehr langer Text. " * 90, "a" * 350, "ab" * 200]
+    for i in range(60):
+        texts.append(prose(r.randint(5, 60)) + " " + (line if i % 2 else passage[r.randint(0, 80) :]) + " " + prose(r.randint(5, 60)))
+    return texts + texts[20:24] + [t[: len(t) // 2] for t in texts[30:36]]
+
+
+@pytest.mark.parametrize("most", [repeats.SHARD_PIECES, 3])
+def test_repeats(spark, most):
+    """Once with anchors spread over shards, whose runs are then merged."""
+    rows = list(enumerate(repeat_texts()))
+    df = docs(spark, [t for _, t in rows], [d for d, _ in rows], ("part", "kind", "blob")).repartition(5)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.dedup(df, most=most).collect()}
+    assert got == brute_repeats(rows)
+    whole = {r.doc_id: r for r in repeats.dedup(df, whole=True).collect()}
+    for d, (n, gone, spans, digest) in got.items():
+        assert hashlib.sha256(whole[d].kept).hexdigest() == digest and len(whole[d].spans) == spans and n - gone == len(whole[d].kept)
+
+
+def test_long_texts_in_chunks():
+    r = random.Random(11)
+    text = np.frombuffer("".join(r.choices("abcd", k=5000)).encode(), np.uint8)
+    h, p, *_ = repeats.pieces(text, np.array([0, len(text)]))
+    n = sum(int(c) for c in repeats.pieces(text, np.array([0, len(text)]))[4])
+    assert n == len(text) - 99 and len(h) == len(p)
+    old = repeats._CHUNK
+    try:
+        repeats._CHUNK = 1024
+        parts = list(repeats._chunks(text, np.array([0, len(text)])))
+        assert sum(len(x) - 99 for _, _, x, _ in parts) == len(text) - 99
+    finally:
+        repeats._CHUNK = old
+
+
+def test_repeats_odd_rows(spark):
+    assert repeats.dedup(docs(spark, [])).count() == 0
+    t = "".join(random.Random(1).choices("abcdef", k=300))
+    got = repeats.dedup(docs(spark, [t, t, t, None], [None, 5, 5, 6])).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (5, 300), (5, 300), (6, 0)]
+
+
+def test_suffix_arrays():
+    r = random.Random(12)
+    for t in range(60):
+        s = bytes(r.choices(b"ab" if t % 2 else b"abcdefgh", k=r.randint(0, 300)))
+        a = np.frombuffer(s, np.uint8)
+        o = suffixes.suffix_array(a, 100)
+        assert [s[i : i + 100] for i in o] == sorted(s[i : i + 100] for i in range(len(s)))
+        c = suffixes.common_prefixes(a, o, 100)
+        for j in range(1, len(s)):
+            x, y = s[o[j - 1] :], s[o[j] :]
+            same = next((k for k in range(min(len(x), len(y), 100)) if x[k] != y[k]), min(len(x), len(y), 100))
+            assert c[j] == same
