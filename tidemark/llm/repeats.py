@@ -314,7 +314,7 @@ def _dealt(rows: DataFrame, run, schema: str = _ROW_DDL) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 
 
-def _resolve(shards: int, piece_shards: int):
+def _resolve(shards: int, piece_shards: int, most: int):
     """2: firsts of each bucket; what is equal goes to REPEATS, what shares only the anchor to WANTED."""
 
     def run(batches):
@@ -337,7 +337,7 @@ def _resolve(shards: int, piece_shards: int):
                 want = many > 1
                 h, doc, start, count, many = h[want], doc[want], start[want], count[want], many[want]
                 # an anchor of many pieces is spread by the piece's place
-                spread = -(-many // SHARD_PIECES)
+                spread = -(-many // most)
                 salt = mix64(ids[doc].view(np.uint64) ^ mix64(start.astype(np.uint64))) % spread.astype(np.uint64)
                 to = (mix64(h + salt) % np.uint64(piece_shards)).astype(np.uint32)
                 for part, rows in _split(doc_shard(ids[doc], shards) if len(doc) else np.zeros(0, np.int64)):
@@ -504,14 +504,15 @@ def _painted(whole: bool):
     return run
 
 
-def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; or, with ``whole``, doc_id, kept (bytes) and spans (in bytes)."""
+def dedup(docs: DataFrame, whole: bool = False, most: int = SHARD_PIECES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; or, with ``whole``, doc_id, kept (bytes) and spans (in bytes).
+    ``most``: pieces of one anchor that one shard takes."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # four parts a task even them out; more where parts would grow beyond SHARD
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    found = settle(_dealt(docs.mapInArrow(_to_pieces(parts, parts), _ROW_DDL), _through(_resolve(parts, parts))), "repeats-pieces")
+    found = settle(_dealt(docs.mapInArrow(_to_pieces(parts, parts), _ROW_DDL), _through(_resolve(parts, parts, most))), "repeats-pieces")
     texts = docs.mapInArrow(_to_texts(parts), _ROW_DDL)
     fetched = _dealt(texts.unionAll(found.where(F.col("kind") == WANTED)), _fetch)
     classes = settle(_dealt(fetched, _classes(parts, parts)), "repeats-classes")
