@@ -230,3 +230,54 @@ def local_projections(df: DataFrame, shock: str, target: str, horizons: range =
 
     tried = rows.select("*", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
     return tried.groupBy("horizon").applyInPandas(run, "horizon int, coef double, se double, low double, high double, n int")
+
+
+def best_strength(measured: DataFrame, fallback: float = 0.1) -> DataFrame:
+    """strength, auc: the one of the best AUC (the smaller of equals), or the fallback where none has an AUC."""
+    best = measured.agg(F.max_by("strength", F.struct(F.coalesce("auc", F.lit(-1.0)), -F.col("strength"))).alias("strength"), F.max("auc").alias("auc"))
+    return best.select(F.when(F.col("auc").isNull(), fallback).otherwise(F.col("strength")).alias("strength"), "auc")
+
+
+def nested_validation(rows: DataFrame, candidates: list[str], most: int = 3, strengths: tuple[float, ...] = STRENGTHS, leak: bool = False, classes: tuple[int, ...] = (-1, 0, 1), order: str = "date") -> DataFrame:
+    """fold, subset, strength, auc over outer folds. Subset and strength are chosen by inner validation on the fold's
+    training rows; with ``leak`` on all rows of the table, as selection before validation does. rows: see ``folded``."""
+    combos = [list(c) for k in range(1, most + 1) for c in itertools.combinations(candidates, k)]
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(order)
+        train, test = pdf[pdf.role == "train"], pdf[pdf.role == "test"]
+        seen = pdf if leak else train
+        y = seen.y.to_numpy()
+
+        def value(names, c):
+            got = inner_auc(seen[names].to_numpy(float), y, c, classes=classes)
+            return -1.0 if np.isnan(got) else got
+
+        strength = max(strengths, key=lambda c: (value(candidates, c), -c))
+        subset = max(combos, key=lambda names: (value(names, strength), -len(names), names))
+        auc_ = float("nan")
+        if train.y.nunique() == len(classes) and test.y.nunique() > 1:
+            a, b = _scaled(train[subset].to_numpy(float), test[subset].to_numpy(float))
+            auc_ = _auc(test.y.to_numpy(), predict_logit(fit_logit(a, train.y.to_numpy(), strength, np.array(classes)), b), classes)
+        return pd.DataFrame([(int(pdf.fold.iloc[0]), ",".join(subset), strength, None if np.isnan(auc_) else auc_)], columns=["fold", "subset", "strength", "auc"])
+
+    return rows.groupBy("fold").applyInPandas(run, "fold int, subset string, strength double, auc double")
+
+
+def forest_grid(rows: DataFrame, features: list[str], depths: tuple[int, ...] = DEPTHS, leaves: tuple[int, ...] = LEAVES, trees: int = TREES) -> DataFrame:
+    """depth, leaf, accuracy of forests over the folds, for each setting."""
+    out = None
+    for depth, leaf in itertools.product(depths, leaves):
+        p = forest_predict(rows, features, depth, leaf, trees)
+        one = p.agg(F.avg((F.col("y") == F.col("predicted")).cast("double")).alias("accuracy")).select(F.lit(depth).alias("depth"), F.lit(leaf).alias("leaf"), "accuracy")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def compare(old: DataFrame, new: DataFrame, by: str = "model", value: str = "auc", band: float = 0.005) -> DataFrame:
+    """by, old, new, change, verdict: better or worse beyond the band, else same."""
+    j = old.select(by, F.col(value).alias("old")).join(new.select(by, F.col(value).alias("new")), by)
+    d = F.col("new") - F.col("old")
+    return j.select(by, "old", "new", d.alias("change"), F.when(d > band, "better").when(d < -band, "worse").otherwise("same").alias("verdict"))

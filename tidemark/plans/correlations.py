@@ -166,3 +166,16 @@ def pretty_features(spark, sf):
     for a, b in (("IS ", "IS "), ("Q&A ", "QA "), ("Mean", "mean"), ("Std", "std"), ("Max", "max"), ("Min", "min")):
         shown = F.replace(shown, F.lit(a), F.lit(b))
     return corr_table(spark, sf).select("feature").distinct().select("feature", shown.alias("lower_name"))
+
+
+_CHANGED = ", s AS (SELECT date, avg(score) AS score FROM chunk_scores GROUP BY date), j AS (SELECT s.date, score, round(mro - lag(mro) OVER (ORDER BY s.date), 6) AS y FROM s JOIN market USING (date)), c AS (SELECT * FROM j WHERE y IS DISTINCT FROM 0)"
+
+
+@query(
+    "lag_corr_changed",
+    with_views("chunk_scores", "market", sql=_CHANGED + ", k AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, lag(score, {k}) OVER (ORDER BY date) AS x, y FROM c" for k in range(6)) + f") SELECT CAST(lag AS INTEGER) AS lag, {r('covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0)', 'r', 5)}, count(*) AS n FROM k WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY lag HAVING count(*) >= 8"),
+)
+def lag_corr_changed(spark, sf):
+    """Correlation at lags counted over meetings with a change only."""
+    s = chunk_scores(spark, sf).groupBy("date").agg(F.avg("score").alias("score")).join(market(spark, sf).select("date", "mro"), "date")
+    return rounded(stat.changed_lag_correlation(rounded(win.differences(s, ["mro"]), "d_mro"), "score", "d_mro", 5), "r", digits=5)

@@ -93,3 +93,28 @@ def forest_cv(spark, sf):
 @query("local_projection")
 def local_projection(spark, sf):
     return rounded(ml.local_projections(joined(spark, sf), "score", "ois_1y"), "coef", "se", "low", "high")
+
+
+@query("strength_grid")
+def strength_grid(spark, sf):
+    """The strength of the best AUC over three expanding folds."""
+    m = ml.measures(ml.cross_predict(ml.folded(_plain(spark, sf), _NAMES, "y", 3), _NAMES))
+    return rounded(ml.best_strength(m), "auc")
+
+
+@query("nested_validation")
+def nested_validation(spark, sf):
+    """Selection inside the folds and, for comparison, before them."""
+    rows = ml.folded(_plain(spark, sf), _NAMES, "y", 3)
+    inside, before = (ml.nested_validation(rows, _NAMES, 2, leak=leak).withColumn("leak", F.lit(leak)) for leak in (False, True))
+    return rounded(inside.unionAll(before), "auc")
+
+
+_RUNS = (("M1", 0.682, 0.5723), ("M2", 0.694, 0.6619), ("M3", 0.705, 0.7090), ("M4", 0.763, 0.7640))
+
+
+@query("model_comparison", "WITH m(model, o, n) AS (VALUES " + ", ".join(f"('{m}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for m, a, b in _RUNS) + f") SELECT model, {r('o', 'old')}, {r('n', 'new')}, {r('n - o', 'change')}, CASE WHEN n - o > 0.005 THEN 'better' WHEN n - o < -0.005 THEN 'worse' ELSE 'same' END AS verdict FROM m")
+def model_comparison(spark, sf):
+    rows = spark.createDataFrame([list(x) for x in _RUNS], "model string, o double, n double")
+    got = ml.compare(rows.select("model", F.col("o").alias("auc")), rows.select("model", F.col("n").alias("auc")))
+    return rounded(got, "old", "new", "change")

@@ -125,6 +125,31 @@ def index_links(html: str) -> list[tuple[str, str]]:
     return out[::-1]
 
 
+def fetch(url: str, open_url=None, timeout: float = 30.0) -> bytes | None:
+    """A page's bytes; None on any failure of the connection or a status of error."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        with (open_url or urllib.request.urlopen)(url, timeout=timeout) as reply:
+            return reply.read()
+    except (urllib.error.URLError, TimeoutError, ConnectionError):
+        return None
+
+
+def fetched(urls: DataFrame, open_url=None, key: str = "page_id", url: str = "url") -> DataFrame:
+    """key, url, html: pages read by the executors, one after the other in each task; failures are left out."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(k, u, b.decode("utf-8", "replace")) for k, u in zip(pdf["key"], pdf["url"], strict=True) if (b := fetch(u, open_url)) is not None]
+            yield pd.DataFrame(rows, columns=["key", "url", "html"])
+
+    return urls.select(F.col(key).alias("key"), F.col(url).alias("url")).mapInPandas(run, "key long, url string, html string").withColumnRenamed("key", key)
+
+
 def elements(pages: DataFrame, root: str = "main", key: str = "page_id", html: str = "html", nested: bool = True) -> DataFrame:
     """key, pos, text, marked: the elements of each page."""
 
