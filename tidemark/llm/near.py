@@ -11,7 +11,8 @@ Pairs alike by sketch only tie sets into clusters (a spanning forest, never all
 A cluster is cut into blocks of up to BLOCK sets; each block is compared in itself and with a few pivots of its
 cluster, pairs that are already connected being skipped. What is then outside the largest component of its cluster is
 compared with all other blocks of it. So components are those of the full link graph, without pairs within groups of
-copies. Nodes that stay too large after REFINE more levels become clusters as wholes, by the same exact way.
+copies. Nodes that stay too large after REFINE more levels, or that hardly shrink by one, become clusters as wholes:
+the same exact way handles them.
 
 Defined cases: null and empty texts, and texts of white space, have empty sets and stay alone; equal sets are one
 vertex; rows that share an id are one vertex; rows with a null id take no part (component null); an empty table gives
@@ -37,6 +38,8 @@ TREES = 6
 PICKS = (2, 2, 1)
 NODE_MOST = 512
 REFINE = 3
+#: A child with more than this share of a large node is not branched on: it becomes a cluster as a whole.
+DENSE = 0.6
 BLOCK = 256
 PIVOTS = 4
 #: Of MINS values, how many agree at least where sets may be linked: a linked pair has fewer with probability 1e-6.
@@ -205,7 +208,7 @@ def _compare_nodes(batches):
 
 def tree_edges(vertices: DataFrame) -> DataFrame:
     """(u, v): ties between sets that may be linked. vertices: rep, n, sketch, leaves."""
-    rows = vertices.select("rep", F.explode("leaves").alias("leaf"))
+    rows = vertices.select("rep", F.explode("leaves").alias("leaf"), F.lit(None).cast("long").alias("above"))
     marks = settle(vertices.select("rep", "n", "sketch"), "near-marks")
     out = None
     for level in range(REFINE + 1):
@@ -217,13 +220,18 @@ def tree_edges(vertices: DataFrame) -> DataFrame:
         large = many.where(F.col("c") > NODE_MOST)
         if large.isEmpty():
             return out
+        # most of the node above took the same path: sets much alike, which more picks would copy and not part
+        whole = large if level == REFINE else large.where(F.col("c") > DENSE * F.col("above"))
+        if level:
+            heads = whole.groupBy("leaf").agg(F.min("rep").alias("v"))
+            out = out.unionAll(whole.join(heads, "leaf").select(F.col("rep").alias("u"), "v"))
         if level == REFINE:
-            heads = large.groupBy("leaf").agg(F.min("rep").alias("v"))
-            return out.unionAll(large.join(heads, "leaf").select(F.col("rep").alias("u"), "v"))
+            return out
         # two more picks, by the bytes of the sketch
         pick = lambda j: F.pmod(F.xxhash64("leaf", F.lit(level), F.lit(j)), F.lit(MINS)).cast("int")
         child = lambda j: F.xxhash64("leaf", pick(j), F.substring("sketch", pick(j) + 1, F.lit(1)))
-        rows = large.select("rep", "leaf").join(marks, "rep").select("rep", F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("leaf"))
+        sparse = large.where(F.coalesce(F.col("c") <= DENSE * F.col("above"), F.lit(True)))
+        rows = sparse.select("rep", "leaf", "c").join(marks, "rep").select("rep", F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("leaf"), F.col("c").alias("above"))
     return out
 
 
@@ -369,10 +377,10 @@ def link_components(docs: DataFrame, k: int = 2) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs without those whose component has a smaller id. Rows with null ids stay; of equal rows one stays."""
+    """docs without those whose component has a smaller id. Rows with null ids stay; of rows that share an id one stays."""
     names = docs.columns
     kept = settle(link_components(docs, k).where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct(), "near-kept")
-    both = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    both = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return both.unionAll(docs.where("doc_id IS NULL")).select(*names)
 
 
