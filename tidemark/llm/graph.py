@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,45 @@ def _small(e: DataFrame) -> DataFrame:
     return near.unionAll(m.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: An edge table of up to so many rows (4 MB) is one task's work: shuffles of it would be merged into one anyway.
+SMALL = 1 << 18
+
+
+def _in_one_task(batches):
+    held = [b for b in batches if b.num_rows]
+    u, v = (np.concatenate([np.asarray(b.column(k)) for b in held]) if held else np.zeros(0, np.int64) for k in (0, 1))
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    rest = label != np.arange(len(names))
+    yield pa.RecordBatch.from_arrays([pa.array(names[rest]), pa.array(names[label[rest]])], names=["node", "label"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, label) for every vertex of an edge but the smallest of its component: label is that smallest.
 
-    edges: (u, v), whole numbers; loops and nulls don't count. Each round is written to the shared folder, and ends
-    when it changes nothing; rounds grow with the logarithm of a component's length. No vertex's neighbours are ever
-    gathered: minima are combined before the shuffle, and joins on a hot vertex have one row on one side."""
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
+    edges: (u, v), whole numbers; loops and nulls don't count. Up to ``small`` edges are solved in one task of bounded
+    size. Beyond, each round is written to the shared folder, and the last leaves stars only; rounds grow with the
+    logarithm of a component's length. No vertex's neighbours are ever gathered: minima are combined before the
+    shuffle, and joins on a hot vertex have one row on one side."""
+    e = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u != v").distinct()
     e = settle(e, "edges")
+    if small and e.count() <= small:
+        return settle(e.coalesce(1).mapInArrow(_in_one_task, "node long, label long"), "labels")
     seen = None
     for _ in range(most_rounds):
         n = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first()
-        # as many edges as vertices that have a smaller neighbour: each has one; then no step may change it
-        if n[0] == 0 or tuple(n) == seen:
+        # stars: each vertex has one smaller neighbour, which has none
+        stars = n[0] == n[2] and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        if stars or tuple(n) == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = tuple(n)
         e = settle(_small(settle(_large(e), "edges")), "edges")
