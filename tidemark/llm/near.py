@@ -351,11 +351,11 @@ def link_components(docs: DataFrame, k: int = 2) -> DataFrame:
 
     def verified(tasks: DataFrame) -> DataFrame:
         # each text is sent once to its id's tasks, which then split it up
-        per = tasks.join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+        per = docs.withColumnRenamed("doc_id", "rep").join(tasks, "rep")
         dealt = per.repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "rep", "key")
         return dealt.select("cluster", "block", "other", "rep", "key", "side", "comp", "text").mapInArrow(_link_groups(k), "u long, v long")
 
-    links = settle(verified(tasks), "near-links")
+    links = settle(verified(tasks.hint("merge")), "near-links")  # alike at any size; what follows is of few rows
     joined = components(links)
     if not wide.isEmpty():
         # clusters of several blocks: what is outside the largest component meets all blocks
@@ -380,7 +380,8 @@ def dedup(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs without those whose component has a smaller id. Rows with null ids stay; of rows that share an id one stays."""
     names = docs.columns
     kept = settle(link_components(docs, k).where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct(), "near-kept")
-    both = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    # by sorted merge at any size: the ids are then in place for the distinct rows, one shuffle of the texts in all
+    both = docs.join(kept.withColumnRenamed("doc_id", "_kept").hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return both.unionAll(docs.where("doc_id IS NULL")).select(*names)
 
 
