@@ -9,9 +9,17 @@ import zipfile
 _shipped: set[str] = set()
 
 
+#: Spark's own bound on an Arrow batch, and ours: workers hold a batch in several forms at once.
+_BATCH_BYTES = (64 << 20, 16 << 20)
+
+
 def ship(spark) -> None:
-    """Give executors this package: a zip of its sources goes to them once an application."""
+    """Give executors this package: a zip of its sources goes to them once an application. Arrow batches are kept to
+    16 MB, unless the session has a bound of its own."""
     context = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(_BATCH_BYTES[0]):
+        spark.conf.set(key, str(_BATCH_BYTES[1]))
     if context.applicationId in _shipped:
         return
     home = os.path.dirname(os.path.abspath(__file__))

@@ -34,33 +34,36 @@ def words(text) -> Column:
     return F.filter(F.split(F.trim(col(text)), r"\s+"), lambda w: w != "")
 
 
-def pack_sentences(text, max_words: int = 200, min_tail: int = 30) -> Column:
+def measured_sentences(text) -> Column:
+    """Array of struct(s, n): sentences with their numbers of words, each counted once."""
+    return F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
+
+
+def pack_measured(measured, max_words: int = 200, min_tail: int = 30) -> Column:
     """Chunks of whole sentences of at most ``max_words`` words.
 
     Sentences are added while they fit; a longer sentence is a chunk of its own; a last chunk under ``min_tail`` words
     is glued to the one before. A fold over the sentences, in one expression: no shuffle and no Python."""
-    n_words = lambda s: F.size(words(s))
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
-    def step(acc, s):
-        n = n_words(s)
-        fits = acc["n"] + n <= max_words
+    def step(acc, x):
+        fits = acc["n"] + x["n"] <= max_words
         return F.struct(
-            F.when(fits | (acc["now"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"),
-            F.when(fits & (acc["now"] != ""), F.concat_ws(" ", acc["now"], s)).otherwise(s).alias("now"),
-            F.when(fits, acc["n"] + n).otherwise(n).alias("n"),
+            F.when(fits | (acc["now"] == ""), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])).alias("done"),
+            F.when(fits & (acc["now"] != ""), F.concat_ws(" ", acc["now"], x["s"])).otherwise(x["s"]).alias("now"),
+            F.when(fits, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"),
         )
 
     def finish(acc):
         done, now = acc["done"], acc["now"]
-        glue = (F.size(done) > 0) & (acc["n"] < min_tail)
-        glued = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(done, -1), now)))
-        return F.when(now == "", done).when(glue, glued).otherwise(F.concat(done, F.array(now)))
-
-    guarded = F.when(F.size(sentences(text)) >= 0, sentences(text))
-    packed = F.aggregate(guarded, empty, step, lambda acc: F.struct(acc["done"].alias("done"), acc["now"].alias("now"), acc["n"].alias("n")))
-    out = F.when(F.size(packed["done"]) == 0, F.filter(F.array(packed["now"]), lambda x: x != ""))
-    return out.otherwise(finish(packed))
+        glued = F.array_append(F.slice(done, 1, F.size(done) - 1), F.concat_ws(" ", F.try_element_at(done, F.lit(-1)), now))
+        return F.when(now == "", done).when((F.size(done) > 0) & (acc["n"] < min_tail), glued).otherwise(F.array_append(done, now))
+
+    return F.aggregate(col(measured), empty, step, finish)
+
+
+def pack_sentences(text, max_words: int = 200, min_tail: int = 30) -> Column:
+    return pack_measured(measured_sentences(text), max_words, min_tail)
 
 
 def clean_answer(text) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_paragraph, pack_sentences, qa_paragraphs
+from ..functions.text import measured_sentences, pack_measured, qa_paragraphs, squeeze
 from ..schema import CHUNK_LIMITS
 
 
@@ -28,10 +28,12 @@ def chunks(paragraphs: DataFrame, limit: int | None = None, least: int = 100, le
     limits = CHUNK_LIMITS if limit is None else (limit,)
 
     def packed(k):
-        text = clean_paragraph("text", least_single if k == 1 else least)
-        return F.transform(pack_sentences(text, k, 0 if k == 1 else tail), lambda c: F.struct(F.lit(k).alias("chunk_limit"), c.alias("chunk")))
+        long_enough = F.length("t") >= (least_single if k == 1 else least)
+        chunk = F.when(long_enough, pack_measured("m", k, 0 if k == 1 else tail)).otherwise(F.array().cast("array<string>"))
+        return F.transform(chunk, lambda c: F.struct(F.lit(k).alias("chunk_limit"), c.alias("chunk")))
 
-    rows = paragraphs.select("statement_id", "pos", *keep, F.flatten(F.array(*map(packed, limits))).alias("c"))
+    measured = paragraphs.select("statement_id", "pos", *keep, squeeze("text").alias("t")).where(F.length("t") >= min(least, least_single)).select("*", measured_sentences("t").alias("m"))
+    rows = measured.select("statement_id", "pos", *keep, F.flatten(F.array(*map(packed, limits))).alias("c"))
     rows = rows.select("statement_id", "pos", *keep, F.posexplode("c").alias("n", "c")).select("statement_id", "pos", "n", *keep, "c.chunk_limit", "c.chunk")
     w = Window.partitionBy("statement_id", "chunk_limit")
     ids = rows.select("*", (F.row_number().over(w.orderBy("pos", "n")) - 1).alias("chunk_id"))
