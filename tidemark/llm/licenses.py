@@ -50,11 +50,15 @@ def template_pairs() -> list[tuple[int, str, bool, int, str, str, int]]:
     return out
 
 
+def _values() -> str:
+    """The templates' pairs as rows of SQL; they are words and numbers only."""
+    return ", ".join(str(row).replace("True", "true").replace("False", "false") for row in template_pairs())
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row a row of docs."""
     spark = docs.sparkSession
-    pairs = spark.createDataFrame(template_pairs(), "tpl int, label string, base boolean, q int, a string, b string, n int")
-    pairs = F.broadcast(pairs.withColumn("h", F.xxhash64("a", "b")))
+    pairs = F.broadcast(spark.sql(f"SELECT * FROM VALUES {_values()} AS t(tpl, label, base, q, a, b, n)").withColumn("h", F.xxhash64("a", "b")))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.split(F.translate(text, _UPPER, _LOWER), _BREAK).alias("w"))
     lead = (F.col("w")[0] == "").cast("int")
@@ -109,7 +113,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH t(tpl, label, base, q, a, b, n) AS (VALUES {", ".join(str((i, label, base, q, a, b, n)).replace("True", "true").replace("False", "false") for i, label, base, q, a, b, n in template_pairs())}),
+WITH t(tpl, label, base, q, a, b, n) AS (VALUES {_values()}),
 d AS (
   SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
 ), p AS (
