@@ -160,7 +160,7 @@ def _sketch_edges(node: np.ndarray, vertex: np.ndarray, n: np.ndarray, s: np.nda
 
 
 def _whole_groups(batches, keys: tuple[str, ...], rows_at_once: int) -> Iterator[pa.Table]:
-    """Tables of neighbouring batches cut where the keys change, each of about ``rows_at_once`` rows or one group."""
+    """Tables of neighbouring batches cut where the keys change, each of about ``rows_at_once`` rows, 64 MB or one group."""
     held: list[pa.RecordBatch] = []
     count = 0
 
@@ -177,7 +177,7 @@ def _whole_groups(batches, keys: tuple[str, ...], rows_at_once: int) -> Iterator
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            count += batch.num_rows
+            count += max(batch.num_rows, batch.nbytes * rows_at_once >> 26)
         if count >= rows_at_once:
             t = pa.Table.from_batches(held).combine_chunks()
             at = cut(t)
