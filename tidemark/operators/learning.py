@@ -80,8 +80,9 @@ def _scaled(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def folded(df: DataFrame, features: list[str], y: str, k: int = 5, order: str = "date") -> DataFrame:
     """Complete rows with fold and role; folds are expanding and in order."""
-    full = df.select(order, *features, F.col(y).cast("int").alias("y")).dropna()
-    n = full.count()  # a row a meeting
+    # a row a meeting: kept, for the count, the folds and the rows all need it
+    full = df.select(order, *features, F.col(y).cast("int").alias("y")).dropna().persist()
+    n = full.count()
     return full.join(folds(full, n, k, order), order)
 
 
@@ -114,11 +115,10 @@ def measures(predictions: DataFrame, by: tuple[str, ...] = ("strength",), classe
     """[by], accuracy mean and deviation (population) over folds, mean one-vs-rest AUC of folds with all classes."""
     keys = [*by, "fold"]
     acc = predictions.groupBy(*keys).agg(F.avg((F.col("y") == F.col("predicted")).cast("double")).alias("acc"), F.countDistinct("y").alias("kinds"))
-    parts = None
-    for i, c in enumerate(classes):
-        one = auc(predictions.withColumn("_pos", F.col("y") == c), f"p_{i}", "_pos", tuple(keys))
-        parts = one if parts is None else parts.unionAll(one)
-    macro = parts.groupBy(*keys).agg(F.avg("auc").alias("auc"))
+    # one row a class: a single pass ranks all one-vs-rest problems
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"p_{i}").alias("p")) for i, c in enumerate(classes)])).alias("c")
+    rest = predictions.select(*keys, "y", one).select(*keys, F.col("c.class").alias("class"), F.col("c.p").alias("p"), (F.col("y") == F.col("c.class")).alias("_pos"))
+    macro = auc(rest, "p", "_pos", (*keys, "class")).groupBy(*keys).agg(F.avg("auc").alias("auc"))
     j = acc.join(macro, keys)
     return j.groupBy(*by).agg(F.avg("acc").alias("accuracy"), F.stddev_pop("acc").alias("accuracy_sd"), F.avg(F.when(F.col("kinds") == len(classes), F.col("auc"))).alias("auc"), F.count(F.lit(1)).alias("folds"))
 
