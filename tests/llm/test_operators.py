@@ -93,6 +93,16 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, v array<double>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_huge_components_stay_exact():
+    r = np.random.default_rng(2)
+    v = r.integers(-(1 << 31), 1 << 31, (300, 3)).astype(float)
+    q, ids = v[::50], np.arange(300)
+    at, got, score, _ = topk.search(q, ids[::50], np.full(len(q), np.iinfo(np.int64).min), v, ids, 5, False, 16)
+    for i in range(len(q)):
+        want = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(q[i], w)))), j) for j, w in enumerate(v) if j != 50 * i)[:5]
+        assert sorted((-int(s), int(j)) for k, j, s in zip(at, got, score) if k == i) == want
+
+
 def test_pruning_skips_blocks():
     v = np.concatenate([np.full((128, 2), 100.0), np.full((1280, 2), 1.0)])
     *_, scored = topk.search(np.ones((1, 2)), np.array([-1]), np.array([np.iinfo(np.int64).min]), v, np.arange(len(v)), 5, True)
@@ -443,14 +453,12 @@ def test_target_recall():
 
 
 def test_minwise_values_estimate_similarity():
-    r = random.Random(1)
     a = [f"w{i}" for i in range(400)]
     b = a[:360] + [f"x{i}" for i in range(40)]
     raw, at = common.bytes_of(pa.array([" ".join(a), " ".join(b)]))
     v, o = shingles.sets(raw, at, 1)
     m = shingles.minima(v, o)
     assert abs((m[0] == m[1]).mean() - 360 / 440) < 0.2
-    del r
 
 
 def test_components_both_ways(spark):

@@ -100,7 +100,6 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> list[str]:
     low = third & (~third + np.uint32(1))
     level = np.where(third == 0, 31, np.log2(np.maximum(low, 1)).astype(np.int64))
     text_of = np.searchsorted(offsets, hits, "right") - 1
-    first = np.searchsorted(hits, offsets)
     want = np.maximum(0, np.ceil(np.log2(np.maximum(sizes / (LEAST * SIGNS), 1))).astype(np.int64))
     # down from the expected level until it has half the signs, so that texts of few triggers still tell apart
     top = int(max(want.max(initial=0), 0)) + 2
@@ -124,7 +123,6 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> list[str]:
         signs = _chunk_signs(raw, cuts).tobytes().decode()
         at = np.searchsorted(cuts, offsets)
         parts[double] = [signs[at[i] : at[i + 1]] for i in range(n)]
-    del first
     return [f"{LEAST << int(p)}:{a}:{b}" for p, a, b in zip(pick, *parts, strict=True)]
 
 
@@ -150,16 +148,12 @@ def likeness(x: str, y: str) -> float:
     return max((2 * common_length(p, q) / (len(p) + len(q)) for p, q in pairs if p and q), default=0.0)
 
 
-def _first(doc_id, text):
-    return F.struct(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("o"), F.xxhash64(text).alias("h"), doc_id.alias("doc_id"))
-
-
 def next_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(rng, doc_id, text, guest): sorted within partitions, each range in descending order of id, its last row a guest:
     the first of the next range, or of the first range after the last one."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    low, high, n = base.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    n = base.count()
     n_ranges = max(1, min(MOST_RANGES, -(-n // range_rows)))
     cuts: list[float] = []
     if n_ranges > 1:

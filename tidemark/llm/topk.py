@@ -42,7 +42,7 @@ def bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarr
 def _score(q: np.ndarray, v: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
         return (q @ v.T).astype(np.int64)
-    whole = q.astype(object) @ v.astype(object).T
+    whole = q.astype(np.int64).astype(object) @ v.astype(np.int64).astype(object).T
     return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
@@ -52,8 +52,8 @@ def search(q: np.ndarray, q_ids: np.ndarray, q_floor: np.ndarray, v: np.ndarray,
     starts = np.arange(0, len(v), block)
     most, least = np.maximum.reduceat(v, starts, axis=0), np.minimum.reduceat(v, starts, axis=0)
     bound = bounds(q, most, least)
-    if not exact:  # rounded sums of doubles: make them safe
-        bound = bound + np.abs(bound) * 1e-9 + 1e-6 * np.abs(q).sum(axis=1, keepdims=True)
+    if not exact:  # sums of doubles are rounded: the bound gets a margin in proportion to the terms
+        bound = bound + 1e-9 * (np.abs(q) @ np.maximum(np.abs(most), np.abs(least)).T)
     order = np.argsort(-bound, axis=1, kind="stable")
     n = len(q)
     best = np.full((n, k), np.iinfo(np.int64).min, np.int64)
