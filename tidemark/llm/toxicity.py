@@ -308,7 +308,7 @@ def score_texts(field: Field, raw: np.ndarray, offsets: np.ndarray) -> Iterator[
         yield field.any_toxic(p), spans
 
 
-_PIECE = 2 << 20
+_PIECE = 1 << 19
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
