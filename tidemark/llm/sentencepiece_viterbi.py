@@ -201,11 +201,11 @@ def _load(path: str) -> bytes:
         return f.read()
 
 
-_PIECE = 8 << 20
+_PIECE = 2 << 20
 
 
 def _parts(batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of about 8 MB of text or one row."""
+    """Slices of about 2 MB of text or one row."""
     for batch in batches:
         raw, offsets = bytes_of(batch.column("text"))
         at = 0
