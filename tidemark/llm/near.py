@@ -381,7 +381,7 @@ def dedup(docs: DataFrame, k: int = 5) -> DataFrame:
     names = docs.columns
     kept = settle(link_components(docs, k).where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct(), "near-kept")
     # by sorted merge at any size: the ids are then in place for the distinct rows, one shuffle of the texts in all
-    both = docs.join(kept.withColumnRenamed("doc_id", "_kept").hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    both = docs.join(kept.hint("merge"), docs["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return both.unionAll(docs.where("doc_id IS NULL")).select(*names)
 
 
