@@ -15,9 +15,10 @@ def long_lags(long: DataFrame, max_lag: int, deltas: bool = False, order: str =
     Long format: the windows are partitioned by feature, and thousands of lag columns never become a wide plan."""
     w = Window.partitionBy("feature").orderBy(order)
     base = long.select(order, F.col("feature").alias("base"), "value")
-    if deltas:
-        d = long.select(order, F.concat(F.lit("d_"), "feature").alias("base"), (F.col("value") - F.lag("value").over(w)).alias("value"))
-        base = base.unionAll(d)
+    if deltas:  # both kinds from one pass over the features
+        d = F.struct(F.concat(F.lit("d_"), "feature").alias("base"), (F.col("value") - F.lag("value").over(w)).alias("value"))
+        both = long.select(order, F.array(F.struct(F.col("feature").alias("base"), "value"), d).alias("x"))
+        base = both.select(order, F.inline("x"))
     w = Window.partitionBy("base").orderBy(order)
     shifted = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("value", k).over(w).alias("value")) for k in range(max_lag + 1)])
     return base.select(order, "base", shifted.alias("s")).select(order, "base", F.inline("s"))
