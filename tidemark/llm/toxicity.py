@@ -98,21 +98,30 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def pick_cues(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, most: int = 400) -> np.ndarray:
-    """Upper 52 bits of the hashes of words and heads that explain toxic documents, greedily. doc: each token's document."""
+def cues_of(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Distinct pairs of a word or head and a document: the upper 52 bits of a hash and 12 bits for the document."""
+    return np.unique(np.concatenate([hashes[:, k] & ~np.uint64(4095) | doc.astype(np.uint64) for k in range(4)]))
+
+
+def pick_cues(pairs: np.ndarray, toxic: np.ndarray, most: int = 400) -> np.ndarray:
+    """Upper 52 bits of the hashes of words and heads that explain toxic documents, greedily."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    # the upper 52 bits of a hash and 12 bits for the document
-    pairs = np.unique(np.concatenate([hashes[:, k] & ~np.uint64(4095) | doc.astype(np.uint64) for k in range(4)]))
-    of = (pairs & np.uint64(4095)).astype(np.int64)
-    pairs &= ~np.uint64(4095)
-    names, at = np.unique(pairs, return_inverse=True)
-    del pairs
-    clean = np.bincount(at, weights=~toxic[of], minlength=len(names))
-    bad = np.bincount(at, weights=toxic[of], minlength=len(names))
+    of = (pairs & np.uint64(4095)).astype(np.int32)
+    pairs = pairs & ~np.uint64(4095)
+    hit = toxic[of]
     least = 3 if n1 >= 20 else 1
-    fit = (bad >= least) & (clean * n1 <= 0.02 * bad * max(n0, 1))
-    keep = fit[at] & toxic[of]
-    at, of = at[keep], of[keep]
+    # only what comes in enough toxic documents can be picked
+    names, bad = np.unique(pairs[hit], return_counts=True)
+    names, bad = names[bad >= least], bad[bad >= least]
+    if not len(names):
+        return np.zeros(0, np.uint64)
+    place = np.minimum(np.searchsorted(names, pairs), len(names) - 1).astype(np.int32)
+    known = names[place] == pairs
+    clean = np.bincount(place[known & ~hit], minlength=len(names))
+    fit = clean * n1 <= 0.02 * bad * max(n0, 1)
+    keep = known & hit & fit[place]
+    at, of = place[keep], of[keep]
+    del pairs, place, known, hit, keep
     left = toxic.copy()
     # what is common in toxic documents counts even where other cues explain the same ones
     out = list(names[fit & (bad >= max(4, 0.05 * n1)) & (clean * n1 <= 0.005 * bad * max(n0, 1))])
@@ -207,16 +216,18 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     toxic = np.asarray(toxic, bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return none
-    assert len(texts) < 4096, "pick_cues keeps 12 bits for a document"
+    assert len(texts) < 4096, "cues_of keeps 12 bits for a document"
     parts = []
     for first, raw, offsets in _lots(texts):
         starts, ends, of = tokens(raw, offsets)
-        parts.append((of + first, features(raw, starts, ends)))
-    doc, hashes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        found = features(raw, starts, ends)
+        parts.append(((of + first).astype(np.int32), found, cues_of(found, of + first)))
+    doc, hashes, pairs = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
     del parts
     if not len(doc):
         return none
-    cues = np.sort(pick_cues(hashes, doc, toxic))
+    cues = np.sort(pick_cues(pairs, toxic))
+    del pairs
     if not len(cues):
         return none
     y = toxic[doc] & np.logical_or.reduce([np.isin(hashes[:, k] & ~np.uint64(4095), cues) for k in range(4)])
