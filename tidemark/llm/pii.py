@@ -1,10 +1,11 @@
 """Personal data by a semi-Markov conditional random field over whole spans.
 
-Base spans follow fixed patterns and always stay. Around digits, ``@`` and cue words the field reads regions of the
-text: candidate segments of up to MOST_TOKENS tokens that have the outline of a kind are scored by features of the
-whole span and its neighbourhood, everything else is a segment of one token with score 0, and one dynamic program picks
-boundaries and kinds together. Outside the regions no segment has the outline of a kind, so the best labelling of the
-text is that of its regions. Spans of the field are added where they touch no base span.
+Base spans follow fixed patterns and always stay. The field reads regions of the text: candidate segments of up to
+MOST_TOKENS tokens that have the outline of a kind are scored by features of the whole span and its neighbourhood,
+everything else is a segment of one token with score 0, and one dynamic program picks boundaries and kinds together.
+Regions are the runs of signs that an outline needs (see ``regions``), in whole tokens, and features look beyond them.
+Outside the regions no segment has the outline of a kind, so the best labelling of the text is that of its regions.
+Spans of the field are added where they touch no base span.
 
 The weights are fitted here, by gradient ascent on the exact conditional likelihood (forward and backward sums over the
 segment lattice), on sentences that a seeded generator writes: no table is needed, so the model is the same at any size.
@@ -31,7 +32,6 @@ from .common import table
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 MOST_TOKENS = 22
-_REACH = 48
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -81,10 +81,16 @@ def base_spans(text: str) -> list[Span]:
 # --- the field -----------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
-_ANCHOR = re.compile(r"[0-9]{3,}|[0-9][ .)(-]+[0-9]|@|\b(?:at|AT)\b[\])]? ?[\w-]+ ?[\[(]?(?:dot|DOT)\b")
+#: What any segment with an outline lies in. Numbers: cards, phones, plain addresses; a pattern a spelling of '@', each with the domain ahead.
+_NUMBER = re.compile(r"\d[\d ().-]{6,}+")
+_PARTED = re.compile(r"(?<!\d)\d++(?:(?:\.|\[\.\]|\(\.\)| \. )\d++){3,}+")
+_LONG_RUN = re.compile(r"(?<![\w+/=-])[\w+/=-]{16,}+")
+_DOTTED = rf"[\w-]++(?:(?:\.| ?[\[(]dot[\])] ?| dot )[\w-]++){{1,{MOST_TOKENS}}}"
+_ATS = (re.compile(rf"@(?=({_DOTTED}))"), re.compile(rf" at(?= ({_DOTTED}))"), re.compile(rf"[\[(]at(?=[\])] ?({_DOTTED}))"))
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile("[A-Za-z]")
 #: Outlines: what a segment of each kind looks like at least.
 _OUTLINE = {
-    "email": re.compile(r"[\w.%+-]+(?:@| ?[\[(]at[\])] ?| at )[\w-]+(?:(?:\.| ?[\[(]dot[\])] ?| dot )[\w-]+)+"),
+    "email": re.compile(r"[\w.%+-]++(?:@| ?[\[(]at[\])] ?| at )[\w-]+(?:(?:\.| ?[\[(]dot[\])] ?| dot )[\w-]+)+"),
     "ip": re.compile(r"\d{1,3}(?:(?:\.|\[\.\]|\(\.\)| \. )\d{1,3}){3}"),
     "card": re.compile(r"\d(?:[ .-]{0,2}\d){11,18}"),
     "phone": re.compile(r"(?:\+|00|\()?\d[\d ().-]{5,18}\d"),
@@ -147,9 +153,9 @@ def _nearest_cue(text: str, start: int) -> str:
     return ""
 
 
-def lattice(text: str) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
-    """Token edges, and the candidate segments (first token, token after the last, kind, features)."""
-    edges = [0, *(m.end() for m in _TOKEN.finditer(text))]
+def lattice(text: str, start: int = 0, end: int | None = None) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
+    """Token edges from start to end, and the candidate segments (first token, token after the last, kind, features)."""
+    edges = [start, *(m.end() for m in _TOKEN.finditer(text, start, len(text) if end is None else end))]
     n = len(edges) - 1
     found = []
     for i in range(n):
@@ -161,11 +167,10 @@ def lattice(text: str) -> tuple[list[int], list[tuple[int, int, str, list[str]]]
             last = text[edges[j] - 1]
             if last.isspace() or not (last.isalnum() or last in "_="):
                 continue
-            s = text[edges[i] : edges[j]]
-            if len(s) > 160:
+            if edges[j] - edges[i] > 160:
                 break
             for kind, outline in _OUTLINE.items():
-                if outline.fullmatch(s):
+                if outline.fullmatch(text, edges[i], edges[j]):
                     if cue is None:
                         cue = _nearest_cue(text, edges[i])
                     found.append((i, j, kind, span_features(kind, text, edges[i], edges[j], cue)))
@@ -192,9 +197,9 @@ def _sums(n: int, found: list, scores: list[float]) -> tuple[list[float], list[f
     return ahead, back
 
 
-def decode(text: str, weights: dict[str, float]) -> list[Span]:
+def decode(text: str, weights: dict[str, float], start: int = 0, end: int | None = None) -> list[Span]:
     """The best segmentation of a region."""
-    edges, found = lattice(text)
+    edges, found = lattice(text, start, end)
     if not found:
         return []
     n = len(edges) - 1
@@ -316,18 +321,41 @@ def model(sentences: int = 500, rounds: int = 6, seed: int = 7) -> dict[str, flo
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Where a segment can have an outline: the surroundings of anchors, cut at white space, merged."""
+    """Where a segment can have an outline: the longest runs of each kind's signs, in whole tokens, merged.
+
+    Digits with what may stand between them hold cards, phones and plain addresses; four numbers with dots of any
+    spelling the other addresses; runs of 16 signs with a digit and a letter the secrets; and a spelled '@' before a
+    dotted name, with the signs to its left, the mail addresses.
+    """
+    found, n = [], len(text)
+    for m in _NUMBER.finditer(text):
+        a, b = m.start(), m.end()
+        while not text[b - 1].isdecimal():
+            b -= 1
+        if b - a >= 7:
+            found.append((a - (text[a - 1 : a] in ("+", "(")), b))
+    if "[.]" in text or "(.)" in text or " . " in text:
+        found += [m.span() for m in _PARTED.finditer(text)]
+    found += [m.span() for m in _LONG_RUN.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
+    for at in _ATS:
+        for m in at.finditer(text):
+            a = m.start()
+            if m[0][0] in "[(" and text[a - 1 : a] == " ":
+                a -= 1
+            while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_.%+-"):
+                a -= 1
+            found.append((a, m.end(1)))
+    found.sort()
     out: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        if out and m.end() <= out[-1][1] - _REACH:
+    for a, b in found:
+        if out and b <= out[-1][1]:
             continue
-        a, b = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 4 * _REACH:
+        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
             a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 4 * _REACH:
+        while b < n and text[b - 1].isalnum() and text[b].isalnum():
             b += 1
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1] = [min(a, out[-1][0]), max(out[-1][1], b)]
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -339,8 +367,7 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[Sp
     out = list(base)
     taken = sorted((a, b) for a, b, _ in base)
     for a, b in regions(text):
-        for s, e, kind in decode(text[a:b], weights):
-            s, e = s + a, e + a
+        for s, e, kind in decode(text, weights, a, b):
             if not any(x < e and s < y for x, y in taken if x < e):
                 out.append((s, e, kind))
     out.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
