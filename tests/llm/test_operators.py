@@ -224,6 +224,15 @@ def test_recall_of_spans_apart_from_numbers():
     assert (5, 20, "ip") in pii.all_spans("host 10[.]0[.]0[.]12 is down", weights)[1]
 
 
+def test_spans_of_any_length():
+    weights, r = pii.model(), random.Random(4)
+    for n in (156, 157, 200, 5000):
+        key = "".join(r.choice("0123456789abcdef") + r.choice("abcdef") for _ in range(n // 2)) + "a" * (n % 2)  # no card numbers in it
+        text = f"config api_key={key} end"
+        assert pii.all_spans(text, weights)[1] == [(15, 15 + n, "secret")]
+        assert pii.redacted(text, pii.all_spans(text, weights)[1]) == "config api_key=[SECRET] end"
+
+
 def test_pii_columns_and_redaction(spark):
     texts = [*ODD, "mail a.b@c.de, host 10.0.0.1, +1 (363) 555-6578 and 4111 1111 1111 1111", "password=8985f69a751217166f end"]
     got = {r.doc_id: r for r in pii.digests(docs(spark, texts, extra=("pii", "spans"))).collect()}

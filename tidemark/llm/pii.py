@@ -167,8 +167,6 @@ def lattice(text: str, start: int = 0, end: int | None = None) -> tuple[list[int
             last = text[edges[j] - 1]
             if last.isspace() or not (last.isalnum() or last in "_="):
                 continue
-            if edges[j] - edges[i] > 160:
-                break
             for kind, outline in _OUTLINE.items():
                 if outline.fullmatch(text, edges[i], edges[j]):
                     if cue is None:
