@@ -52,3 +52,25 @@ def test_runs(spark, name):
     if name == "forest_cv":
         pytest.skip("run by the driver: 400 trees a fold")
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_significance_reaches_all_lags(spark):
+    import numpy as np
+
+    from tidemark.plans import correlations
+    from tidemark.schema import MAX_LAG
+
+    got = {(r.base, r.lag): (r.r, r.n) for r in QUERIES["era_corr_significance"](spark, SF).where("era = 'Full'").collect()}
+    y = {r.date: r.y for r in correlations.targets(spark, SF).where("target = 'mro_diff'").collect()}
+    series = {}
+    for r in correlations.long_features(spark, SF).orderBy("date").collect():
+        series.setdefault(r.feature, []).append((r.date, r.value))
+    want = {}
+    for feature, x in series.items():
+        for k in range(MAX_LAG + 1):
+            both = [(b[1], y[a[0]]) for a, b in zip(x[k:], x, strict=False) if b[1] is not None and y.get(a[0]) and "1995" <= str(a[0]) < "2002"]
+            if len(both) >= correlations.LEAST:
+                want[feature, k] = (np.corrcoef(np.array(both).T)[0, 1], len(both))
+    assert {k for _, k in got} == set(range(16))
+    assert {k: v[1] for k, v in got.items() if not k[0].startswith("d_")} == {k: v[1] for k, v in want.items()}
+    assert all(got[k][0] == pytest.approx(v[0], abs=1e-4) for k, v in want.items())

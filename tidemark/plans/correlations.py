@@ -8,11 +8,13 @@ from ..functions.expressions import pairs, pearson
 from ..operators import statistics as stat
 from ..operators import windows as win
 from ..operators.features import unpivot
+from ..schema import MAX_LAG
 from ..sources.adapters import chunk_scores, market, with_views
 from .base import query, r, rounded, sql_corr
 
 #: Eras on the driver tables' years: (era, start, end, target, changed only).
 ERAS = (("Full", "1995-01-01", "2001-12-31", "mro_diff", True), ("Pre-ZLB", "1995-01-01", "1997-06-30", "mro_diff", True), ("ZLB", "1997-07-01", "1999-06-30", "shadow_diff", False), ("Hiking", "1999-07-01", "2001-12-31", "mro_diff", True))
+#: Lags of the queries that are held against SQL; the others go to MAX_LAG.
 LAGS = 5
 LEAST = 8
 
@@ -46,8 +48,8 @@ def era_rows(spark):
     return e.select("era", F.to_date("start").alias("start"), F.to_date("end").alias("end"), "target", "changed_only")
 
 
-def corr_table(spark, sf):
-    t = stat.correlation_table(stat.long_lags(long_features(spark, sf), LAGS, True), targets(spark, sf), era_rows(spark), LEAST)
+def corr_table(spark, sf, lags=LAGS):
+    t = stat.correlation_table(stat.long_lags(long_features(spark, sf), lags, True), targets(spark, sf), era_rows(spark), LEAST)
     return t.withColumn("r", F.col("r") + F.lit(0.0))
 
 
@@ -149,11 +151,11 @@ def divergence_tests(spark, sf):
 
 @query("era_corr_significance")
 def era_corr_significance(spark, sf):
-    """The correlation table with p-values and stars."""
+    """The correlation table at lags up to MAX_LAG with p-values and stars."""
     from ..functions.distributions import correlation_p
     from ..functions.expressions import stars
 
-    t = corr_table(spark, sf).withColumn("p", F.round(correlation_p(F.col("r"), F.col("n")), 4))
+    t = corr_table(spark, sf, MAX_LAG).withColumn("p", F.round(correlation_p(F.col("r"), F.col("n")), 4))
     return t.withColumn("sig", stars("p", ""))
 
 
