@@ -103,6 +103,25 @@ def test_huge_components_stay_exact():
         assert sorted((-int(s), int(j)) for k, j, s in zip(at, got, score) if k == i) == want
 
 
+def test_components_beyond_doubles(spark, tmp_path):
+    r = random.Random(6)
+    values = [[1e12, 1.0], [1.0, 0.0], [0.5, 3e38], [-1e12, 2.0], [2e12, -1e5], [3e6, 7.25], [-3e38, -3e38]] + [[r.choice([-1, 1]) * 10.0 ** r.randint(0, 14), r.uniform(-9, 9)] for _ in range(300)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(values)]
+    spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(x) for x in topk.query(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()}
+    whole = [(i, [int(x * 256 // 1) for x in v]) for i, v in rows]
+    want = set()
+    for q, v in whole:
+        if q % 50 == 0:
+            best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in whole if i != q)[:5]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert got == want
+    one = topk.search(np.array([[256e12]]), np.array([0]), np.full(1, np.iinfo(np.int64).min), np.array([[256.0], [300.0]]), np.array([1, 2]), 2, False)
+    assert one[2].tolist() == [300 * 256 * 10**12, 256 * 256 * 10**12]
+    least = topk.search(np.array([[1e30]]), np.array([0]), np.full(1, np.iinfo(np.int64).min), np.array([[-1e30], [-2e30]]), np.array([1, 2]), 2, False)
+    assert least[1].tolist() == [1, 2] and set(least[2].tolist()) == {-(1 << 63)}
+
+
 def test_pruning_skips_blocks():
     v = np.concatenate([np.full((128, 2), 100.0), np.full((1280, 2), 1.0)])
     *_, scored = topk.search(np.ones((1, 2)), np.array([-1]), np.array([np.iinfo(np.int64).min]), v, np.arange(len(v)), 5, True)

@@ -13,7 +13,8 @@ gives every query a floor under its k-th score, with which the other shards prun
 Defined cases: null vectors, vectors with null or non-finite components and rows with a null id take no part; empty
 vectors have all products 0; vectors of unequal length are compared with zeros added; rows that repeat id and vector
 count once; rows that share an id but not the vector all count, each as a query of its own; fewer than k others give all
-of them; an empty table gives no rows. Components are cut to +-2^31 and scores to 64 bits.
+of them; an empty table gives no rows. Components are whole at any size (a double whose 256-fold is beyond doubles takes
+the largest double; floats never are) and products are summed in whole numbers; scores are cut to 64 bits, their type.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SHARD_ROWS = 8192
 GROUP_QUERIES = 1024
 #: So many neighbouring ids are dealt to one shard.
 RUN = 512
-_LIMIT = 1 << 31
+_MOST = float(np.finfo(float).max)
 
 
 def bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -39,10 +40,13 @@ def bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarr
     return np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
 
 
+_whole = np.frompyfunc(int, 1, 1)
+
+
 def _score(q: np.ndarray, v: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
         return (q @ v.T).astype(np.int64)
-    whole = q.astype(np.int64).astype(object) @ v.astype(np.int64).astype(object).T
+    whole = _whole(q) @ _whole(v).T
     return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
@@ -51,9 +55,11 @@ def search(q: np.ndarray, q_ids: np.ndarray, q_floor: np.ndarray, v: np.ndarray,
     of (query, block) pairs that were scored. v is sorted by id. ``exact``: doubles hold all sums exactly."""
     starts = np.arange(0, len(v), block)
     most, least = np.maximum.reduceat(v, starts, axis=0), np.minimum.reduceat(v, starts, axis=0)
-    bound = bounds(q, most, least)
-    if not exact:  # sums of doubles are rounded: the bound gets a margin in proportion to the terms
-        bound = bound + 1e-9 * (np.abs(q) @ np.maximum(np.abs(most), np.abs(least)).T)
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = bounds(q, most, least)
+        if not exact:  # sums of doubles are rounded: the bound gets a margin in proportion to the terms, and the cut of scores
+            bound = bound + 1e-9 * (np.abs(q) @ np.maximum(np.abs(most), np.abs(least)).T)
+            bound = np.clip(np.where(np.isnan(bound), np.inf, bound), -(2.0**63), 2.0**63)
     order = np.argsort(-bound, axis=1, kind="stable")
     n = len(q)
     best = np.full((n, k), np.iinfo(np.int64).min, np.int64)
@@ -148,8 +154,13 @@ def _kth(found: DataFrame, k: int) -> DataFrame:
 
 
 def quantise(embedding):
-    """floor(256 * x), x as double, cut to +-2^31."""
-    return F.transform(embedding, lambda x: F.greatest(F.lit(-float(_LIMIT)), F.least(F.lit(float(_LIMIT)), F.floor(x.cast("double") * 256).cast("double"))))
+    """floor(256 * x), x as double; doubles from 2^53 on are whole."""
+
+    def one(x):
+        y = F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), x.cast("double") * 256))
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(embedding, one)
 
 
 def top_k(vectors: DataFrame, queries_where, k: int = 5, shard_rows: int = SHARD_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
