@@ -222,3 +222,14 @@ def test_chunks_of_a_transcript(spark):
     got = chunking.question_chunks(s, 200).orderBy("chunk_id").collect()
     assert [r.is_question for r in got] == [True, False]
     assert {r.chunk_limit for r in chunking.question_chunks(s).collect()} == {1, 50, 200, 350}
+
+
+def test_lags_of_changed_meetings_go_both_ways(spark):
+    r = random.Random(12)
+    data = [(k, r.random(), r.choice([0.0, 0.0, -0.25, 0.25, 0.5])) for k in range(60)]
+    got = {x.lag: (x.r, x.n) for x in statistics.changed_lag_correlation(spark.createDataFrame(data, "date int, x double, y double"), "x", "y", 8, max_lead=8).collect()}
+    kept = [(x, y) for _, x, y in data if y != 0]
+    assert sorted(got) == list(range(-8, 9))
+    for lag, (c, n) in got.items():
+        both = [(kept[i - lag][0], kept[i][1]) for i in range(len(kept)) if 0 <= i - lag < len(kept)]
+        assert n == len(both) and c == pytest.approx(np.corrcoef(np.array(both).T)[0, 1])

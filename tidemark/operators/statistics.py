@@ -156,10 +156,11 @@ def word_polarity(rows: DataFrame, by: str, threshold: float, band: float, text:
     return one.join(whole, "word").select(by, "word", "polarity", shift.alias("shift"), F.when(shift > band, "hawkish").when(shift < -band, "dovish").otherwise("neutral").alias("side"))
 
 
-def changed_lag_correlation(df: DataFrame, x: str, y: str, max_lag: int, least: int = 8, order: str = "date") -> DataFrame:
-    """lag, r, n of x some rows back against y, over the rows where y changed (a missing y counts as a change)."""
+def changed_lag_correlation(df: DataFrame, x: str, y: str, max_lag: int, least: int = 8, order: str = "date", max_lead: int = 0) -> DataFrame:
+    """lag, r, n of x some rows back (ahead, if the lag is negative) against y, over the rows where y changed (a missing y
+    counts as a change)."""
     w = Window.orderBy(order)  # a row a meeting
-    rows = df.where(changed(y)).select(F.col(y).alias("_y"), F.array(*[F.struct(F.lit(k).alias("lag"), F.lag(x, k).over(w).alias("_x")) for k in range(max_lag + 1)]).alias("s"))
+    rows = df.where(changed(y)).select(F.col(y).alias("_y"), F.array(*[F.struct(F.lit(k).alias("lag"), F.lag(x, k).over(w).alias("_x")) for k in range(-max_lead, max_lag + 1)]).alias("s"))
     g = rows.select("_y", F.inline("s")).where("_x IS NOT NULL AND _y IS NOT NULL").groupBy("lag").agg(pearson("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
     return g.where(F.col("n") >= least)
 
