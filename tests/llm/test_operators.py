@@ -501,6 +501,17 @@ def test_target_recall():
     assert near.miss_probability(0.8) < 2e-6
 
 
+def test_stated_misses():
+    assert near.shared_miss(0.8) == pytest.approx(2.2e-5, rel=0.02) and near.shared_miss(0.8, (*near.PICKS, 2, 2, 2)) == pytest.approx(9e-5, rel=0.02)
+    assert near.shared_miss(0.85) == pytest.approx(1.4e-6, rel=0.02) and near.sketch_miss(0.8) == pytest.approx(4.2e-6, rel=0.02)
+    r, n, s = np.random.default_rng(1), 4000, 0.4
+    a = r.integers(0, 1 << 32, (n, near.MINS), dtype=np.uint32)
+    b = np.where(r.random(a.shape) < s, a, a + 1)
+    x, y = near.leaves(a, near.PICKS, near.TREES), near.leaves(b.astype(np.uint32), near.PICKS, near.TREES)
+    missed = 1 - (x == y).any(axis=1).mean()
+    assert abs(missed - near.shared_miss(s)) < 0.03
+
+
 def test_minwise_values_estimate_similarity():
     a = [f"w{i}" for i in range(400)]
     b = a[:360] + [f"x{i}" for i in range(40)]

@@ -4,8 +4,8 @@ Each set has 64 minwise values. A tree starts with all sets in one node; at a no
 node send each set to the child of its value there, so a set follows several paths, and sets of similarity s share a
 child with probability s for each pick. Where a path leads depends on the set alone, so all paths of all trees down to
 the first depth come from one pass over the texts. Nodes of up to NODE_MOST sets are compared exhaustively by sketches;
-larger ones branch on. Independent trees are repeated so that a pair at the threshold is missed with a probability of
-about 1e-6 (see ``miss_probability``).
+larger ones branch on. Trees are repeated; since all pick from the same 64 values, a pair at the threshold is missed with
+a probability of 2.2e-5, and of 9e-5 below nodes that branch on for REFINE levels (see ``shared_miss``).
 
 Pairs alike by sketch only tie sets into clusters (a spanning forest, never all pairs); links come from the full sets.
 A cluster is cut into blocks of up to BLOCK sets; each block is compared in itself and with a few pivots of its
@@ -21,6 +21,7 @@ no rows; other columns pass through ``dedup``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,19 +43,30 @@ REFINE = 3
 DENSE = 0.6
 BLOCK = 256
 PIVOTS = 4
-#: Of MINS values, how many agree at least where sets may be linked: a linked pair has fewer with probability 1e-6.
+#: Of MINS values, how many agree at least where sets may be linked: a linked pair has fewer with probability 4.2e-6.
 AGREE = 36
 _PIECE = 1 << 20
 
 
 def miss_probability(s: float, picks: tuple[int, ...] = PICKS, trees: int = TREES) -> float:
-    """Of a pair of similarity s sharing no node at the first depth."""
+    """Of a pair of similarity s sharing no node at the first depth, if each tree had minwise values of its own."""
     q = 0.0
     for b in reversed(picks):
         q = (1 - s * (1 - q)) ** b
     return q**trees
 
 
+def shared_miss(s: float, picks: tuple[int, ...] = PICKS, trees: int = TREES) -> float:
+    """The same where all trees pick from the same MINS values, of which a share agrees that is s on average only. Levels
+    of refinement count as further picks of 2."""
+    return sum(math.comb(MINS, k) * s**k * (1 - s) ** (MINS - k) * miss_probability(k / MINS, picks, trees) for k in range(MINS + 1))
+
+
+def sketch_miss(s: float) -> float:
+    """Of a pair of similarity s agreeing in fewer than AGREE of MINS values."""
+    return sum(math.comb(MINS, k) * s**k * (1 - s) ** (MINS - k) for k in range(AGREE))
+
+
 def leaves(mins: np.ndarray, picks: tuple[int, ...], trees: int) -> np.ndarray:
     """(sets, paths): names of the nodes at the first depth."""
     n = len(mins)
