@@ -597,31 +597,62 @@ def repeat_texts():
     return texts + texts[20:24] + [t[: len(t) // 2] for t in texts[30:36]]
 
 
-@pytest.mark.parametrize("most", [repeats.SHARD_PIECES, 3])
-def test_repeats(spark, most):
-    """Once with anchors spread over shards, whose runs are then merged."""
+@pytest.mark.parametrize("most,lot,reported", [(repeats.SHARD_PIECES, repeats.LOT, repeats.REPORTED), (3, 1500, 99), (3, 700, 2), (repeats.SHARD_PIECES, 400, repeats.REPORTED)])
+def test_repeats(spark, most, lot, reported):
+    """In one shard of texts and in many, with anchors spread over shards of pieces, known ahead and not, merged then."""
     rows = list(enumerate(repeat_texts()))
     df = docs(spark, [t for _, t in rows], [d for d, _ in rows], ("part", "kind", "blob")).repartition(5)
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.dedup(df, most=most).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.dedup(df, most=most, lot=lot, reported=reported).collect()}
     assert got == brute_repeats(rows)
     whole = {r.doc_id: r for r in repeats.dedup(df, whole=True).collect()}
     for d, (n, gone, spans, digest) in got.items():
         assert hashlib.sha256(whole[d].kept).hexdigest() == digest and len(whole[d].spans) == spans and n - gone == len(whole[d].kept)
 
 
-def test_long_texts_in_chunks():
+def test_shards_of_a_long_text():
     r = random.Random(11)
-    text = np.frombuffer("".join(r.choices("abcd", k=5000)).encode(), np.uint8)
-    h, p, *_ = repeats.pieces(text, np.array([0, len(text)]))
-    n = sum(int(c) for c in repeats.pieces(text, np.array([0, len(text)]))[4])
-    assert n == len(text) - 99 and len(h) == len(p)
-    old = repeats._CHUNK
-    try:
-        repeats._CHUNK = 1024
-        parts = list(repeats._chunks(text, np.array([0, len(text)])))
-        assert sum(len(x) - 99 for _, _, x, _ in parts) == len(text) - 99
-    finally:
-        repeats._CHUNK = old
+    raw = np.frombuffer("".join(r.choices("abcd", k=5000)).encode(), np.uint8)
+    offsets = np.array([0, 0, 50, 90, 4000, 4000, 5000])
+    begun = {}
+    for at, own, first, place in repeats._shards(raw, offsets, 300):
+        live, _, order = repeats.equal_windows(own, place, np.arange(len(place) - 1) << 32)
+        assert sorted(order) == list(range(len(own)))
+        for p in np.flatnonzero(live):
+            text = first + int(np.searchsorted(place, p, "right")) - 1
+            begun[at + int(p)] = begun.get(at + int(p), 0) + 1
+            assert offsets[text] <= at + p and at + p + 100 <= offsets[text + 1]
+    assert begun == {p: 1 for a, b in zip(offsets, offsets[1:]) for p in range(a, b - 99)}
+
+
+def test_anchors_cover_all_windows():
+    r = random.Random(3)
+    raw = np.frombuffer("".join(r.choices("abcd", k=3000)).encode(), np.uint8)
+    use = np.zeros(3000, bool)
+    for _ in range(30):
+        a = r.randrange(2800)
+        use[a : a + r.randint(1, 99)] = True
+    h, first, count = repeats.anchors(raw, use)
+    covered = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count)])
+    assert sorted(covered) == list(np.flatnonzero(use))
+    for k, a, n in zip(h, first, count):  # each window of a piece, alone, has the piece's anchor
+        for p in range(a, a + n):
+            assert repeats.anchors(raw[p : p + 100], np.ones(100, bool))[0].tolist() == [k]
+
+
+def test_runs_are_merged():
+    r = random.Random(5)
+    for _ in range(50):
+        rows = [(bytes(r.choices(b"\x00\x80b", k=1)) * 98 + bytes(r.choices(b"\x00\x01", k=2)), r.randrange(40)) for _ in range(r.randint(0, 60))]
+        runs, n = [], r.randint(1, 7)
+        for i in range(n):
+            own = sorted(rows[i::n])
+            body = np.frombuffer(b"".join(w for w, _ in own), np.uint8)
+            runs.append((repeats._strings(body), np.array([k for _, k in own], np.int64)))
+        least = {}
+        for w, k in rows:
+            least[w] = min(k, least.get(w, k))
+        want = sorted({(k) for w, k in rows if k != least[w]})
+        assert sorted(set(repeats.merge_runs(runs).tolist())) == want
 
 
 def test_repeats_odd_rows(spark):
@@ -629,17 +660,24 @@ def test_repeats_odd_rows(spark):
     t = "".join(random.Random(1).choices("abcdef", k=300))
     got = repeats.dedup(docs(spark, [t, t, t, None], [None, 5, 5, 6])).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (5, 300), (5, 300), (6, 0)]
+    u = t[::-1]
+    least = -(1 << 63)
+    got = repeats.dedup(docs(spark, [t, t + u, u, t, None], [None, least, 7, 7, least])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(False, least, 0, 0), (False, least, 600, 300), (False, 7, 300, 300), (False, 7, 300, 300), (True, 0, 300, 0)]
 
 
-def test_suffix_arrays():
+def test_suffix_arrays(monkeypatch):
     r = random.Random(12)
     for t in range(60):
         s = bytes(r.choices(b"ab" if t % 2 else b"abcdefgh", k=r.randint(0, 300)))
+        if t % 5 == 0:
+            s = s * 3 if t % 2 else bytes(r.randint(0, 300))
         a = np.frombuffer(s, np.uint8)
-        o = suffixes.suffix_array(a, 100)
+        o, shared = suffixes.suffix_array(a, 100)
         assert [s[i : i + 100] for i in o] == sorted(s[i : i + 100] for i in range(len(s)))
-        c = suffixes.common_prefixes(a, o, 100)
+        monkeypatch.setattr(suffixes, "_STRIPS", r.choice([3, 8192]))
+        c, some = suffixes.common_prefixes(a, o, 100, shared), suffixes.common_prefixes(a, o, 100, shared, 50)
         for j in range(1, len(s)):
             x, y = s[o[j - 1] :], s[o[j] :]
             same = next((k for k in range(min(len(x), len(y), 100)) if x[k] != y[k]), min(len(x), len(y), 100))
-            assert c[j] == same
+            assert c[j] == same and (some[j] == 100) == (same == 100)

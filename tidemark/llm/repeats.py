@@ -1,19 +1,21 @@
 """Suffix-array dedup: exact removal of every repeated 100-byte string of a corpus.
 
-Which strings can be equal is found by content, so that work stays in proportion to the input. Each 100-byte window has
-an anchor, the GRAM bytes in it of least hash (the leftmost of equals). Neighbouring windows of one anchor are a piece;
-equal windows lie at equal places of pieces whose anchors are equal.
-
-1. Texts give their pieces: hash of the anchor, hash of the whole piece, place. Of equal pieces only the first is kept,
-   within a lot and then within a bucket of anchor hashes; the later ones are repeats as wholes.
-2. Pieces that share the anchor but differ are contested. Their bytes are fetched and dealt to shards by anchor.
-3. A shard builds its suffix array (Larsson-Sadakane refinement) and the common prefixes of neighbours; runs of 100
-   common bytes are classes of equal windows, of which all but the first are repeats.
-4. An anchor with more than SHARD_PIECES contested pieces is spread over several shards; their sorted runs of window
-   hashes are then cut by binary search into ranges and merged.
+1. Texts come in shards of LOT bytes. Each shard gets its suffix array (Larsson-Sadakane refinement) over all its bytes
+   and the common prefixes of neighbours in it (Kasai). Runs of 100 common bytes are classes of equal windows, of which
+   all but the first, by id and place, are repeats. The firsts go on.
+2. Shards are merged where they can have windows in common. Each window has an anchor, the GRAM bytes in it of least
+   hash (the leftmost of equals), so equal windows have equal anchors. Neighbouring firsts of one anchor are a piece; a
+   shard tells the hashes of its pieces' anchors, and anchors that several shards have are contested.
+3. The bytes of contested pieces are fetched and gathered by anchor; suffix arrays and common prefixes of these shards of
+   pieces find the windows that are equal across shards of texts.
+4. An anchor with more than SHARD_PIECES contested pieces is spread over many shards of pieces. Its firsts leave each of
+   them as a run of windows in suffix order, dealt out by a hash of the window; the runs that meet are merged by binary
+   search of one in the other. Anchors that many shards have often are known before pieces are gathered (``_hot``), so no
+   task ever holds the pieces of one.
 5. Repeats of a document are painted on its bytes.
 
-Rows travel as compressed blobs of columns, a blob for each lot and bucket. Texts are sent twice, compressed.
+Whether windows are equal is always told by their bytes; hashes only say what meets where. Rows travel as compressed blobs
+of columns, a blob for each shard and bucket. Texts are sent twice, compressed.
 
 Defined cases: a null text is empty; texts under 100 bytes have no windows; null ids come before all others; rows that
 repeat id and text count as one document (each gets its result); rows that share an id only are ordered by a hash of
@@ -35,9 +37,11 @@ from .suffixes import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 32
-#: Bytes of text that a task holds as one lot, and that a shard of documents or pieces is to have.
-LOT, SHARD = 8 << 20, 16 << 20
+#: Bytes of text in one suffix array (a longer text is cut into overlapping shards), of texts in a blob, and that a bucket of documents or pieces is to have.
+LOT, BLOB, SHARD = 4 << 20, 8 << 20, 16 << 20
 SHARD_PIECES = 50_000
+#: A shard reports anchors of so many pieces; at most so many anchors (of 12 bytes) are spread ahead, those of most pieces.
+REPORTED, MOST_HOT = 8, 100_000
 _RUN = 64  # neighbouring ids that go to one shard of documents
 _CHUNK = 1 << 19
 _MULT = 0x9E3779B97F4A7C15
@@ -118,7 +122,7 @@ def doc_shard(ids: np.ndarray, n: int) -> np.ndarray:
 
 _ROW = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 _ROW_DDL = "part long, kind int, blob binary"
-PIECES, REPEATS, WANTED, TEXTS, FETCHED, RUNS = range(6)
+PIECES, REPEATS, WANTED, TEXTS, FETCHED, RUNS, COUNTS = range(7)
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -153,17 +157,17 @@ def _named(ids, marks, doc, *columns) -> bytes:
     return pack(ids[used], marks[used], numbers.astype(np.uint32), *columns)
 
 
-# --- 1: texts to pieces ----------------------------------------------------------------------------------------------
+# --- 1: shards of texts ----------------------------------------------------------------------------------------------
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray):
-    """Of texts in one buffer: anchor hash, piece hash, text number, first window and number of windows, anchor's
-    distance from the first window being part of the piece's hash. The buffer has at most _CHUNK bytes."""
+def anchors(raw: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of a buffer of up to _CHUNK bytes: hash of the anchor, first window and number of windows. ``use``: which
+    positions begin a window that counts."""
     up, down = _Tables.get()
     n = len(raw)
     width = LENGTH - GRAM + 1
     if n < LENGTH:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
@@ -178,37 +182,73 @@ def pieces(raw: np.ndarray, offsets: np.ndarray):
             size = len(v) - width + 1
             m = np.minimum(m[:size], m[width - step :][:size])
         anchor = (m & low).astype(np.int64)
-        ok = np.zeros(len(anchor), bool)
-        edges = np.zeros(len(anchor) + 1, np.int64)
-        starts, ends = offsets[:-1], offsets[1:] - LENGTH + 1
-        full = ends > starts
-        np.add.at(edges, starts[full], 1)
-        np.add.at(edges, ends[full], -1)
-        ok = np.cumsum(edges[:-1]) > 0
+        ok = use[: len(anchor)]
         new = np.ones(len(anchor), bool)
-        new[1:] = anchor[1:] != anchor[:-1]
-        new[starts[full]] = True
-        stops = np.flatnonzero(new | ~ok)
-        first = stops[ok[stops]]
-        nxt = np.concatenate([stops[1:], [len(anchor)]])[ok[stops]]
-        count = nxt - first
-        text = np.searchsorted(offsets, first, "right") - 1
-        whole = (sums[first + count + LENGTH - 1] - sums[first]) * down[first]
-        a = anchor[first]
-        return h[a], mix64(whole + mix64((a - first).astype(np.uint64) * np.uint64(256) + count.astype(np.uint64))), text, first - offsets[text], count
-
-
-def _mark(texts: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        new[1:] = (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1])
+        stops = np.flatnonzero(new)
+        own = ok[stops]
+        first = stops[own]
+        count = np.concatenate([stops[1:], [len(anchor)]])[own] - first
+        return h[anchor[first]], first, count
+
+
+def equal_windows(raw: np.ndarray, offsets: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in one buffer: which positions begin a window, which of these repeat one of smaller key, and the suffix
+    order. key: of each text its first window's; windows count on from there. Windows of equal key are one."""
+    sizes = np.diff(offsets)
+    live = np.zeros(len(raw), bool)
+    edge = np.zeros(len(raw) + 1, np.int32)
+    full = sizes >= LENGTH
+    np.add.at(edge, offsets[:-1][full], 1)
+    np.add.at(edge, offsets[1:][full] - LENGTH + 1, -1)
+    np.greater(np.cumsum(edge[:-1]), 0, out=live)
+    late = np.zeros(len(raw), bool)
+    order, shared = suffix_array(raw, LENGTH)
+    common = common_prefixes(raw, order, LENGTH, shared, LENGTH // 2)
+    same = common >= LENGTH
+    many = same.copy()
+    many[:-1] |= same[1:]
+    rows = np.flatnonzero(many)
+    rows = rows[live[order[rows]]]
+    if len(rows):
+        at = order[rows]
+        text = np.searchsorted(offsets, at, "right") - 1
+        keys = key[text] + (at - offsets[text])
+        run = np.cumsum(~same)[rows]
+        new = np.ones(len(rows), bool)
+        new[1:] = run[1:] != run[:-1]
+        least = np.minimum.reduceat(keys, np.flatnonzero(new))
+        late[at] = keys != least[np.cumsum(new) - 1]
+    return live, late, order
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First positions and lengths of the runs of a mask of windows. Between those of two texts there are other positions."""
+    edge = np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))
+    first = np.flatnonzero(edge == 1)
+    return first, np.flatnonzero(edge == -1) - first
+
+
+def _mark(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64-bit hash of each text."""
     whole = raw.tobytes()
     return np.array([int.from_bytes(hashlib.blake2b(whole[a:b], digest_size=8).digest(), "little") for a, b in zip(offsets[:-1], offsets[1:])], np.uint64)
 
 
+_LEAST, _SIGN = -(1 << 63), np.uint64(1 << 63)
+
+
 def _ids(column) -> np.ndarray:
-    return np.asarray(column.fill_null(-(1 << 63)))
+    return np.asarray(column.fill_null(_LEAST))
+
 
+def _null_marks(column, marks: np.ndarray) -> np.ndarray:
+    """Null ids stand as the least number; marks tell the two apart, and put null first."""
+    own, null = _ids(column), np.asarray(column.is_null())
+    return np.where(own == _LEAST, np.where(null, marks & ~_SIGN, marks | _SIGN), marks)
 
-def _lots(batches, most: int = LOT):
+
+def _lots(batches, most: int):
     """Neighbouring rows of about ``most`` bytes of text: ids, marks, bytes, offsets."""
     ids, marks, texts, size = [], [], [], 0
 
@@ -219,12 +259,13 @@ def _lots(batches, most: int = LOT):
     for batch in batches:
         raw, offsets = bytes_of(batch.column("text"))
         own = _ids(batch.column("doc_id"))
+        column = batch.column("doc_id")
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most - size, "right")) - 1)
             part, place = raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             ids.append(own[at:end])
-            marks.append(_mark(None, part, place))
+            marks.append(_null_marks(column.slice(at, end - at), _mark(part, place)))
             texts.append((part, place))
             size += len(part)
             at = end
@@ -235,64 +276,54 @@ def _lots(batches, most: int = LOT):
         yield lot()
 
 
-def _chunks(raw: np.ndarray, offsets: np.ndarray):
-    """The texts in buffers of up to _CHUNK bytes; a longer text comes in several, which overlap by a window less 1."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        if offsets[i + 1] - offsets[i] > _CHUNK:
-            for at in range(int(offsets[i]), int(offsets[i + 1]) - LENGTH + 1, _CHUNK - LENGTH + 1):
-                end = min(at + _CHUNK, int(offsets[i + 1]))
-                yield i, at - int(offsets[i]), raw[at:end], np.array([0, end - at])
-            i += 1
-            continue
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1)
-        yield i, 0, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        i = j
+def _shards(raw: np.ndarray, offsets: np.ndarray, lot: int):
+    """Buffers of up to twice ``lot`` bytes, which overlap by a window less 1 where texts are longer: position of the first
+    byte, the bytes, first text, offsets."""
+    if len(raw) <= 2 * lot:
+        yield 0, raw, 0, offsets
+        return
+    for at in range(0, len(raw), lot):
+        end = min(at + lot + LENGTH - 1, len(raw))
+        i, j = int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, end, "left"))
+        yield at, raw[at:end], i, np.clip(offsets[i : j + 1] - at, 0, end - at)
 
 
-def _first_of_each(h, piece, doc, start):
-    """Rows in order of (h, piece, doc, start), and whether each is the first of its (h, piece)."""
-    by = np.lexsort((start, doc, piece, h))
-    a, b = h[by], piece[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return by, new
+_KEY = 32  # a key is a document's number and, in so many bits, a place in it
 
 
-def _to_pieces(buckets: int, shards: int):
+def _to_pieces(buckets: int, shards: int, lot: int, reported: int):
     def run(batches):
-        for ids, marks, raw, offsets in _lots(batches):
-            parts = []
-            for first, shift, own, place in _chunks(raw, offsets):
-                h, p, text, start, count = pieces(own, place)
-                parts.append((h, p, text + first, start + shift, count))
-            h, p, text, start, count = (np.concatenate([x[k] for x in parts]) for k in range(5))
-            if not len(h):
-                continue
-            one_ids, one_marks, doc = Docs.joined([(ids, marks, text)])
-            by, new = _first_of_each(h, p, doc, start)
-            doc, start, count = doc[by], start[by], count[by]
-            # equal rows in full (a repeated row) aren't repeats of each other
-            twin = np.zeros(len(by), bool)
-            twin[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-            late = ~new & ~twin & ~_twin_of_first(new, doc, start)
-            out = _repeats(one_ids, one_marks, doc[late], start[late], count[late], shards)
-            h, p, doc, start, count = h[by][new], p[by][new], doc[new], start[new], count[new]
-            bucket = (h >> np.uint64(20)) % np.uint64(buckets)
-            for part, rows in _split(bucket.astype(np.int64)):
-                out.append((part, PIECES, _named(one_ids, one_marks, doc[rows], h[rows], p[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint8))))
-            for i in range(0, len(out), 512):
-                yield _rows(out[i : i + 512])
+        for ids, marks, all_raw, all_offsets in _lots(batches, lot):
+            for begin, raw, first_text, offsets in _shards(all_raw, all_offsets, lot):
+                n = len(offsets) - 1
+                one_ids, one_marks, doc = Docs.joined([(ids[first_text : first_text + n], marks[first_text : first_text + n], np.arange(n))])
+                base = np.maximum(begin - all_offsets[first_text : first_text + n], 0)  # where a text goes on
+                live, late, _ = equal_windows(raw, offsets, (doc << _KEY) + base)
+                at, count = _runs(late)
+                text = np.searchsorted(offsets, at, "right") - 1
+                out = _repeats(one_ids, one_marks, doc[text], base[text] + at - offsets[text], count, shards)
+                live &= ~late
+                parts = []
+                for a in range(0, max(len(raw) - LENGTH + 1, 0), _CHUNK - LENGTH + 1):
+                    h, at, count = anchors(raw[a : a + _CHUNK], live[a : a + _CHUNK])
+                    parts.append((h, at + a, count))
+                if parts:
+                    h, at, count = (np.concatenate([x[k] for x in parts]) for k in range(3))
+                    text = np.searchsorted(offsets, at, "right") - 1
+                    start, of = base[text] + at - offsets[text], doc[text]
+                    bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                    for part, rows in _split(bucket):
+                        out.append((part, PIECES, _named(one_ids, one_marks, of[rows], h[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint8))))
+                    names, many = np.unique(h, return_counts=True)
+                    often = many >= reported
+                    if often.any():
+                        out.append((-1, COUNTS, pack(names[often], many[often].astype(np.uint32))))
+                for i in range(0, len(out), 512):
+                    yield _rows(out[i : i + 512])
 
     return run
 
 
-def _twin_of_first(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether a row has the document and the place of its group's first row."""
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return (doc == doc[first]) & (start == start[first]) & ~new
-
-
 # --- groups of blobs -------------------------------------------------------------------------------------------------
 
 
@@ -314,43 +345,85 @@ def _dealt(rows: DataFrame, run, schema: str = _ROW_DDL) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 
 
+def _wanted(ids, marks, doc, h, start, count, spread, shards: int, piece_shards: int) -> list[tuple[int, int, bytes]]:
+    """Rows of kind WANTED: pieces whose bytes are to go to a shard of their anchor, or to one of many by their place."""
+    salt = mix64(ids[doc].view(np.uint64) ^ mix64(start.astype(np.uint64))) % spread.astype(np.uint64)
+    to = (mix64(h + salt) % np.uint64(piece_shards)).astype(np.uint32)
+    group = (h >> np.uint64(32)).astype(np.uint32)
+    return [
+        (part, WANTED, _named(ids, marks, doc[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint8), to[rows], (spread[rows] > 1).astype(np.uint8), group[rows]))
+        for part, rows in _split(doc_shard(ids[doc], shards) if len(doc) else np.zeros(0, np.int64))
+    ]
+
+
 def _resolve(shards: int, piece_shards: int, most: int):
-    """2: firsts of each bucket; what is equal goes to REPEATS, what shares only the anchor to WANTED."""
+    """2: the pieces of each bucket whose anchor several shards have."""
 
     def run(batches):
         for _, blobs in _parts(batches):
             got = [unpack(b) for k, b in blobs if k == PIECES]
-            out = []
-            if got:
-                ids, marks, doc = Docs.joined([(g[0], g[1], g[2]) for g in got])
-                h, p, start, count = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5, 6))
-                start = start.astype(np.int64)
-                by, new = _first_of_each(h, p, doc, start)
-                h, doc, start, count = h[by], doc[by], start[by], count[by].astype(np.int64)
-                late = ~new & ~_twin_of_first(new, doc, start)
-                out += _repeats(ids, marks, doc[late], start[late], count[late], shards)
-                h, doc, start, count = h[new], doc[new], start[new], count[new]
-                edge = np.ones(len(h), bool)
-                edge[1:] = h[1:] != h[:-1]
-                group = np.cumsum(edge) - 1
-                many = np.bincount(group)[group]
-                want = many > 1
-                h, doc, start, count, many = h[want], doc[want], start[want], count[want], many[want]
-                # an anchor of many pieces is spread by the piece's place
-                spread = -(-many // most)
-                salt = mix64(ids[doc].view(np.uint64) ^ mix64(start.astype(np.uint64))) % spread.astype(np.uint64)
-                to = (mix64(h + salt) % np.uint64(piece_shards)).astype(np.uint32)
-                for part, rows in _split(doc_shard(ids[doc], shards) if len(doc) else np.zeros(0, np.int64)):
-                    out.append((part, WANTED, _named(ids, marks, doc[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint8), to[rows], (spread[rows] > 1).astype(np.uint8))))
+            if not got:
+                continue
+            ids, marks, doc = Docs.joined([(g[0], g[1], g[2]) for g in got])
+            h, start, count = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
+            of = np.repeat(np.arange(len(got)), [len(g[3]) for g in got])
+            by = np.argsort(h, kind="stable")  # within an anchor by shard
+            h, doc, start, count, of = h[by], doc[by], start[by], count[by], of[by]
+            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.concatenate([edge, [len(h)]]))
+            contested = np.repeat(of[edge] != of[edge + size - 1], size)
+            spread = np.repeat(-(-size // most), size)
+            h, doc, start, count, spread = h[contested], doc[contested], start[contested], count[contested], spread[contested]
+            out = _wanted(ids, marks, doc, h, start, count, spread, shards, piece_shards)
             for i in range(0, len(out), 512):
                 yield _rows(out[i : i + 512])
 
     return run
 
 
+def _hot(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors with more than ``most`` pieces by the shards' reports, ascending, and how many; MOST_HOT of them at most."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                h, n = unpack(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    counts = found.where(F.col("kind") == COUNTS).select("blob").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > most).orderBy(F.col("n").desc(), "h").limit(MOST_HOT).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def _spread_ahead(hot: tuple[np.ndarray, np.ndarray], shards: int, piece_shards: int, most: int):
+    """2: pieces of the anchors that are known to be hot are wanted at once; the others go to their buckets."""
+    names, many = hot
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                ids, marks, doc, h, start, count = unpack(blob)
+                place = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                is_hot = names[place] == h
+                if not is_hot.any():
+                    out.append((part, PIECES, blob))
+                    continue
+                spread = np.maximum(-(-many[place] // most), 2)
+                rest = ~is_hot
+                out += _wanted(ids, marks, doc[is_hot], h[is_hot], start[is_hot], count[is_hot], spread[is_hot], shards, piece_shards)
+                if rest.any():
+                    out.append((part, PIECES, _named(ids, marks, doc[rest], h[rest], start[rest], count[rest])))
+            yield _rows(out)
+
+    return run
+
+
 def _to_texts(shards: int):
     def run(batches):
-        for ids, marks, raw, offsets in _lots(batches):
+        for ids, marks, raw, offsets in _lots(batches, BLOB):
             out = []
             for part, rows in _split(doc_shard(ids, shards)):
                 sizes = np.diff(offsets)[rows]
@@ -382,7 +455,7 @@ def _fetch(batches):
             for i, m, a in zip(ids.tolist(), marks.tolist(), at.tolist()):
                 seen.setdefault((i, m), (t, a))
         ids, marks, doc = Docs.joined([(g[0], g[1], g[2]) for g in wanted])
-        start, count, to, spread = (np.concatenate([g[k] for g in wanted]) for k in (3, 4, 5, 6))
+        start, count, to, spread, group = (np.concatenate([g[k] for g in wanted]) for k in (3, 4, 5, 6, 7))
         place = np.array([seen[k] for k in zip(ids.tolist(), marks.tolist())], np.int64)
         size = count.astype(np.int64) + LENGTH - 1
         for t in np.unique(place[:, 0]):
@@ -390,72 +463,109 @@ def _fetch(batches):
             for part, own in _split(to[rows].astype(np.int64)):
                 r = rows[own]
                 body = _slices(texts[t][3], place[doc[r], 1] + start[r], size[r])
-                out.append((part, FETCHED, _named(ids, marks, doc[r], start[r], count[r], spread[r], body)))
+                out.append((part, FETCHED, _named(ids, marks, doc[r], start[r], count[r], spread[r], group[r], body)))
         for i in range(0, len(out), 256):
             yield _rows(out[i : i + 256])
 
 
-def _classes(shards: int, ranges: int):
-    """3: suffix arrays of the shards."""
+def _classes(shards: int, ranges: int, lot: int):
+    """3: suffix arrays of the pieces of each bucket, of about LOT bytes; an anchor's pieces are in one."""
 
     def run(batches):
         for _, blobs in _parts(batches):
             got = [unpack(b) for _, b in blobs]
             ids, marks, doc = Docs.joined([(g[0], g[1], g[2]) for g in got])
-            start, count, spread, body = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5, 6))
-            count = count.astype(np.int64)
-            size = count + LENGTH - 1
+            start, count, spread, group, body = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5, 6, 7))
+            size = count.astype(np.int64) + LENGTH - 1
             at = np.cumsum(size) - size
-            order = suffix_array(body, LENGTH)
-            common = common_prefixes(body, order, LENGTH)
-            # which positions begin a window of a piece, and of which
-            windows = np.repeat(at - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-            owner = np.full(len(body), -1, np.int64)
-            owner[windows] = np.repeat(np.arange(len(count)), count)
-            run_of = np.cumsum(common < LENGTH)
-            live = owner[order] >= 0
-            pos, cls = order[live], run_of[live]
-            own = owner[pos]
-            d, s = doc[own], start[own].astype(np.int64) + pos - at[own]
-            by = np.lexsort((s, d, cls))
-            pos, cls, own, d, s = pos[by], cls[by], own[by], d[by], s[by]
-            new = np.ones(len(by), bool)
-            new[1:] = cls[1:] != cls[:-1]
-            late = ~new
-            out = _repeats(ids, marks, d[late], s[late], np.ones(int(late.sum()), np.int64), shards)
-            # 4: the firsts of spread anchors as sorted runs of hashes, cut into ranges by binary search
-            hot = new & (spread[own] > 0)
-            if hot.any():
-                d, s, p = d[hot], s[hot], pos[hot]
-                windows = body[p[:, None] + np.arange(LENGTH)[None, :]]
-                with np.errstate(over="ignore"):
-                    one = mix64((_BYTE[windows] * _powers(_MULT, LENGTH)[None, :]).sum(axis=1, dtype=np.uint64))
-                    two = mix64((mix64(_BYTE)[windows] * _powers(_MULT | 2, LENGTH)[None, :]).sum(axis=1, dtype=np.uint64))
-                by = np.lexsort((two, one))
-                one, two, d, s = one[by], two[by], d[by], s[by]
-                step = (1 << 64) // ranges
-                cuts = np.searchsorted(one, np.array([step * i for i in range(1, ranges)], np.uint64)) if ranges > 1 else np.zeros(0, np.int64)
-                for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(one)])):
-                    if b > a:
-                        out.append((r, RUNS, _named(ids, marks, d[a:b], one[a:b], two[a:b], s[a:b].astype(np.uint32))))
-            for i in range(0, len(out), 512):
-                yield _rows(out[i : i + 512])
+            by = np.argsort(group, kind="stable")
+            ends = np.cumsum(size[by])
+            a = 0
+            while a < len(by):
+                b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + lot, "right"))
+                b = max(b, a + 1)
+                while b < len(by) and group[by[b]] == group[by[b - 1]]:
+                    b += 1
+                out = _merged_pieces(ids, marks, doc, start.astype(np.int64), size, at, spread, body, by[a:b], shards, ranges)
+                for i in range(0, len(out), 512):
+                    yield _rows(out[i : i + 512])
+                a = b
 
     return run
 
 
+def _merged_pieces(ids, marks, doc, start, size, at, spread, body, rows, shards: int, ranges: int) -> list[tuple[int, int, bytes]]:
+    """REPEATS among the pieces of these rows, and RUNS of the firsts of spread anchors."""
+    raw = _slices(body, at[rows], size[rows])
+    offsets = np.concatenate([[0], np.cumsum(size[rows])])
+    live, late, order = equal_windows(raw, offsets, (doc[rows] << _KEY) + start[rows])
+    first, count = _runs(late)
+    own = np.searchsorted(offsets, first, "right") - 1
+    out = _repeats(ids, marks, doc[rows[own]], start[rows[own]] + first - offsets[own], count, shards)
+    if spread[rows].any():
+        order = order[live[order] & ~late[order]]
+        own = np.searchsorted(offsets, order, "right") - 1
+        hot = spread[rows[own]] > 0
+        order, own = order[hot], own[hot]
+        windows = raw[order[:, None] + np.arange(LENGTH)]
+        with np.errstate(over="ignore"):
+            to = mix64((_BYTE[windows] * _powers(_MULT, LENGTH)).sum(axis=1, dtype=np.uint64)) % np.uint64(ranges)
+        for part, r in _split(to.astype(np.int64)):
+            out.append((part, RUNS, _named(ids, marks, doc[rows[own[r]]], start[rows[own[r]]] + order[r] - offsets[own[r]], windows[r].ravel())))
+    return out
+
+
+def _in_order(windows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A run without the windows that one has twice: its windows, the least key of each, and the other keys."""
+    if not len(windows):
+        return windows, keys, keys
+    new = np.concatenate([[True], windows[1:] != windows[:-1]])
+    least = np.minimum.reduceat(keys, np.flatnonzero(new))
+    return windows[new], least, keys[keys != least[np.cumsum(new) - 1]]
+
+
+def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Keys of all windows that occur with a smaller key. runs: windows in suffix order as fixed strings, and keys. Two
+    runs at a time are merged: each window of one is looked up in the other by binary search."""
+    late, ready = [], []
+    for windows, keys in runs:
+        windows, keys, rest = _in_order(windows, keys)
+        ready.append((windows, keys))
+        late.append(rest)
+    while len(ready) > 1:
+        ahead = []
+        for (x, kx), (y, ky) in zip(ready[::2], ready[1::2], strict=False):
+            at = np.searchsorted(x, y)
+            held = np.minimum(at, max(len(x) - 1, 0))
+            hit = (at < len(x)) & (x[held] == y) if len(x) else np.zeros(len(y), bool)
+            a, b = kx[held[hit]], ky[hit]
+            late.append(np.maximum(a, b)[a != b])
+            kx = kx.copy()
+            kx[held[hit]] = np.minimum(a, b)
+            ahead.append((np.insert(x, at[~hit], y[~hit]), np.insert(kx, at[~hit], ky[~hit])))
+        ready = ahead + (ready[-1:] if len(ready) % 2 else [])
+    return np.concatenate(late) if late else np.zeros(0, np.int64)
+
+
+def _strings(body: np.ndarray) -> np.ndarray:
+    """Windows as strings of fixed size; a last byte keeps zeros at their ends."""
+    out = np.ones((len(body) // LENGTH, LENGTH + 1), np.uint8)
+    out[:, :LENGTH] = body.reshape(-1, LENGTH)
+    return out.view(f"S{LENGTH + 1}").ravel()
+
+
 def _merge(shards: int):
-    """4: runs of one range of hashes: all but the first of equal windows are repeats."""
+    """4: runs whose windows have hashes in common, merged: all but the first of equal windows are repeats."""
 
     def run(batches):
         for _, blobs in _parts(batches):
             got = [unpack(b) for _, b in blobs]
             ids, marks, doc = Docs.joined([(g[0], g[1], g[2]) for g in got])
-            one, two, start = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
-            start = start.astype(np.int64)
-            by, new = _first_of_each(one, two, doc, start)
-            late = by[~new]
-            out = _repeats(ids, marks, doc[late], start[late], np.ones(len(late), np.int64), shards)
+            start = np.concatenate([g[3] for g in got])
+            cuts = np.cumsum([0, *(len(g[3]) for g in got)])
+            keys = (doc << _KEY) + start
+            late = np.unique(merge_runs([(_strings(g[4]), keys[a:b]) for g, a, b in zip(got, cuts, cuts[1:])]))
+            out = _repeats(ids, marks, late >> _KEY, late & ((1 << _KEY) - 1), np.ones(len(late), np.int64), shards)
             if out:
                 yield _rows(out)
 
@@ -494,7 +604,7 @@ def _painted(whole: bool):
                         cover = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
                         spans = np.flatnonzero(cover[1:] != cover[:-1]).reshape(-1, 2)
                         text = text[~cover[1:-1]]
-                    doc_id = None if i == -(1 << 63) else i
+                    doc_id = None if i == _LEAST and m < 1 << 63 else i
                     if whole:
                         out.append({"doc_id": doc_id, "kept": text.tobytes(), "spans": [{"start": int(x), "end": int(y)} for x, y in spans]})
                     else:
@@ -504,18 +614,27 @@ def _painted(whole: bool):
     return run
 
 
-def dedup(docs: DataFrame, whole: bool = False, most: int = SHARD_PIECES) -> DataFrame:
+def dedup(docs: DataFrame, whole: bool = False, most: int = SHARD_PIECES, lot: int = LOT, reported: int = REPORTED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; or, with ``whole``, doc_id, kept (bytes) and spans (in bytes).
-    ``most``: pieces of one anchor that one shard takes."""
+    ``most``: pieces of one anchor that one shard takes; ``lot``: bytes of a suffix array; ``reported``: pieces of an
+    anchor that a shard tells of."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # four parts a task even them out; more where parts would grow beyond SHARD
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    found = settle(_dealt(docs.mapInArrow(_to_pieces(parts, parts), _ROW_DDL), _through(_resolve(parts, parts, most))), "repeats-pieces")
+    found = settle(docs.mapInArrow(_to_pieces(parts, parts, lot, reported), _ROW_DDL), "repeats-pieces")
+    pieces = found.where(F.col("kind") == PIECES)
+    hot = _hot(found, most)
+    ahead = None
+    if len(hot[0]):
+        split = settle(pieces.mapInArrow(_spread_ahead(hot, parts, parts, most), _ROW_DDL), "repeats-spread")
+        pieces, ahead = split.where(F.col("kind") == PIECES), split.where(F.col("kind") == WANTED)
+    wanted = _dealt(pieces, _resolve(parts, parts, most))
+    wanted = wanted if ahead is None else wanted.unionAll(ahead)
     texts = docs.mapInArrow(_to_texts(parts), _ROW_DDL)
-    fetched = _dealt(texts.unionAll(found.where(F.col("kind") == WANTED)), _fetch)
-    classes = settle(_dealt(fetched, _classes(parts, parts)), "repeats-classes")
+    fetched = _dealt(texts.unionAll(wanted), _fetch)
+    classes = settle(_dealt(fetched, _classes(parts, parts, lot)), "repeats-classes")
     gone = found.where(F.col("kind") == REPEATS).unionAll(classes.where(F.col("kind") == REPEATS))
     runs = classes.where(F.col("kind") == RUNS)
     if not runs.isEmpty():
@@ -524,30 +643,6 @@ def dedup(docs: DataFrame, whole: bool = False, most: int = SHARD_PIECES) -> Dat
     return _dealt(texts.unionAll(gone), _painted(whole), schema)
 
 
-def _through(run):
-    """``run`` for the parts' pieces; repeats that are known already pass."""
-
-    def both(batches):
-        def known():
-            for batch in batches:
-                kinds = np.asarray(batch.column("kind"))
-                passed = np.flatnonzero(kinds == REPEATS)
-                if len(passed):
-                    ahead.append(batch.take(pa.array(passed)))
-                rest = np.flatnonzero(kinds != REPEATS)
-                if len(rest):
-                    yield batch.take(pa.array(rest))
-
-        ahead: list[pa.RecordBatch] = []
-        for out in run(known()):
-            yield from ahead
-            ahead.clear()
-            yield out
-        yield from ahead
-
-    return both
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
