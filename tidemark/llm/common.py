@@ -18,10 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of up to so many bytes are dealt out where their files are fewer than the cores.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a small table in one file of one row group would be one task's work. Larger tables stay as
+    they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the cluster names none (tests), a local one is set."""
+    """The folder that driver and executors share. Where none is named, a local one is set if all runs on one machine."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         got = f"/tmp/tidemark-checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
@@ -59,6 +73,23 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
+#: Keys that are joined by broadcast at most, and the rows that a key has then at least.
+HOT_KEYS, HOT_ROWS = 10_000, 1024
+
+
+def join_counted(rows: DataFrame, per: DataFrame, key: str, count: str = "c") -> DataFrame:
+    """rows joined with per, which has one row a key and, as ``count``, how many rows have it. Keys of many rows are
+    joined where these are: they have more than a HOT_KEYS-th of all rows, so there are at most HOT_KEYS of them. No task
+    of the shuffled rest gets more rows of one key. Both tables are read twice."""
+    total = per.agg(F.sum(count)).first()[0] or 0
+    most = max(total // HOT_KEYS, HOT_ROWS)
+    hot = per.where(F.col(count) > most)
+    if hot.isEmpty():
+        return rows.join(per, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per.where(F.col(count) <= most), key)
+    return rows.join(F.broadcast(hot), key).unionAll(cold)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
