@@ -3,18 +3,23 @@
 Labels are of documents, so token labels come first: on a bounded sample of labelled documents, words and word heads
 are picked greedily, each time the one that explains the most toxic documents not yet explained and hardly occurs in
 the others; tokens that show a picked one in a toxic document are labelled toxic. On these tokens the field is fitted:
-two labels, transition weights, and hashed features (the word, its first 3, 4 and 5 and its last 4 bytes). Weights near
-0 are cut to 0, so most tokens of a text are alike and a run of them is a power of one 2 x 2 matrix.
+two labels, transition weights, and hashed features (the word, its first 3, 4 and 5 and its last 4 bytes).
 
-``score_texts`` tokenises whole texts in numpy, runs forward and backward over them exactly and gives each token's
-marginal. A document's score is a logistic function, fitted on the sample, of the log-odds that any token is toxic.
+``score_texts`` tokenises whole texts in numpy and runs forward and backward over all their tokens, whatever they are:
+many texts make one chain, in which a text's first token forgets what was before, and the chain is worked through in
+strips side by side. A document's score is a logistic function, fitted on the sample, of the log-odds of its two most
+toxic tokens and of the logarithm of their number, for of more tokens some look more toxic by chance. (The odds that any
+token is toxic would rise with every harmless token, without bound.)
 
-Bounds: at most SAMPLE_TOXIC + SAMPLE_CLEAN documents of at most SAMPLE_CHARS characters are gathered, those of least
-hash; the picks, the weights and the two numbers of the logistic function are all that goes to the tasks.
+Bounds, of the fit alone: the SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents of least hash are gathered, whole, as long
+as their texts come to SAMPLE_BYTES together (one that would go beyond is left out); and of the windows of 16 tokens
+without a toxic one, evenly as many as make FIT_TOKENS. The picks, weights and numbers of the logistic function are all
+that goes to the tasks.
 
 Defined cases: null and empty texts have no tokens and get the score of a text without cues; labels that are null, or
 contradict each other for one id, count as the larger; without usable labels of both kinds all scores are 0.5 less a
-hair (nothing is rejected); an empty table gives no rows; repeated rows are scored each; other columns pass through.
+hair (nothing is rejected); an empty table gives no rows; repeated rows are scored each; other columns pass through
+``score``, but for ``score`` and ``spans``, in whose place the new ones come.
 """
 
 from __future__ import annotations
@@ -24,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, mix64, table
+from .common import bytes_of, mix64, spread, table
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 1500, 40_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 1500, 10 << 20
 FIT_TOKENS = 300_000
 BITS = 18
 KINDS = 5
@@ -138,64 +143,91 @@ def pick_cues(pairs: np.ndarray, toxic: np.ndarray, most: int = 400) -> np.ndarr
 
 
 class Field:
-    """Weights of the chain: emission of the toxic label (bias and hashed features) and transitions."""
-
-    def __init__(self, bias: float, trans: np.ndarray, weights: np.ndarray, a: float = 1.0, c: float = 0.0):
-        self.bias, self.trans, self.weights, self.a, self.c = bias, trans, weights, a, c
-        step = np.exp(trans) * np.array([1.0, np.exp(bias)])  # row: label before, column: label now
-        step /= step.sum()
-        self.powers = [np.eye(2)]
-        for _ in range(512):
-            p = self.powers[-1] @ step
-            p /= p.sum()
-            if np.abs(p - self.powers[-1]).max() < 1e-15:
-                break
-            self.powers.append(p)
-        self.flat = [tuple(float(x) for x in p.ravel()) for p in self.powers]
-        self.step = step
-
-    def between(self, gap: int) -> tuple[float, float, float, float]:
-        """From one cue token to the next after ``gap`` plain ones, up to a factor; the last power has converged."""
-        return self.flat[min(gap, len(self.flat) - 1)]
-
-    def marginals(self, places: list[int], lifts: list[float], length: int) -> list[float]:
-        """Of the toxic label at tokens ``places``, whose emission is bias + lift; all other tokens have the bias."""
-        n = len(places)
-        e = [math.exp(x) for x in lifts]
-        ahead = []
-        a0, a1 = 1.0, 0.0
-        before = -1
-        for i in range(n):
-            g = places[i] - before
-            p = self.between(g)
-            a0, a1 = a0 * p[0] + a1 * p[2], (a0 * p[1] + a1 * p[3]) * e[i]
-            s = a0 + a1
-            a0, a1 = a0 / s, a1 / s
-            ahead.append((a0, a1))
-            before = places[i]
-        out = [0.0] * n
-        p = self.between(length - 1 - before)
-        b0, b1 = p[0] + p[1], p[2] + p[3]
-        for i in range(n - 1, -1, -1):
-            a0, a1 = ahead[i]
-            x, y = a0 * b0, a1 * b1
-            out[i] = y / (x + y)
-            p = self.between(places[i] - (places[i - 1] if i else -1))
-            b1 *= e[i]
-            b0, b1 = p[0] * b0 + p[1] * b1, p[2] * b0 + p[3] * b1
-            s = b0 + b1
-            b0, b1 = b0 / s, b1 / s
-        return out
-
-    def any_toxic(self, p: list[float]) -> float:
-        """Log-odds that any of the tokens is toxic."""
-        none = sum(math.log1p(-min(x, 1 - 1e-12)) for x in p)
-        if none > -1e-9:
-            return _FLOOR
-        return min(max(math.log(-math.expm1(none)) - none, _FLOOR), _CEIL)
-
-    def score(self, odds: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.a * odds + self.c, -30, 30))))
+    """Weights of the chain: emission of the toxic label (bias and hashed features) and transitions, the label before a
+    text counting as 0; and of the logistic function."""
+
+    def __init__(self, bias: float, trans: np.ndarray, weights: np.ndarray, scale=(1.0, 0.0, 0.0, 0.0)):
+        self.bias, self.trans, self.weights, self.scale = bias, trans, weights, np.asarray(scale, float)
+
+    def marginals(self, lift: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of the toxic label at each token, whose emission is bias + lift. ``first``: the tokens that begin a text.
+
+        Tokens are laid out in strips of equal length. The strips' products of 2 x 2 matrices come first, side by side;
+        from these follows what each strip begins and ends with, and then forward and backward run through all strips."""
+        n = len(lift)
+        if not n:
+            return np.zeros(0)
+        length = max(int(n**0.5 / 2), 1)
+        width = -(-n // length)
+        toxic = np.zeros(width * length)
+        toxic[:n] = 1 / (1 + np.exp(-np.clip(self.bias + lift, -60, 60)))
+        begins = np.ones(width * length)  # beyond the end as well
+        begins[:n] = first
+        u1 = np.ascontiguousarray(toxic.reshape(width, length).T)
+        u0 = 1 - u1
+        new = np.ascontiguousarray(begins.reshape(width, length).T)
+        t00, t01, t10, t11 = np.exp(self.trans - self.trans.max()).ravel().tolist()
+        # from a label before to label 0 and 1; a text's first token has the same from both
+        m00, m01 = t00 * u0, t01 * u1
+        m10, m11 = np.where(new, t00, t10) * u0, np.where(new, t01, t11) * u1
+        a, b, c, d = np.ones(width), np.zeros(width), np.zeros(width), np.ones(width)
+        for k in range(length):
+            a, b = a * m00[k] + b * m10[k], a * m01[k] + b * m11[k]
+            c, d = c * m00[k] + d * m10[k], c * m01[k] + d * m11[k]
+            s = a + b + c + d
+            a, b, c, d = a / s, b / s, c / s, d / s
+        start, end = np.empty((2, width)), np.empty((2, width))
+        x, y = 1.0, 0.0
+        z, w = 1.0, 1.0
+        rows = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist()))
+        for i, (p, q, r, v) in enumerate(rows):
+            start[0, i], start[1, i] = x, y
+            x, y = x * p + y * r, x * q + y * v
+            x, y = x / (x + y), y / (x + y)
+        for i in range(width - 1, -1, -1):
+            end[0, i], end[1, i] = z, w
+            p, q, r, v = rows[i]
+            z, w = p * z + q * w, r * z + v * w
+            z, w = z / (z + w), w / (z + w)
+        ahead = np.empty((2, length, width))
+        x, y = start
+        for k in range(length):
+            x, y = x * m00[k] + y * m10[k], x * m01[k] + y * m11[k]
+            s = x + y
+            x, y = x / s, y / s
+            ahead[0, k], ahead[1, k] = x, y
+        out = np.empty((length, width))
+        z, w = end
+        for k in range(length - 1, -1, -1):
+            one = ahead[1, k] * w
+            out[k] = one / (ahead[0, k] * z + one)
+            z, w = m00[k] * z + m01[k] * w, m10[k] * z + m11[k] * w
+            s = z + w
+            z, w = z / s, w / s
+        return out.T.ravel()[:n]
+
+    def score(self, sums: np.ndarray) -> np.ndarray:
+        """Of documents with these sums (see ``document_sums``)."""
+        return 1 / (1 + np.exp(-np.clip(sums @ self.scale[:3] + self.scale[3], -30, 30)))
+
+
+def document_sums(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(documents, 3): log-odds of the most toxic token and of the next one, logarithm of 1 more than the number of
+    tokens. first: each document's first token, and the number of tokens."""
+    sizes = np.diff(first)
+    out = np.full((len(sizes), 3), _FLOOR)
+    out[:, 2] = np.log1p(sizes)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        p = np.clip(p, 1e-12, 1 - 1e-12)
+        odds = np.clip(np.log(p) - np.log1p(-p), _FLOOR, _CEIL)
+        at = first[:-1][full]
+        out[full, 0] = np.maximum.reduceat(odds, at)
+        of = np.repeat(np.arange(len(full)), sizes[full])
+        best = np.flatnonzero(odds == out[full, 0][of])
+        odds[best[np.unique(of[best], return_index=True)[1]]] = _FLOOR  # one token of the greatest
+        out[full, 1] = np.maximum.reduceat(odds, at)
+    return out
 
 
 def _lots(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -212,7 +244,7 @@ def _lots(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def fit(texts: list[str], toxic: np.ndarray) -> Field:
     """From labelled documents. Deterministic."""
-    none = Field(-8.0, np.zeros((2, 2)), np.zeros(1 << BITS), 0.0, -1e-6)
+    none = Field(-8.0, np.zeros((2, 2)), np.zeros(1 << BITS), (0.0, 0.0, 0.0, -1e-6))
     toxic = np.asarray(toxic, bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return none
@@ -275,48 +307,41 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
         w -= 0.5 * g / np.sqrt(gw) * (seen > 0)
         bias -= 0.5 * d.sum() / np.sqrt(gb)
         trans = trans - 0.3 * pair / np.sqrt(gt)
-    w[np.abs(w) < 0.4] = 0
     field = Field(float(bias), trans, w)
-    odds = np.array([o for _, raw, offsets in _lots(texts) for o, _ in score_texts(field, raw, offsets)])
+    x = np.concatenate([score_texts(field, raw, offsets)[0] for _, raw, offsets in _lots(texts)])
     # logistic calibration by Newton's method, each kind with equal weight
     v = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * len(toxic)
     t = np.where(toxic, 0.98, 0.02)
-    x = np.stack([odds, np.ones(len(odds))], axis=1)
-    k = np.array([0.5, 0.0])
+    mid = x.mean(axis=0)
+    x = np.concatenate([x - mid, np.ones((len(x), 1))], axis=1)
+    ridge = 1e-2 * np.array([1.0, 1.0, 1.0, 0.0])
+    k = np.array([0.5, 0.0, 0.0, 0.0])
 
     def loss(k):
         u = x @ k
-        return float((v * (np.logaddexp(0, u) - t * u)).sum() + 0.5e-3 * k @ k)
+        return float((v * (np.logaddexp(0, u) - t * u)).sum() + 0.5 * ridge @ (k * k))
 
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ k, -30, 30)))
-        h = (x * (v * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
-        move = np.linalg.solve(h, x.T @ (v * (q - t)) + 1e-3 * k)
+        h = (x * (v * q * (1 - q))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        move = np.linalg.solve(h, x.T @ (v * (q - t)) + ridge * k)
         while loss(k - move) > loss(k) and np.abs(move).max() > 1e-9:
             move = move / 2
         k = k - move
-    field.a, field.c = float(max(k[0], 0.05)), float(k[1])
+    field.scale = np.append(k[:3], k[3] - k[:3] @ mid)
     return field
 
 
-def score_texts(field: Field, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
-    """For each text: log-odds, and (start, end, marginal) in bytes of the toxic tokens."""
+def score_texts(field: Field, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """Of each text the sums (see ``document_sums``), and (start, end, marginal) in bytes of the toxic tokens."""
     starts, ends, doc = tokens(raw, offsets)
     lift = field.weights[slots(features(raw, starts, ends))].sum(axis=1) if len(starts) else np.zeros(0)
-    cue = np.flatnonzero(lift)
-    first = np.searchsorted(doc, np.arange(len(offsets)))
-    at = np.searchsorted(cue, first)
-    # texts whose cues all speak against it have nothing to say
-    up = np.concatenate([[0], np.cumsum(lift[cue] + field.bias > -6)])
-    for i in range(len(offsets) - 1):
-        a, b = at[i], at[i + 1]
-        if a == b or up[a] == up[b]:
-            yield _FLOOR, []
-            continue
-        here = cue[a:b]
-        p = field.marginals((here - first[i]).tolist(), lift[here].tolist(), int(first[i + 1] - first[i]))
-        spans = [(int(starts[j] - offsets[i]), int(ends[j] - offsets[i]), x) for j, x in zip(here, p, strict=True) if x >= 0.5]
-        yield field.any_toxic(p), spans
+    p = field.marginals(lift, np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool))
+    spans: list[list[tuple[int, int, float]]] = [[] for _ in range(len(offsets) - 1)]
+    for j in np.flatnonzero(p >= 0.5):
+        i = doc[j]
+        spans[i].append((int(starts[j] - offsets[i]), int(ends[j] - offsets[i]), float(p[j])))
+    return document_sums(p, np.searchsorted(doc, np.arange(len(offsets)))), spans
 
 
 _PIECE = 1 << 19
@@ -335,14 +360,14 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
             at = 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, "right")) - 1)
-                scores, spans = [], []
                 own, place = raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-                for i, (odds, found) in enumerate(score_texts(field, own, place)):
-                    scores.append(field.score(odds))
-                    if found:  # bytes to code points: count the bytes that begin one
+                sums, found = score_texts(field, own, place)
+                scores, spans = field.score(sums), []
+                for i, held in enumerate(found):
+                    if held:  # bytes to code points: count the bytes that begin one
                         begins = np.concatenate([[0], np.cumsum((own[place[i] : place[i + 1]] & 0xC0) != 0x80)])
-                        found = [{"start": int(begins[a]), "end": int(begins[b]), "p": p} for a, b, p in found]
-                    spans.append(found)
+                        held = [{"start": int(begins[a]), "end": int(begins[b]), "p": p} for a, b, p in held]
+                    spans.append(held)
                 part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*part.schema.names, "score", "spans"])
                 at = end
@@ -361,13 +386,15 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     by = F.xxhash64("doc_id", F.lit(11))
     pick = lambda k, n: known.where(F.col("toxic") == k).orderBy(by, "doc_id").limit(n)
     ids = F.broadcast(pick(1, SAMPLE_TOXIC).unionAll(pick(0, SAMPLE_CLEAN)))  # at most 2,500 rows of 12 bytes
-    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(by, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("doc_id", "toxic", "text", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     field = fit_on(docs, table(spark, sf_dir, "labels"))
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return score(docs, field).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), joined.alias("spans"))
