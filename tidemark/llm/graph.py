@@ -7,24 +7,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_counted, settle
 
 
 def _smallest(e: DataFrame) -> DataFrame:
-    return e.groupBy("u").agg(F.min("v").alias("m"))
+    return settle(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "minima")
 
 
 def _large(e: DataFrame) -> DataFrame:
     """Each larger neighbour of a vertex is tied to the smallest of its neighbourhood."""
     both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = _smallest(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(m, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    m = _smallest(both).select("u", F.least("u", "m").alias("m"), "c")
+    return join_counted(both, m, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     """A vertex and its smaller neighbours are tied to the smallest of them."""
     m = _smallest(e)
-    near = e.join(m, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = join_counted(e, m, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionAll(m.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -56,7 +56,7 @@ def components(edges: DataFrame, most_rounds: int = 60, small: int = SMALL) -> D
     edges: (u, v), whole numbers; loops and nulls don't count. Up to ``small`` edges are solved in one task of bounded
     size. Beyond, each round is written to the shared folder, and the last leaves stars only; rounds grow with the
     logarithm of a component's length. No vertex's neighbours are ever gathered: minima are combined before the
-    shuffle, and joins on a hot vertex have one row on one side."""
+    shuffle, and edges of a vertex with many are joined with its one row where they are."""
     e = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u != v").distinct()
     e = settle(e, "edges")
     if small and e.count() <= small:

@@ -14,9 +14,14 @@ compared with all other blocks of it. So components are those of the full link g
 copies. Nodes that stay too large after REFINE more levels, or that hardly shrink by one, become clusters as wholes:
 the same exact way handles them.
 
+Vertices are sets, named by 128 bits of hash; a set's copies never meet anywhere but in sums. Keys that many rows share
+(nodes, stars, components, copies) are joined where their rows are (``common.join_counted``).
+
 Defined cases: null and empty texts, and texts of white space, have empty sets and stay alone; equal sets are one
-vertex; rows that share an id are one vertex; rows with a null id take no part (component null); an empty table gives
-no rows; other columns pass through ``dedup``.
+vertex; rows that share an id only are vertices of their own, each with its component; rows with a null id take no part
+(component null); an empty table gives no rows; other columns pass through ``dedup``, which keeps one row of each
+component: that of the smallest id, of rows that share this id that of least hash of the text, and of rows that repeat
+both that of least hash of all columns; of rows without words it keeps one for each id and text.
 """
 
 from __future__ import annotations
@@ -26,16 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, mix64, settle, table
+from .common import bytes_of, join_counted, mix64, settle, spread, table
 from .graph import components
 from .shingles import MINS, minima, set_keys, sets
 
 TREES = 6
-#: Picks per node on each level; beyond a million sets a level of 2 is added for each further factor of 20.
+#: Picks per node on each level, at any number of sets; nodes that are still large branch on by 2.
 PICKS = (2, 2, 1)
 NODE_MOST = 512
 REFINE = 3
@@ -108,27 +113,32 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.uint64).view(np.int64))
 
 
+def _keys(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of each set, as signed numbers; 0 for the empty set."""
+    one, two = set_keys(values, at)
+    full = np.diff(at) > 0
+    return tuple(np.where(full, mix64(x + np.uint64(k)), 0).astype(np.uint64).view(np.int64) for k, x in enumerate((one, two)))
+
+
 def profile(docs: DataFrame, k: int, picks: tuple[int, ...], trees: int) -> DataFrame:
-    """doc_id, n (set size), key, sketch, leaves."""
-    schema = "doc_id long, n long, key long, sketch binary, leaves array<long>"
+    """doc_id, mark, n (set size), key, key2, sketch, leaves. docs: doc_id, mark, text."""
+    schema = "doc_id long, mark long, n long, key long, key2 long, sketch binary, leaves array<long>"
 
     def run(batches):
         for part, raw, offsets in _lots(batches):
             values, at = sets(raw, offsets, k)
-            sizes = np.diff(at)
-            key, other = set_keys(values, at)
+            key, key2 = _keys(values, at)
             mins = minima(values, at)
             paths = leaves(mins, picks, trees)
             n, width = paths.shape
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), _signed(paths.ravel()))
-            key = np.where(sizes > 0, mix64(key ^ (other * np.uint64(3))), 0)
             flat = sketch(mins).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), _signed(key), pa.array([flat[i * MINS : (i + 1) * MINS] for i in range(n)], pa.binary()), lists],
-                names=["doc_id", "n", "key", "sketch", "leaves"],
+                [part.column("doc_id"), part.column("mark"), pa.array(np.diff(at), pa.int64()), pa.array(key), pa.array(key2), pa.array([flat[i * MINS : (i + 1) * MINS] for i in range(n)], pa.binary()), lists],
+                names=["doc_id", "mark", "n", "key", "key2", "sketch", "leaves"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,21 +223,23 @@ _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def _compare_nodes(batches):
     for t in _whole_groups(batches, ("leaf",), 20_000):
-        u, v = _sketch_edges(np.asarray(t["leaf"]), np.asarray(t["rep"]), np.asarray(t["n"]), _sketches(t["sketch"]))
+        u, v = _sketch_edges(np.asarray(t["leaf"]), np.asarray(t["v"]), np.asarray(t["n"]), _sketches(t["sketch"]))
         pairs = np.unique(np.stack([u, v]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_EDGE)
 
 
 def tree_edges(vertices: DataFrame) -> DataFrame:
-    """(u, v): ties between sets that may be linked. vertices: rep, n, sketch, leaves."""
-    rows = vertices.select("rep", F.explode("leaves").alias("leaf"), F.lit(None).cast("long").alias("above"))
-    marks = settle(vertices.select("rep", "n", "sketch"), "near-marks")
+    """(u, v): ties between sets that may be linked. vertices: v, n, sketch, leaves."""
+    rows = vertices.select(F.explode("leaves").alias("leaf"), "v", F.lit(None).cast("long").alias("above"))
+    marks = settle(vertices.select("v", "n", "sketch"), "near-marks")
     out = None
     for level in range(REFINE + 1):
-        counts = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        many = settle(rows.join(counts, "leaf"), "near-nodes")
-        full = many.where(F.col("c") <= NODE_MOST).join(marks, "rep").select("leaf", "rep", "n", "sketch")
-        got = full.repartition("leaf").sortWithinPartitions("leaf", "rep").mapInArrow(_compare_nodes, "u long, v long")
+        if level:
+            rows = settle(rows, "near-paths")
+        counts = settle(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("head")).where("c > 1"), "near-counts")
+        many = settle(join_counted(rows, counts, "leaf"), "near-nodes")
+        full = many.where(F.col("c") <= NODE_MOST).join(marks, "v").select("leaf", "v", "n", "sketch")
+        got = full.repartition("leaf").sortWithinPartitions("leaf", "v").mapInArrow(_compare_nodes, "u long, v long")
         out = got if out is None else out.unionAll(got)
         large = many.where(F.col("c") > NODE_MOST)
         if large.isEmpty():
@@ -235,15 +247,14 @@ def tree_edges(vertices: DataFrame) -> DataFrame:
         # most of the node above took the same path: sets much alike, which more picks would copy and not part
         whole = large if level == REFINE else large.where(F.col("c") > DENSE * F.col("above"))
         if level:
-            heads = whole.groupBy("leaf").agg(F.min("rep").alias("v"))
-            out = out.unionAll(whole.join(heads, "leaf").select(F.col("rep").alias("u"), "v"))
+            out = out.unionAll(whole.select(F.col("v").alias("u"), F.col("head").alias("v")))
         if level == REFINE:
             return out
         # two more picks, by the bytes of the sketch
         pick = lambda j: F.pmod(F.xxhash64("leaf", F.lit(level), F.lit(j)), F.lit(MINS)).cast("int")
         child = lambda j: F.xxhash64("leaf", pick(j), F.substring("sketch", pick(j) + 1, F.lit(1)))
         sparse = large.where(F.coalesce(F.col("c") <= DENSE * F.col("above"), F.lit(True)))
-        rows = sparse.select("rep", "leaf", "c").join(marks, "rep").select("rep", F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("leaf"), F.col("c").alias("above"))
+        rows = sparse.select("v", "leaf", "c").join(marks, "v").select(F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("leaf"), "v", F.col("c").alias("above"))
     return out
 
 
@@ -302,26 +313,27 @@ def link_block(members: list[np.ndarray], marks: np.ndarray, side: np.ndarray, c
 
 
 def _link_groups(k: int):
-    """Verified links within each (cluster, block, other): rows carry text, rep, key, side and comp."""
+    """Verified links within each (cluster, block, other): rows carry text, v, key, key2, side and comp."""
 
     def group(t: pa.Table) -> list[tuple[int, int]]:
         raw, offsets = bytes_of(t["text"])
-        members, marks, keys = [], [], []
+        members, marks, keys, keys2 = [], [], [], []
         at = 0
         while at < t.num_rows:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, "right")) - 1)
             values, place = sets(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], k)
-            one, two = set_keys(values, place)
-            keys.append(mix64(one ^ (two * np.uint64(3))).view(np.int64))
+            one, two = _keys(values, place)
+            keys.append(one)
+            keys2.append(two)
             marks.append(sketch(minima(values, place)))
             members += [values[place[i] : place[i + 1]] for i in range(end - at)]
             at = end
-        rep, comp, side = (np.asarray(t[c]) for c in ("rep", "comp", "side"))
-        own = np.flatnonzero(np.concatenate(keys) == np.asarray(t["key"]))  # else another text with this id
+        v, comp, side = (np.asarray(t[c]) for c in ("v", "comp", "side"))
+        own = np.flatnonzero((np.concatenate(keys) == np.asarray(t["key"])) & (np.concatenate(keys2) == np.asarray(t["key2"])))  # else another text with this id
         if len(own) < 2:
             return []
         found = link_block([members[i] for i in own], np.concatenate(marks)[own], side[own], comp[own])
-        return [(int(rep[own[i]]), int(rep[own[j]])) for i, j in found]
+        return [(int(v[own[i]]), int(v[own[j]])) for i, j in found]
 
     def run(batches):
         for t in _whole_groups(batches, ("cluster", "block", "other"), 2 * BLOCK):
@@ -336,69 +348,78 @@ def _link_groups(k: int):
     return run
 
 
-def link_components(docs: DataFrame, k: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row a row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_docs = docs.count()
-    more = 0
-    while n_docs > 1_000_000 * 20**more:
-        more += 1
-    base = settle(profile(docs, k, (2,) * more + PICKS, TREES), "near-profile")
-    some = base.where("n > 0 AND doc_id IS NOT NULL")
-    vertices = settle(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("leaves").alias("leaves")), "near-vertices")
+def _labelled(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, mark (hash of the text), n (set size), label (of the component; none for empty sets and null ids) and
+    component (its smallest id): one row a row of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    base = settle(profile(docs, k, PICKS, TREES), "near-profile")
+    some, name = base.where("n > 0 AND doc_id IS NOT NULL"), ["key", "key2"]
+    distinct = some.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("leaves").alias("leaves"))
+    vertices = settle(distinct.withColumn("v", F.monotonically_increasing_id()), "near-vertices")
     ties = components(tree_edges(vertices))
     labels = settle(ties.unionAll(ties.select(F.col("label").alias("node"), "label").distinct()), "near-clusters")
 
     size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = labels.join(size, "label").select(F.col("node").alias("rep"), F.col("label").alias("cluster"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    keyed = settle(placed.join(vertices.select("rep", "key"), "rep"), "near-placed")
+    clustered = join_counted(labels, settle(size, "near-sizes"), "label", "size")
+    placed = clustered.select(F.col("node").alias("v"), F.col("label").alias("cluster"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    keyed = settle(placed.join(vertices.select("v", "rep", *name), "v"), "near-placed")
     wide = keyed.where("blocks > 1")
-    pivots = wide.groupBy("cluster", "blocks", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(6)).alias("h"), "rep")).alias("x"))
-    pivots = pivots.select("cluster", F.col("x.rep").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    lent = pivots.join(wide.select("rep", "key", F.col("block").alias("home")), "rep").where("block != home")
-    zero = F.lit(0)
-    tasks = keyed.select("rep", "key", "cluster", "block").unionAll(lent.select("rep", "key", "cluster", "block"))
-    tasks = tasks.select("rep", "key", "cluster", "block", zero.alias("other"), zero.alias("side"), F.col("rep").alias("comp"))
+    pivots = wide.groupBy("cluster", "blocks", F.pmod(F.xxhash64("v", F.lit(5)), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct(F.xxhash64("v", F.lit(6)).alias("h"), "v", "rep", *name, "block")).alias("x"))
+    lent = pivots.select("cluster", "x.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("guest")).where("guest != block")
+    zero, who = F.lit(0), ["v", "rep", *name]
+    tasks = keyed.select(*who, "cluster", "block").unionAll(lent.select(*who, "cluster", F.col("guest").alias("block")))
+    tasks = tasks.select(*who, "cluster", "block", zero.alias("other"), zero.alias("side"), F.col("v").alias("comp"))
 
     def verified(tasks: DataFrame) -> DataFrame:
         # each text is sent once to its id's tasks, which then split it up
-        per = docs.withColumnRenamed("doc_id", "rep").join(tasks, "rep")
-        dealt = per.repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "rep", "key")
-        return dealt.select("cluster", "block", "other", "rep", "key", "side", "comp", "text").mapInArrow(_link_groups(k), "u long, v long")
+        per = docs.select(F.col("doc_id").alias("rep"), "text").join(tasks, "rep")
+        dealt = per.repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "v")
+        return dealt.select("cluster", "block", "other", "v", *name, "side", "comp", "text").mapInArrow(_link_groups(k), "u long, v long")
 
     links = settle(verified(tasks.hint("merge")), "near-links")  # alike at any size; what follows is of few rows
     joined = components(links)
     if not wide.isEmpty():
         # clusters of several blocks: what is outside the largest component meets all blocks
-        of = wide.join(joined, wide.rep == joined.node, "left").select("rep", "key", "cluster", "blocks", "block", F.coalesce("label", "rep").alias("comp"))
+        of = wide.join(joined, wide.v == joined.node, "left").select(*who, "cluster", "blocks", "block", F.coalesce("label", "v").alias("comp"))
         of = settle(of, "near-wide")
-        most = of.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("x")).select("cluster", F.col("x.comp").alias("main"))
-        rest = settle(of.join(most, "cluster").where("comp != main").drop("main"), "near-rest")
+        parts = of.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"))
+        most = settle(parts.groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("c")).select("cluster", F.col("x.comp").alias("main"), (F.col("c") - F.col("x.c")).alias("left"), "c"), "near-main")
+        rest = settle(join_counted(of, most, "cluster").where("comp != main").select(*of.columns), "near-rest")
         if not rest.isEmpty():
-            lots = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lots"))
-            out = rest.join(lots, "cluster").select("rep", "key", "cluster", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), (F.pmod(F.xxhash64("rep", F.lit(9)), F.col("lots")) + 1).cast("int").alias("other"), F.lit(2).alias("side"), "comp")
-            whole = of.join(lots, "cluster").select("rep", "key", "cluster", "block", F.explode(F.sequence(F.lit(1), F.col("lots"))).alias("other"), F.lit(1).alias("side"), "comp")
+            lots = most.where("left > 0").select("cluster", F.ceil(F.col("left") / BLOCK).cast("int").alias("lots"), "c")
+            out = join_counted(rest, lots, "cluster").select(*who, "cluster", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), (F.pmod(F.xxhash64("v", F.lit(9)), F.col("lots")) + 1).cast("int").alias("other"), F.lit(2).alias("side"), "comp")
+            whole = join_counted(of, lots, "cluster").select(*who, "cluster", "block", F.explode(F.sequence(F.lit(1), F.col("lots"))).alias("other"), F.lit(1).alias("side"), "comp")
             links = links.unionAll(verified(whole.unionAll(out)))
             joined = components(links)
-    vertex = vertices.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("label", "rep").alias("component"))
-    got = base.join(vertex, "key", "left")
+    of = settle(vertices.select("v", "rep", *name).join(joined, F.col("v") == F.col("node"), "left").select(*name, "rep", F.coalesce("label", "v").alias("label")), "near-labels")
+    least = settle(of.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("c")), "near-least")
+    vertex = settle(join_counted(of, least, "label").select(*name, "label", "component"), "near-components")
+    got = some.select("doc_id", "mark", "n", *name).join(vertex, name).select("doc_id", "mark", "n", "label", "component")
     # null ids and empty sets are alone
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return got.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    none = base.where("n = 0 OR doc_id IS NULL").select("doc_id", "mark", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component"))
+    return got.unionAll(none)
+
+
+def link_components(docs: DataFrame, k: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row a row of docs."""
+    return _labelled(docs, k).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def dedup(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs without those whose component has a smaller id. Rows with null ids stay; of rows that share an id one stays."""
+    """One row of each component, and all rows with null ids."""
     names = docs.columns
-    kept = settle(link_components(docs, k).where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct(), "near-kept")
-    # by sorted merge at any size: the ids are then in place for the distinct rows, one shuffle of the texts in all
-    both = docs.join(kept.hint("merge"), docs["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return both.unionAll(docs.where("doc_id IS NULL")).select(*names)
+    first = _labelled(docs.select("doc_id", "text"), k).where("doc_id = component")
+    kept = settle(first.groupBy("doc_id", "label", F.when(F.col("label").isNull(), F.col("mark")).alias("own")).agg(F.min("mark").alias("mark")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "near-kept")
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("mark"), F.xxhash64(*[docs[c] for c in names]).alias("h"))
+    # by sorted merge at any size: rows are then in place for the window, one shuffle of the texts in all
+    both = rows.join(kept.hint("merge"), (rows["id"] == kept["_id"]) & (rows["mark"] == kept["_mark"]), "left_semi")
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy("id", "mark").orderBy("h"))).where("nth = 1")
+    return both.select("row").unionAll(rows.where("id IS NULL").select("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = link_components(table(spark, sf_dir, "documents"), 2)
+    got = link_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 2)
     return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
