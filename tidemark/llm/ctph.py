@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix64, settle, table
+from .common import bytes_of, mix64, settle, spread, table
 
 WINDOW = 7
 SIGNS = 64
@@ -238,4 +238,4 @@ def compare_with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFram
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_with_next(table(spark, sf_dir, "documents"))
+    return compare_with_next(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
