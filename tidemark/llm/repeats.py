@@ -152,6 +152,28 @@ def _repeats(ids, marks, doc, start, count, shards: int) -> list[tuple[int, int,
     return [(part, REPEATS, _named(ids, marks, doc[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint32))) for part, rows in _split(doc_shard(ids[doc], shards))]
 
 
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which pack better than ascending numbers; np.cumsum undoes it."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def _pack_pieces(ids, marks, doc, h, start, count) -> bytes:
+    """Pieces in order of document and place. Of the hash 32 bits, beside those that chose the bucket: where they clash
+    more pieces are compared."""
+    by = np.lexsort((start, doc))
+    used, numbers = np.unique(doc[by], return_inverse=True)
+    place = numbers * (1 << 32) + start[by].astype(np.int64)
+    return pack(_steps(ids[used]), marks[used], _steps(numbers).astype(np.uint8), _steps(place).astype(np.uint32), (h[by] >> np.uint64(32)).astype(np.uint32), count[by].astype(np.uint8))
+
+
+def _unpack_pieces(blob: bytes) -> tuple[np.ndarray, ...]:
+    """ids, marks, document, hash, first window and number of windows."""
+    ids, marks, numbers, place, h, count = unpack(blob)
+    doc = np.cumsum(numbers, dtype=np.int64)
+    # differences of places are modulo 2**32, within a document and from one to the next
+    return np.cumsum(ids), marks, doc, h, np.cumsum(place, dtype=np.uint32), count
+
+
 def _named(ids, marks, doc, *columns) -> bytes:
     used, numbers = np.unique(doc, return_inverse=True)
     return pack(ids[used], marks[used], numbers.astype(np.uint32), *columns)
@@ -313,8 +335,8 @@ def _to_pieces(buckets: int, shards: int, lot: int, reported: int):
                     start, of = base[text] + at - offsets[text], doc[text]
                     bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                     for part, rows in _split(bucket):
-                        out.append((part, PIECES, _named(one_ids, one_marks, of[rows], h[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint8))))
-                    names, many = np.unique(h, return_counts=True)
+                        out.append((part, PIECES, _pack_pieces(one_ids, one_marks, of[rows], h[rows], start[rows], count[rows])))
+                    names, many = np.unique((bucket.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)), return_counts=True)
                     often = many >= reported
                     if often.any():
                         out.append((-1, COUNTS, pack(names[often], many[often].astype(np.uint32))))
@@ -345,13 +367,13 @@ def _dealt(rows: DataFrame, run, schema: str = _ROW_DDL) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 
 
-def _wanted(ids, marks, doc, h, start, count, spread, shards: int, piece_shards: int) -> list[tuple[int, int, bytes]]:
+def _wanted(ids, marks, doc, part, h, start, count, spread, shards: int, piece_shards: int) -> list[tuple[int, int, bytes]]:
     """Rows of kind WANTED: pieces whose bytes are to go to a shard of their anchor, or to one of many by their place."""
+    h = (np.uint64(part) << np.uint64(32)) | h  # as the reports name anchors
     salt = mix64(ids[doc].view(np.uint64) ^ mix64(start.astype(np.uint64))) % spread.astype(np.uint64)
-    to = (mix64(h + salt) % np.uint64(piece_shards)).astype(np.uint32)
-    group = (h >> np.uint64(32)).astype(np.uint32)
+    to = (mix64(mix64(h) + salt) % np.uint64(piece_shards)).astype(np.uint32)
     return [
-        (part, WANTED, _named(ids, marks, doc[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint8), to[rows], (spread[rows] > 1).astype(np.uint8), group[rows]))
+        (part, WANTED, _named(ids, marks, doc[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint8), to[rows], (spread[rows] > 1).astype(np.uint8), h[rows].astype(np.uint32)))
         for part, rows in _split(doc_shard(ids[doc], shards) if len(doc) else np.zeros(0, np.int64))
     ]
 
@@ -360,11 +382,11 @@ def _resolve(shards: int, piece_shards: int, most: int):
     """2: the pieces of each bucket whose anchor several shards have."""
 
     def run(batches):
-        for _, blobs in _parts(batches):
-            got = [unpack(b) for k, b in blobs if k == PIECES]
+        for bucket, blobs in _parts(batches):
+            got = [_unpack_pieces(b) for k, b in blobs if k == PIECES]
             if not got:
                 continue
-            ids, marks, doc = Docs.joined([(g[0], g[1], g[2]) for g in got])
+            ids, marks, doc = Docs.joined([g[:3] for g in got])
             h, start, count = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
             of = np.repeat(np.arange(len(got)), [len(g[3]) for g in got])
             by = np.argsort(h, kind="stable")  # within an anchor by shard
@@ -374,7 +396,7 @@ def _resolve(shards: int, piece_shards: int, most: int):
             contested = np.repeat(of[edge] != of[edge + size - 1], size)
             spread = np.repeat(-(-size // most), size)
             h, doc, start, count, spread = h[contested], doc[contested], start[contested], count[contested], spread[contested]
-            out = _wanted(ids, marks, doc, h, start, count, spread, shards, piece_shards)
+            out = _wanted(ids, marks, doc, bucket, h, start, count, spread, shards, piece_shards)
             for i in range(0, len(out), 512):
                 yield _rows(out[i : i + 512])
 
@@ -405,17 +427,18 @@ def _spread_ahead(hot: tuple[np.ndarray, np.ndarray], shards: int, piece_shards:
         for batch in batches:
             out = []
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                ids, marks, doc, h, start, count = unpack(blob)
-                place = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                is_hot = names[place] == h
+                ids, marks, doc, h, start, count = _unpack_pieces(blob)
+                name = (np.uint64(part) << np.uint64(32)) | h
+                place = np.minimum(np.searchsorted(names, name), len(names) - 1)
+                is_hot = names[place] == name
                 if not is_hot.any():
                     out.append((part, PIECES, blob))
                     continue
                 spread = np.maximum(-(-many[place] // most), 2)
                 rest = ~is_hot
-                out += _wanted(ids, marks, doc[is_hot], h[is_hot], start[is_hot], count[is_hot], spread[is_hot], shards, piece_shards)
+                out += _wanted(ids, marks, doc[is_hot], part, h[is_hot], start[is_hot], count[is_hot], spread[is_hot], shards, piece_shards)
                 if rest.any():
-                    out.append((part, PIECES, _named(ids, marks, doc[rest], h[rest], start[rest], count[rest])))
+                    out.append((part, PIECES, _pack_pieces(ids, marks, doc[rest], h[rest].astype(np.uint64) << np.uint64(32), start[rest], count[rest])))
             yield _rows(out)
 
     return run
@@ -621,8 +644,7 @@ def dedup(docs: DataFrame, whole: bool = False, most: int = SHARD_PIECES, lot: i
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # four parts a task even them out; more where parts would grow beyond SHARD
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     found = settle(docs.mapInArrow(_to_pieces(parts, parts, lot, reported), _ROW_DDL), "repeats-pieces")
     pieces = found.where(F.col("kind") == PIECES)
     hot = _hot(found, most)

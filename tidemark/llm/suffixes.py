@@ -60,7 +60,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     suffix as many bytes on as are sorted already, which doubles that number each time. A rank is the number of the
     first row of the suffix's group, so refining a group leaves all others as they are."""
     n = len(text)
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.uint8 if depth < 120 else np.int64)
     if n < 2:
         return np.arange(n), shared
     words = _words(text)
@@ -124,11 +124,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, shared: np.n
     rows = rows[(rows > 0) & (out[rows] < most)]
     if not len(rows):
         return out
-    before, bound, row_of = (np.full(n, -1, np.int64) for _ in range(3))
-    before[order[rows]] = order[rows - 1]
-    bound[order[rows]] = out[rows]
+    row_of = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     row_of[order[rows]] = rows
-    places = np.flatnonzero(before >= 0)  # in the order of the text
+    places = np.flatnonzero(row_of >= 0)  # in the order of the text
+    row_of = row_of[places].astype(np.int64)
+    before, bound = order[row_of - 1], out[row_of].astype(np.int64)
     words = _words(np.concatenate([text, np.zeros(most + 8, np.uint8)]))
     length = max(-(-len(places) // _STRIPS), 32)
     starts = np.arange(0, len(places), length)
@@ -137,10 +137,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, shared: np.n
         k = starts + step
         if k[-1] >= len(places):
             k = k[: np.searchsorted(k, len(places))]
-        here = places[k]
-        other = before[here]
+        here, other = places[k], before[k]
         m = len(k)
-        h = np.maximum(np.where(last[:m] == here - 1, known[:m] - 1, 0), bound[here])
+        h = np.maximum(np.where(last[:m] == here - 1, known[:m] - 1, 0), bound[k])
         go = np.flatnonzero(h < most)
         a, b, size = here[go], other[go], h[go]
         while len(go):
@@ -162,5 +161,5 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, shared: np.n
         # beyond the end of the text there are no bytes
         h = np.minimum(np.minimum(h, most), n - np.maximum(here, other))
         known[:m], last[:m] = h, here
-        out[row_of[here]] = h
+        out[row_of[k]] = h
     return out
