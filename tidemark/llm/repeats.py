@@ -6,8 +6,8 @@
 2. Shards are merged where they can have windows in common. Each window has an anchor, the GRAM bytes in it of least
    hash (the leftmost of equals), so equal windows have equal anchors. Neighbouring firsts of one anchor are a piece; a
    shard tells the hashes of its pieces' anchors, and anchors that several shards have are contested.
-3. The bytes of contested pieces are fetched and gathered by anchor; suffix arrays and common prefixes of these shards of
-   pieces find the windows that are equal across shards of texts.
+3. The bytes of contested pieces are fetched and gathered by anchor. Of pieces that are equal byte for byte the first is
+   kept; suffix arrays and common prefixes of the rest find the windows that are equal across shards of texts.
 4. An anchor with more than SHARD_PIECES contested pieces is spread over many shards of pieces. Its firsts leave each of
    them as a run of windows in suffix order, dealt out by a hash of the window; the runs that meet are merged by binary
    search of one in the other. Anchors that many shards have often are known before pieces are gathered (``_hot``), so no
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix64, settle, table
+from .common import bytes_of, mix64, settle, spread, table
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH = 100
@@ -499,9 +499,13 @@ def _classes(shards: int, ranges: int, lot: int):
             got = [unpack(b) for _, b in blobs]
             ids, marks, doc = Docs.joined([(g[0], g[1], g[2]) for g in got])
             start, count, spread, group, body = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5, 6, 7))
-            size = count.astype(np.int64) + LENGTH - 1
+            start, size = start.astype(np.int64), count.astype(np.int64) + LENGTH - 1
             at = np.cumsum(size) - size
-            by = np.argsort(group, kind="stable")
+            keep, late = _equal_pieces(body, at, size, (doc << _KEY) + start)
+            out = _repeats(ids, marks, doc[late], start[late], count[late], shards)
+            for i in range(0, len(out), 512):
+                yield _rows(out[i : i + 512])
+            by = keep[np.argsort(group[keep], kind="stable")]
             ends = np.cumsum(size[by])
             a = 0
             while a < len(by):
@@ -509,7 +513,7 @@ def _classes(shards: int, ranges: int, lot: int):
                 b = max(b, a + 1)
                 while b < len(by) and group[by[b]] == group[by[b - 1]]:
                     b += 1
-                out = _merged_pieces(ids, marks, doc, start.astype(np.int64), size, at, spread, body, by[a:b], shards, ranges)
+                out = _merged_pieces(ids, marks, doc, start, size, at, spread, body, by[a:b], shards, ranges)
                 for i in range(0, len(out), 512):
                     yield _rows(out[i : i + 512])
                 a = b
@@ -517,6 +521,29 @@ def _classes(shards: int, ranges: int, lot: int):
     return run
 
 
+_LONGEST = 2 * LENGTH - GRAM  # bytes of a piece at most
+
+
+def _equal_pieces(body, at, size, key) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces in one buffer, sorted as strings: those that no equal one precedes by key, and those that one does.
+    Pieces of one key and equal bytes are one."""
+    places = at[:, None] + np.minimum(np.arange(_LONGEST), (size - 1)[:, None])
+    strings = np.ones((len(at), _LONGEST + 2), np.uint8)
+    strings[:, :_LONGEST] = body[places]
+    strings[:, :_LONGEST][np.arange(_LONGEST) >= size[:, None]] = 0
+    strings[:, _LONGEST] = size  # beside the last byte, which keeps zeros at the end
+    strings = strings.view(f"S{_LONGEST + 2}").ravel()
+    by = np.argsort(strings, kind="stable")
+    new = np.ones(len(by), bool)
+    new[1:] = strings[by[1:]] != strings[by[:-1]]
+    group = np.cumsum(new) - 1
+    least = np.minimum.reduceat(key[by], np.flatnonzero(new)) if len(by) else key
+    own = key[by] == least[group]
+    seen = np.flatnonzero(own)
+    _, once = np.unique(group[seen], return_index=True)  # of twins one
+    return by[seen[once]], by[~own]
+
+
 def _merged_pieces(ids, marks, doc, start, size, at, spread, body, rows, shards: int, ranges: int) -> list[tuple[int, int, bytes]]:
     """REPEATS among the pieces of these rows, and RUNS of the firsts of spread anchors."""
     raw = _slices(body, at[rows], size[rows])
@@ -666,7 +693,7 @@ def dedup(docs: DataFrame, whole: bool = False, most: int = SHARD_PIECES, lot: i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 SQL = """
