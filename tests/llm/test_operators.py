@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -50,6 +51,22 @@ def test_license_scan(spark):
     assert got[10].labels == "apache" and got[len(texts) - 1].labels == "mit"
 
 
+def test_license_templates_of_any_length(spark, monkeypatch):
+    r = random.Random(4)
+    long = [f"term{r.randrange(300)}" for _ in range(400)]
+    changed = [w if i % 40 else "other" for i, w in enumerate(long)]  # 10 of 400 words
+    skips = long[:250] + ["a"] + long[250:290] + ["b"] + long[290:]  # drifts by 2
+    spread_out = [x for w in zip(*[iter(long)] * 3) for x in (*w, "q", "q")]  # three words at a time, further and further off
+    texts = ["x y " + " ".join(w) + " z" for w in (long, changed, skips, spread_out, long[:150])]
+    notices = (("long", " ".join(long)), ("tail", " ".join(long[300:])))
+    for sent in (licenses.SENT_PAIRS, 10):
+        monkeypatch.setattr(licenses, "SENT_PAIRS", sent)
+        got = {x.doc_id: x for x in licenses.scan(docs(spark, texts), notices).collect()}
+        assert [got[i].labels for i in range(5)] == ["long,tail", "long,tail", "long,tail", "", ""]
+        assert got[0].score == 1 and 0.75 <= got[1].score < 1
+    assert max(n for *_, n in licenses.template_pairs()) > 63  # one of the notices as well
+
+
 def test_license_scan_plan_is_native(spark):
     plan = licenses.scan(docs(spark, ["a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -65,28 +82,36 @@ def test_license_scan_of_nothing_and_twins(spark):
 
 
 def brute_top(rows, k=5):
-    out = set()
-    for q, v in rows:
+    out = []
+    for n, (q, v) in enumerate(rows):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:k]
-            out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)}
-    return out
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n)[:k]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("shard,group", [(8192, 1024), (64, 3)])
-def test_top_k(spark, shard, group):
+@pytest.mark.parametrize("shard,group,route", [(None, 1 << 16, topk.ROUTE_BYTES), (64, 3, topk.ROUTE_BYTES), (64, 100, 2000), (64, 100, 10)])
+def test_top_k(spark, shard, group, route):
     r = random.Random(1)
     rows = [(i, [r.randint(-9, 9) for _ in range(6)]) for i in r.sample(range(2000), 400)] + [(5000 + i, [3] * 6) for i in range(60)]
+    rows += rows[:40] * 2 + [(50, [9] * 6)] * 7 + [(100, [i % 7 - 3] * 6) for i in range(300)] + [(7, [40] * 6)]
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, v array<double>")
-    got = {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard, group).select("query_id", "rank", "vec_id", "score").collect()}
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard, group, route).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute_top(rows)
 
 
+def test_queries_go_where_their_bounds_reach():
+    far = [np.full((1, 3), x) for x in (100.0, 1.0, 90.0)]
+    route = topk._router(np.array([0, 1, 2], np.int32), np.concatenate(far), np.concatenate(far))
+    t = pa.RecordBatch.from_pydict({"v": pa.array([[1.0, 1.0, 1.0]] * 2), "floor": pa.array([200, None]), "home": pa.array([0, 2], pa.int32())})
+    assert [(x["home"], x["shard"]) for b in route([t]) for x in b.to_pylist()] == [(0, 2), (2, 0), (2, 1)]
+
+
 def test_top_k_odd_vectors(spark, tmp_path):
     rows = [(0, [0.5, 0.25], 1), (1, [0.5, None], 1), (2, None, 1), (3, [float("nan"), 1.0], 1), (4, [1.0, 1.0], 1), (4, [1.0, 1.0], 1), (5, [float("inf"), 0.0], 1), (None, [1.0, 1.0], 1), (6, [-0.001, 0.0], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(tuple(r) for r in topk.query(spark, str(tmp_path)).select("rank", "query_id", "vec_id", "score").collect())
-    assert got == [(1, 0, 4, 128 * 256 + 64 * 256), (2, 0, 6, -128)]
+    assert got == [(1, 0, 4, 128 * 256 + 64 * 256), (2, 0, 4, 128 * 256 + 64 * 256), (3, 0, 6, -128)]
 
 
 def test_top_k_of_nothing(spark):
@@ -96,8 +121,8 @@ def test_top_k_of_nothing(spark):
 def test_huge_components_stay_exact():
     r = np.random.default_rng(2)
     v = r.integers(-(1 << 31), 1 << 31, (300, 3)).astype(float)
-    q, ids = v[::50], np.arange(300)
-    at, got, score, _ = topk.search(q, ids[::50], np.full(len(q), np.iinfo(np.int64).min), v, ids, 5, False, 16)
+    q = v[::50]
+    at, got, score, _ = topk.search(q, np.arange(0, 300, 50), np.full(len(q), np.iinfo(np.int64).min), v, 5, False, 16)
     for i in range(len(q)):
         want = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(q[i], w)))), j) for j, w in enumerate(v) if j != 50 * i)[:5]
         assert sorted((-int(s), int(j)) for k, j, s in zip(at, got, score) if k == i) == want
@@ -116,15 +141,15 @@ def test_components_beyond_doubles(spark, tmp_path):
             best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in whole if i != q)[:5]
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     assert got == want
-    one = topk.search(np.array([[256e12]]), np.array([0]), np.full(1, np.iinfo(np.int64).min), np.array([[256.0], [300.0]]), np.array([1, 2]), 2, False)
+    one = topk.search(np.array([[256e12]]), np.array([-1]), np.full(1, np.iinfo(np.int64).min), np.array([[256.0], [300.0]]), 2, False)
     assert one[2].tolist() == [300 * 256 * 10**12, 256 * 256 * 10**12]
-    least = topk.search(np.array([[1e30]]), np.array([0]), np.full(1, np.iinfo(np.int64).min), np.array([[-1e30], [-2e30]]), np.array([1, 2]), 2, False)
-    assert least[1].tolist() == [1, 2] and set(least[2].tolist()) == {-(1 << 63)}
+    least = topk.search(np.array([[1e30]]), np.array([-1]), np.full(1, np.iinfo(np.int64).min), np.array([[-1e30], [-2e30]]), 2, False)
+    assert least[1].tolist() == [0, 1] and set(least[2].tolist()) == {-(1 << 63)}
 
 
 def test_pruning_skips_blocks():
     v = np.concatenate([np.full((128, 2), 100.0), np.full((1280, 2), 1.0)])
-    *_, scored = topk.search(np.ones((1, 2)), np.array([-1]), np.array([np.iinfo(np.int64).min]), v, np.arange(len(v)), 5, True)
+    *_, scored = topk.search(np.ones((1, 2)), np.array([-1]), np.array([np.iinfo(np.int64).min]), v, 5, True)
     assert scored == 1
 
 
@@ -270,15 +295,53 @@ def test_pii_columns_and_redaction(spark):
 
 
 def test_marginals_against_all_labellings():
-    f = toxicity.Field(-1.0, np.array([[0.4, -0.3], [0.1, 0.8]]), np.zeros(1 << toxicity.BITS))
-    n, places, lifts = 8, [1, 4, 5], [2.0, -1.0, 3.0]
-    e = np.full(n, f.bias)
-    e[places] += lifts
-    total, mass = 0.0, np.zeros(n)
-    for y in itertools.product((0, 1), repeat=n):
-        w = np.exp(sum(e[i] for i in range(n) if y[i]) + f.trans[0, y[0]] + sum(f.trans[a, b] for a, b in zip(y, y[1:])))
-        total, mass = total + w, mass + w * np.array(y)
-    assert f.marginals(places, lifts, n) == pytest.approx((mass / total)[places])
+    r = np.random.default_rng(3)
+    for case in range(30):
+        trans, bias = r.normal(size=(2, 2)), float(r.normal())
+        sizes = r.integers(1, 9, r.integers(1, 7))
+        lift, want, first = r.normal(size=sizes.sum()) * 3, [], []
+        for e in np.split(lift + bias, np.cumsum(sizes)[:-1]):
+            total, mass = 0.0, np.zeros(len(e))
+            for y in itertools.product((0, 1), repeat=len(e)):
+                w = np.exp(sum(e[i] for i in range(len(e)) if y[i]) + trans[0, y[0]] + sum(trans[a, b] for a, b in zip(y, y[1:])))
+                total, mass = total + w, mass + w * np.array(y)
+            want.append(mass / total)
+            first += [True] + [False] * (len(e) - 1)
+        got = toxicity.Field(bias, trans, np.zeros(1)).marginals(lift, np.array(first))
+        assert got == pytest.approx(np.concatenate(want))
+
+
+def plain_score(field, text):
+    """A document's score token by token, one forward and one backward pass in Python."""
+    raw, offsets = common.bytes_of(pa.array([text]))
+    starts, ends, _ = toxicity.tokens(raw, offsets)
+    e = [field.bias + sum(field.weights[k] for k in row) for row in toxicity.slots(toxicity.features(raw, starts, ends))]
+    n, t = len(e), np.exp(field.trans)
+    ahead, back = [], [np.ones(2)]
+    for i in range(n):
+        before = np.array([1.0, 0.0]) if i == 0 else ahead[-1]
+        x = (before @ t) * np.array([1, math.exp(e[i])])
+        ahead.append(x / x.sum())
+    for i in range(n - 1, 0, -1):
+        x = t @ (np.array([1, math.exp(e[i])]) * back[-1])
+        back.append(x / x.sum())
+    p = [float(a[1] * b[1] / (a @ b)) for a, b in zip(ahead, back[::-1])]
+    odds = sorted((min(max(math.log(x / (1 - x)), -14.0), 14.0) for x in (min(max(x, 1e-12), 1 - 1e-12) for x in p)), reverse=True)
+    sums = [*[*odds, -14.0, -14.0][:2], math.log1p(n)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(field.scale, [*sums, 1.0])))), [i for i, x in enumerate(p) if x >= 0.5]
+
+
+def test_scores_of_whole_texts():
+    """Long runs of equal tokens as well, whose single weights are far below any threshold."""
+    texts, labels = toxic_fixture()
+    field = toxicity.fit(texts, np.array([x[2] == 1 for x in labels]))
+    odd = ["", "zornik", "wort " * 2000, "wort zornika " * 700, texts[0] + " " + texts[1] * 30, *texts[:40]]
+    for f in (field, toxicity.Field(-6.0, np.zeros((2, 2)), np.zeros(1 << toxicity.BITS), (1.0, 0.1, -0.2, 0.3)), toxicity.Field(-2.5, np.array([[1.0, -1.0], [0.0, 2.0]]), field.weights, field.scale)):
+        raw, at = common.bytes_of(pa.array(odd))
+        sums, spans = toxicity.score_texts(f, raw, at)
+        for text, got, found in zip(odd, f.score(sums), spans):
+            want, toxic = plain_score(f, text)
+            assert got == pytest.approx(want, rel=1e-6) and len(found) == len(toxic)
 
 
 def test_tokens_keep_to_their_texts():
@@ -321,6 +384,8 @@ def test_toxicity_odd_cases(spark):
     got = {r.doc_id: r for r in toxicity.score(docs(spark, [*ODD, None], [*range(len(ODD)), None], ("score", "spans")), field).collect()}
     assert len(got) == len(ODD) + 1 and all(r.score < 0.5 for r in got.values())
     assert toxicity.score(docs(spark, []), field).count() == 0
+    long = spark.createDataFrame([(i, t + " wort" * 12_000 if i % 4 == 0 else t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert toxicity.score(long, toxicity.fit_on(long, lab)).where("(score >= 0.5) != (doc_id % 4 = 0)").count() <= 4  # long texts train too
     none = toxicity.fit_on(d, lab.where("toxic = 5"))
     assert all(r.score < 0.5 for r in toxicity.score(d.limit(3), none).collect())
 
@@ -497,6 +562,27 @@ def test_near_null_ids_and_nothing(spark):
     assert near.dedup(docs(spark, ["a b c d e f"] * 3, [None, 4, 4]), 2).count() == 2
 
 
+def test_near_rows_that_share_an_id(spark):
+    one, two = " ".join(f"w{i}" for i in range(40)), " ".join(f"x{i}" for i in range(40))
+    texts, ids = [one, one + " more", two, two, "", "", None, one], [3, 5, 5, 5, 5, 5, 5, 8]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near.link_components(docs(spark, texts, ids), 2).collect())
+    assert got == [(3, 39, 3), (5, 0, 5), (5, 0, 5), (5, 0, 5), (5, 39, 5), (5, 39, 5), (5, 40, 3), (8, 39, 3)]
+    for n in (1, 5):  # the near copy that shares its id with others goes, the others stay, whatever the order of rows
+        kept = near.dedup(docs(spark, texts, ids, ("row", "h", "_id", "mark")).repartition(n), 2).collect()
+        assert sorted((x.doc_id, x.text or "-") for x in kept) == sorted([(3, one), (5, two), (5, "-"), (5, "-")])
+    pair = [one + " a", one + " b"]
+    first, second = ([x.text for x in near.dedup(docs(spark, t, [7, 7]), 2).collect()] for t in (pair, pair[::-1]))
+    assert first == second and len(first) == 1
+
+
+def test_hot_keys_are_joined_in_place(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(2)
+    rows = spark.createDataFrame([(r.choice([1, 1, 1, *range(9)]), i) for i in range(200)], "k int, x int")
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("k != 4")
+    assert sorted(map(tuple, common.join_counted(rows, per, "k").collect())) == sorted(map(tuple, rows.join(per, "k").collect()))
+
+
 def test_target_recall():
     assert near.miss_probability(0.8) < 2e-6
 
@@ -521,11 +607,13 @@ def test_minwise_values_estimate_similarity():
     assert abs((m[0] == m[1]).mean() - 360 / 440) < 0.2
 
 
-def test_components_both_ways(spark):
+def test_components_both_ways(spark, monkeypatch):
     r = random.Random(0)
     edges = [(r.randint(0, 900), r.randint(0, 900)) for _ in range(500)] + [(i, i + 1) for i in range(5000, 5040)] + [(7000, 7000 + i) for i in range(100)]
     df = spark.createDataFrame(edges, "u long, v long")
     a, b = ({tuple(x) for x in graph.components(df, small=s).collect()} for s in (graph.SMALL, 0))
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    assert a == {tuple(x) for x in graph.components(df, small=0).collect()}
     assert a == b and (5040, 5000) in a
     assert graph.components(spark.createDataFrame([], "u long, v long"), small=0).count() == 0
 
@@ -681,3 +769,16 @@ def test_suffix_arrays(monkeypatch):
             x, y = s[o[j - 1] :], s[o[j] :]
             same = next((k for k in range(min(len(x), len(y), 100)) if x[k] != y[k]), min(len(x), len(y), 100))
             assert c[j] == same and (some[j] == 100) == (same == 100)
+
+
+def test_equal_pieces():
+    r = random.Random(9)
+    rows = [(bytes(r.choices(b"\x00\x01\x80", k=2)) * r.randint(50, 60) + b"\x00" * r.randint(0, 2), r.randrange(30)) for _ in range(300)]
+    body, size = np.frombuffer(b"".join(w for w, _ in rows), np.uint8), np.array([len(w) for w, _ in rows])
+    key = np.array([k for _, k in rows])
+    keep, late = repeats._equal_pieces(body, np.cumsum(size) - size, size, key)
+    least = {}
+    for w, k in rows:
+        least[w] = min(k, least.get(w, k))
+    assert sorted((rows[i][0], rows[i][1]) for i in keep) == sorted(least.items())
+    assert sorted(late) == [i for i, (w, k) in enumerate(rows) if k != least[w]]
