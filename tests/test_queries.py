@@ -49,8 +49,6 @@ def test_against_duckdb(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    if name == "forest_cv":
-        pytest.skip("run by the driver: 400 trees a fold")
     assert QUERIES[name](spark, SF).count() > 0
 
 

@@ -80,9 +80,8 @@ def _scaled(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def folded(df: DataFrame, features: list[str], y: str, k: int = 5, order: str = "date") -> DataFrame:
     """Complete rows with fold and role; folds are expanding and in order."""
-    # a row a meeting: kept, for the count, the folds and the rows all need it
-    full = df.select(order, *features, F.col(y).cast("int").alias("y")).dropna().persist()
-    n = full.count()
+    full = df.select(order, *features, F.col(y).cast("int").alias("y")).dropna()
+    n = full.count()  # of meetings
     return full.join(folds(full, n, k, order), order)
 
 
@@ -180,25 +179,101 @@ def coefficients(df: DataFrame, features: list[str], y: str, strength: float, cl
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "class int, feature string, weight double")
 
 
-def forest_predict(rows: DataFrame, features: list[str], depth: int = 4, leaf: int = 3, trees: int = TREES, seed: int = 42) -> DataFrame:
-    """fold, rn, y, predicted by a random forest for each fold, classes balanced by weight."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    out = None
-    prepared = VectorAssembler(inputCols=features, outputCol="x").transform(rows.withColumn("label", (F.col("y") + 1).cast("double")))
-    for r in rows.select("fold").distinct().orderBy("fold").collect():  # k folds
-        part = prepared.where(F.col("fold") == r["fold"])
-        train = part.where("role = 'train'")
-        counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
-        total = train.count()
-        weighted = train.join(F.broadcast(counts), "label").withColumn("w", total / (3 * F.col("c")))
-        model = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(weighted)
-        got = model.transform(part.where("role = 'test'")).select("fold", "rn", "y", (F.col("prediction") - 1).cast("int").alias("predicted"))
-        out = got if out is None else out.unionAll(got)
+def _grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int, depth: int, leaf: int, tries: int, r: np.random.Generator, gains: np.ndarray) -> tuple:
+    """A tree by Gini impurity: (feature, cut, left, right) or the leaf's class shares. gains: impurity less, by feature."""
+    total = np.bincount(y, weight, k)
+    if depth == 0 or len(y) < 2 * leaf or (total > 0).sum() < 2:
+        return (total / max(total.sum(), 1e-300),)
+    best = (1e-12, -1, 0.0)
+    parent = total.sum() - (total @ total) / total.sum()
+    for f in r.permutation(x.shape[1])[:tries]:
+        by = np.argsort(x[:, f], kind="stable")
+        v = x[by, f]
+        ahead = np.cumsum(np.eye(k)[y[by]] * weight[by, None], axis=0)[:-1]
+        rest = total - ahead
+        a, b = ahead.sum(axis=1), rest.sum(axis=1)
+        n = np.arange(1, len(y))
+        ok = (v[1:] > v[:-1]) & (n >= leaf) & (len(y) - n >= leaf) & (a > 0) & (b > 0)
+        if ok.any():
+            less = np.where(ok, parent - (a - (ahead * ahead).sum(axis=1) / np.where(ok, a, 1)) - (b - (rest * rest).sum(axis=1) / np.where(ok, b, 1)), -1.0)
+            i = int(less.argmax())
+            if less[i] > best[0]:
+                best = (float(less[i]), int(f), float((v[i] + v[i + 1]) / 2))
+    gain, f, cut = best
+    if f < 0:
+        return (total / total.sum(),)
+    gains[f] += gain
+    go = x[:, f] <= cut
+    return f, cut, _grow(x[go], y[go], weight[go], k, depth - 1, leaf, tries, r, gains), _grow(x[~go], y[~go], weight[~go], k, depth - 1, leaf, tries, r, gains)
+
+
+def _shares(tree: tuple, x: np.ndarray, k: int) -> np.ndarray:
+    if len(tree) == 1:
+        return np.broadcast_to(tree[0], (len(x), k))
+    f, cut, low, high = tree
+    go = x[:, f] <= cut
+    out = np.empty((len(x), k))
+    out[go], out[~go] = _shares(low, x[go], k), _shares(high, x[~go], k)
     return out
 
 
+def fit_forest(x: np.ndarray, y: np.ndarray, classes: np.ndarray, depth: int, leaf: int, trees: int, seed: int) -> tuple[list[tuple], np.ndarray]:
+    """Trees on bootstrap samples, the square root of the features tried at each split, classes balanced by weight; and
+    the features' importances, which sum to 1 (0 without a split)."""
+    r = np.random.default_rng(seed)
+    at, k = np.searchsorted(classes, y), len(classes)
+    counts = np.bincount(at, minlength=k)
+    weight = (len(y) / (np.count_nonzero(counts) * np.maximum(counts, 1)))[at]
+    tries, grown, importance = max(1, int(x.shape[1] ** 0.5)), [], np.zeros(x.shape[1])
+    for _ in range(trees):
+        pick, gains = r.integers(0, len(y), len(y)), np.zeros(x.shape[1])
+        grown.append(_grow(x[pick], at[pick], weight[pick], k, depth, leaf, tries, r, gains))
+        importance += gains / max(gains.sum(), 1e-300)
+    return grown, importance / max(importance.sum(), 1e-300)
+
+
+def _forests(rows: DataFrame, features: list[str], settings, trees: int, seed: int, classes: tuple[int, ...], schema: str, shape) -> DataFrame:
+    """``shape`` of each (setting, fold): test rows, class shares, importances. Settings and folds are what is dealt out;
+    a group has a row a meeting."""
+    listed = rows.sparkSession.createDataFrame([tuple(s) for s in settings], "depth int, leaf int")
+    names = np.array(sorted(classes))
+
+    def run(pdf):
+        import pandas as pd
+
+        train, test = pdf[pdf.role == "train"].sort_values("rn"), pdf[pdf.role == "test"].sort_values("rn")
+        if not len(train) or not len(test):
+            return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
+        depth, leaf = int(pdf.depth.iloc[0]), int(pdf.leaf.iloc[0])
+        grown, importance = fit_forest(train[features].to_numpy(float), train.y.to_numpy(), names, depth, leaf, trees, seed)
+        x = test[features].to_numpy(float)
+        return shape(test, names[sum(_shares(t, x, len(names)) for t in grown).argmax(axis=1)], importance)
+
+    return rows.crossJoin(F.broadcast(listed)).groupBy("depth", "leaf", "fold").applyInPandas(run, schema)  # settings: a handful
+
+
+def forest_predict(rows: DataFrame, features: list[str], settings=((4, 3),), trees: int = TREES, seed: int = 42, classes: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
+    """depth, leaf, fold, rn, y, predicted by a random forest for each setting and fold. rows: see ``folded``."""
+
+    def shape(test, predicted, importance):
+        out = test[["depth", "leaf", "fold", "rn", "y"]].copy()
+        out["predicted"] = predicted
+        return out
+
+    return _forests(rows, features, settings, trees, seed, classes, "depth int, leaf int, fold int, rn int, y int, predicted int", shape)
+
+
+def forest_importances(rows: DataFrame, features: list[str], depth: int = 4, leaf: int = 3, trees: int = TREES, seed: int = 42, classes: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
+    """fold, feature, importance: each feature's share of the impurity that splits take away."""
+
+    def shape(test, predicted, importance):
+        import pandas as pd
+
+        return pd.DataFrame({"fold": test.fold.iloc[0], "feature": features, "importance": importance})
+
+    return _forests(rows, features, ((depth, leaf),), trees, seed, classes, "fold int, feature string, importance double", shape)
+
+
 def local_projections(df: DataFrame, shock: str, target: str, horizons: range = range(11), control_lags: tuple[int, ...] = (1, 2), max_lags: int = 4, order: str = "date") -> DataFrame:
     """horizon, coef, se, low, high, n: the h-step change of the target (times 100) on the standardised shock and lags
     of both, with errors robust to autocorrelation (Bartlett weights)."""
@@ -268,12 +343,8 @@ def nested_validation(rows: DataFrame, candidates: list[str], most: int = 3, str
 
 def forest_grid(rows: DataFrame, features: list[str], depths: tuple[int, ...] = DEPTHS, leaves: tuple[int, ...] = LEAVES, trees: int = TREES) -> DataFrame:
     """depth, leaf, accuracy of forests over the folds, for each setting."""
-    out = None
-    for depth, leaf in itertools.product(depths, leaves):
-        p = forest_predict(rows, features, depth, leaf, trees)
-        one = p.agg(F.avg((F.col("y") == F.col("predicted")).cast("double")).alias("accuracy")).select(F.lit(depth).alias("depth"), F.lit(leaf).alias("leaf"), "accuracy")
-        out = one if out is None else out.unionAll(one)
-    return out
+    p = forest_predict(rows, features, tuple(itertools.product(depths, leaves)), trees)
+    return p.groupBy("depth", "leaf").agg(F.avg((F.col("y") == F.col("predicted")).cast("double")).alias("accuracy"))
 
 
 def compare(old: DataFrame, new: DataFrame, by: str = "model", value: str = "auc", band: float = 0.005) -> DataFrame:

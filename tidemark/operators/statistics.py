@@ -73,6 +73,12 @@ def lag_profile(corr: DataFrame, focus: str, k: int = 6) -> DataFrame:
     return corr.join(F.broadcast(top.select("base")), "base", "left_semi")  # k rows
 
 
+def first_of_each(rows: DataFrame, name: str, place: str) -> DataFrame:
+    """name, place, nth: each name once, at its first place, numbered in that order. rows: an ordered list of names."""
+    one = rows.groupBy(name).agg(F.min(place).alias(place))
+    return one.select(name, place, F.row_number().over(Window.orderBy(place)).alias("nth"))
+
+
 def overlap(long: DataFrame, least: int = 20) -> DataFrame:
     """a, b, r, n for unordered pairs of features; by a self-join on date of a meeting-level table."""
     x = long.where("value IS NOT NULL")
@@ -81,10 +87,16 @@ def overlap(long: DataFrame, least: int = 20) -> DataFrame:
     return g.where((F.col("n") >= least) & F.col("r").isNotNull()).select("a", "b", F.round("r", 3).alias("r"), "n")
 
 
+#: Labels of a confusion matrix at most.
+MOST_LABELS = 1000
+
+
 def confusion(df: DataFrame, a: str, b: str, share: bool = False) -> DataFrame:
-    """a, b, n for every pair of labels, zeros included; ``share``: of the row's total."""
+    """a, b, n for every pair of labels, zeros included; ``share``: of the row's total. Labels that are in no pair with
+    all others make a cell each, so the result has the square of their number: beyond MOST_LABELS it is refused."""
     counts = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    names = counts.select(F.explode(F.array("a", "b")).alias("x")).distinct()  # labels: a handful
+    names = counts.select(F.explode(F.array("a", "b")).alias("x")).distinct().limit(MOST_LABELS + 1)
+    names = names.select(F.when(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > MOST_LABELS, F.raise_error(F.lit(f"more than {MOST_LABELS} labels"))).otherwise(F.lit(0)).alias("_ok"), "x").where("_ok = 0").select("x")
     cells = names.select(F.col("x").alias("a")).join(F.broadcast(names.select(F.col("x").alias("b"))), how="cross")
     out = cells.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return out.select("*", F.try_divide("n", F.sum("n").over(Window.partitionBy("a"))).alias("share")) if share else out
@@ -140,7 +152,7 @@ def relative_frequency(counts: DataFrame, totals: DataFrame, by: str, least: int
     """by, word, ratio: a word's frequency per text in a group against that in all texts. totals: (by, texts)."""
     background = counts.groupBy("word").agg(F.sum("n").alias("all_n"))
     every = totals.agg(F.sum("texts").alias("all_texts"))
-    rows = counts.where(F.col("n") >= least).join(background, "word").join(F.broadcast(totals), by).crossJoin(F.broadcast(every))  # one row
+    rows = counts.where(F.col("n") >= least).join(background, "word").join(totals, by).crossJoin(F.broadcast(every))  # one row
     return rows.select(by, "word", "n", ((F.col("n") / F.col("texts")) / (F.col("all_n") / F.col("all_texts") + F.lit(1e-6))).alias("ratio"))
 
 

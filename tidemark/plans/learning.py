@@ -86,11 +86,54 @@ def logit_coefficients(spark, sf):
 
 @query("forest_cv")
 def forest_cv(spark, sf):
+    """Forests of 400 trees over three expanding folds."""
     p = ml.forest_predict(ml.folded(_plain(spark, sf), _NAMES, "y", 3), _NAMES)
     return rounded(p.groupBy("fold").agg(F.avg((F.col("y") == F.col("predicted")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")), "accuracy")
 
 
-@query("local_projection")
+@query("forest_grid")
+def forest_grid(spark, sf):
+    """Nine settings of forests over three expanding folds."""
+    return rounded(ml.forest_grid(ml.folded(_plain(spark, sf), _NAMES, "y", 3), _NAMES, trees=40), "accuracy")
+
+
+@query("forest_importances")
+def forest_importances(spark, sf):
+    """What each feature adds to the forests of each fold."""
+    return rounded(ml.forest_importances(ml.folded(_plain(spark, sf), _NAMES, "y", 3), _NAMES), "importance")
+
+
+_CONTROLS = ["t1", "s1", "t2", "s2"]
+
+
+def _projection_sql(horizons: int = 11, lags: int = 4) -> str:
+    """Partial regression: shock and change are freed of the constant and of each control in turn, which are freed of the
+    controls before; with v and e, what is left of both, the coefficient is sum(v * y) / sum(v * v), and its variance the
+    weighted sum of v * e at all lags over the square of sum(v * v)."""
+    names = ["y", "s", *_CONTROLS]
+    shifts = ", ".join(f"lag({c}, {k}) OVER w AS {c}{k}" for k in (1, 2) for c in ("t", "s"))
+    steps = [
+        "b AS (SELECT date, score AS s, ois_1y AS t FROM (SELECT date, avg(score) AS score FROM chunk_scores GROUP BY date) JOIN market USING (date))",
+        "h AS (SELECT unnest(range(" + str(horizons) + ")) AS horizon)",
+        "c AS (" + " UNION ALL ".join(f"SELECT {k} AS horizon, date, 100 * (lead(t, {k}) OVER w - t) AS y, s, {shifts} FROM b WINDOW w AS (ORDER BY date)" for k in range(horizons)) + ")",
+        "d AS (SELECT * FROM c WHERE " + " AND ".join(f"{x} IS NOT NULL" for x in names) + ")",
+        "q0 AS (SELECT horizon, date, y - avg(y) OVER g AS y, (s - avg(s) OVER g) / stddev_samp(s) OVER g AS s, " + ", ".join(f"{x} - avg({x}) OVER g AS {x}" for x in _CONTROLS) + " FROM d WINDOW g AS (PARTITION BY horizon))",
+    ]
+    for i, c in enumerate(_CONTROLS):
+        left = ["y", "s", *_CONTROLS[i + 1 :]]
+        steps.append(f"q{i + 1} AS (SELECT horizon, date, " + ", ".join(f"{x} - {c} * (sum({x} * {c}) OVER g / sum({c} * {c}) OVER g) AS {x}" for x in left) + f" FROM q{i} WINDOW g AS (PARTITION BY horizon))")
+    last = f"q{len(_CONTROLS)}"
+    steps += [
+        f"f AS (SELECT horizon, sum(s * y) / sum(s * s) AS coef, sum(s * s) AS ss, count(*) AS n FROM {last} GROUP BY horizon)",
+        f"u AS (SELECT horizon, date, s * (y - coef * s) AS u FROM {last} JOIN f USING (horizon))",
+        "m AS (SELECT horizon, u, " + ", ".join(f"lag(u, {k}) OVER w AS u{k}" for k in range(1, lags + 1)) + " FROM u WINDOW w AS (PARTITION BY horizon ORDER BY date))",
+        "v AS (SELECT horizon, sum(u * u) + " + " + ".join(f"2 * {1 - k / (lags + 1)} * coalesce(sum(u * u{k}), 0)" for k in range(1, lags + 1)) + " AS meat FROM m GROUP BY horizon)",
+        "z AS (SELECT horizon, coef, sqrt(meat) / ss AS se, n FROM f JOIN v USING (horizon))",
+    ]
+    return ", " + ", ".join(steps) + f" SELECT CAST(horizon AS INTEGER) AS horizon, {r('coef', 'coef')}, {r('se', 'se')}, {r('coef - 1.96 * se', 'low')}, {r('coef + 1.96 * se', 'high')}, CAST(n AS INTEGER) AS n FROM z"
+
+
+@query("local_projection", with_views("chunk_scores", "market", sql=_projection_sql()))
 def local_projection(spark, sf):
     return rounded(ml.local_projections(joined(spark, sf), "score", "ois_1y"), "coef", "se", "low", "high")
 

@@ -171,10 +171,10 @@ def top1_label(spark, sf):
 _LS = ", t AS (SELECT chunk_rowid, topic_model, topic, topic_prob FROM chunk_scores)"
 
 
-@query("topic_top1_models", with_views("chunk_scores", sql=_LS + ", k AS (SELECT chunk_rowid % 1000 AS chunk, topic_model, topic, row_number() OVER (PARTITION BY chunk_rowid % 1000, topic_model ORDER BY topic_prob DESC, topic, chunk_rowid) AS k FROM t) SELECT a.chunk, a.topic AS facebook, b.topic AS moritz FROM k AS a JOIN k AS b ON a.chunk // 2 = b.chunk // 2 WHERE a.k = 1 AND b.k = 1 AND a.topic_model = 'facebook' AND b.topic_model = 'moritz'"))
+@query("topic_top1_models", with_views("chunk_scores", sql=_LS + ", k AS (SELECT chunk_rowid AS chunk, topic_model, topic, row_number() OVER (PARTITION BY chunk_rowid, topic_model ORDER BY topic_prob DESC, topic) AS k FROM t) SELECT a.chunk, a.topic AS facebook, b.topic AS moritz FROM k AS a JOIN k AS b ON a.chunk // 2 = b.chunk // 2 WHERE a.k = 1 AND b.k = 1 AND a.topic_model = 'facebook' AND b.topic_model = 'moritz'"))
 def topic_top1_models(spark, sf):
     """Self-join of two models' best labels."""
-    t = chunk_scores(spark, sf).select((F.col("chunk_rowid") % 1000).alias("chunk"), "topic_model", "topic", "topic_prob")
+    t = chunk_scores(spark, sf).select(F.col("chunk_rowid").alias("chunk"), "topic_model", "topic", "topic_prob")
     k = scoring.top_label(t, ("chunk", "topic_model")).withColumn("pair", F.floor(F.col("chunk") / 2))
     a = k.where("topic_model = 'facebook'").select("pair", "chunk", F.col("topic").alias("facebook"))
     b = k.where("topic_model = 'moritz'").select("pair", F.col("topic").alias("moritz"))
@@ -214,7 +214,11 @@ def confusion_matrix(spark, sf):
     return rounded(stat.confusion(_ratings(spark, sf), "a", "b", True), "share")
 
 
-@query("lexicon_sentiment")
+_WORDS = "len(list_filter(w, lambda x: x IN ({})))"
+_UP, _DOWN = _WORDS.format("'the', 'and', 'les'"), _WORDS.format("'that', 'une', 'der'")
+
+
+@query("lexicon_sentiment", f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\\p{{L}}+'), lambda x: lower(x)) AS w FROM documents), c AS (SELECT doc_id, {_UP} / greatest(len(w), 1) AS p, {_DOWN} / greatest(len(w), 1) AS n FROM t) SELECT doc_id, {r('CASE WHEN p + n < 0.01 THEN 0 ELSE (p - n) / nullif(p + n, 0) END', 'polarity')} FROM c")
 def lexicon_sentiment(spark, sf):
     """Batch scoring of texts through the pluggable scorer, and its polarity."""
     scored = scoring.score_texts(table(spark, sf, "documents").select("doc_id", "text"), "text", scoring.lexicon_scorer(("the", "and", "les"), ("that", "une", "der")), "lexicon")
@@ -229,7 +233,10 @@ def _parity(prompt: str) -> str:
     return json.dumps({"results": [{"topic": "even" if len(p) % 2 == 0 else "odd", "sentiment": round(len(p) % 21 / 10 - 1, 1)} for p in parts]})
 
 
-@query("endpoint_batches")
+_PROMPTS = "WITH n AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS rn FROM benchmark), b AS (SELECT rn // 10 AS batch, list(item_id ORDER BY rn) AS keys, string_agg('TEXT ' || (rn % 10 + 1) || ': ' || text, chr(10) || chr(10) ORDER BY rn) AS prompt FROM n GROUP BY 1), s AS (SELECT keys, string_split(prompt, chr(10) || chr(10) || 'TEXT ') AS parts FROM b), e AS (SELECT unnest(keys) AS key, unnest(parts) AS part FROM s)"
+
+
+@query("endpoint_batches", _PROMPTS + " SELECT key, CASE WHEN length(part) % 2 = 0 THEN 'even' ELSE 'odd' END AS topic, CAST(round(length(part) % 21 / 10 - 1, 1) AS DOUBLE) AS sentiment FROM e")
 def endpoint_batches(spark, sf):
     """Texts in prompts of ten, JSON replies matched by position."""
     b = scoring.prompt_batches(table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SENTIMENT_MODELS, TABLES, TOPIC_MODELS
@@ -87,8 +85,8 @@ class Store:
 
     def put_statements(self, df: DataFrame) -> None:
         """Replaces all statements; keys by date."""
-        key = F.row_number().over(Window.orderBy("date", "url")).cast("long")
-        self._write(df.select("date", "url").withColumn("statement_id", key), "statements", "overwrite")
+        rows = numbered(df.select("date", "url", F.unix_date(F.to_date("date")).alias("_day")), "_day", ties=("date", "url"))
+        self._write(rows.select("date", "url", (F.col("rn") + 1).alias("statement_id")), "statements", "overwrite")
 
     def put_chunks(self, intro: DataFrame | None = None, qa: DataFrame | None = None) -> None:
         """Appends chunks of introductions and question times; keys follow (limit, statement, part, chunk)."""
@@ -124,16 +122,23 @@ class Store:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def numbered(df: DataFrame, order: str, name: str = "rn") -> DataFrame:
+def _place(x: Column, cuts: list[float], base: int) -> Column:
+    """How many of the ascending cuts are below x (0 for null), by binary search: as many comparisons as the number has digits."""
+    if not cuts:
+        return F.lit(base)
+    mid = len(cuts) // 2
+    return F.when(x > cuts[mid], _place(x, cuts[mid + 1 :], base + mid + 1)).otherwise(_place(x, cuts[:mid], base))
+
+
+def numbered(df: DataFrame, order: str, name: str = "rn", ties: tuple[str, ...] = ()) -> DataFrame:
     """Row numbers from 0 in the order of a numeric column, without one global window: rows are numbered within ranges,
     then shifted by the rows of the ranges before (one row a range is what meets in a single task). The ranges' bounds
     are quantiles that are found first, so both uses of them agree."""
-    parts = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = F.col(order).cast("double")
     cuts = sorted(set(df.select(x.alias("x")).stat.approxQuantile("x", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    above = [(x > c).cast("int") for c in cuts]
-    ranged = df.withColumn("_p", functools.reduce(lambda a, b: a + b, above, F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    ranged = df.withColumn("_p", _place(x, cuts, 0))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(order, *ties)) - 1
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return ranged.withColumn("_o", own).join(F.broadcast(before), "_p").withColumn(name, (F.col("_o") + F.col("_b")).cast("long")).drop("_p", "_o", "_b")
