@@ -50,6 +50,8 @@ BLOCK = 256
 PIVOTS = 4
 #: Of MINS values, how many agree at least where sets may be linked: a linked pair has fewer with probability 4.2e-6.
 AGREE = 36
+#: Ids whose texts are compared, sent to all tasks that read texts, at most (some 4 MB).
+SENT_IDS = 250_000
 _PIECE = 1 << 20
 
 
@@ -373,7 +375,10 @@ def _labelled(docs: DataFrame, k: int) -> DataFrame:
 
     def verified(tasks: DataFrame) -> DataFrame:
         # each text is sent once to its id's tasks, which then split it up
-        per = docs.select(F.col("doc_id").alias("rep"), "text").join(tasks, "rep")
+        texts, ids = docs.select(F.col("doc_id").alias("rep"), "text"), tasks.select("rep").distinct()
+        if ids.limit(SENT_IDS + 1).count() <= SENT_IDS:  # else texts are left out by the join itself
+            texts = texts.join(F.broadcast(ids), "rep", "left_semi")
+        per = texts.join(tasks, "rep")
         dealt = per.repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "v")
         return dealt.select("cluster", "block", "other", "v", *name, "side", "comp", "text").mapInArrow(_link_groups(k), "u long, v long")
 
