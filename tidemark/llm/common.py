@@ -81,11 +81,11 @@ def join_counted(rows: DataFrame, per: DataFrame, key: str, count: str = "c") ->
     """rows joined with per, which has one row a key and, as ``count``, how many rows have it. Keys of many rows are
     joined where these are: they have more than a HOT_KEYS-th of all rows, so there are at most HOT_KEYS of them. No task
     of the shuffled rest gets more rows of one key. Both tables are read twice."""
-    total = per.agg(F.sum(count)).first()[0] or 0
+    total, top = per.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
     most = max(total // HOT_KEYS, HOT_ROWS)
-    hot = per.where(F.col(count) > most)
-    if hot.isEmpty():
+    if top <= most:
         return rows.join(per, key)
+    hot = per.where(F.col(count) > most)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per.where(F.col(count) <= most), key)
     return rows.join(F.broadcast(hot), key).unionAll(cold)
 
