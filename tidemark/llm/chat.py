@@ -126,6 +126,8 @@ def digests(conversations: DataFrame) -> DataFrame:
             reader = Reader(turn)
             for text, learned in render(messages=messages):
                 reader.feed(text, learned)
+            if reader.held:
+                raise ValueError(f"conversation {conv}: the end of the formatted text can't be read back")
             rows.append({"conv_id": conv, "n_turns": counts[0], "turns_sha256": turns.hexdigest(), "loss_chars": counts[1], "loss_sha256": loss.hexdigest(), "formatted_chars": reader.n})
             if len(rows) == 4096:
                 yield pa.RecordBatch.from_pylist(rows, _DIGEST)

@@ -10,7 +10,7 @@ deletions and a, b the lengths.
 one, so that a text and the next one meet in one task without a global window.
 
 Defined cases: a null text is empty; empty texts have the fingerprint ``3::``, alike to each other (1) and to nothing
-else (0); the order of rows that share an id is that of their texts; null ids come last in descending order; a lone row
+else (0); rows that share an id are in the order of a hash of their texts; null ids come last in descending order; a lone row
 is its own next document; an empty table gives no rows; other columns are not read.
 """
 
