@@ -233,3 +233,62 @@ def test_lags_of_changed_meetings_go_both_ways(spark):
     for lag, (c, n) in got.items():
         both = [(kept[i - lag][0], kept[i][1]) for i in range(len(kept)) if 0 <= i - lag < len(kept)]
         assert n == len(both) and c == pytest.approx(np.corrcoef(np.array(both).T)[0, 1])
+
+
+def test_logit_is_at_its_optimum():
+    import numpy as np
+
+    from tidemark.operators import learning as ml
+
+    r = np.random.default_rng(1)
+    x, y, classes = r.normal(size=(90, 3)), r.integers(-1, 2, 90), np.array([-1, 0, 1])
+    for strength in ml.STRENGTHS:
+        w = ml.fit_logit(x, y, strength, classes)
+        p = ml.predict_logit(w, x)
+        counts = np.array([(y == c).sum() for c in classes])
+        weight = strength * (90 / (3 * counts))[np.searchsorted(classes, y)]
+        a = np.concatenate([x, np.ones((90, 1))], axis=1)
+        gradient = ((p - (y[:, None] == classes)) * weight[:, None]).T @ a + w * np.array([1, 1, 1, 1e-8])
+        assert np.abs(gradient).max() < 1e-6
+
+
+def test_forests_split_what_can_be_split(spark):
+    import numpy as np
+
+    from tidemark.operators import learning as ml
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 3))
+    y = np.where(x[:, 1] > 0.5, 1, np.where(x[:, 1] < -0.5, -1, 0))
+    trees, importance = ml.fit_forest(x, y, np.array([-1, 0, 1]), 4, 3, 60, 42)
+    shares = sum(ml._shares(t, x, 3) for t in trees)
+    assert (np.array([-1, 0, 1])[shares.argmax(axis=1)] == y).mean() > 0.95
+    assert importance.argmax() == 1 and abs(importance.sum() - 1) < 1e-9
+    rows = spark.createDataFrame([(f, i, "train" if i < 200 else "test", int(y[i]), *map(float, x[i])) for f in (0, 1) for i in range(300)], "fold int, rn int, role string, y int, a double, b double, c double")
+    got = ml.forest_grid(rows, ["a", "b", "c"], (1, 4), (3,), 30).collect()
+    assert {(g.depth, g.leaf) for g in got} == {(1, 3), (4, 3)} and max(g.accuracy for g in got) > 0.9
+    shown = ml.forest_importances(rows, ["a", "b", "c"], trees=20).collect()
+    assert len(shown) == 6 and {max((s for s in shown if s.fold == f), key=lambda s: s.importance).feature for f in (0, 1)} == {"b"}
+
+
+def test_logit_measures_against_pairs(spark):
+    """Fold rows, accuracy and AUC of the stored predictions, by all pairs."""
+    import numpy as np
+
+    from tidemark.operators import learning as ml
+
+    r = np.random.default_rng(4)
+    rows = [(float(d), *map(float, r.normal(size=2)), int(r.integers(-1, 2))) for d in range(80)]
+    df = spark.createDataFrame(rows, "date double, a double, b double, y int")
+    got = ml.cross_predict(ml.folded(df, ["a", "b"], "y"), ["a", "b"], (0.1, 1.0))
+    shown, p = {x.strength: x for x in ml.measures(got).collect()}, got.toPandas()
+    for strength, own in p.groupby("strength"):
+        acc, auc = [], []
+        for fold, t in own.groupby("fold"):
+            start = 80 - (5 - fold) * (80 // 6)
+            assert sorted(t.rn) == list(range(start, start + 80 // 6))
+            acc.append((t.y == t.predicted).mean())
+            if t.y.nunique() == 3:
+                auc.append(np.mean([np.mean([1.0 if a > b else 0.5 if a == b else 0.0 for a in t[t.y == c][f"p_{i}"] for b in t[t.y != c][f"p_{i}"]]) for i, c in enumerate((-1, 0, 1))]))
+        assert shown[strength].accuracy == pytest.approx(np.mean(acc)) and shown[strength].accuracy_sd == pytest.approx(np.std(acc))
+        assert shown[strength].auc == pytest.approx(np.mean(auc))
