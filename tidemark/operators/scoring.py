@@ -105,6 +105,7 @@ def sentiment_job(store, model: str, load, limit: int | None, sample: int | None
         out[k] = score_texts(rows, "chunk", load, model).select("chunk_rowid", polarity(F.col("output"), normalise).alias("score"))
         if save:
             store.replace_sentiments(out[k], model, k)
+            out[k] = store.scores(model, k)  # what was stored: nothing is scored again
     return out
 
 
@@ -119,6 +120,7 @@ def label_job(store, model: str, load, limit: int, sample: int | None = None, sa
     out = score_texts(rows, "chunk", load, model, batch).select("chunk_rowid", F.inline(chosen_labels(ordered, threshold))).select("chunk_rowid", F.col("label").alias("topic"), F.col("score").alias("prob"))
     if save:
         store.replace_topics(out, model, limit)
+        return store.topics(model, limit)
     return out
 
 

@@ -9,7 +9,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from . import correlations, learning, relational, series, texts  # noqa: F401  each registers its queries
+from . import correlations, learning, relational, series, storage, texts  # noqa: F401  each registers its queries
 from .base import QUERIES, SQL
 
 #: Queries with a date column, by that column's name.
@@ -18,7 +18,8 @@ DATED = {
     "date": tuple(
         "lag_features lead_responses first_differences moving_avg_180d moving_avg_events rolling_corr_20 composite_target regime_labels row_mean_abs global_position ts_folds"
         " standardise_train_only star_join left_new_columns outer_by_limit date_difference meeting_moments meeting_moments_labelled meeting_pivot meeting_pivot_ffill"
-        " meeting_pivot_topics meeting_pivot_divided feature_market_matrix market_panels chunk_model_pivot topic_reconciliation clean_dates".split()
+        " meeting_pivot_topics meeting_pivot_divided feature_market_matrix market_panels chunk_model_pivot topic_reconciliation clean_dates"
+        " psv_statements shocks_csv store_statements store_sentiments store_topics".split()
     ),
 }
 

@@ -50,13 +50,6 @@ def packed_chunks(spark, sf):
     return p.where("t <> ''").select("doc_id", "pos", F.posexplode(tx.pack_sentences("t", 50, 30)).alias("chunk_id", "chunk")).withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
-@query("chunks_all_limits")
-def chunks_all_limits(spark, sf):
-    """All four chunk sizes of every document in one pass, with positions."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("statement_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return chunking.chunks(d)
-
-
 @query("length_profile", with_views("paragraphs", sql=f" SELECT 'paragraph' AS kind, CAST(floor(least({_N.format('paragraph')}, 250) / 10) * 10 AS INTEGER) AS bin, count(*) AS n FROM paragraphs GROUP BY 2 UNION ALL SELECT 'document', CAST(floor(least({_N.format('text')}, 250) / 10) * 10 AS INTEGER), count(*) FROM documents GROUP BY 2"))
 def length_profile(spark, sf):
     return chunking.length_profile(paragraphs(spark, sf), "paragraph", "paragraph").unionAll(chunking.length_profile(table(spark, sf, "documents"), "text", "document"))

@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SENTIMENT_MODELS, TABLES, TOPIC_MODELS
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path under the one that driver and executors share; it goes at exit. Where no shared folder is named,
+    a local one serves if all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"/tmp/tidemark-scratch/{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _scratch:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended: nothing is left to ask
+            return
+
+
+atexit.register(_clean)
+
+
 class Store:
     """Tables under one folder. chunks are partitioned by chunk_limit; scores by chunk_limit and model as well, so that
     replacing one (limit, model) is the overwrite of one partition."""
@@ -81,6 +112,19 @@ class Store:
             cols += ["topic", "topic_prob", "topic_model"]
         return out.select(*cols)
 
+    def _of_model(self, name: str, models: str, model: str, limit: int) -> DataFrame:
+        dim = F.broadcast(self.read(models).where(F.col("name") == model).select("model_id"))  # one row
+        return self.read(name).where(F.col("chunk_limit") == limit).join(dim, "model_id")
+
+    def scores(self, model: str, limit: int) -> DataFrame:
+        """chunk_rowid, score of one limit and model."""
+        return self._of_model("sentiments", "sentiment_models", model, limit).select("chunk_rowid", "score")
+
+    def topics(self, model: str, limit: int) -> DataFrame:
+        """chunk_rowid, topic, prob of one limit and model."""
+        lab = F.broadcast(self.read("topic_labels").select("label_id", F.col("name").alias("topic")))  # a few labels a version
+        return self._of_model("topics", "topic_models", model, limit).join(lab, "label_id").select("chunk_rowid", "topic", "prob")
+
     # loads
 
     def put_statements(self, df: DataFrame) -> None:
