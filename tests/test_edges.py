@@ -89,6 +89,12 @@ def test_packing(spark):
     assert pack(spark, "", 5, 0) == [] and pack(spark, None, 5, 0) is None
 
 
+def test_abbreviations_end_no_sentence(spark):
+    split = lambda t: one(spark.createDataFrame([(t,)], "t string").select(tx.sentences("t")))
+    assert split("Mr. J. R. A. B. Doe, e.g.  here. Prof. X! (Dr. Y) said. HMr. no") == ["Mr. J. R. A. B. Doe, e.g. here.", "Prof. X!", "(Dr. Y) said.", "HMr.", "no"]
+    assert split("U.S. rates. EU. b. c") == ["U.S. rates.", "EU.", "b.", "c"] and split("") == [""] and split(None) is None
+
+
 def test_packing_keeps_all_sentences(spark):
     r = random.Random(3)
     texts = [" ".join(" ".join("w" * r.randint(1, 4) for _ in range(r.randint(1, 30))) + "." for _ in range(r.randint(1, 12))) for _ in range(60)]

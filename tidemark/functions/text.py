@@ -13,6 +13,11 @@ INVITATION = r"(I am[\w\s,]{10,30}questions\.)|(We[\w\s,]*questions[\w\s]*\.)|(\
 TRANSCRIPT_HEAD = r"Transcript of the questions.*ECB"
 TRANSCRIPT_SKIP = r"(?i)Transcript of the questions.*President(of the ECB)?"
 
+#: Words whose dot ends no sentence; single capitals (initials) are such words as well.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Messrs", "Dr", "Prof", "St", "vs", "cf", "e.g", "i.e", "U.S", "U.K")
+#: An abbreviation with its dot, between a word's start and a cut. Java and RE2 read it alike.
+CUT_AFTER_ABBREVIATION = r"(^|[\s\x01(\[])((?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[A-Z])\.)\x01"
+
 
 def squeeze(text) -> Column:
     """White space at the ends removed, runs of it made one space."""
@@ -26,8 +31,11 @@ def clean_paragraph(text, limit: int = 100) -> Column:
 
 
 def sentences(text) -> Column:
-    """Split after . ! ? and white space."""
-    return F.split(F.regexp_replace(col(text), r"([.!?])\s+", "$1\u0001"), "\u0001")
+    """Split after . ! ? and white space, but not after abbreviations and initials."""
+    cut = F.regexp_replace(col(text), r"([.!?])\s+", "$1\u0001")
+    for _ in range(2):  # a match takes the cut before it, so the second pass finds every other one in a row
+        cut = F.regexp_replace(cut, CUT_AFTER_ABBREVIATION, "$1$2 ")
+    return F.split(cut, "\u0001")
 
 
 def words(text) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import CUT_AFTER_ABBREVIATION
+
 #: Added before rounding on both sides: means of round numbers lie on rounding's edge exactly, sums in another order not.
 OFF_EDGE = 1.234e-9
 QUERIES: dict[str, Callable] = {}
@@ -35,3 +37,11 @@ def r(expression: str, name: str | None = None, digits: int = 6) -> str:
 def sql_corr(x: str, y: str) -> str:
     """Pearson's r over rows where both are given, null where a side is constant."""
     return f"covar_samp({x}, {y}) / nullif(stddev_samp(CASE WHEN {y} IS NOT NULL THEN {x} END) * stddev_samp(CASE WHEN {x} IS NOT NULL THEN {y} END), 0)"
+
+
+def sql_sentences(x: str) -> str:
+    """The list of a text's sentences."""
+    cut = f"regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g')"
+    for _ in range(2):
+        cut = f"regexp_replace({cut}, '{CUT_AFTER_ABBREVIATION}', '\\1\\2 ', 'g')"
+    return f"string_split({cut}, chr(1))"

@@ -12,24 +12,21 @@ from ..sources import files
 from ..sources import html as web
 from ..sources.adapters import market, paragraphs, table, with_views
 from ..sources.store import Store, scratch
-from .base import query, r, rounded
+from .base import query, r, rounded, sql_sentences
 
 #: Meetings that documents are dealt to.
 MEETINGS = 48
-_LINES = "replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), chr(9))"
+_LINES = "replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), ' ')"
 
 
-def _lines():
-    return F.translate(F.coalesce("text", F.lit("")), "\r\n", " \t")
-
-
-@query("psv_statements", f"SELECT doc_id AS statement_id, CAST(DATE '2000-01-01' + CAST(doc_id % 5000 AS INTEGER) AS DATE) AS date, md5({_LINES}) AS intro, CASE WHEN doc_id % 3 > 0 THEN md5({_LINES} || '\"|\\') END AS qa FROM documents")
+@query("psv_statements", f"SELECT doc_id AS statement_id, CAST(DATE '2000-01-01' + CAST(doc_id % 5000 AS INTEGER) AS DATE) AS date, md5({_LINES}) AS intro, CASE WHEN doc_id % 3 > 0 THEN md5(' ' || {_LINES} || '\"|\\ ') END AS qa FROM documents")
 def psv_statements(spark, sf):
     """Documents as transcripts, written to a |-separated file and scanned again."""
     home = scratch(spark, "psv")
     day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 5000).cast("int")).cast("string")
-    qa = F.when(F.col("doc_id") % 3 > 0, F.concat(_lines(), F.lit('"|\\')))
-    files.write_transcripts(table(spark, sf, "documents").select(F.col("doc_id").alias("statement_id"), day.alias("date"), F.lit("u").alias("url"), _lines().alias("intro"), qa.alias("qa")), home)
+    text = F.coalesce("text", F.lit(""))
+    qa = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(" "), text, F.lit('"|\\ ')))
+    files.write_transcripts(table(spark, sf, "documents").select(F.col("doc_id").alias("statement_id"), day.alias("date"), F.lit("u").alias("url"), text.alias("intro"), qa.alias("qa")), home)
     return files.read_transcripts(spark, home).select("statement_id", "date", F.md5(F.coalesce("intro", F.lit(""))).alias("intro"), F.md5("qa").alias("qa"))
 
 
@@ -146,7 +143,7 @@ def store_labels(spark, sf):
     return s.topic_labels(0).withColumn("version", F.lit(0)).unionAll(s.topic_labels(1).withColumn("version", F.lit(1)))
 
 
-_Q = "CASE WHEN turn % 4 = 0 THEN 'Question: ' || x WHEN turn % 2 = 1 THEN '[' || x || ']' ELSE 'ECB: ' || x || '...' END"
+_Q = "CASE WHEN turn % 4 = 0 THEN 'Question: ' || x WHEN turn % 2 = 1 THEN '[' || x || ']' ELSE 'ECB: Mr. J. R. Doe, e.g. ' || x || '...' END"
 _TURNS = "p AS (SELECT conv_id, turn, " + _Q + " AS p FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[\\t\\[\\]]', ' ', 'g') AS x FROM conversations))"
 
 
@@ -154,7 +151,7 @@ def _packing(limits: str, keep: str = "") -> str:
     """Chunks of the rows of c (statement_id, pos, t, lim, tail, least and kept columns), by recursion over sentences."""
     k = f", {keep}" if keep else ""
     nk = f", n.{keep}" if keep else ""
-    sent = "string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    sent = sql_sentences("t")
     return (
         f"l AS (SELECT * FROM (VALUES {limits}) AS v(lim, least, tail)),"
         f" s AS (SELECT statement_id, pos{k}, lim, tail, unnest(range(len(x))) AS i, unnest(x) AS s FROM (SELECT statement_id, pos{k}, lim, tail, {sent} AS x FROM c, l WHERE length(t) >= least)),"
@@ -196,7 +193,7 @@ _IS_Q = "(regexp_matches(trim(translate(p, '[]', '')), '^(Question|Q:)') OR (len
 def question_chunks(spark, sf):
     """Question times as tab-joined cells: paragraphs marked as questions or not, cleaned and packed to all sizes."""
     x = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\[\]]", " ")
-    p = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Question: "), x)).when(F.col("turn") % 2 == 1, F.concat(F.lit("["), x, F.lit("]"))).otherwise(F.concat(F.lit("ECB: "), x, F.lit("...")))
+    p = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Question: "), x)).when(F.col("turn") % 2 == 1, F.concat(F.lit("["), x, F.lit("]"))).otherwise(F.concat(F.lit("ECB: Mr. J. R. Doe, e.g. "), x, F.lit("...")))
     cells = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("statement_id")).agg(F.array_sort(F.collect_list(F.struct("turn", p.alias("p")))).alias("rows"))
     s = cells.select("statement_id", F.lit(None).cast("date").alias("date"), F.array_join(F.transform("rows", lambda z: z["p"]), "\t").alias("qa"))
     return _wide(chunking.question_chunks(s))

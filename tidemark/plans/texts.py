@@ -10,7 +10,7 @@ from ..operators import statistics as stat
 from ..schema import POLARITY_BAND, WORD_THRESHOLD
 from ..sources import html as web
 from ..sources.adapters import chunk_scores, paragraphs, table, with_views
-from .base import query, r, rounded
+from .base import query, r, rounded, sql_sentences
 
 _SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 #: Short frequent words of the driver's invented English, as a stopword list.
@@ -22,10 +22,7 @@ def clean_paragraphs(spark, sf):
     return paragraphs(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), tx.clean_paragraph("paragraph", 100).alias("text"))
 
 
-_SENT = "string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
-
-
-@query("sentence_split", with_views("paragraphs", sql=f" SELECT doc_id, pos, unnest(range(len(s))) AS sentence_id, unnest(s) AS sentence FROM (SELECT doc_id, pos, {_SENT.format('paragraph')} AS s FROM paragraphs)"))
+@query("sentence_split", with_views("paragraphs", sql=f" SELECT doc_id, pos, unnest(range(len(s))) AS sentence_id, unnest(s) AS sentence FROM (SELECT doc_id, pos, {sql_sentences('paragraph')} AS s FROM paragraphs)"))
 def sentence_split(spark, sf):
     p = paragraphs(spark, sf)
     return p.select("doc_id", F.col("pos").cast("long").alias("pos"), F.posexplode(tx.sentences("paragraph")).alias("sentence_id", "sentence")).withColumn("sentence_id", F.col("sentence_id").cast("long"))
@@ -34,7 +31,7 @@ def sentence_split(spark, sf):
 _N = "len(list_filter(string_split_regex(trim({0}), '\\s+'), lambda w: w <> ''))"
 _PACK = (
     ", c AS (SELECT doc_id, pos, " + _SQUEEZE.format("paragraph") + " AS t FROM paragraphs WHERE length(" + _SQUEEZE.format("paragraph") + ") >= 100),"
-    " s AS (SELECT doc_id, pos, unnest(range(len(x))) AS i, unnest(x) AS s FROM (SELECT doc_id, pos, " + _SENT.format("t") + " AS x FROM c)),"
+    " s AS (SELECT doc_id, pos, unnest(range(len(x))) AS i, unnest(x) AS s FROM (SELECT doc_id, pos, " + sql_sentences("t") + " AS x FROM c)),"
     " n AS (SELECT *, " + _N.format("s") + " AS n FROM s),"
     " g AS (SELECT doc_id, pos, i, s, n, n AS run, 0 AS chunk FROM n WHERE i = 0 UNION ALL"
     " SELECT n.doc_id, n.pos, n.i, n.s, n.n, CASE WHEN g.run + n.n <= 50 THEN g.run + n.n ELSE n.n END, CASE WHEN g.run + n.n <= 50 THEN g.chunk ELSE g.chunk + 1 END FROM g JOIN n ON n.doc_id = g.doc_id AND n.pos = g.pos AND n.i = g.i + 1),"

@@ -21,7 +21,9 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_transcripts(df: DataFrame, path: str) -> None:
-    df.select(*TRANSCRIPT.names).write.mode("overwrite").csv(path, sep="|", header=True)
+    """Line breaks within a cell become spaces, so that the file can be read in splits; all else is kept."""
+    cells = [F.translate(f.name, "\r\n", "  ").alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in TRANSCRIPT]
+    df.select(*cells).write.mode("overwrite").csv(path, sep="|", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def _panel(df: DataFrame) -> DataFrame:
