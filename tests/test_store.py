@@ -2,13 +2,12 @@
 
 import datetime as dt
 import io
-import zipfile
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import scoring
 from tidemark.schema import EVENT_STUDY
-from tidemark.sources import files
+from tidemark.sources import files, html
 from tidemark.sources.store import Store, numbered, page_ranges, seeded_sample
 from tidemark.streaming import jobs
 
@@ -61,14 +60,24 @@ def test_transcripts_round_trip(spark, tmp_path):
 
 def workbook() -> bytes:
     rows = [["date", "OIS_1M", "other", "STOXX50"], ["1/2/2020", "0.5", "x", "1.25"], ["43863", "", "y", ""], ["2020-03-05", "2", "z", "-1"]]
-    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    cells = "".join(f"<row>{''.join(f'<c r=\"{chr(65 + j)}{i + 1}\" t=\"inlineStr\"><is><t>{v}</t></is></c>' for j, v in enumerate(r) if v)}</row>" for i, r in enumerate(rows))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Press Conference Window" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData>{cells}</sheetData></worksheet>')
-    return out.getvalue()
+    return files.workbook({"a & \"b\"": [["1"]], "Press Conference Window": rows})
+
+
+def test_wide_workbook():
+    names = [f"<{i}>" for i in range(60)]
+    assert files.sheet_rows(files.workbook({"s": [names, [str(i) for i in range(60)], []]}), "s") == [{n: str(i) for i, n in enumerate(names)}, {}]
+
+
+def test_fetched_pages(spark):
+    import urllib.error
+
+    def open_url(url, timeout):
+        if "bad" in url:
+            raise urllib.error.HTTPError(url, 404, "gone", None, None)
+        return io.BytesIO(f"<p>{url} é".encode())
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "page_id long, url string")
+    assert sorted(map(tuple, html.fetched(df, open_url).collect())) == [(1, "a", "<p>a é"), (3, "c", "<p>c é")]
 
 
 def test_workbook(spark, tmp_path):

@@ -19,7 +19,7 @@ DATED = {
         "lag_features lead_responses first_differences moving_avg_180d moving_avg_events rolling_corr_20 composite_target regime_labels row_mean_abs global_position ts_folds"
         " standardise_train_only star_join left_new_columns outer_by_limit date_difference meeting_moments meeting_moments_labelled meeting_pivot meeting_pivot_ffill"
         " meeting_pivot_topics meeting_pivot_divided feature_market_matrix market_panels chunk_model_pivot topic_reconciliation clean_dates"
-        " psv_statements shocks_csv store_statements store_sentiments store_topics".split()
+        " psv_statements shocks_csv event_study_workbook critical_windows store_statements store_sentiments store_topics".split()
     ),
 }
 

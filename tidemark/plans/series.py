@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import changed, composite, direction, fisher_interval, pairs, pearson, regime, row_mean_abs
 from ..operators import windows as win
+from ..operators.statistics import CRITICAL_R_20
 from ..schema import eras
 from ..sources.adapters import chunk_scores, market, qa_turns, table, with_views
 from .base import query, r, rounded, sql_corr
@@ -66,6 +67,16 @@ def rolling_corr_20(spark, sf):
     return rounded(win.rolling_correlation(joined(spark, sf), "score", "stoxx50"), "r", digits=5)
 
 
+@query(
+    "critical_windows",
+    with_views("chunk_scores", "market", sql=_SM + f", w AS (SELECT date, count(*) OVER {_W20} AS n, covar_samp(score, stoxx50) OVER {_W20} / nullif(stddev_samp(score) OVER {_W20} * stddev_samp(stoxx50) OVER {_W20}, 0) AS r FROM j) SELECT date, {r('r', 'r', 5)}, abs(r) > {CRITICAL_R_20} AS significant FROM w WHERE n = 20"),
+)
+def critical_windows(spark, sf):
+    """Full windows of 20 rows whose correlation is beyond the critical one."""
+    w = win.rolling_correlation(joined(spark, sf), "score", "stoxx50").where("n = 20")
+    return rounded(w.select("date", "r", (F.abs("r") > CRITICAL_R_20).alias("significant")), "r", digits=5)
+
+
 @query("fisher_ci", with_views("chunk_scores", "market", sql=_SM + f", c AS (SELECT {sql_corr('score', 'stoxx50')} AS r, count(*) AS n FROM j) SELECT n, {r('r', 'r', 5)}, {r('tanh(atanh(greatest(least(r, 0.999999), -0.999999)) - 1.959963984540054 / sqrt(greatest(n - 3, 1)))', 'low', 5)}, {r('tanh(atanh(greatest(least(r, 0.999999), -0.999999)) + 1.959963984540054 / sqrt(greatest(n - 3, 1)))', 'high', 5)} FROM c"))
 def fisher_ci(spark, sf):
     c = joined(spark, sf).agg(pearson("score", "stoxx50").alias("r"), pairs("score", "stoxx50").alias("n"))

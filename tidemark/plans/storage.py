@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, scoring
-from ..schema import CHUNK_LIMITS
+from ..schema import CHUNK_LIMITS, TABLES
 from ..sources import files
 from ..sources import html as web
 from ..sources.adapters import market, paragraphs, table, with_views
-from ..sources.store import Store, scratch
+from ..sources.store import Store, scratch, seeded_sample
 from .base import query, r, rounded, sql_sentences
 
 #: Meetings that documents are dealt to.
@@ -39,6 +39,19 @@ def shocks_csv(spark, sf):
     return files.read_shocks(spark, home)
 
 
+_PANEL = "ois_1m, ois_3m, ois_6m, ois_1y, stoxx50"
+
+
+@query("event_study_workbook", with_views("market", sql=f" SELECT date, ois_1m AS \"OIS_1M\", ois_3m AS \"OIS_3M\", ois_6m AS \"OIS_6M\", ois_1y AS \"OIS_1Y\", stoxx50 AS \"STOXX50\" FROM market WHERE coalesce({_PANEL}) IS NOT NULL"))
+def event_study_workbook(spark, sf):
+    """A panel as a sheet among others, with serial dates and columns that aren't wanted, scanned by the schema's names."""
+    path = scratch(spark, "book") + ".xlsx"
+    panel = market(spark, sf).select(F.datediff("date", F.lit("1899-12-30")).cast("string"), F.lit("x"), *[F.col(c.strip()).cast("string") for c in _PANEL.split(",")])
+    rows = [list(x) for x in panel.collect()]  # a row a month
+    files.write_workbook(spark, path, {"Notes": [["a"], ["b"]], "Press Conference Window": [["date", "note", "OIS_1M", "OIS_3M", "OIS_6M", "OIS_1Y", "STOXX50"], *rows]})
+    return files.read_event_study(spark, path)
+
+
 @query("result_table", "SELECT lang AS \"Era\", source AS \"Feature\", count(*) AS n, CASE WHEN count(*) % 2 = 0 THEN '*' ELSE '' END AS sig FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
 def result_table(spark, sf):
     """A result table as CSV, each row twice, read again: no stars as '', one row a feature and era."""
@@ -92,6 +105,23 @@ def store_chunks(spark, sf):
     return rows.select("statement_id", F.when(F.col("part") == 0, "IS").otherwise("QA").alias("part"), F.col("chunk_id").cast("long").alias("chunk_id"), "is_question", "chunk_limit", F.md5("chunk").alias("chunk"))
 
 
+@query("seeded_sample", "SELECT doc_id FROM documents WHERE doc_id IS NOT NULL ORDER BY md5(doc_id || ':42'), doc_id LIMIT 50")
+def sampled_documents(spark, sf):
+    """A sample of fixed size by a seed, the same on every run."""
+    return seeded_sample(table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id"), "doc_id", 50)
+
+
+_DDL = ", ".join(f"('{name}', {i}, '{f.name}', '{f.dataType.simpleString()}')" for name, s in TABLES.items() for i, f in enumerate(s))
+
+
+@query("store_ddl", f"SELECT * FROM (VALUES {_DDL}, ('sentiments', 3, 'chunk_limit', 'int'), ('topics', 4, 'chunk_limit', 'int')) AS t(name, pos, field, type)")
+def store_ddl(spark, sf):
+    """Columns of the stored tables, read from what was written."""
+    s = _filled(spark, sf)
+    rows = [(n, i, *part.split(" ")) for n, text in s.ddl().items() for i, part in enumerate(text.split(", ")) if part.split(" ")[0] in s.read(n).columns]
+    return spark.createDataFrame(rows, "name string, pos int, field string, type string")
+
+
 _COUNT = "len(list_filter(w, lambda x: x IN ({})))"
 _UP, _DOWN = _COUNT.format("'the', 'and', 'les'"), _COUNT.format("'that', 'une', 'der'")
 _SCORED = (

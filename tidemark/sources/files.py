@@ -91,6 +91,45 @@ def read_money_market(spark: SparkSession, path: str, sheet: str = "MM") -> Data
     return read_sheet(spark, path, sheet, MONEY_MARKET)
 
 
+def workbook(sheets: dict[str, list[list[str | None]]]) -> bytes:
+    """A workbook of text cells, for panels of a few hundred rows; empty cells are left out."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kinds = {"xl/workbook.xml": "sheet.main", **{f"xl/worksheets/sheet{i + 1}.xml": "worksheet" for i in range(len(sheets))}}
+    types = "".join(f'<Override PartName="/{p}" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{k}+xml"/>' for p, k in kinds.items())
+    names = "".join(f'<sheet name={quoteattr(n)} sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, n in enumerate(sheets))
+    links = "".join(f'<Relationship Id="r{i + 1}" Type="{office}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
+
+    def place(j: int) -> str:
+        return ("" if j < 26 else place(j // 26 - 1)) + chr(65 + j % 26)
+
+    def rows(table) -> str:
+        cells = ((i, "".join(f'<c r="{place(j)}{i}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for j, v in enumerate(r) if v)) for i, r in enumerate(table, 1))
+        return "".join(f'<row r="{i}">{c}</row>' for i, c in cells)
+
+    rels = "http://schemas.openxmlformats.org/package/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{types}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{rels}"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{rels}">{links}</Relationships>')
+        for i, t in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet xmlns="{main}"><sheetData>{rows(t)}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def write_workbook(spark: SparkSession, path: str, sheets: dict[str, list[list[str | None]]]) -> None:
+    """:func:`workbook` as a file of any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        stream.write(bytearray(workbook(sheets)))
+    finally:
+        stream.close()
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """A result table as CSV with a header, in one file: for tables of a few thousand rows."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)

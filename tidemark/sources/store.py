@@ -195,5 +195,5 @@ def page_ranges(df: DataFrame, key: str, size: int = 400) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows by the hash of their key: the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows by the hash of their key and the seed: the same on every run. Each task sends its first n rows only."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
