@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, ctph, licenses, mixing, near, pii, repeats, sentencepiece_viterbi, topk, toxicity
+from . import chat, ctph, hardneg, licenses, mixing, near, pii, repeats, sentencepiece_viterbi, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_dedup": near.query,
         "op9_mixing": mixing.query,
         "op10_repeats": repeats.query,
+        "op11_hard_negatives": hardneg.query,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_near_dedup": near.SQL,
         "op9_mixing": mixing.SQL,
         "op10_repeats": repeats.SQL,
+        "op11_hard_negatives": hardneg.SQL,
     }
