@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, ctph, hardneg, licenses, mixing, near, pii, repeats, sentencepiece_viterbi, topk, toxicity
+from . import chat, ctph, hardneg, hmm, licenses, mixing, near, pii, repeats, sentencepiece_viterbi, spelling, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_mixing": mixing.query,
         "op10_repeats": repeats.query,
         "op11_hard_negatives": hardneg.query,
+        "op12_lm_scoring": hmm.query,
+        "op13_spelling_variants": spelling.query,
     }
 
 
