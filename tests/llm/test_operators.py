@@ -854,3 +854,53 @@ def test_equal_pieces():
         least[w] = min(k, least.get(w, k))
     assert sorted((rows[i][0], rows[i][1]) for i in keep) == sorted(least.items())
     assert sorted(late) == [i for i, (w, k) in enumerate(rows) if k != least[w]]
+
+
+# samples and shared ids --------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_gradients():
+    r = np.random.default_rng(6)
+    lift, trans = r.normal(size=(5, 4)), r.normal(size=(2, 2))
+    inside = np.arange(4)[None, :] < np.array([4, 1, 2, 4, 3])[:, None]
+    target, before = r.integers(0, 2, (5, 4)) * inside, np.array([0, 0, 1, 1, 0])
+    loss, by_lift, by_trans = toxicity.window_gradient(lift, trans, target, inside, before)
+    plain = 0.0
+    for i in range(5):
+        n = int(inside[i].sum())
+        score = lambda path: trans[before[i], path[0]] + sum(lift[i, k] * path[k] for k in range(n)) + sum(trans[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        plain += math.log(sum(math.exp(score(p)) for p in itertools.product((0, 1), repeat=n))) - score(target[i, :n].tolist())
+    assert loss == pytest.approx(plain)
+    for grad, at in ((by_lift, lift), (by_trans, trans)):
+        for place in np.ndindex(at.shape):
+            kept, found = at[place], []
+            for step in (1e-6, -1e-6):
+                at[place] = kept + step
+                found.append(toxicity.window_gradient(lift, trans, target, inside, before)[0])
+            at[place] = kept
+            assert grad[place] == pytest.approx((found[0] - found[1]) / 2e-6, abs=1e-6)
+
+
+def test_a_text_that_exceeds_the_sample_leaves_the_others(spark):
+    r = random.Random(3)
+    calm = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(calm) for _ in range(30)) + (" worthless" if i % 4 == 0 else "") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    want = None
+    for long in ([], [5], [8], [5, 6, 7, 8, 9]):
+        some = [(t + " w1" * 3_700_000) if i in long else t for i, t in enumerate(texts)]
+        field = toxicity.fit_on(docs(spark, some).repartition(4), labels)
+        got = {x.doc_id for x in toxicity.score(docs(spark, texts), field).where("score >= 0.5").collect()}
+        want = want or got
+        assert got == want == set(range(0, 200, 4))
+
+
+def test_near_texts_that_share_an_id(spark):
+    """Texts of one id are compared as others are."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(60)] + [" ".join(f"y{r.randrange(900)}" for _ in range(50)) for _ in range(300)]
+    own = near.link_components(docs(spark, texts), 2).collect()
+    assert len({x.component_id for x in own}) == 301
+    shared = near._labelled(docs(spark, texts, [7] * len(texts)).select("doc_id", "text"), 2).collect()
+    assert len(shared) == len(texts) and len({x.label for x in shared}) == 301 and {x.component for x in shared} == {7}

@@ -356,8 +356,10 @@ def _labelled(docs: DataFrame, k: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     base = settle(profile(docs, k, PICKS, TREES), "near-profile")
     some, name = base.where("n > 0 AND doc_id IS NOT NULL"), ["key", "key2"]
-    distinct = some.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("leaves").alias("leaves"))
-    vertices = settle(distinct.withColumn("v", F.monotonically_increasing_id()), "near-vertices")
+    distinct = some.groupBy(*name).agg(F.min(F.struct("doc_id", "mark")).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("leaves").alias("leaves"))
+    # a set's text is that of one row: of its id and its own text's hash, for other texts may have this id
+    named = distinct.select(*name, F.col("r.doc_id").alias("rep"), F.col("r.mark").alias("rep_mark"), "n", "sketch", "leaves")
+    vertices = settle(named.withColumn("v", F.monotonically_increasing_id()), "near-vertices")
     ties = components(tree_edges(vertices))
     labels = settle(ties.unionAll(ties.select(F.col("label").alias("node"), "label").distinct()), "near-clusters")
 
@@ -365,20 +367,20 @@ def _labelled(docs: DataFrame, k: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     clustered = join_counted(labels, settle(size, "near-sizes"), "label", "size")
     placed = clustered.select(F.col("node").alias("v"), F.col("label").alias("cluster"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    keyed = settle(placed.join(vertices.select("v", "rep", *name), "v"), "near-placed")
+    keyed = settle(placed.join(vertices.select("v", "rep", "rep_mark", *name), "v"), "near-placed")
     wide = keyed.where("blocks > 1")
-    pivots = wide.groupBy("cluster", "blocks", F.pmod(F.xxhash64("v", F.lit(5)), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct(F.xxhash64("v", F.lit(6)).alias("h"), "v", "rep", *name, "block")).alias("x"))
+    pivots = wide.groupBy("cluster", "blocks", F.pmod(F.xxhash64("v", F.lit(5)), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct(F.xxhash64("v", F.lit(6)).alias("h"), "v", "rep", "rep_mark", *name, "block")).alias("x"))
     lent = pivots.select("cluster", "x.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("guest")).where("guest != block")
-    zero, who = F.lit(0), ["v", "rep", *name]
+    zero, who = F.lit(0), ["v", "rep", "rep_mark", *name]
     tasks = keyed.select(*who, "cluster", "block").unionAll(lent.select(*who, "cluster", F.col("guest").alias("block")))
     tasks = tasks.select(*who, "cluster", "block", zero.alias("other"), zero.alias("side"), F.col("v").alias("comp"))
 
     def verified(tasks: DataFrame) -> DataFrame:
         # each text is sent once to its id's tasks, which then split it up
-        texts, ids = docs.select(F.col("doc_id").alias("rep"), "text"), tasks.select("rep").distinct()
+        texts, ids = docs.select(F.col("doc_id").alias("rep"), F.col("mark").alias("rep_mark"), "text"), tasks.select("rep", "rep_mark").distinct()
         if ids.limit(SENT_IDS + 1).count() <= SENT_IDS:  # else texts are left out by the join itself
-            texts = texts.join(F.broadcast(ids), "rep", "left_semi")
-        per = texts.join(tasks, "rep")
+            texts = texts.join(F.broadcast(ids), ["rep", "rep_mark"], "left_semi")
+        per = texts.join(tasks, ["rep", "rep_mark"])
         dealt = per.repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "v")
         return dealt.select("cluster", "block", "other", "v", *name, "side", "comp", "text").mapInArrow(_link_groups(k), "u long, v long")
 

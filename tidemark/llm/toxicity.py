@@ -11,13 +11,14 @@ strips side by side. A document's score is a logistic function, fitted on the sa
 toxic tokens and of the logarithm of their number, for of more tokens some look more toxic by chance. (The odds that any
 token is toxic would rise with every harmless token, without bound.)
 
-Bounds, of the fit alone: the SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents of least hash are gathered, whole, as long
-as their texts come to SAMPLE_BYTES together (one that would go beyond is left out); and of the windows of 16 tokens
-without a toxic one, evenly as many as make FIT_TOKENS. The picks, weights and numbers of the logistic function are all
-that goes to the tasks.
+Bounds, of the fit alone: of the SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents of least hash those are gathered, whole,
+that fit into SAMPLE_BYTES together: they are taken by turns of their kinds, and one that doesn't fit any more is left
+out, the ones after it are not; and of the windows of WINDOW tokens without a toxic one, evenly as many as make
+FIT_TOKENS. Windows keep to their texts and follow the label before them, that of a text's first window being 0, as in
+scoring. The picks, weights and numbers of the logistic function are all that goes to the tasks.
 
 Defined cases: null and empty texts have no tokens and get the score of a text without cues; labels that are null, or
-contradict each other for one id, count as the larger; without usable labels of both kinds all scores are 0.5 less a
+contradict each other for one id, count as the larger; of several texts of one labelled id the shortest stands for it; without usable labels of both kinds all scores are 0.5 less a
 hair (nothing is rejected); an empty table gives no rows; repeated rows are scored each; other columns pass through
 ``score``, but for ``score`` and ``spans``, in whose place the new ones come.
 """
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,7 @@ from .common import bytes_of, mix64, spread, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 1500, 10 << 20
 FIT_TOKENS = 300_000
+WINDOW = 16
 BITS = 18
 KINDS = 5
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -242,6 +244,38 @@ def _lots(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
+def window_gradient(lift: np.ndarray, trans: np.ndarray, target: np.ndarray, inside: np.ndarray, before: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood of labelled windows, and its gradients by emission (windows, tokens) and by transition.
+
+    Each window follows a token of label ``before`` (0 where a text begins, as in scoring); tokens not ``inside`` don't
+    count."""
+    m, size = lift.shape
+    rows = np.arange(m)
+    em = np.stack([np.zeros((m, size)), lift], axis=2)
+    alpha, beta = np.empty((size, m, 2)), np.zeros((size, m, 2))
+    alpha[0] = trans[before] + em[:, 0]
+    for k in range(1, size):
+        to = np.logaddexp(alpha[k - 1][:, 0, None] + trans[0], alpha[k - 1][:, 1, None] + trans[1]) + em[:, k]
+        alpha[k] = np.where(inside[:, k, None], to, alpha[k - 1])
+    for k in range(size - 2, -1, -1):
+        ahead = beta[k + 1] + em[:, k + 1]
+        back = np.logaddexp(ahead[:, 0, None] + trans[:, 0], ahead[:, 1, None] + trans[:, 1])
+        beta[k] = np.where(inside[:, k + 1, None], back, beta[k + 1])
+    z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
+    p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z).T
+    pair = np.zeros((2, 2))
+    np.add.at(pair, before, np.stack([1 - p[:, 0], p[:, 0]], axis=1))
+    np.subtract.at(pair, (before, target[:, 0]), 1)
+    told = trans[before, target[:, 0]].sum() + (lift * target * inside).sum()
+    for k in range(1, size):
+        both = np.exp(alpha[k - 1][:, :, None] + trans[None] + (em[:, k] + beta[k])[:, None, :] - z[:, None, None])
+        on = rows[inside[:, k]]
+        pair += both[on].sum(axis=0)
+        np.subtract.at(pair, (target[on, k - 1], target[on, k]), 1)
+        told += trans[target[on, k - 1], target[on, k]].sum()
+    return float(z.sum() - told), (p - target) * inside, pair
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Field:
     """From labelled documents. Deterministic."""
     none = Field(-8.0, np.zeros((2, 2)), np.zeros(1 << BITS), (0.0, 0.0, 0.0, -1e-6))
@@ -263,48 +297,31 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     if not len(cues):
         return none
     y = toxic[doc] & np.logical_or.reduce([np.isin(hashes[:, k] & ~np.uint64(4095), cues) for k in range(4)])
-    # windows around toxic tokens, and every so many windows of the rest
-    size = 16
-    window = np.arange(len(doc)) // size
-    n_windows = int(window[-1]) + 1
-    hot = np.bincount(window, weights=y, minlength=n_windows) > 0
+    # windows with toxic tokens, and every so many of the rest
+    begins = np.concatenate([[True], doc[1:] != doc[:-1]])
+    place = np.arange(len(doc)) - np.maximum.accumulate(np.where(begins, np.arange(len(doc)), 0))
+    at = np.flatnonzero(place % WINDOW == 0)  # a window keeps to its text
+    length = np.diff(np.append(at, len(doc)))
+    hot = np.add.reduceat(y.astype(int), at) > 0
     plain = np.flatnonzero(~hot)
-    every = max(1, len(plain) * size // FIT_TOKENS)
+    every = max(1, len(plain) * WINDOW // FIT_TOKENS)
     used = np.sort(np.concatenate([np.flatnonzero(hot), plain[::every]]))
-    used = used[used < len(doc) // size]
-    if not len(used):
-        used = np.array([0])
-        size = len(doc)
-    rows = used[:, None] * size + np.arange(size)[None, :]
-    s, target = slots(hashes[rows.ravel()]).reshape(*rows.shape, KINDS), y[rows].astype(float)
+    at, length = at[used], length[used]
+    inside = np.arange(WINDOW)[None, :] < length[:, None]
+    rows = np.minimum(at[:, None] + np.arange(WINDOW)[None, :], len(doc) - 1)
+    before = np.where(begins[at], 0, y[np.maximum(at - 1, 0)].astype(int))
+    s, target = slots(hashes[rows.ravel()]).reshape(*rows.shape, KINDS), (y[rows] & inside).astype(int)
     del hashes
-    m = len(used)
     w, bias, trans = np.zeros(1 << BITS), -4.0, np.zeros((2, 2))
-    seen = np.bincount(s.ravel(), minlength=1 << BITS)
-    gw, gb, gt = np.full(1 << BITS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     flat = s.ravel()
+    seen = np.bincount(flat, weights=np.repeat(inside.ravel(), KINDS), minlength=1 << BITS) > 0
+    gw, gb, gt = np.full(1 << BITS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     for _ in range(40):
-        em = np.stack([np.zeros((m, size)), bias + w[s].sum(axis=2)], axis=2)
-        alpha, beta = np.empty((size, m, 2)), np.zeros((size, m, 2))
-        alpha[0] = em[:, 0]
-        for k in range(1, size):
-            alpha[k] = np.logaddexp(alpha[k - 1][:, 0, None] + trans[0], alpha[k - 1][:, 1, None] + trans[1]) + em[:, k]
-        for k in range(size - 2, -1, -1):
-            ahead = beta[k + 1] + em[:, k + 1]
-            beta[k] = np.logaddexp(ahead[:, 0, None] + trans[:, 0], ahead[:, 1, None] + trans[:, 1])
-        z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z).T
-        d = p - target
-        g = np.bincount(flat, weights=np.repeat(d.ravel(), KINDS), minlength=1 << BITS) + 0.05 * w * (seen > 0)
-        pair = np.zeros((2, 2))
-        for k in range(1, size):
-            both = alpha[k - 1][:, :, None] + trans[None] + (em[:, k] + beta[k])[:, None, :] - z[:, None, None]
-            pair += np.exp(both).sum(axis=0)
-        ty = target.astype(int)
-        np.subtract.at(pair, (ty[:, :-1].ravel(), ty[:, 1:].ravel()), 1)
+        _, d, pair = window_gradient(bias + w[s].sum(axis=2), trans, target, inside, before)
+        g = np.bincount(flat, weights=np.repeat(d.ravel(), KINDS), minlength=1 << BITS) + 0.05 * w * seen
         pair += 0.5 * trans
         gw, gb, gt = gw + g * g, gb + d.sum() ** 2, gt + pair * pair
-        w -= 0.5 * g / np.sqrt(gw) * (seen > 0)
+        w -= 0.5 * g / np.sqrt(gw) * seen
         bias -= 0.5 * d.sum() / np.sqrt(gb)
         trans = trans - 0.3 * pair / np.sqrt(gt)
     field = Field(float(bias), trans, w)
@@ -386,11 +403,21 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Field:
     by = F.xxhash64("doc_id", F.lit(11))
     pick = lambda k, n: known.where(F.col("toxic") == k).orderBy(by, "doc_id").limit(n)
     ids = F.broadcast(pick(1, SAMPLE_TOXIC).unionAll(pick(0, SAMPLE_CLEAN)))  # at most 2,500 rows of 12 bytes
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(by, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("doc_id", "toxic", "text", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
+    rows = docs.select("doc_id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("mark")).where("text IS NOT NULL")
+    sizes = rows.drop("text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("size", "mark")).alias("x")).select("doc_id", "toxic", "x.*", by.alias("by")).collect()
+    # toxic and clean ones take turns, so neither kind uses up the bytes
+    turn = {r["doc_id"]: i for k in (0, 1) for i, r in enumerate(sorted((r for r in sizes if r["toxic"] == k), key=lambda r: (r["by"], r["doc_id"])))}
+    fits, left = [], SAMPLE_BYTES
+    for r in sorted(sizes, key=lambda r: (turn[r["doc_id"]], r["toxic"])):
+        if r["size"] <= left:
+            fits.append((r["doc_id"], r["toxic"], r["size"], r["mark"]))
+            left -= r["size"]
+    if not fits:
+        return fit([], np.zeros(0, bool))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long, toxic int, size int, mark long"))
+    got = rows.join(wanted, ["doc_id", "size", "mark"]).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: r["doc_id"])
+    return fit([r["text"] for r in got], np.array([r["toxic"] == 1 for r in got], bool))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
