@@ -1,6 +1,7 @@
 """Edge semantics by hand-made frames."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.distributions import p_of_r
 from tidemark.functions.expressions import changed, pearson, stars
-from tidemark.operators import chunking, features, learning, scoring, statistics, windows
+from tidemark.operators import boundaries, chunking, features, learning, scoring, statistics, windows
 from tidemark.schema import labels
 from tidemark.sources import html
 
@@ -89,10 +90,53 @@ def test_packing(spark):
     assert pack(spark, "", 5, 0) == [] and pack(spark, None, 5, 0) is None
 
 
-def test_abbreviations_end_no_sentence(spark):
-    split = lambda t: one(spark.createDataFrame([(t,)], "t string").select(tx.sentences("t")))
-    assert split("Mr. J. R. A. B. Doe, e.g.  here. Prof. X! (Dr. Y) said. HMr. no") == ["Mr. J. R. A. B. Doe, e.g. here.", "Prof. X!", "(Dr. Y) said.", "HMr.", "no"]
-    assert split("U.S. rates. EU. b. c") == ["U.S. rates.", "EU.", "b.", "c"] and split("") == [""] and split(None) is None
+def test_sentence_ends(spark):
+    split = lambda t, known: one(spark.createDataFrame([(t,)], "t string").select(tx.sentences("t", known).alias("s")))
+    every = "Zqu. Sorn said: \"Go.\"  Then (he left.) No. 5 and no. 6 .. so... Next"
+    assert split(every, None) == ["Zqu.", "Sorn said: \"Go.\"", "Then (he left.)", "No.", "5 and no.", "6 ..", "so...", "Next"]
+    known = tx.Boundaries(frozenset({"zqu", "k.l"}), starters=frozenset({"then"}), collocations=frozenset({"no 5"}), openers=frozenset({"blue"}))
+    assert split("Zqu. Sorn ran. Zqu. Then he sat. Blue zqu. Blue sky. Pre-zqu. Sorn. A k.l. b! c", known) == ["Zqu. Sorn ran.", "Zqu.", "Then he sat.", "Blue zqu.", "Blue sky.", "Pre-zqu. Sorn.", "A k.l. b!", "c"]
+    assert split("J. R. Doe. x. Then no. 5 but 3. b and 3. B... c... D", known) == ["J. R. Doe.", "x.", "Then no.", "5 but 3. b and 3.", "B... c...", "D"]
+    assert split("", known) == [""] and split(None, known) is None and split(" aa.\n\n bb.", known) == [" aa.", "bb."]
+
+
+def test_boundaries_are_learned(spark):
+    """Invented abbreviations, in texts where other words end sentences."""
+    r = random.Random(1)
+    words = ["".join(r.choice("bdfglmnprstv") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(150)]
+    names = ["".join(r.choice("BDFGLM") + "".join(r.choice("aeiou") + r.choice("nrst") for _ in range(2))) for _ in range(40)]
+
+    def text():
+        out = []
+        for _ in range(12):
+            s = [r.choice(words) for _ in range(r.randint(3, 9))]
+            s[0] = "Yet" if r.random() < 0.4 else s[0].capitalize()
+            k = r.randint(1, len(s) - 1)
+            s[k:k] = r.choice([["zq.", r.choice(names)], ["fr.l.", r.choice(words)], ["J.", r.choice(names)], ["vol.", "7"], []])
+            out.append(" ".join(s) + ".")
+        return out
+
+    texts = [text() for _ in range(150)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(-1, None), (-2, "")], "i int, t string")
+    known = boundaries.fit(df, "t")
+    assert {"zq", "fr.l", "vol"} <= known.abbreviations and not known.abbreviations & {w for t in texts for s in t for w in [s.split()[-1].rstrip(".").lower()] if w in words}
+    assert "yet" in known.starters and "vol 7" in known.collocations
+    right = sum(set(row.s) == set(texts[row.i]) for row in df.where("i >= 0").select("i", tx.sentences("t", known).alias("s")).collect())
+    plain = sum(set(row.s) == set(texts[row.i]) for row in df.where("i >= 0").select("i", tx.sentences("t").alias("s")).collect())
+    assert right == len(texts) and plain == 0
+    assert boundaries.fit(df.limit(0), "t") == tx.Boundaries()
+    assert boundaries.fit(spark.createDataFrame([("no dots here",)], "t string"), "t").abbreviations == frozenset()
+
+
+def test_likelihood_ratio(spark):
+    def plain(a, b, ab, n):
+        part = lambda k, m, x: sum(y * math.log(z) for y, z in ((k, x), (m - k, 1 - x)) if y)
+        p, p1, p2 = b / n, ab / a, (b - ab) / (n - a)
+        return -2 * (part(ab, a, p) + part(b - ab, n - a, p) - part(ab, a, p1) - part(b - ab, n - a, p2))
+
+    rows = [(10, 20, 5, 1000), (7, 7, 7, 50), (3, 9, 1, 40), (5, 5, 0, 99)]
+    got = spark.createDataFrame(rows, "a long, b long, ab long, n long").select(boundaries.likelihood_ratio(*map(F.col, ("a", "b", "ab", "n"))).alias("x")).collect()
+    assert [x.x for x in got] == pytest.approx([plain(*x) for x in rows])
 
 
 def test_packing_keeps_all_sentences(spark):

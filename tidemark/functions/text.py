@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,11 @@ INVITATION = r"(I am[\w\s,]{10,30}questions\.)|(We[\w\s,]*questions[\w\s]*\.)|(\
 TRANSCRIPT_HEAD = r"Transcript of the questions.*ECB"
 TRANSCRIPT_SKIP = r"(?i)Transcript of the questions.*President(of the ECB)?"
 
-#: Words whose dot ends no sentence; single capitals (initials) are such words as well.
-ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Messrs", "Dr", "Prof", "St", "vs", "cf", "e.g", "i.e", "U.S", "U.K")
-#: An abbreviation with its dot, between a word's start and a cut. Java and RE2 read it alike.
-CUT_AFTER_ABBREVIATION = r"(^|[\s\x01(\[])((?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[A-Z])\.)\x01"
+#: Signs around words, and those that may follow a sentence's last sign.
+SIGNS, CLOSERS = ".,;:!?\"'()[]{}<>«»„“”‘’…–—|-", "\"')]}>»”’"
+#: White space after a sentence's last sign, in three parts for Java and RE2 alike.
+MAYBE_END = r"([.!?][" + "\"')\\]}>»”’" + r"]*)(\s+)"
+_CUT = "\u0001"
 
 
 def squeeze(text) -> Column:
@@ -30,21 +33,118 @@ def clean_paragraph(text, limit: int = 100) -> Column:
     return F.coalesce(F.when(F.length(t) >= limit, t), F.lit(""))
 
 
-def sentences(text) -> Column:
-    """Split after . ! ? and white space, but not after abbreviations and initials."""
-    cut = F.regexp_replace(col(text), r"([.!?])\s+", "$1\u0001")
-    for _ in range(2):  # a match takes the cut before it, so the second pass finds every other one in a row
-        cut = F.regexp_replace(cut, CUT_AFTER_ABBREVIATION, "$1$2 ")
-    return F.split(cut, "\u0001")
+def bare(word) -> Column:
+    return F.rtrim(col(word), F.lit(CLOSERS))
+
+
+def word_type(word) -> Column:
+    """The word in lower case, without signs around it."""
+    return F.lower(F.btrim(col(word), F.lit(SIGNS)))
+
+
+def dotted(word) -> Column:
+    """Ends with one dot."""
+    b = bare(word)
+    return b.endswith(".") & ~b.endswith("..")
+
+
+def ends_sentence(word) -> Column:
+    return F.right(bare(word), F.lit(1)).isin(".", "!", "?")
+
+
+def _first(word) -> Column:
+    return F.ltrim(col(word), F.lit(SIGNS))
+
+
+def starts_upper(word) -> Column:
+    return _first(word).rlike(r"^\p{Lu}")
+
+
+def starts_lower(word) -> Column:
+    return _first(word).rlike(r"^\p{Ll}")
+
+
+def has_letter(word) -> Column:
+    return col(word).rlike(r"\p{L}")
+
+
+@dataclass(frozen=True)
+class Boundaries:
+    """What tells dots of sentences from others: see operators.boundaries, which learns it. Without anything learned,
+    initials and numbers before a small letter are all that is known."""
+
+    abbreviations: frozenset[str] = frozenset()
+    starters: frozenset[str] = frozenset()
+    collocations: frozenset[str] = frozenset()
+    openers: frozenset[str] = frozenset()
+
+    def kind(self, word) -> Column:
+        """abbreviation, initial, number or word, of the type of a dotted word."""
+        w = col(word)
+        known = _in(w, self.abbreviations) | _in(F.substring_index(w, "-", -1), self.abbreviations)
+        return F.when(F.length(w) == 1, F.when(has_letter(w), "initial").otherwise("number")).when(~has_letter(w), "number").when(known, "abbreviation").otherwise("word")
+
+    def told(self, piece) -> Column:
+        """What of a piece of text matters where it is cut: its last word's kind, its first word."""
+        last = F.substring_index(F.translate(piece, "\t\n\r\f\x0b", "     "), " ", -1)
+        first = F.regexp_extract(piece, r"^\s*(\S+)", 1)
+        end = bare(last)
+        # dots alone ask for more
+        end_of = F.struct(word_type(last).alias("a"), F.when(~end.endswith("."), "sign").when(end.endswith(".."), "dots").otherwise(self.kind(word_type(last))).alias("kind"))
+        b = word_type(first)
+        return F.struct(piece.alias("p"), end_of.alias("last"), b.alias("b"), starts_upper(first).alias("up"), starts_lower(first).alias("low"), has_letter(b).alias("letter"), _in(b, self.starters).alias("starts"), _in(b, self.openers).alias("opens"))
+
+    def ends(self, before, after) -> Column:
+        """Whether a sentence ends between two told pieces."""
+        kind = before["last"]["kind"]
+        starts = after["up"] & after["starts"]
+        return (
+            F.when(kind.isin("word", "sign"), True)
+            .when(kind == "dots", after["up"])
+            .when(_in(F.concat_ws(" ", before["last"]["a"], after["b"]), self.collocations), False)
+            .when(kind == "abbreviation", starts | (after["up"] & after["opens"]))
+            .when(kind == "initial", starts | ~after["letter"])
+            .otherwise(~after["low"])
+        )
+
+
+def _in(x: Column, names: frozenset[str]) -> Column:
+    return x.isin(*sorted(names)) if names else F.lit(False)
+
+
+def _bind(value: Column, f) -> Column:
+    """f(value), where value is worked out once, whatever f makes of it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def sentences(text, known: Boundaries | None = None) -> Column:
+    """Split after . ! ? (and quotes or brackets closed there) and white space, where ``known`` has a sentence end.
+
+    One pass cuts at every such place; of the pieces' last and first words each cut is then kept or not. ``known`` None:
+    all are kept."""
+    t = col(text)
+    if known is None:
+        return F.split(F.regexp_replace(t, MAYBE_END, "$1" + _CUT), _CUT)
+    pieces = F.split(F.regexp_replace(t, MAYBE_END, "$1" + _CUT + "$2"), _CUT)
+
+    def decided(v):
+        def one(x, i):
+            after = F.get(v, i + 1)
+            return F.when(after.isNull(), x["p"]).when(known.ends(x, after), F.concat(x["p"], F.lit(_CUT))).otherwise(x["p"])
+
+        return F.transform(v, one)
+
+    joined = F.array_join(_bind(F.transform(pieces, known.told), decided), "")
+    return F.split(F.regexp_replace(joined, _CUT + r"\s+", _CUT), _CUT)
 
 
 def words(text) -> Column:
     return F.filter(F.split(F.trim(col(text)), r"\s+"), lambda w: w != "")
 
 
-def measured_sentences(text) -> Column:
+def measured_sentences(text, known: Boundaries | None = None) -> Column:
     """Array of struct(s, n): sentences with their numbers of words, each counted once."""
-    return F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
+    return F.transform(sentences(text, known), lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
 
 
 def pack_measured(measured, max_words: int = 200, min_tail: int = 30) -> Column:
@@ -70,8 +170,8 @@ def pack_measured(measured, max_words: int = 200, min_tail: int = 30) -> Column:
     return F.aggregate(col(measured), empty, step, finish)
 
 
-def pack_sentences(text, max_words: int = 200, min_tail: int = 30) -> Column:
-    return pack_measured(measured_sentences(text), max_words, min_tail)
+def pack_sentences(text, max_words: int = 200, min_tail: int = 30, known: Boundaries | None = None) -> Column:
+    return pack_measured(measured_sentences(text, known), max_words, min_tail)
 
 
 def clean_answer(text) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import measured_sentences, pack_measured, qa_paragraphs, squeeze
+from ..functions.text import Boundaries, measured_sentences, pack_measured, qa_paragraphs, squeeze
 from ..schema import CHUNK_LIMITS
 
 
@@ -20,10 +20,11 @@ def question_paragraphs(statements: DataFrame) -> DataFrame:
     return p.select("statement_id", "date", "pos", F.col("p.is_question").alias("is_question"), F.col("p.text").alias("text"))
 
 
-def chunks(paragraphs: DataFrame, limit: int | None = None, least: int = 100, least_single: int = 40, tail: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
+def chunks(paragraphs: DataFrame, limit: int | None = None, least: int = 100, least_single: int = 40, tail: int = 30, keep: tuple[str, ...] = (), known: Boundaries | None = None) -> DataFrame:
     """statement_id, [keep], chunk_id, chunk_percentile, chunk_limit, chunk for one limit or all.
 
-    Paragraphs under ``least`` signs are noise (``least_single`` where a chunk is a sentence). One pass packs all limits:
+    Paragraphs under ``least`` signs are noise (``least_single`` where a chunk is a sentence); ``known`` tells where
+    sentences end. One pass packs all limits:
     each is an expression of the same row, exploded afterwards."""
     limits = CHUNK_LIMITS if limit is None else (limit,)
 
@@ -32,7 +33,7 @@ def chunks(paragraphs: DataFrame, limit: int | None = None, least: int = 100, le
         chunk = F.when(long_enough, pack_measured("m", k, 0 if k == 1 else tail)).otherwise(F.array().cast("array<string>"))
         return F.transform(chunk, lambda c: F.struct(F.lit(k).alias("chunk_limit"), c.alias("chunk")))
 
-    measured = paragraphs.select("statement_id", "pos", *keep, squeeze("text").alias("t")).where(F.length("t") >= min(least, least_single)).select("*", measured_sentences("t").alias("m"))
+    measured = paragraphs.select("statement_id", "pos", *keep, squeeze("text").alias("t")).where(F.length("t") >= min(least, least_single)).select("*", measured_sentences("t", known).alias("m"))
     rows = measured.select("statement_id", "pos", *keep, F.flatten(F.array(*map(packed, limits))).alias("c"))
     rows = rows.select("statement_id", "pos", *keep, F.posexplode("c").alias("n", "c")).select("statement_id", "pos", "n", *keep, "c.chunk_limit", "c.chunk")
     w = Window.partitionBy("statement_id", "chunk_limit")
@@ -40,12 +41,12 @@ def chunks(paragraphs: DataFrame, limit: int | None = None, least: int = 100, le
     return ids.select("statement_id", *keep, "chunk_id", F.try_divide("chunk_id", F.max("chunk_id").over(w)).alias("chunk_percentile"), "chunk_limit", "chunk")
 
 
-def intro_chunks(statements: DataFrame, limit: int | None = None) -> DataFrame:
-    return chunks(intro_paragraphs(statements), limit, 100)
+def intro_chunks(statements: DataFrame, limit: int | None = None, known: Boundaries | None = None) -> DataFrame:
+    return chunks(intro_paragraphs(statements), limit, 100, known=known)
 
 
-def question_chunks(statements: DataFrame, limit: int | None = None) -> DataFrame:
-    return chunks(question_paragraphs(statements), limit, 80, keep=("is_question",))
+def question_chunks(statements: DataFrame, limit: int | None = None, known: Boundaries | None = None) -> DataFrame:
+    return chunks(question_paragraphs(statements), limit, 80, keep=("is_question",), known=known)
 
 
 def length_profile(texts: DataFrame, text: str, kind: str, clip: int = 250, width: int = 10) -> DataFrame:

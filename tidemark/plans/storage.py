@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, scoring
+from ..operators import boundaries, chunking, scoring
 from ..schema import CHUNK_LIMITS, TABLES
 from ..sources import files
 from ..sources import html as web
 from ..sources.adapters import market, paragraphs, table, with_views
 from ..sources.store import Store, scratch, seeded_sample
-from .base import query, r, rounded, sql_sentences
+from .base import query, r, rounded, sql_boundaries, sql_sentences
 
 #: Meetings that documents are dealt to.
 MEETINGS = 48
@@ -181,10 +181,9 @@ def _packing(limits: str, keep: str = "") -> str:
     """Chunks of the rows of c (statement_id, pos, t, lim, tail, least and kept columns), by recursion over sentences."""
     k = f", {keep}" if keep else ""
     nk = f", n.{keep}" if keep else ""
-    sent = sql_sentences("t")
     return (
         f"l AS (SELECT * FROM (VALUES {limits}) AS v(lim, least, tail)),"
-        f" s AS (SELECT statement_id, pos{k}, lim, tail, unnest(range(len(x))) AS i, unnest(x) AS s FROM (SELECT statement_id, pos{k}, lim, tail, {sent} AS x FROM c, l WHERE length(t) >= least)),"
+        f" s AS (SELECT statement_id, pos{k}, lim, tail, unnest(range(len(x))) AS i, unnest(x) AS s FROM {sql_sentences('(SELECT * FROM c, l WHERE length(t) >= least)', f'statement_id, pos{k}, lim, tail', 't')}),"
         " n AS (SELECT *, len(list_filter(string_split_regex(trim(s), '\\s+'), lambda w: w <> '')) AS n FROM s),"
         f" g AS (SELECT statement_id, pos{k}, lim, tail, i, s, n, n AS run, 0 AS part FROM n WHERE i = 0 UNION ALL"
         f" SELECT n.statement_id, n.pos{nk}, n.lim, n.tail, n.i, n.s, n.n, CASE WHEN g.run + n.n <= n.lim THEN g.run + n.n ELSE n.n END, CASE WHEN g.run + n.n <= n.lim THEN g.part ELSE g.part + 1 END"
@@ -204,11 +203,12 @@ def _wide(df):
     return df.withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
-@query("chunks_all_limits", with_views("paragraphs", sql=f", c AS (SELECT doc_id AS statement_id, pos, {_SQUEEZE.format('paragraph')} AS t FROM paragraphs), " + _packing("(1, 40, 0), (50, 100, 30), (200, 100, 30), (350, 100, 30)")).replace("WITH ", "WITH RECURSIVE ", 1))
+@query("chunks_all_limits", with_views("paragraphs", sql=f", c AS (SELECT doc_id AS statement_id, pos, {_SQUEEZE.format('paragraph')} AS t FROM paragraphs), " + sql_boundaries("c", "t") + ", " + _packing("(1, 40, 0), (50, 100, 30), (200, 100, 30), (350, 100, 30)")).replace("WITH ", "WITH RECURSIVE ", 1))
 def chunks_all_limits(spark, sf):
     """All four chunk sizes of every document's introduction in one pass, with positions."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("statement_id"), F.lit(None).cast("date").alias("date"), F.replace("text", F.lit("\n"), F.lit("\t")).alias("intro"))
-    return _wide(chunking.intro_chunks(d))
+    texts = chunking.intro_paragraphs(d).select(tx.squeeze("text").alias("t"))
+    return _wide(chunking.intro_chunks(d, known=boundaries.fit(texts, "t")))
 
 
 _CLEAN = "trim(regexp_replace(regexp_replace(trim(translate(p, '[]', '')), '^(?i)[A-Z ]{1,15}:', ''), '…|\\.{3}', '', 'g'))"
@@ -217,7 +217,7 @@ _IS_Q = "(regexp_matches(trim(translate(p, '[]', '')), '^(Question|Q:)') OR (len
 
 @query(
     "question_chunks",
-    f"WITH RECURSIVE {_TURNS}, c AS (SELECT conv_id AS statement_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, {_IS_Q} AS is_question, {_SQUEEZE.format(_CLEAN)} AS t FROM p), "
+    f"WITH RECURSIVE {_TURNS}, c AS (SELECT conv_id AS statement_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, {_IS_Q} AS is_question, {_SQUEEZE.format(_CLEAN)} AS t FROM p), {sql_boundaries('c', 't')}, "
     + _packing("(1, 40, 0), (50, 80, 30), (200, 80, 30), (350, 80, 30)", "is_question"),
 )
 def question_chunks(spark, sf):
@@ -226,7 +226,8 @@ def question_chunks(spark, sf):
     p = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Question: "), x)).when(F.col("turn") % 2 == 1, F.concat(F.lit("["), x, F.lit("]"))).otherwise(F.concat(F.lit("ECB: Mr. J. R. Doe, e.g. "), x, F.lit("...")))
     cells = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("statement_id")).agg(F.array_sort(F.collect_list(F.struct("turn", p.alias("p")))).alias("rows"))
     s = cells.select("statement_id", F.lit(None).cast("date").alias("date"), F.array_join(F.transform("rows", lambda z: z["p"]), "\t").alias("qa"))
-    return _wide(chunking.question_chunks(s))
+    texts = chunking.question_paragraphs(s).select(tx.squeeze("text").alias("t"))
+    return _wide(chunking.question_chunks(s, known=boundaries.fit(texts, "t")))
 
 
 @query(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, scoring
+from ..operators import boundaries, chunking, scoring
 from ..operators import statistics as stat
 from ..schema import POLARITY_BAND, WORD_THRESHOLD
 from ..sources import html as web
 from ..sources.adapters import chunk_scores, paragraphs, table, with_views
-from .base import query, r, rounded, sql_sentences
+from .base import query, r, rounded, sql_boundaries, sql_sentences
 
 _SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 #: Short frequent words of the driver's invented English, as a stopword list.
@@ -22,16 +22,46 @@ def clean_paragraphs(spark, sf):
     return paragraphs(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), tx.clean_paragraph("paragraph", 100).alias("text"))
 
 
-@query("sentence_split", with_views("paragraphs", sql=f" SELECT doc_id, pos, unnest(range(len(s))) AS sentence_id, unnest(s) AS sentence FROM (SELECT doc_id, pos, {sql_sentences('paragraph')} AS s FROM paragraphs)"))
+_MODEL = ", " + sql_boundaries("paragraphs", "paragraph")
+
+
+@query("abbreviation_scores", with_views("paragraphs", sql=_MODEL + f" SELECT t, CAST(k AS BIGINT) AS k, CAST(plain AS BIGINT) AS plain, {r('score', 'score')} FROM bd_ab"))
+def abbreviation_scores(spark, sf):
+    """Words that the model of sentence boundaries takes for abbreviations."""
+    with boundaries.Counts(paragraphs(spark, sf), "paragraph") as c:
+        return rounded(_settled(c.abbreviations().orderBy(F.col("score").desc(), "t").limit(boundaries.MOST)), "score")
+
+
+@query("sentence_starters", with_views("paragraphs", sql=_MODEL + f" SELECT t, CAST(at_end AS BIGINT) AS at_end, CAST(n AS BIGINT) AS n, {r('ratio', 'ratio', 5)} FROM bd_st"))
+def sentence_starters(spark, sf):
+    with boundaries.Counts(paragraphs(spark, sf), "paragraph") as c:
+        return rounded(_settled(boundaries.starters(c.pairs, c.words, c.n, c.with_abbreviations()).orderBy(F.col("ratio").desc(), "t").limit(boundaries.MOST)), "ratio", digits=5)
+
+
+@query("abbreviation_collocations", with_views("paragraphs", sql=_MODEL + f" SELECT pt, t, CAST(n AS BIGINT) AS n, {r('ratio', 'ratio', 5)} FROM bd_co"))
+def abbreviation_collocations(spark, sf):
+    """Abbreviations, initials and numbers with the words that follow their dots more often than chance has it."""
+    with boundaries.Counts(paragraphs(spark, sf), "paragraph") as c:
+        return rounded(_settled(boundaries.collocations(c.pairs, c.words, c.n, c.with_abbreviations()).orderBy(F.col("ratio").desc(), "pt", "t").limit(boundaries.MOST)), "ratio", digits=5)
+
+
+def _settled(df):
+    """A model's table, at most boundaries.MOST rows, before its counts are let go."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+@query("sentence_split", with_views("paragraphs", sql=f"{_MODEL} SELECT doc_id, pos, unnest(range(len(x))) AS sentence_id, unnest(x) AS sentence FROM {sql_sentences('paragraphs', 'doc_id, pos', 'paragraph')}"))
 def sentence_split(spark, sf):
+    """Sentences by a model of the paragraphs' own abbreviations."""
     p = paragraphs(spark, sf)
-    return p.select("doc_id", F.col("pos").cast("long").alias("pos"), F.posexplode(tx.sentences("paragraph")).alias("sentence_id", "sentence")).withColumn("sentence_id", F.col("sentence_id").cast("long"))
+    known = boundaries.fit(p, "paragraph")
+    return p.select("doc_id", F.col("pos").cast("long").alias("pos"), F.posexplode(tx.sentences("paragraph", known)).alias("sentence_id", "sentence")).withColumn("sentence_id", F.col("sentence_id").cast("long"))
 
 
 _N = "len(list_filter(string_split_regex(trim({0}), '\\s+'), lambda w: w <> ''))"
 _PACK = (
     ", c AS (SELECT doc_id, pos, " + _SQUEEZE.format("paragraph") + " AS t FROM paragraphs WHERE length(" + _SQUEEZE.format("paragraph") + ") >= 100),"
-    " s AS (SELECT doc_id, pos, unnest(range(len(x))) AS i, unnest(x) AS s FROM (SELECT doc_id, pos, " + sql_sentences("t") + " AS x FROM c)),"
+    " s AS (SELECT doc_id, pos, unnest(range(len(x))) AS i, unnest(x) AS s FROM " + sql_sentences("c", "doc_id, pos", "t") + "),"
     " n AS (SELECT *, " + _N.format("s") + " AS n FROM s),"
     " g AS (SELECT doc_id, pos, i, s, n, n AS run, 0 AS chunk FROM n WHERE i = 0 UNION ALL"
     " SELECT n.doc_id, n.pos, n.i, n.s, n.n, CASE WHEN g.run + n.n <= 50 THEN g.run + n.n ELSE n.n END, CASE WHEN g.run + n.n <= 50 THEN g.chunk ELSE g.chunk + 1 END FROM g JOIN n ON n.doc_id = g.doc_id AND n.pos = g.pos AND n.i = g.i + 1),"
@@ -40,11 +70,13 @@ _PACK = (
 )
 
 
-@query("packed_chunks", with_views("paragraphs", sql=_PACK.replace(", c AS", ", c AS", 1) + " SELECT doc_id, pos, CAST(chunk_id AS BIGINT) AS chunk_id, string_agg(t, ' ' ORDER BY chunk) AS chunk FROM m GROUP BY doc_id, pos, chunk_id").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("packed_chunks", with_views("paragraphs", sql=_MODEL + _PACK + " SELECT doc_id, pos, CAST(chunk_id AS BIGINT) AS chunk_id, string_agg(t, ' ' ORDER BY chunk) AS chunk FROM m GROUP BY doc_id, pos, chunk_id").replace("WITH ", "WITH RECURSIVE ", 1))
 def packed_chunks(spark, sf):
     """Greedy packing of whole sentences into at most 50 words."""
-    p = paragraphs(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), tx.clean_paragraph("paragraph", 100).alias("t"))
-    return p.where("t <> ''").select("doc_id", "pos", F.posexplode(tx.pack_sentences("t", 50, 30)).alias("chunk_id", "chunk")).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    every = paragraphs(spark, sf)
+    known = boundaries.fit(every, "paragraph")
+    p = every.select("doc_id", F.col("pos").cast("long").alias("pos"), tx.clean_paragraph("paragraph", 100).alias("t"))
+    return p.where("t <> ''").select("doc_id", "pos", F.posexplode(tx.pack_sentences("t", 50, 30, known)).alias("chunk_id", "chunk")).withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
 @query("length_profile", with_views("paragraphs", sql=f" SELECT 'paragraph' AS kind, CAST(floor(least({_N.format('paragraph')}, 250) / 10) * 10 AS INTEGER) AS bin, count(*) AS n FROM paragraphs GROUP BY 2 UNION ALL SELECT 'document', CAST(floor(least({_N.format('text')}, 250) / 10) * 10 AS INTEGER), count(*) FROM documents GROUP BY 2"))
