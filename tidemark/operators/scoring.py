@@ -38,6 +38,12 @@ def lexicon_scorer(positive: tuple[str, ...], negative: tuple[str, ...]) -> Call
 _loaded: dict[str, Scorer] = {}
 
 
+def scored_by(df: DataFrame, text: str, scorer, model: str, batch: int = 256) -> DataFrame:
+    """df with ``output``: by a trained classifier, which scores whole frames, or by a function that loads a scorer of lists
+    of texts."""
+    return scorer.score(df, text) if hasattr(scorer, "score") else score_texts(df, text, scorer, model, batch)
+
+
 def score_texts(df: DataFrame, text: str, load: Callable[[], Scorer], model: str, batch: int = 256, to: str = "output") -> DataFrame:
     """df with all class scores of each text. The scorer is loaded once a worker and sees batches of ``batch`` texts."""
 
@@ -93,7 +99,8 @@ def top_label(topics: DataFrame, by: tuple[str, ...] = ("chunk_rowid", "topic_mo
 
 
 def sentiment_job(store, model: str, load, limit: int | None, sample: int | None = None, save: bool = False, normalise: bool = False) -> dict[int, DataFrame]:
-    """Scores the chunks of a limit, or of all: (chunk_rowid, score) by limit; ``save`` replaces the stored ones."""
+    """Scores the chunks of a limit, or of all: (chunk_rowid, score) by limit; ``save`` replaces the stored ones. ``load``: a
+    trained classifier, or what loads a scorer of texts."""
     from ..sources.store import seeded_sample
 
     limits = [limit] if limit is not None else sorted(r["chunk_limit"] for r in store.limits().collect())  # four values
@@ -102,7 +109,7 @@ def sentiment_job(store, model: str, load, limit: int | None, sample: int | None
         rows = store.chunks(k)
         if sample:
             rows = seeded_sample(rows, "chunk_rowid", sample)
-        out[k] = score_texts(rows, "chunk", load, model).select("chunk_rowid", polarity(F.col("output"), normalise).alias("score"))
+        out[k] = scored_by(rows, "chunk", load, model).select("chunk_rowid", polarity(F.col("output"), normalise).alias("score"))
         if save:
             store.replace_sentiments(out[k], model, k)
             out[k] = store.scores(model, k)  # what was stored: nothing is scored again
@@ -117,7 +124,7 @@ def label_job(store, model: str, load, limit: int, sample: int | None = None, sa
     if sample:
         rows = seeded_sample(rows, "chunk_rowid", sample)
     ordered = F.array_sort("output", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0))
-    out = score_texts(rows, "chunk", load, model, batch).select("chunk_rowid", F.inline(chosen_labels(ordered, threshold))).select("chunk_rowid", F.col("label").alias("topic"), F.col("score").alias("prob"))
+    out = scored_by(rows, "chunk", load, model, batch).select("chunk_rowid", F.inline(chosen_labels(ordered, threshold))).select("chunk_rowid", F.col("label").alias("topic"), F.col("score").alias("prob"))
     if save:
         store.replace_topics(out, model, limit)
         return store.topics(model, limit)

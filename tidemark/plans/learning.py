@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import direction
+from ..operators import classifier, scoring
 from ..operators import learning as ml
 from ..operators import statistics as stat
 from ..operators import windows as win
@@ -161,3 +162,37 @@ def model_comparison(spark, sf):
     rows = spark.createDataFrame([list(x) for x in _RUNS], "model string, o double, n double")
     got = ml.compare(rows.select("model", F.col("o").alias("auc")), rows.select("model", F.col("n").alias("auc")))
     return rounded(got, "old", "new", "change")
+
+
+def _judged(spark, sf):
+    """Documents with a mark from their labels (good ones positive, others negative); those of every fifth id are held out."""
+    good = F.when(F.max("quality") > F.max("toxic"), "positive").otherwise("negative")
+    marks = table(spark, sf, "labels").groupBy("doc_id").agg(good.alias("mark"))
+    return table(spark, sf, "documents").select("doc_id", "text", "lang").join(marks, "doc_id", "left").withColumn("held_out", F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)))
+
+
+@query("trained_sentiment")
+def trained_sentiment(spark, sf):
+    """Polarity of all documents by a classifier of the labelled ones."""
+    d = _judged(spark, sf)
+    model = classifier.TextClassifier.fit(d.where(~F.col("held_out")), "text", "mark")
+    return rounded(model.score(d, "text").select("doc_id", "held_out", scoring.polarity(F.col("output")).alias("polarity")), "polarity", digits=4)
+
+
+@query("trained_sentiment_auc")
+def trained_sentiment_auc(spark, sf):
+    """How well the classifier ranks labelled documents that it hasn't seen, and those that it has."""
+    d = _judged(spark, sf)
+    model = classifier.TextClassifier.fit(d.where(~F.col("held_out")), "text", "mark")
+    scored = model.score(d.where("mark IS NOT NULL"), "text").select("held_out", classifier.score_of(F.col("output"), "positive").alias("s"), (F.col("mark") == "positive").alias("pos"))
+    return rounded(stat.auc(scored, "s", "pos", ("held_out",)), "auc", digits=4)
+
+
+@query("trained_topics")
+def trained_topics(spark, sf):
+    """Topics (languages) of held-out documents by a classifier of four: labels over the threshold, as labelling jobs store
+    them, and how often the best one is right."""
+    d = _judged(spark, sf)
+    model = classifier.TextClassifier.fit(d.where(~F.col("held_out")), "text", "lang")
+    chosen = model.score(d.where("held_out AND lang IS NOT NULL"), "text").select("lang", F.inline(scoring.chosen_labels(F.col("output"))))
+    return rounded(chosen.groupBy("lang", F.col("label").alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("prob")), "prob", digits=3)
