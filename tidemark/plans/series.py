@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import changed, composite, direction, fisher_interval, pairs, pearson, regime, row_mean_abs
+from ..operators import ordered
 from ..operators import windows as win
 from ..operators.statistics import CRITICAL_R_20
 from ..schema import eras
@@ -255,3 +256,29 @@ def year_summary(spark, sf):
     return rounded(chunk_scores(spark, sf).groupBy(F.year("date").alias("year")).agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n")), "mean")
 
 
+_CHUNKS = ", c AS (SELECT chunk_rowid, CASE WHEN chunk_rowid % 7 = 0 THEN score END AS score, topic_prob FROM chunk_scores)"
+
+
+def _by_chunk(spark, sf):
+    """Chunks in the order of their keys; six of seven have no score."""
+    return chunk_scores(spark, sf).select("chunk_rowid", F.when(F.col("chunk_rowid") % 7 == 0, F.col("score")).alias("score"), "topic_prob")
+
+
+@query("chunk_forward_fill", with_views("chunk_scores", sql=_CHUNKS + f" SELECT chunk_rowid, {r('last_value(score IGNORE NULLS) OVER (ORDER BY chunk_rowid)', 'score')} FROM c"))
+def chunk_forward_fill(spark, sf):
+    """A forward fill over all chunks, by blocks and their carries."""
+    return rounded(ordered.forward_fill(_by_chunk(spark, sf), "chunk_rowid", ["score"], size=512).select("chunk_rowid", "score"), "score")
+
+
+@query("chunk_lags", with_views("chunk_scores", sql=_CHUNKS + f" SELECT chunk_rowid, {r('lag(score, 7) OVER w', 'score:lag7')}, {r('lead(topic_prob, 2) OVER w', 'topic_prob:lag-2')}, {r('lag(topic_prob, 1) OVER w', 'topic_prob:lag1')} FROM c WINDOW w AS (ORDER BY chunk_rowid)"))
+def chunk_lags(spark, sf):
+    """Values of neighbouring chunks, by blocks with halos."""
+    rows = _by_chunk(spark, sf)
+    both = ordered.windowed(rows, "chunk_rowid", {"score:lag7": lambda w: F.lag("score", 7).over(w), "topic_prob:lag-2": lambda w: F.lead("topic_prob", 2).over(w), "topic_prob:lag1": lambda w: F.lag("topic_prob").over(w)}, 7, 2, size=512)
+    return rounded(both.drop("score", "topic_prob"), "score:lag7", "topic_prob:lag-2", "topic_prob:lag1")
+
+
+@query("chunk_rolling_corr", with_views("chunk_scores", sql=f", d AS (SELECT chunk_rowid, score AS x, topic_prob AS y FROM chunk_scores), n AS (SELECT *, count(*) OVER w AS n, covar_samp(x, y) OVER w / nullif(stddev_samp(x) OVER w * stddev_samp(y) OVER w, 0) AS c FROM d WINDOW w AS (ORDER BY chunk_rowid ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) SELECT chunk_rowid, n, {r('CASE WHEN n >= 10 THEN c END', 'r', 5)} FROM n"))
+def chunk_rolling_corr(spark, sf):
+    """Rolling correlation over the last 50 chunks."""
+    return rounded(ordered.rolling_correlation(chunk_scores(spark, sf).select("chunk_rowid", "score", "topic_prob"), "chunk_rowid", "score", "topic_prob", 50, size=512).select("chunk_rowid", "n", "r"), "r", digits=5)
