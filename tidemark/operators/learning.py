@@ -29,6 +29,10 @@ def standardise(df: DataFrame, columns: list[str], train) -> DataFrame:
     return both.select(*[scaled(c) if c in names else F.col(c) for c in df.columns])
 
 
+def _scaled_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    return standardise(df, columns, F.lit(True))
+
+
 def fit_logit(x: np.ndarray, y: np.ndarray, strength: float, classes: np.ndarray) -> np.ndarray:
     """Weights (classes, features + 1) of a multinomial logit: strength * sum(w_i * loss_i) + |W|^2 / 2, the intercept
     free, w_i balancing the classes. Newton's method on the full Hessian, with halved steps."""
@@ -165,20 +169,6 @@ def search_subsets(df: DataFrame, candidates: list[str], y: str, most: int = 4,
     return got.withColumn("auc", F.when(~F.isnan("auc"), F.col("auc")))
 
 
-def coefficients(df: DataFrame, features: list[str], y: str, strength: float, classes: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
-    """class, feature, weight of the fit on all complete rows, features standardised."""
-
-    def run(pdf):
-        import pandas as pd
-
-        x, _ = _scaled(pdf[features].to_numpy(float), pdf[features].to_numpy(float))
-        w = fit_logit(x, pdf.y.to_numpy(), strength, np.array(classes))
-        return pd.DataFrame([(c, f, w[i, j]) for i, c in enumerate(classes) for j, f in enumerate([*features, "intercept"])], columns=["class", "feature", "weight"])
-
-    rows = df.select(*features, F.col(y).cast("int").alias("y")).dropna()
-    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "class int, feature string, weight double")
-
-
 def _grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int, depth: int, leaf: int, tries: int, r: np.random.Generator, gains: np.ndarray) -> tuple:
     """A tree by Gini impurity: (feature, cut, left, right) or the leaf's class shares. gains: impurity less, by feature."""
     total = np.bincount(y, weight, k)

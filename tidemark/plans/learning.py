@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import direction
-from ..operators import classifier, scoring
+from ..operators import classifier, distributed, scoring
 from ..operators import learning as ml
 from ..operators import statistics as stat
 from ..operators import windows as win
-from ..sources.adapters import market, table, with_views
+from ..sources.adapters import chunk_scores, market, table, with_views
 from .base import query, r, rounded
 from .series import joined, meeting_scores
 
@@ -82,7 +82,8 @@ def logit_subsets(spark, sf):
 
 @query("logit_coefficients")
 def logit_coefficients(spark, sf):
-    return rounded(ml.coefficients(_plain(spark, sf), _NAMES, "y", 0.1), "weight")
+    """Newton steps over the whole table, features standardised."""
+    return rounded(distributed.coefficients(_plain(spark, sf), _NAMES, "y", 0.1), "weight")
 
 
 @query("forest_cv")
@@ -95,7 +96,18 @@ def forest_cv(spark, sf):
 @query("forest_grid")
 def forest_grid(spark, sf):
     """Nine settings of forests over three expanding folds."""
-    return rounded(ml.forest_grid(ml.folded(_plain(spark, sf), _NAMES, "y", 3), _NAMES, trees=40), "accuracy")
+    return rounded(ml.forest_grid(ml.folded(_plain(spark, sf), _NAMES, "y", 3), _NAMES), "accuracy")
+
+
+@query("chunk_forest")
+def chunk_forest(spark, sf):
+    """A forest of 20 trees over all chunks, grown from histograms: the part of a chunk by its scores."""
+    c = chunk_scores(spark, sf).select("chunk_rowid", "score", "topic_prob", F.month("date").cast("double").alias("month"), "chunk_limit", F.when(F.col("part") == "IS", 0).otherwise(1).alias("y"))
+    names = ["score", "topic_prob", "month", "chunk_limit"]
+    rows = c.withColumn("chunk_limit", F.col("chunk_limit").cast("double"))
+    forest = distributed.Forest.fit(rows.where("chunk_rowid % 5 > 0"), names, "chunk_rowid", trees=20, leaf=5, classes=(0, 1))
+    got = forest.predict(rows.where("chunk_rowid % 5 = 0"))
+    return rounded(got.groupBy("y").agg(F.avg((F.col("y") == F.col("predicted")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")), "accuracy")
 
 
 @query("forest_importances")
@@ -150,7 +162,7 @@ def strength_grid(spark, sf):
 def nested_validation(spark, sf):
     """Selection inside the folds and, for comparison, before them."""
     rows = ml.folded(_plain(spark, sf), _NAMES, "y", 3)
-    inside, before = (ml.nested_validation(rows, _NAMES, 2, leak=leak).withColumn("leak", F.lit(leak)) for leak in (False, True))
+    inside, before = (ml.nested_validation(rows, _NAMES, 4, leak=leak).withColumn("leak", F.lit(leak)) for leak in (False, True))
     return rounded(inside.unionAll(before), "auc")
 
 
