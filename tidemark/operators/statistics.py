@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import changed, pairs, pearson
 from ..schema import MIN_STD
+from .gram import pair_correlations
 
 
 def long_lags(long: DataFrame, max_lag: int, deltas: bool = False, order: str = "date") -> DataFrame:
@@ -80,11 +81,8 @@ def first_of_each(rows: DataFrame, name: str, place: str) -> DataFrame:
 
 
 def overlap(long: DataFrame, least: int = 20) -> DataFrame:
-    """a, b, r, n for unordered pairs of features; by a self-join on date of a meeting-level table."""
-    x = long.where("value IS NOT NULL")
-    a, b = x.select("date", F.col("feature").alias("a"), F.col("value").alias("x")), x.select("date", F.col("feature").alias("b"), F.col("value").alias("y"))
-    g = a.join(b, "date").where("a < b").groupBy("a", "b").agg(pearson("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
-    return g.where((F.col("n") >= least) & F.col("r").isNotNull()).select("a", "b", F.round("r", 3).alias("r"), "n")
+    """a, b, r, n for unordered pairs of features, by blocked Gram matrices."""
+    return pair_correlations(long, least).select("a", "b", F.round("r", 3).alias("r"), "n")
 
 
 #: Labels of a confusion matrix at most.

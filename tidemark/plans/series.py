@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import changed, composite, direction, fisher_interval, pairs, pearson, regime, row_mean_abs
-from ..operators import ordered
+from ..operators import intervals, ordered, quantiles
 from ..operators import windows as win
 from ..operators.statistics import CRITICAL_R_20
 from ..schema import eras
@@ -282,3 +282,20 @@ def chunk_lags(spark, sf):
 def chunk_rolling_corr(spark, sf):
     """Rolling correlation over the last 50 chunks."""
     return rounded(ordered.rolling_correlation(chunk_scores(spark, sf).select("chunk_rowid", "score", "topic_prob"), "chunk_rowid", "score", "topic_prob", 50, size=512).select("chunk_rowid", "n", "r"), "r", digits=5)
+
+
+@query("chunk_quantiles", with_views("chunk_scores", sql=f", q AS (SELECT part, chunk_limit, count(score) AS n, quantile_cont(score, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM chunk_scores GROUP BY part, chunk_limit) SELECT part, chunk_limit, n, {', '.join(r(f'q[{i + 1}]', f'q{i}') for i in range(5))} FROM q"))
+def chunk_quantiles(spark, sf):
+    """Exact quantiles of all chunks of a part and size, from a sketch and a second pass."""
+    q = quantiles.quantiles(chunk_scores(spark, sf), "score", (0.05, 0.25, 0.5, 0.75, 0.95), ("part", "chunk_limit"), 200)
+    return rounded(q.select("part", "chunk_limit", "n", *[F.get("q", i).alias(f"q{i}") for i in range(5)]), *[f"q{i}" for i in range(5)])
+
+
+@query("open_intervals", "WITH i AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 2 AS INTEGER) AS b, o_totalprice AS v FROM orders), d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem) SELECT CAST(d AS VARCHAR) AS day, count(*) AS n, " + r("sum(v)", "total", 2) + " FROM d JOIN i ON d BETWEEN a AND b GROUP BY d")
+def open_intervals(spark, sf):
+    """Of each shipping day the orders whose interval holds it: an interval an order, overlapping, of 0 to 37 days or empty."""
+    a = F.to_date("o_orderdate")
+    i = table(spark, sf, "orders").select("o_orderkey", a.alias("a"), F.date_add(a, (F.col("o_orderkey") % 40 - 2).cast("int")).alias("b"), F.col("o_totalprice").alias("v"))
+    d = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
+    got = intervals.interval_join(d, i, F.unix_date("day"), F.unix_date("a"), F.unix_date("b"))
+    return rounded(got.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")), "total", digits=2)
