@@ -3,12 +3,13 @@
 import datetime as dt
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import scoring
 from tidemark.schema import EVENT_STUDY
 from tidemark.sources import files, html
-from tidemark.sources.store import Store, numbered, page_ranges, seeded_sample
+from tidemark.sources.store import Store, numbered, page_ranges, scratch, seeded_sample
 from tidemark.streaming import jobs
 
 
@@ -65,7 +66,9 @@ def workbook() -> bytes:
 
 def test_wide_workbook():
     names = [f"<{i}>" for i in range(60)]
-    assert files.sheet_rows(files.workbook({"s": [names, [str(i) for i in range(60)], []]}), "s") == [{n: str(i) for i, n in enumerate(names)}, {}]
+    book = files.workbook({"s": [names, [str(i) for i in range(60)], []]})
+    assert list(files.sheet_rows(book, "s")) == [{n: str(i) for i, n in enumerate(names)}, {}]
+    assert list(files.sheet_rows(book, "s", (names[3], names[40], "none"))) == [{names[3]: "3", names[40]: "40"}, {}]
 
 
 def test_fetched_pages(spark):
@@ -133,3 +136,77 @@ def test_streamed_replacement(spark, tmp_path):
         stream = spark.readStream.schema("chunk_rowid long, score double, chunk_limit int, model_id int").parquet(src)
         jobs.replace_scores(stream, out, str(tmp_path / f"cp{i}")).awaitTermination(60)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_unclosed_elements(spark):
+    """Implied ends, in pages that would nest without end."""
+    many = "".join(f"<p>par {i} <b>bold" for i in range(3000))
+    got = html.page_elements(f"<main><div>{many}</div></main>")
+    assert len(got) == 3000 and got[0] == ("par 0  bold", "par 0 [bold]") and got[-1] == ("par 2999  bold", "par 2999 [bold]")
+    plain = html.page_elements("<main><div>" + "<p>par" * 100_000 + "</div></main>")
+    assert len(plain) == 100_000 and set(plain) == {("par", "par")}
+    deep = html.page_elements("<main><div><p>" + "<i>x" * 5000 + "</p><ul><li>a<li>b<ol><li>c</ol><li>d</ul></div></main>")
+    assert deep[0][1] == "" and deep[1] == ("a  b  c  d", "")
+    dts = "".join(f"<dt isodate='2000-01-{i:02d}'>d<dd><div class='title'><a href='{i}'>t</a></div>" for i in range(1, 30))
+    assert html.index_links(f"<div>{dts}</div>") == [(f"2000-01-{i:02d}", str(i)) for i in range(29, 0, -1)]
+
+
+def versions(spark):
+    from tidemark.sources.manifest import Versions
+
+    schema = spark.createDataFrame([], "v int, k int").schema
+    return Versions(spark, scratch(spark, "versions"), schema, ["k"])
+
+
+def held(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_readers_keep_their_version(spark):
+    t = versions(spark)
+    rows = lambda *x: spark.createDataFrame(list(x), "v int, k int")
+    assert held(t.read()) == [] and t.latest()[0] == -1
+    t.append(rows((1, 1), (2, 2)))
+    before = t.read()
+    t.append(rows((3, 1)))
+    t.replace_part(rows((9, 1)), {"k": 1})
+    assert held(t.read()) == [(2, 2), (9, 1)]
+    t.replace_part(rows(), {"k": 2})  # nothing comes, what was there goes
+    assert held(t.read()) == [(9, 1)]
+    t.replace(rows((7, 7)))
+    assert held(before) == [(1, 1), (2, 2)] and held(t.read()) == [(7, 7)]
+    t.replace_part(None, {"k": 7})
+    assert held(t.read()) == [] and held(before) == [(1, 1), (2, 2)]
+    t.append(rows((5, 5)))
+    assert t.vacuum() > 0 and held(t.read()) == [(5, 5)]
+
+
+def test_failed_writes_leave_the_version(spark):
+    t = versions(spark)
+    t.append(spark.createDataFrame([(1, 1)], "v int, k int"))
+    bad = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("no")).cast("int")).otherwise(1).alias("v"), F.lit(1).alias("k"))
+    with pytest.raises(Exception, match="no"):
+        t.replace(bad)
+    assert held(t.read()) == [(1, 1)] and t.latest()[0] == 0
+
+
+def test_a_dead_writers_version_does_not_count(spark, monkeypatch):
+    from tidemark.sources import manifest
+
+    monkeypatch.setattr(manifest, "WAIT", 0.3)
+    t = versions(spark)
+    rows = spark.createDataFrame([(1, 1)], "v int, k int")
+    t.append(rows)
+    p, fs = t._path("_versions", f"{1:012d}.json")
+    fs.create(p, False).close()
+    assert held(t.read()) == [(1, 1)]
+    assert t.append(rows) == 2 and held(t.read()) == [(1, 1), (1, 1)]
+
+
+def test_writers_at_once_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = versions(spark)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: t.append(spark.createDataFrame([(i, i % 2)], "v int, k int")), range(8)))
+    assert held(t.read()) == [(i, i % 2) for i in range(8)] and t.latest()[0] == 7

@@ -166,14 +166,22 @@ def nested_validation(spark, sf):
     return rounded(inside.unionAll(before), "auc")
 
 
-_RUNS = (("M1", 0.682, 0.5723), ("M2", 0.694, 0.6619), ("M3", 0.705, 0.7090), ("M4", 0.763, 0.7640))
+_PAIRS = "sum(CASE WHEN a.{0} > b.{0} THEN 1.0 WHEN a.{0} = b.{0} THEN 0.5 ELSE 0 END) / count(*)"
 
 
-@query("model_comparison", "WITH m(model, o, n) AS (VALUES " + ", ".join(f"('{m}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for m, a, b in _RUNS) + f") SELECT model, {r('o', 'old')}, {r('n', 'new')}, {r('n - o', 'change')}, CASE WHEN n - o > 0.005 THEN 'better' WHEN n - o < -0.005 THEN 'worse' ELSE 'same' END AS verdict FROM m")
+@query(
+    "model_comparison",
+    "WITH x AS (SELECT lang, quality, coalesce(length(text), 0) AS o, coalesce(length(regexp_replace(text, '[^ ]', '', 'g')), 0) AS n FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL),"
+    f" m AS (SELECT a.lang AS model, {_PAIRS.format('o')} AS o, {_PAIRS.format('n')} AS n FROM x AS a JOIN x AS b ON a.lang = b.lang AND a.quality = 1 AND b.quality = 0 GROUP BY a.lang)"
+    f" SELECT model, {r('o', 'old')}, {r('n', 'new')}, {r('n - o', 'change')}, CASE WHEN n - o > 0.005 THEN 'better' WHEN n - o < -0.005 THEN 'worse' ELSE 'same' END AS verdict FROM m",
+)
 def model_comparison(spark, sf):
-    rows = spark.createDataFrame([list(x) for x in _RUNS], "model string, o double, n double")
-    got = ml.compare(rows.select("model", F.col("o").alias("auc")), rows.select("model", F.col("n").alias("auc")))
-    return rounded(got, "old", "new", "change")
+    """Two rankings of the labelled documents, by their signs and by their spaces: which is better in each language."""
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").where("lang IS NOT NULL")
+    t = F.coalesce("text", F.lit(""))
+    x = d.select(F.col("lang").alias("model"), (F.col("quality") == 1).alias("pos"), F.length(t).alias("o"), F.length(F.regexp_replace(t, "[^ ]", "")).alias("n")).where("pos IS NOT NULL")
+    old, new = (stat.auc(x, c, "pos", ("model",)).select("model", "auc") for c in ("o", "n"))
+    return rounded(ml.compare(old, new), "old", "new", "change")
 
 
 def _judged(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import boundaries, chunking, scoring
-from ..schema import CHUNK_LIMITS, TABLES
+from ..schema import CHUNK_LIMITS
 from ..sources import files
 from ..sources import html as web
 from ..sources.adapters import market, paragraphs, table, with_views
@@ -52,6 +52,16 @@ def event_study_workbook(spark, sf):
     return files.read_event_study(spark, path)
 
 
+@query("money_market_workbook", with_views("market", sql=' SELECT date, mro AS "MRO", round(mro + 0.25, 6) AS "MRO announced", shadow AS "Wu-Xia shadow rate" FROM market WHERE coalesce(mro, shadow) IS NOT NULL'))
+def money_market_workbook(spark, sf):
+    """Rates as the sheet of another workbook, dates as text."""
+    path = scratch(spark, "rates") + ".xlsx"
+    panel = market(spark, sf).select(F.date_format("date", "d/M/yyyy"), F.lit("x"), *[c.cast("string") for c in (F.col("shadow"), F.round(F.col("mro") + 0.25, 6), F.col("mro"))])
+    rows = [list(x) for x in panel.collect()]  # a row a month
+    files.write_workbook(spark, path, {"MM": [["date", "note", "Wu-Xia shadow rate", "MRO announced", "MRO"], *rows], "More": [["a"]]})
+    return files.read_money_market(spark, path)
+
+
 @query("result_table", "SELECT lang AS \"Era\", source AS \"Feature\", count(*) AS n, CASE WHEN count(*) % 2 = 0 THEN '*' ELSE '' END AS sig FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
 def result_table(spark, sf):
     """A result table as CSV, each row twice, read again: no stars as '', one row a feature and era."""
@@ -111,15 +121,38 @@ def sampled_documents(spark, sf):
     return seeded_sample(table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id"), "doc_id", 50)
 
 
-_DDL = ", ".join(f"('{name}', {i}, '{f.name}', '{f.dataType.simpleString()}')" for name, s in TABLES.items() for i, f in enumerate(s))
+#: The stored tables' columns and types, as the reference's tables have them, with the partitions' own.
+_DDL = """
+statements statement_id bigint, date date, url string
+chunks chunk_rowid bigint, statement_id bigint, part int, chunk_id int, is_question boolean, chunk_limit int, chunk string
+sentiment_models model_id int, name string
+sentiments chunk_rowid bigint, model_id int, score double, chunk_limit int
+topic_labels label_id int, name string, description string, version int
+topics chunk_rowid bigint, label_id int, prob double, model_id int, chunk_limit int
+topic_models model_id int, name string
+"""
+_COLUMNS = ", ".join(f"('{line.split(' ', 1)[0]}', {i}, {', '.join(map(repr, part.split(' ')))})" for line in _DDL.strip().split("\n") for i, part in enumerate(line.split(" ", 1)[1].split(", ")))
 
 
-@query("store_ddl", f"SELECT * FROM (VALUES {_DDL}, ('sentiments', 3, 'chunk_limit', 'int'), ('topics', 4, 'chunk_limit', 'int')) AS t(name, pos, field, type)")
+@query(
+    "store_ddl",
+    f"WITH c AS (SELECT * FROM (VALUES {_COLUMNS}) AS t(name, pos, field, type)), n AS (SELECT 'chunks' AS name, count(*) AS n FROM documents UNION ALL SELECT 'statements', count(DISTINCT doc_id % {MEETINGS}) FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'sentiments', count(*) FROM documents WHERE doc_id % 4 = 2)"
+    " SELECT c.name, pos, field, type, coalesce(n, 0) AS n FROM c LEFT JOIN n USING (name) WHERE c.name IN ('chunks', 'statements', 'sentiments', 'topics')",
+)
 def store_ddl(spark, sf):
-    """Columns of the stored tables, read from what was written."""
+    """Columns of the stored tables as their files have them, and how many rows came to be in them from the documents."""
     s = _filled(spark, sf)
-    rows = [(n, i, *part.split(" ")) for n, text in s.ddl().items() for i, part in enumerate(text.split(", ")) if part.split(" ")[0] in s.read(n).columns]
-    return spark.createDataFrame(rows, "name string, pos int, field string, type string")
+    meetings = table(spark, sf, "documents").where("doc_id IS NOT NULL").select((F.col("doc_id") % MEETINGS).alias("m")).distinct()
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (30 * F.col("m")).cast("int"))
+    s.put_statements(meetings.select(day.alias("date"), F.col("m").cast("string").alias("url")))
+    s.replace_sentiments(s.chunks(200).select("chunk_rowid", F.lit(0.5).alias("score")), "finbert", 200)
+    out = None
+    for name in ("chunks", "statements", "sentiments", "topics"):
+        df = s.read(name)
+        fields = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type")) for i, f in enumerate(df.schema)])
+        rows = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.inline(fields), "n")
+        out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 _COUNT = "len(list_filter(w, lambda x: x IN ({})))"

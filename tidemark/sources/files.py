@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
+from collections.abc import Collection, Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,31 +39,45 @@ def read_shocks(spark: SparkSession, path: str) -> DataFrame:
     return _panel(raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SHOCKS]))
 
 
-def sheet_rows(data: bytes, sheet: str) -> list[dict[str, str]]:
-    """A workbook sheet's rows by the header's names, from the file format's XML."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+def sheet_rows(data: bytes, sheet: str, wanted: Collection[str] | None = None) -> Iterator[dict[str, str]]:
+    """A workbook sheet's rows by the header's names, from the file format's XML, one row at a time; ``wanted``: of these
+    columns only. A sheet without rows gives none."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    text_of = lambda e: "".join(t.text or "" for t in e.iter(f"{main}t"))
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
+        shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
+            for _, e in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
+                if e.tag == f"{main}si":
+                    shared.append(text_of(e))
+                    e.clear()
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        link = next(s.get(rel) for s in book.iter(f"{{{ns['m']}}}sheet") if s.get("name") == sheet)
+        link = next(s.get(rel) for s in book.iter(f"{main}sheet") if s.get("name") == sheet)
         target = next(x.get("Target") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if x.get("Id") == link)
-        root = ElementTree.fromstring(z.read(f"xl/{target.lstrip('/').removeprefix('xl/')}"))
-    rows = []
-    for row in root.iter(f"{{{ns['m']}}}row"):
-        cells: dict[str, str] = {}
-        for c in row.findall("m:c", ns):
-            v, inline = c.find("m:v", ns), c.find("m:is", ns)
-            text = "".join(t.text or "" for t in inline.iter(f"{{{ns['m']}}}t")) if inline is not None else (v.text if v is not None else None)
-            if text is not None:
-                cells[re.sub(r"\d", "", c.get("r"))] = shared[int(text)] if c.get("t") == "s" else text
-        rows.append(cells)
-    if not rows:
-        return []
-    names = rows[0]
-    return [{names[k]: v for k, v in r.items() if k in names} for r in rows[1:]]
+        names: dict[str, str] | None = None
+        above: list = []
+        for event, e in ElementTree.iterparse(z.open(f"xl/{target.lstrip('/').removeprefix('xl/')}"), ("start", "end")):
+            if event == "start":
+                above.append(e)
+                continue
+            above.pop()
+            if e.tag != f"{main}row":
+                continue
+            cells: dict[str, str] = {}
+            for c in e.findall(f"{main}c"):
+                at = re.sub(r"\d", "", c.get("r"))
+                if names is not None and at not in names:
+                    continue
+                v, inline = c.find(f"{main}v"), c.find(f"{main}is")
+                text = text_of(inline) if inline is not None else (v.text if v is not None else None)
+                if text is not None:
+                    cells[at] = shared[int(text)] if c.get("t") == "s" else text
+            if names is None:
+                names = {k: n for k, n in cells.items() if wanted is None or n in wanted}
+            else:
+                yield {names[k]: v for k, v in cells.items()}
+            above[-1].clear()  # rows that have been read are let go
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str, schema: T.StructType) -> DataFrame:
@@ -72,8 +88,10 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, schema: T.StructType)
         import pandas as pd
 
         for pdf in batches:
-            out = [row for data in pdf["content"] for row in sheet_rows(data, sheet)]
-            yield pd.DataFrame([[r.get(n) for n in schema.names] for r in out], columns=schema.names)
+            for data in pdf["content"]:
+                rows = sheet_rows(data, sheet, schema.names)
+                while lot := list(itertools.islice(rows, 4096)):
+                    yield pd.DataFrame([[r.get(n) for n in schema.names] for r in lot], columns=schema.names)
 
     text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
     raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, text)

@@ -12,6 +12,10 @@ BLOCKS = frozenset({"div", "p", "ul", "ol"})
 SKIPPED = frozenset({"title", "address-box", "-top-arrow", "related-topics", "upper-connetion", "lower-connection", "see-also-boxes", "notes", "footnotes"})
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _MARKED = frozenset({"b", "strong", "em"})
+#: Fixed values of HTML: elements that end by themselves where another starts, up to the elements that hold them.
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+_IMPLIED = {"li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"}))}
+_HOLDERS = frozenset("table td th caption button template main body".split())
 
 
 class Node:
@@ -49,22 +53,48 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: dict[str, int] = {}
+
+    def _leave(self, node):
+        """Ends node and what is open in it."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[node.tag] -= 1
+        self.at = node.parent
+
+    def _end(self, tags, holders):
+        """Ends the innermost open element of these tags that no holder hides."""
+        if not any(self.open.get(t) for t in tags):
+            return
+        n = self.at
+        while n.parent is not None and n.tag not in holders:
+            if n.tag in tags:
+                self._leave(n)
+                return
+            n = n.parent
 
     def handle_starttag(self, tag, attrs):
+        if tag in _IMPLIED:
+            self._end(*_IMPLIED[tag])
+        if tag in _ENDS_P:
+            self._end({"p"}, _HOLDERS)
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in _VOID:
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, dict(attrs), self.at))
 
     def handle_endtag(self, tag):
+        if not self.open.get(tag):
+            return
         n = self.at
-        while n.parent is not None and n.tag != tag:
+        while n.tag != tag:
             n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        self._leave(n)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -79,12 +109,30 @@ def parse(html: str) -> Node:
 
 def marked_text(node) -> str:
     """Text with bold and emphasised parts in brackets; parts of one sign or none are left out."""
-    if isinstance(node, str):
-        return node if len(node) > 1 else ""
-    whole = node.text()
-    if len(whole) <= 1:
-        return ""
-    return f"[{whole}]" if node.tag in _MARKED else "".join(marked_text(c) for c in node.children)
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            if len(n) > 1:
+                out.append(n)
+        elif n.tag in _MARKED:
+            whole = n.text()
+            if len(whole) > 1:
+                out.append(f"[{whole}]")
+        elif _longer_than_one(n):
+            stack.extend(reversed(n.children))
+    return "".join(out)
+
+
+def _longer_than_one(node) -> bool:
+    n, stack = 0, [node]
+    while stack and n < 2:
+        x = stack.pop()
+        if isinstance(x, str):
+            n += len(x)
+        else:
+            stack.extend(x.children)
+    return n > 1
 
 
 def page_elements(html: str, root: str = "main", nested: bool = True) -> list[tuple[str, str]]:
@@ -107,21 +155,25 @@ def page_elements(html: str, root: str = "main", nested: bool = True) -> list[tu
 
 def index_links(html: str) -> list[tuple[str, str]]:
     """(isodate, href) of a year's index, last entry first: a dt[isodate] outside dl, the next dd, its div.title, a[href]."""
-    out = []
-    for n in parse(html).walk():
-        if n.tag != "dt" or not n.attrs.get("isodate"):
-            continue
-        up = n.parent
-        while up is not None and up.tag != "dl":
-            up = up.parent
-        if up is not None:
-            continue
-        after = [c for c in n.parent.children[n.parent.children.index(n) + 1 :] if isinstance(c, Node)]
-        dd = next((c for c in after if c.tag == "dd"), None)
-        title = next((c for c in dd.walk() if c.tag == "div" and "title" in (c.attrs.get("class") or "").split()), None) if dd else None
-        a = next((c for c in title.walk() if c.tag == "a"), None) if title else None
-        if a is not None and a.attrs.get("href"):
-            out.append((n.attrs["isodate"], a.attrs["href"]))
+    out, tree = [], parse(html)
+    later: dict[int, Node | None] = {}  # of each dt the next dd beside it
+    for n in tree.walk():
+        dd = None
+        for c in reversed(n.children):
+            if isinstance(c, Node):
+                dd = c if c.tag == "dd" else dd
+                if c.tag == "dt":
+                    later[id(c)] = dd
+    stack = [(tree, False)]
+    while stack:
+        n, inside = stack.pop()  # inside a dl
+        if n.tag == "dt" and n.attrs.get("isodate") and not inside:
+            dd = later[id(n)]
+            title = next((c for c in dd.walk() if c.tag == "div" and "title" in (c.attrs.get("class") or "").split()), None) if dd else None
+            a = next((c for c in title.walk() if c.tag == "a"), None) if title else None
+            if a is not None and a.attrs.get("href"):
+                out.append((n.attrs["isodate"], a.attrs["href"]))
+        stack.extend((c, inside or n.tag == "dl") for c in reversed(n.children) if isinstance(c, Node))
     return out[::-1]
 
 

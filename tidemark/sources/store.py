@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SENTIMENT_MODELS, TABLES, TOPIC_MODELS
+from .manifest import Versions
 
 
 _scratch: list[tuple[SparkSession, str]] = []
@@ -40,8 +41,9 @@ atexit.register(_clean)
 
 
 class Store:
-    """Tables under one folder. chunks are partitioned by chunk_limit; scores by chunk_limit and model as well, so that
-    replacing one (limit, model) is the overwrite of one partition."""
+    """Tables under one folder, each a sequence of versions (see ``manifest``): every load is one commit, and what has been
+    read keeps its rows. chunks are partitioned by chunk_limit; scores by chunk_limit and model as well, so that replacing
+    one (limit, model) writes one partition."""
 
     PARTITIONS = {"chunks": ["chunk_limit"], "sentiments": ["chunk_limit", "model_id"], "topics": ["chunk_limit", "model_id"]}
 
@@ -57,27 +59,29 @@ class Store:
             s = type(s)(list(s.fields)).add("chunk_limit", "integer")
         return s
 
+    def versions(self, name: str) -> Versions:
+        return Versions(self.spark, self.path(name), self._schema(name), self.PARTITIONS.get(name, []))
+
     def create(self, confirm: bool = False) -> None:
-        """Empty tables and seeded dimensions; drops what is there, so it wants ``confirm``."""
+        """Empty tables and seeded dimensions; what is there goes, so it wants ``confirm``."""
         if not confirm:
             raise PermissionError("create(confirm=True) drops all tables")
         for name in TABLES:
-            self._write(self.spark.createDataFrame([], self._schema(name)), name, "overwrite")
+            self.versions(name).commit(lambda _: [])
         for name, names in (("sentiment_models", SENTIMENT_MODELS), ("topic_models", TOPIC_MODELS)):
-            self._write(self.spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], self._schema(name)), name, "overwrite")
+            self.versions(name).replace(self.spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], self._schema(name)))
 
     def ddl(self) -> dict[str, str]:
         """Each table's columns as DDL."""
         return {n: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self._schema(n)) for n in TABLES}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self._schema(name)).parquet(self.path(name))
+        return self.versions(name).read()
 
-    def _write(self, df: DataFrame, name: str, mode: str, partitions_only: bool = False) -> None:
-        w = df.select(*self._schema(name).names).write.mode(mode)
-        if name in self.PARTITIONS:
-            w = w.partitionBy(*self.PARTITIONS[name]).option("partitionOverwriteMode", "dynamic" if partitions_only else "static")
-        w.parquet(self.path(name))
+    def vacuum(self, keep: int = 1) -> None:
+        """Deletes the files of older versions of all tables."""
+        for name in TABLES:
+            self.versions(name).vacuum(keep)
 
     # scans
 
@@ -130,7 +134,7 @@ class Store:
     def put_statements(self, df: DataFrame) -> None:
         """Replaces all statements; keys by date."""
         rows = numbered(df.select("date", "url", F.unix_date(F.to_date("date")).alias("_day")), "_day", ties=("date", "url"))
-        self._write(rows.select("date", "url", (F.col("rn") + 1).alias("statement_id")), "statements", "overwrite")
+        self.versions("statements").replace(rows.select("date", "url", (F.col("rn") + 1).alias("statement_id")))
 
     def put_chunks(self, intro: DataFrame | None = None, qa: DataFrame | None = None) -> None:
         """Appends chunks of introductions and question times; keys follow (limit, statement, part, chunk)."""
@@ -139,31 +143,32 @@ class Store:
         key = F.xxhash64("chunk_limit", "statement_id", "part", "chunk_id")
         df = df.withColumn("chunk_rowid", key).repartition("chunk_limit", "statement_id").sortWithinPartitions("statement_id", "part", "chunk_id")
         casts = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema("chunks")]
-        self._write(df.select(*casts), "chunks", "append")
+        self.versions("chunks").append(df.select(*casts))
 
     def put_topic_labels(self, labels: dict[str, str], version: int = 0) -> None:
         rows = [(100 * version + i + 1, n, d, version) for i, (n, d) in enumerate(labels.items())]
-        self._write(self.spark.createDataFrame(rows, self._schema("topic_labels")), "topic_labels", "append")
+        self.versions("topic_labels").append(self.spark.createDataFrame(rows, self._schema("topic_labels")))
 
-    def _keyed(self, df: DataFrame, models: str, model: str) -> DataFrame:
-        dim = F.broadcast(self.read(models).where(F.col("name") == model).select("model_id"))
-        return df.crossJoin(dim)  # the name is unique: one row
+    def _replace(self, df: DataFrame, name: str, models: str, model: str, limit: int) -> None:
+        """In one version what the model had of this limit goes, even where nothing comes."""
+        found = self.read(models).where(F.col("name") == model).select("model_id").first()
+        if found is None:
+            raise ValueError(f"no model {model}")
+        rows = df.withColumns({"model_id": F.lit(found.model_id), "chunk_limit": F.lit(limit)})
+        self.versions(name).replace_part(rows, {"chunk_limit": limit, "model_id": found.model_id})
 
     def replace_sentiments(self, df: DataFrame, model: str, limit: int) -> None:
         """(chunk_rowid, score) of one limit and model; what was there goes in the same commit."""
-        rows = self._keyed(df, "sentiment_models", model).withColumn("chunk_limit", F.lit(limit))
-        self._write(rows, "sentiments", "overwrite", partitions_only=True)
+        self._replace(df, "sentiments", "sentiment_models", model, limit)
 
     def replace_topics(self, df: DataFrame, model: str, limit: int, version: int = 0) -> None:
         """(chunk_rowid, topic name, prob) of one limit and model; names are resolved against the label dimension."""
         lab = F.broadcast(self.topic_labels(version).select("label_id", F.col("name").alias("topic")))
-        rows = self._keyed(df.join(lab, "topic"), "topic_models", model).withColumn("chunk_limit", F.lit(limit))
-        self._write(rows, "topics", "overwrite", partitions_only=True)
+        self._replace(df.join(lab, "topic"), "topics", "topic_models", model, limit)
 
     def clear(self, name: str, limit: int, model_id: int) -> None:
-        """Empties one partition of scores."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/chunk_limit={limit}/model_id={model_id}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        """Empties one partition of scores, in one version."""
+        self.versions(name).replace_part(None, {"chunk_limit": limit, "model_id": model_id})
 
 
 def _place(x: Column, cuts: list[float], base: int) -> Column:
