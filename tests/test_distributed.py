@@ -66,3 +66,19 @@ def test_a_forest_of_nothing_and_of_constants(spark, data):
     df = data[0]
     flat = distributed.Forest.fit(df.withColumn("a", F.lit(1.0)).withColumn("y", F.lit(0)), ["a"], "id", trees=2)
     assert (flat.feature < 0).all() and np.allclose(flat.shares[:, 0], [0, 1, 0])
+
+
+def test_projections_are_the_local_ones(spark):
+    r = np.random.default_rng(5)
+    s, e = r.normal(size=150), r.normal(size=150)
+    t = np.cumsum(0.3 * s + 0.5 * np.roll(e, 1) + e)
+    rows = [(i, float(a), None if i in (40, 41, 77) else float(b)) for i, (a, b) in enumerate(zip(s, t))]
+    df = spark.createDataFrame(rows, "date int, s double, t double").repartition(3)
+    for size in (16, 1 << 16):
+        got = {x.horizon: x for x in distributed.local_projections(df, "s", "t", range(3), size=size).collect()}
+        want = {x.horizon: x for x in learning.local_projections(df, "s", "t", range(3)).collect()}
+        assert got.keys() == want.keys()
+        for h, x in want.items():
+            assert got[h].n == x.n and np.allclose([got[h].coef, got[h].se, got[h].low, got[h].high], [x.coef, x.se, x.low, x.high])
+    few = distributed.local_projections(df.limit(3), "s", "t", range(2)).collect()
+    assert [(x.horizon, x.coef) for x in few] == [(0, None), (1, None)]

@@ -1,6 +1,8 @@
 """Fits over tables of any size: rows stay where they are, and what the fit needs of them is summed over the partitions.
 
 * :func:`fit_logit` is ``learning.fit_logit`` by Newton steps whose gradients and Hessians are sums over partitions.
+* :func:`local_projections` is ``learning.local_projections`` from sums of products by horizon; the errors' autocorrelation
+  comes from equi-joins of neighbouring places, so no task sees a horizon's whole series.
 * :class:`Forest` grows all trees level by level from histograms of binned features, summed by Spark for each tree and
   node; the best split of a node is found in a task of its own, and only the splits come back.
 
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import numbered
+from . import ordered
 from .learning import TREES, _scaled_columns
 
 
@@ -101,6 +105,54 @@ def coefficients(df: DataFrame, features: list[str], y: str, strength: float, cl
     return df.sparkSession.createDataFrame(out, "class int, feature string, weight double")
 
 
+def local_projections(df: DataFrame, shock: str, target: str, horizons: range = range(11), control_lags: tuple[int, ...] = (1, 2), max_lags: int = 4, order: str = "date", size: int = ordered.SIZE) -> DataFrame:
+    """horizon, coef, se, low, high, n: the h-step change of the target (times 100) on the standardised shock and lags of
+    both, with errors robust to autocorrelation (Bartlett weights). The order is a total one."""
+    base = df.select(order, F.col(shock).cast("double").alias("s"), F.col(target).cast("double").alias("t"))
+    made = {f"c{i}": (lambda w, c=c, k=k: F.lag(c, k).over(w)) for i, (k, c) in enumerate((k, c) for k in control_lags for c in ("t", "s"))}
+    names = [*made]
+    made |= {f"y{h}": (lambda w, h=h: 100 * (F.lead("t", h).over(w) - F.col("t"))) for h in horizons}
+    wide = ordered.windowed(ordered.blocks(base, order, size=size).drop("_block").withColumnRenamed("_rn", "rn"), "rn", made, max(control_lags), max(horizons), size=size)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y")) for h in horizons])).alias("h")
+    rows = wide.select("rn", "s", *names, each).select("rn", "s", *names, "h.horizon", "h.y").dropna().persist()  # two passes
+    try:
+        cols = ["s", *names, "y"]
+        sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(cols) for b in cols[i:]]
+        found = rows.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in cols], *sums).collect()  # a row a horizon
+        fits, out = [], {h: (h, None, None, None, None, 0) for h in horizons}
+        for r in found:
+            out[r.horizon] = (r.horizon, None, None, None, None, r.n)
+            if r.n <= len(cols) + 1:
+                continue
+            mean = np.array([r[c] for c in cols]) / r.n
+            cov = np.array([[r[f"{a}_{b}"] if i <= j else r[f"{b}_{a}"] for j, b in enumerate(cols)] for i, a in enumerate(cols)]) - r.n * np.outer(mean, mean)
+            sd = np.sqrt(cov[0, 0] / (r.n - 1))
+            inv = np.linalg.pinv(cov[:-1, :-1])
+            b = inv @ cov[:-1, -1]
+            # of the shock's coefficient: what each row adds to it is its error times the weights a
+            fits.append((r.horizon, (mean).tolist(), b.tolist(), inv[0].tolist()))
+            out[r.horizon] = (r.horizon, float(b[0] * sd), float(sd), None, None, r.n)
+        if fits:
+            few = F.broadcast(df.sparkSession.createDataFrame(fits, "horizon int, m array<double>, b array<double>, a array<double>"))
+            off = [F.col(c) - F.col("m")[i] for i, c in enumerate(cols)]
+            total = lambda w: sum((F.col(w)[i] * off[i] for i in range(len(cols) - 1)), F.lit(0.0))
+            v = total("a") * (off[-1] - total("b"))
+            told = rows.join(few, "horizon").select("horizon", v.alias("v"), (F.col("horizon") * F.lit(float(1 << 44)) + F.col("rn")).alias("_o"))
+            placed = numbered(told, "_o", "place")
+            ahead = placed.select("horizon", F.col("v").alias("u"), "place", F.explode(F.sequence(F.lit(0), F.lit(max_lags))).alias("k")).select("horizon", "u", "k", (F.col("place") + F.col("k")).alias("place"))
+            products = placed.join(ahead, ["horizon", "place"]).groupBy("horizon", "k").agg(F.sum(F.col("v") * F.col("u")).alias("g")).collect()  # some numbers a horizon
+            meat = dict.fromkeys((f[0] for f in fits), 0.0)
+            for r in products:
+                meat[r.horizon] += r.g * (1.0 if r.k == 0 else 2 * (1 - r.k / (max_lags + 1)))
+            for h, m in meat.items():
+                _, coef, sd, _, _, n = out[h]
+                se = float(np.sqrt(m)) * sd
+                out[h] = (h, coef, se, coef - 1.96 * se, coef + 1.96 * se, n)
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([out[h] for h in horizons], "horizon int, coef double, se double, low double, high double, n int")
+
+
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     """A hash of whole numbers to [0, 1)."""
     with np.errstate(over="ignore"):

@@ -119,14 +119,17 @@ def forest_importances(spark, sf):
 _CONTROLS = ["t1", "s1", "t2", "s2"]
 
 
-def _projection_sql(horizons: int = 11, lags: int = 4) -> str:
+_MEETINGS = "SELECT date, score AS s, ois_1y AS t FROM (SELECT date, avg(score) AS score FROM chunk_scores GROUP BY date) JOIN market USING (date)"
+
+
+def _projection_sql(base: str = _MEETINGS, horizons: int = 11, lags: int = 4) -> str:
     """Partial regression: shock and change are freed of the constant and of each control in turn, which are freed of the
     controls before; with v and e, what is left of both, the coefficient is sum(v * y) / sum(v * v), and its variance the
     weighted sum of v * e at all lags over the square of sum(v * v)."""
     names = ["y", "s", *_CONTROLS]
     shifts = ", ".join(f"lag({c}, {k}) OVER w AS {c}{k}" for k in (1, 2) for c in ("t", "s"))
     steps = [
-        "b AS (SELECT date, score AS s, ois_1y AS t FROM (SELECT date, avg(score) AS score FROM chunk_scores GROUP BY date) JOIN market USING (date))",
+        f"b AS ({base})",
         "h AS (SELECT unnest(range(" + str(horizons) + ")) AS horizon)",
         "c AS (" + " UNION ALL ".join(f"SELECT {k} AS horizon, date, 100 * (lead(t, {k}) OVER w - t) AS y, s, {shifts} FROM b WINDOW w AS (ORDER BY date)" for k in range(horizons)) + ")",
         "d AS (SELECT * FROM c WHERE " + " AND ".join(f"{x} IS NOT NULL" for x in names) + ")",
@@ -151,6 +154,13 @@ def local_projection(spark, sf):
     return rounded(ml.local_projections(joined(spark, sf), "score", "ois_1y"), "coef", "se", "low", "high")
 
 
+@query("chunk_projection", with_views("chunk_scores", sql=_projection_sql("SELECT chunk_rowid AS date, score AS s, CASE WHEN chunk_rowid % 50 <> 3 THEN score * topic_prob END AS t FROM chunk_scores", 4)))
+def chunk_projection(spark, sf):
+    """The same over all chunks in the order of their keys, from sums alone."""
+    c = chunk_scores(spark, sf).select("chunk_rowid", "score", F.when(F.col("chunk_rowid") % 50 != 3, F.col("score") * F.col("topic_prob")).alias("t"))
+    return rounded(distributed.local_projections(c, "score", "t", range(4), order="chunk_rowid", size=1024), "coef", "se", "low", "high")
+
+
 @query("strength_grid")
 def strength_grid(spark, sf):
     """The strength of the best AUC over three expanding folds."""
@@ -180,7 +190,7 @@ def model_comparison(spark, sf):
     d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").where("lang IS NOT NULL")
     t = F.coalesce("text", F.lit(""))
     x = d.select(F.col("lang").alias("model"), (F.col("quality") == 1).alias("pos"), F.length(t).alias("o"), F.length(F.regexp_replace(t, "[^ ]", "")).alias("n")).where("pos IS NOT NULL")
-    old, new = (stat.auc(x, c, "pos", ("model",)).select("model", "auc") for c in ("o", "n"))
+    old, new = (stat.auc(x, c, "pos", ("model",)).where("auc IS NOT NULL").select("model", "auc") for c in ("o", "n"))
     return rounded(ml.compare(old, new), "old", "new", "change")
 
 
