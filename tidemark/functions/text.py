@@ -84,27 +84,32 @@ class Boundaries:
         known = _in(w, self.abbreviations) | _in(F.substring_index(w, "-", -1), self.abbreviations)
         return F.when(F.length(w) == 1, F.when(has_letter(w), "initial").otherwise("number")).when(~has_letter(w), "number").when(known, "abbreviation").otherwise("word")
 
-    def told(self, piece) -> Column:
-        """What of a piece of text matters where it is cut: its last word's kind, its first word."""
-        last = F.substring_index(F.translate(piece, "\t\n\r\f\x0b", "     "), " ", -1)
-        first = F.regexp_extract(piece, r"^\s*(\S+)", 1)
-        end = bare(last)
-        # dots alone ask for more
-        end_of = F.struct(word_type(last).alias("a"), F.when(~end.endswith("."), "sign").when(end.endswith(".."), "dots").otherwise(self.kind(word_type(last))).alias("kind"))
-        b = word_type(first)
-        return F.struct(piece.alias("p"), end_of.alias("last"), b.alias("b"), starts_upper(first).alias("up"), starts_lower(first).alias("low"), has_letter(b).alias("letter"), _in(b, self.starters).alias("starts"), _in(b, self.openers).alias("opens"))
+    def told(self, pieces: Column) -> Column:
+        """Of pieces of a text what matters where it is cut: the first word, the last word's type and its kind. Each step is
+        a transform of its own, so that nothing is worked out twice."""
+
+        def ends_of(p):
+            last = p
+            for sign in " \n\t\r\f":
+                last = F.substring_index(last, sign, -1)
+            return F.struct(p.alias("p"), last.alias("last"), F.regexp_extract(p, r"^\s*(\S+)", 1).alias("first"))
+
+        bared = F.transform(F.transform(pieces, ends_of), lambda x: F.struct(x["p"].alias("p"), x["first"].alias("first"), word_type(x["last"]).alias("a"), bare(x["last"]).alias("e")))
+        kind = lambda x: F.when(~x["e"].endswith("."), "sign").when(x["e"].endswith(".."), "dots").otherwise(self.kind(x["a"]))
+        return F.transform(bared, lambda x: F.struct(x["p"].alias("p"), x["first"].alias("first"), x["a"].alias("a"), kind(x).alias("kind")))
 
     def ends(self, before, after) -> Column:
-        """Whether a sentence ends between two told pieces."""
-        kind = before["last"]["kind"]
-        starts = after["up"] & after["starts"]
+        """Whether a sentence ends between two told pieces. Only of few kinds the next word is looked at."""
+        kind, first = before["kind"], after["first"]
+        up, b = starts_upper(first), word_type(first)
+        starts = up & _in(b, self.starters)
         return (
             F.when(kind.isin("word", "sign"), True)
-            .when(kind == "dots", after["up"])
-            .when(_in(F.concat_ws(" ", before["last"]["a"], after["b"]), self.collocations), False)
-            .when(kind == "abbreviation", starts | (after["up"] & after["opens"]))
-            .when(kind == "initial", starts | ~after["letter"])
-            .otherwise(~after["low"])
+            .when(kind == "dots", up)
+            .when(_in(F.concat_ws(" ", before["a"], b), self.collocations), False)
+            .when(kind == "abbreviation", starts | (up & _in(b, self.openers)))
+            .when(kind == "initial", starts | ~has_letter(b))
+            .otherwise(~starts_lower(first))
         )
 
 
@@ -134,7 +139,7 @@ def sentences(text, known: Boundaries | None = None) -> Column:
 
         return F.transform(v, one)
 
-    joined = F.array_join(_bind(F.transform(pieces, known.told), decided), "")
+    joined = F.array_join(_bind(known.told(pieces), decided), "")
     return F.split(F.regexp_replace(joined, _CUT + r"\s+", _CUT), _CUT)
 
 
