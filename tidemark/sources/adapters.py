@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of up to so many bytes are dealt out where their files are fewer than the cores.
+DEALT_BYTES = 256 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores: a small table in one file would be one task's work. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= DEALT_BYTES and len(df.inputFiles()) < cores else df
+
+
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, chunk_rowid, statement_id, part, is_question, chunk_limit, sentiment_model, topic, topic_prob, topic_model, score."""
     o = table(spark, sf_dir, "orders")
@@ -60,7 +71,7 @@ def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, pos, paragraph: lines of the documents."""
-    d = table(spark, sf_dir, "documents")
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "paragraph"))
 
 
