@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +230,20 @@ def test_fingerprints(spark, range_rows):
     assert got == brute_fingerprints([(3 * i, t) for i, t in enumerate(texts)])
 
 
+def test_fingerprints_of_large_ids_and_of_one_id(spark):
+    """Ids that doubles don't tell apart, and one id of many ranges: its texts are in the order of their hashes."""
+    texts = [" ".join(random.Random(i).choices(["und", "the", "les", "queso"], k=50 + i)) for i in range(60)]
+    ids = [(1 << 62) + i for i in range(60)]
+    got = {r[0]: tuple(r)[1:] for r in ctph.compare_with_next(docs(spark, texts, ids), 7).collect()}
+    assert got == brute_fingerprints(list(zip(ids, texts)))
+    hashes = {r.text: r.h for r in docs(spark, texts).select("text", F.xxhash64("text").alias("h")).collect()}
+    df = docs(spark, texts, [5] * 60)
+    got = [tuple(r)[1:] for r in ctph.compare_with_next(df, 7).collect()]
+    want = list(brute_fingerprints([(hashes[t], t) for t in texts]).values())
+    assert sorted(g[:4] for g in got) == sorted(w[:4] for w in want)
+    assert ctph.next_documents(df, 7).groupBy("rng").count().agg(F.max("count")).first()[0] <= 8
+
+
 def test_fingerprints_tell_texts_apart():
     r = random.Random(2)
     text = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(900))
@@ -725,6 +740,18 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [None, "", " "])).count() == 0
 
 
+def test_mix_of_more_sources_than_are_sent(spark, monkeypatch):
+    """Rates that are joined by shuffle, sources of many rows where their rows are; a null source and an empty one."""
+    df = docs(spark, ["wort " * (1 + i % 40) for i in range(600)]).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit("hot")).when(F.col("doc_id") % 50 == 1, "").when(F.col("doc_id") % 50 != 2, F.concat(F.lit("s"), (F.col("doc_id") % 97).cast("string"))))
+    sized = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    want, rates = mixing.mix(df).collect(), mixing.rates(sized).collect()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    for rows in (50, 1024):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        assert Counter(mixing.mix(df).collect()) == Counter(want)
+        assert Counter(mixing.rates(sized).collect()) == Counter(rates)
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -769,6 +796,30 @@ def test_repeats(spark, most, lot, reported):
         assert hashlib.sha256(whole[d].kept).hexdigest() == digest and len(whole[d].spans) == spans and n - gone == len(whole[d].kept)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_repeats_of_one_id(spark, doc_id):
+    """All rows have one id, whose texts are spread by their hashes; they are in the order of these."""
+    texts = repeat_texts()
+    texts += texts[5:9] * 3
+    mark = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") % (1 << (63 if doc_id is None else 64))
+    order = sorted({t or "" for t in texts}, key=mark)
+    want = brute_repeats(list(enumerate(order)))
+    place = {t: i for i, t in enumerate(order)}
+    got = repeats.dedup(docs(spark, texts, [doc_id] * len(texts)).repartition(5), most=3, lot=700, reported=4, wide=0).collect()
+    assert {r.doc_id for r in got} == {doc_id}
+    assert Counter(tuple(r)[1:] for r in got) == Counter(want[place[t or ""]] for t in texts)
+
+
+def test_anchors_that_each_shard_has_once_are_known(spark):
+    r = random.Random(15)
+    prose = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage = prose(200)
+    df = docs(spark, [prose(300) + passage + prose(300) for _ in range(400)])
+    shards = repeats.Shards(4, np.zeros(0, np.int64))
+    names, many = repeats._hot(df.mapInArrow(repeats._to_pieces(4, shards, 400, 8), repeats._ROW_DDL), 100)
+    assert 1 <= len(names) <= 10 and all(200 < n < 600 for n in many)
+
+
 def test_shards_of_a_long_text():
     r = random.Random(11)
     raw = np.frombuffer("".join(r.choices("abcd", k=5000)).encode(), np.uint8)

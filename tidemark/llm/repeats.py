@@ -10,12 +10,12 @@
    kept; suffix arrays and common prefixes of the rest find the windows that are equal across shards of texts.
 4. An anchor with more than SHARD_PIECES contested pieces is spread over many shards of pieces. Its firsts leave each of
    them as a run of windows in suffix order, dealt out by a hash of the window; the runs that meet are merged by binary
-   search of one in the other. Anchors that many shards have often are known before pieces are gathered (``_hot``), so no
-   task ever holds the pieces of one.
+   search of one in the other. Such anchors are known before pieces are gathered, from reports of all shards (``_hot``).
 5. Repeats of a document are painted on its bytes.
 
 Whether windows are equal is always told by their bytes; hashes only say what meets where. Rows travel as compressed blobs
-of columns, a blob for each shard and bucket. Texts are sent twice, compressed.
+of columns, a blob for each shard and bucket. Texts are sent twice, compressed; neighbouring ids go together, but the texts
+of an id that has more than SHARD bytes of them (as null ids may) are dealt by their own hashes.
 
 Defined cases: a null text is empty; texts under 100 bytes have no windows; null ids come before all others; rows that
 repeat id and text count as one document (each gets its result); rows that share an id only are ordered by a hash of
@@ -40,8 +40,9 @@ GRAM = 32
 #: Bytes of text in one suffix array (a longer text is cut into overlapping shards), of texts in a blob, and that a bucket of documents or pieces is to have.
 LOT, BLOB, SHARD = 4 << 20, 8 << 20, 16 << 20
 SHARD_PIECES = 50_000
-#: A shard reports anchors of so many pieces; at most so many anchors (of 12 bytes) are spread ahead, those of most pieces.
-REPORTED, MOST_HOT = 8, 100_000
+#: A shard reports each anchor of so many pieces, and of fewer with a chance in proportion; at most so many anchors (of 12
+#: bytes) are spread ahead, those of most pieces.
+REPORTED, MOST_HOT = 64, 1_000_000
 _RUN = 64  # neighbouring ids that go to one shard of documents
 _CHUNK = 1 << 19
 _MULT = 0x9E3779B97F4A7C15
@@ -116,8 +117,18 @@ class Docs:
         return i[new], m[new], numbers
 
 
-def doc_shard(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix64((ids // _RUN).astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+class Shards:
+    """To which of ``n`` shards a document goes. ``wide``: ids of much text, ascending, whose documents are spread."""
+
+    def __init__(self, n: int, wide: np.ndarray):
+        self.n, self.wide = n, wide
+
+    def of(self, ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        h = mix64((ids // _RUN).astype(np.int64).view(np.uint64))
+        if len(self.wide):
+            own = self.wide[np.minimum(np.searchsorted(self.wide, ids), len(self.wide) - 1)] == ids
+            h[own] ^= mix64(marks[own])
+        return (h % np.uint64(self.n)).astype(np.int64)
 
 
 _ROW = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -138,7 +149,7 @@ def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(p[a]), by[a:b]
 
 
-def _repeats(ids, marks, doc, start, count, shards: int) -> list[tuple[int, int, bytes]]:
+def _repeats(ids, marks, doc, start, count, shards: Shards) -> list[tuple[int, int, bytes]]:
     """Rows of kind REPEATS: runs of windows that are repeats, by shard of their documents. doc: numbers in order."""
     if not len(doc):
         return []
@@ -149,7 +160,7 @@ def _repeats(ids, marks, doc, start, count, shards: int) -> list[tuple[int, int,
     cuts = np.flatnonzero(new)
     count = np.add.reduceat(count, cuts)
     doc, start = doc[cuts], start[cuts]
-    return [(part, REPEATS, _named(ids, marks, doc[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint32))) for part, rows in _split(doc_shard(ids[doc], shards))]
+    return [(part, REPEATS, _named(ids, marks, doc[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint32))) for part, rows in _split(shards.of(ids[doc], marks[doc]))]
 
 
 def _steps(a: np.ndarray) -> np.ndarray:
@@ -313,7 +324,7 @@ def _shards(raw: np.ndarray, offsets: np.ndarray, lot: int):
 _KEY = 32  # a key is a document's number and, in so many bits, a place in it
 
 
-def _to_pieces(buckets: int, shards: int, lot: int, reported: int):
+def _to_pieces(buckets: int, shards: Shards, lot: int, reported: int):
     def run(batches):
         for ids, marks, all_raw, all_offsets in _lots(batches, lot):
             for begin, raw, first_text, offsets in _shards(all_raw, all_offsets, lot):
@@ -337,9 +348,11 @@ def _to_pieces(buckets: int, shards: int, lot: int, reported: int):
                     for part, rows in _split(bucket):
                         out.append((part, PIECES, _pack_pieces(one_ids, one_marks, of[rows], h[rows], start[rows], count[rows])))
                     names, many = np.unique((bucket.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)), return_counts=True)
-                    often = many >= reported
-                    if often.any():
-                        out.append((-1, COUNTS, pack(names[often], many[often].astype(np.uint32))))
+                    # expected counts over all shards are the true ones
+                    seed = mix64(np.array([one_ids[0] ^ begin], np.int64).view(np.uint64) ^ one_marks[0])
+                    told = many > (mix64(names ^ seed) % np.uint64(reported)).astype(np.int64)
+                    if told.any():
+                        out.append((-1, COUNTS, pack(names[told], np.maximum(many[told], reported).astype(np.uint32))))
                 for i in range(0, len(out), 512):
                     yield _rows(out[i : i + 512])
 
@@ -367,18 +380,18 @@ def _dealt(rows: DataFrame, run, schema: str = _ROW_DDL) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 
 
-def _wanted(ids, marks, doc, part, h, start, count, spread, shards: int, piece_shards: int) -> list[tuple[int, int, bytes]]:
+def _wanted(ids, marks, doc, part, h, start, count, spread, shards: Shards, piece_shards: int) -> list[tuple[int, int, bytes]]:
     """Rows of kind WANTED: pieces whose bytes are to go to a shard of their anchor, or to one of many by their place."""
     h = (np.uint64(part) << np.uint64(32)) | h  # as the reports name anchors
     salt = mix64(ids[doc].view(np.uint64) ^ mix64(start.astype(np.uint64))) % spread.astype(np.uint64)
     to = (mix64(mix64(h) + salt) % np.uint64(piece_shards)).astype(np.uint32)
     return [
         (part, WANTED, _named(ids, marks, doc[rows], start[rows].astype(np.uint32), count[rows].astype(np.uint8), to[rows], (spread[rows] > 1).astype(np.uint8), h[rows].astype(np.uint32)))
-        for part, rows in _split(doc_shard(ids[doc], shards) if len(doc) else np.zeros(0, np.int64))
+        for part, rows in _split(shards.of(ids[doc], marks[doc]))
     ]
 
 
-def _resolve(shards: int, piece_shards: int, most: int):
+def _resolve(shards: Shards, piece_shards: int, most: int):
     """2: the pieces of each bucket whose anchor several shards have."""
 
     def run(batches):
@@ -413,13 +426,13 @@ def _hot(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     counts = found.where(F.col("kind") == COUNTS).select("blob").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > most).orderBy(F.col("n").desc(), "h").limit(MOST_HOT).collect()
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    rows = counts.where(F.col("n") > most).orderBy(F.col("n").desc(), "h").limit(MOST_HOT).toArrow()
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     by = np.argsort(h)
     return h[by], n[by]
 
 
-def _spread_ahead(hot: tuple[np.ndarray, np.ndarray], shards: int, piece_shards: int, most: int):
+def _spread_ahead(hot: tuple[np.ndarray, np.ndarray], shards: Shards, piece_shards: int, most: int):
     """2: pieces of the anchors that are known to be hot are wanted at once; the others go to their buckets."""
     names, many = hot
 
@@ -444,14 +457,21 @@ def _spread_ahead(hot: tuple[np.ndarray, np.ndarray], shards: int, piece_shards:
     return run
 
 
-def _to_texts(shards: int):
+def _to_texts(shards: Shards):
     def run(batches):
         for ids, marks, raw, offsets in _lots(batches, BLOB):
             out = []
-            for part, rows in _split(doc_shard(ids, shards)):
+            # rows that repeat id and text are sent once, with their number
+            by = Docs.order(ids, marks)
+            new = np.ones(len(by), bool)
+            new[1:] = (ids[by[1:]] != ids[by[:-1]]) | (marks[by[1:]] != marks[by[:-1]])
+            once = by[new]
+            times = np.diff(np.append(np.flatnonzero(new), len(by)))
+            for part, own in _split(shards.of(ids[once], marks[once])):
+                rows = once[own]
                 sizes = np.diff(offsets)[rows]
                 body = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in rows])
-                out.append((part, TEXTS, pack(ids[rows], marks[rows], sizes, body)))
+                out.append((part, TEXTS, pack(ids[rows], marks[rows], sizes, body, times[own])))
             yield _rows(out)
 
     return run
@@ -469,14 +489,17 @@ def _fetch(batches):
         wanted = [unpack(b) for k, b in blobs if k == WANTED]
         if not wanted:
             continue
-        texts = [unpack(b) for k, b in blobs if k == TEXTS]
         out = []
-        # rows that repeat id and text are one document here
+        # rows that repeat id and text are one document here, whose text is held once
+        texts: list[np.ndarray] = []
         seen: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, (ids, marks, sizes, _) in enumerate(texts):
-            at = np.cumsum(sizes) - sizes
-            for i, m, a in zip(ids.tolist(), marks.tolist(), at.tolist()):
-                seen.setdefault((i, m), (t, a))
+        for blob in (b for k, b in blobs if k == TEXTS):
+            ids, marks, sizes, body, _ = unpack(blob)
+            before = len(seen)
+            for i, m, a in zip(ids.tolist(), marks.tolist(), (np.cumsum(sizes) - sizes).tolist()):
+                seen.setdefault((i, m), (len(texts), a))
+            if len(seen) > before:
+                texts.append(body)
         ids, marks, doc = Docs.joined([(g[0], g[1], g[2]) for g in wanted])
         start, count, to, spread, group = (np.concatenate([g[k] for g in wanted]) for k in (3, 4, 5, 6, 7))
         place = np.array([seen[k] for k in zip(ids.tolist(), marks.tolist())], np.int64)
@@ -485,13 +508,13 @@ def _fetch(batches):
             rows = np.flatnonzero(place[doc, 0] == t)
             for part, own in _split(to[rows].astype(np.int64)):
                 r = rows[own]
-                body = _slices(texts[t][3], place[doc[r], 1] + start[r], size[r])
+                body = _slices(texts[t], place[doc[r], 1] + start[r], size[r])
                 out.append((part, FETCHED, _named(ids, marks, doc[r], start[r], count[r], spread[r], group[r], body)))
         for i in range(0, len(out), 256):
             yield _rows(out[i : i + 256])
 
 
-def _classes(shards: int, ranges: int, lot: int):
+def _classes(shards: Shards, ranges: int, lot: int):
     """3: suffix arrays of the pieces of each bucket, of about LOT bytes; an anchor's pieces are in one."""
 
     def run(batches):
@@ -544,7 +567,7 @@ def _equal_pieces(body, at, size, key) -> tuple[np.ndarray, np.ndarray]:
     return by[seen[once]], by[~own]
 
 
-def _merged_pieces(ids, marks, doc, start, size, at, spread, body, rows, shards: int, ranges: int) -> list[tuple[int, int, bytes]]:
+def _merged_pieces(ids, marks, doc, start, size, at, spread, body, rows, shards: Shards, ranges: int) -> list[tuple[int, int, bytes]]:
     """REPEATS among the pieces of these rows, and RUNS of the firsts of spread anchors."""
     raw = _slices(body, at[rows], size[rows])
     offsets = np.concatenate([[0], np.cumsum(size[rows])])
@@ -604,7 +627,7 @@ def _strings(body: np.ndarray) -> np.ndarray:
     return out.view(f"S{LENGTH + 1}").ravel()
 
 
-def _merge(shards: int):
+def _merge(shards: Shards):
     """4: runs whose windows have hashes in common, merged: all but the first of equal windows are repeats."""
 
     def run(batches):
@@ -642,10 +665,10 @@ def _painted(whole: bool):
             for kind, blob in blobs:
                 if kind != TEXTS:
                     continue
-                ids, marks, sizes, body = unpack(blob)
+                ids, marks, sizes, body, times = unpack(blob)
                 ends = np.cumsum(sizes)
                 out = []
-                for i, m, a, b in zip(ids.tolist(), marks.tolist(), (ends - sizes).tolist(), ends.tolist()):
+                for i, m, a, b, n in zip(ids.tolist(), marks.tolist(), (ends - sizes).tolist(), ends.tolist(), times.tolist()):
                     text, spans = body[a:b], np.zeros((0, 2), np.int64)
                     if (i, m) in runs:
                         edge = np.zeros(b - a + 1, np.int32)
@@ -656,38 +679,42 @@ def _painted(whole: bool):
                         text = text[~cover[1:-1]]
                     doc_id = None if i == _LEAST and m < 1 << 63 else i
                     if whole:
-                        out.append({"doc_id": doc_id, "kept": text.tobytes(), "spans": [{"start": int(x), "end": int(y)} for x, y in spans]})
+                        row = {"doc_id": doc_id, "kept": text.tobytes(), "spans": [{"start": int(x), "end": int(y)} for x, y in spans]}
                     else:
-                        out.append({"doc_id": doc_id, "n_bytes": b - a, "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "n_spans": len(spans), "kept_sha256": hashlib.sha256(text.tobytes()).hexdigest()})
+                        row = {"doc_id": doc_id, "n_bytes": b - a, "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "n_spans": len(spans), "kept_sha256": hashlib.sha256(text.tobytes()).hexdigest()}
+                    out += [row] * n
                 yield pa.RecordBatch.from_pylist(out, _KEPT if whole else _DIGEST)
 
     return run
 
 
-def dedup(docs: DataFrame, whole: bool = False, most: int = SHARD_PIECES, lot: int = LOT, reported: int = REPORTED) -> DataFrame:
+def dedup(docs: DataFrame, whole: bool = False, most: int = SHARD_PIECES, lot: int = LOT, reported: int = REPORTED, wide: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; or, with ``whole``, doc_id, kept (bytes) and spans (in bytes).
     ``most``: pieces of one anchor that one shard takes; ``lot``: bytes of a suffix array; ``reported``: pieces of an
-    anchor that a shard tells of."""
+    anchor that a shard always tells of; ``wide``: bytes of text beyond which an id's texts are spread."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    sizes = settle(docs.groupBy(F.coalesce("doc_id", F.lit(_LEAST)).alias("i")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")), "repeats-sizes")
+    total = sizes.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    found = settle(docs.mapInArrow(_to_pieces(parts, parts, lot, reported), _ROW_DDL), "repeats-pieces")
+    # ids of more than a shard's text are fewer than shards
+    shards = Shards(parts, np.sort(sizes.where(F.col("b") > wide).select("i").toArrow()["i"].to_numpy()))
+    found = settle(docs.mapInArrow(_to_pieces(parts, shards, lot, reported), _ROW_DDL), "repeats-pieces")
     pieces = found.where(F.col("kind") == PIECES)
     hot = _hot(found, most)
     ahead = None
     if len(hot[0]):
-        split = settle(pieces.mapInArrow(_spread_ahead(hot, parts, parts, most), _ROW_DDL), "repeats-spread")
+        split = settle(pieces.mapInArrow(_spread_ahead(hot, shards, parts, most), _ROW_DDL), "repeats-spread")
         pieces, ahead = split.where(F.col("kind") == PIECES), split.where(F.col("kind") == WANTED)
-    wanted = _dealt(pieces, _resolve(parts, parts, most))
+    wanted = _dealt(pieces, _resolve(shards, parts, most))
     wanted = wanted if ahead is None else wanted.unionAll(ahead)
-    texts = docs.mapInArrow(_to_texts(parts), _ROW_DDL)
+    texts = docs.mapInArrow(_to_texts(shards), _ROW_DDL)
     fetched = _dealt(texts.unionAll(wanted), _fetch)
-    classes = settle(_dealt(fetched, _classes(parts, parts, lot)), "repeats-classes")
+    classes = settle(_dealt(fetched, _classes(shards, parts, lot)), "repeats-classes")
     gone = found.where(F.col("kind") == REPEATS).unionAll(classes.where(F.col("kind") == REPEATS))
     runs = classes.where(F.col("kind") == RUNS)
     if not runs.isEmpty():
-        gone = gone.unionAll(_dealt(runs, _merge(parts)))
+        gone = gone.unionAll(_dealt(runs, _merge(shards)))
     schema = "doc_id long, kept binary, spans array<struct<start:long,end:long>>" if whole else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return _dealt(texts.unionAll(gone), _painted(whole), schema)
 
