@@ -6,8 +6,9 @@ size being the power of two times 3 that leaves up to 64 signs; it depends on th
 compared where they have a block size in common: likeness = 1 - d / (a + b), d being the edit distance by insertions and
 deletions and a, b the lengths.
 
-``next_documents`` deals texts by ranges of ids, one shuffle, and lends each range the first document of the following
-one, so that a text and the next one meet in one task without a global window.
+``next_documents`` deals texts by ranges of (id, hash of the text), one shuffle, and lends each range the first document of
+the following one, so that a text and the next one meet in one task without a global window. Ranges are cut at every so many
+rows of the sorted pairs, so one id of any number of texts is many ranges.
 
 Defined cases: a null text is empty; empty texts have the fingerprint ``3::``, alike to each other (1) and to nothing
 else (0); rows that share an id are in the order of a hash of their texts; null ids come last in descending order; a lone row
@@ -29,9 +30,9 @@ from .common import bytes_of, mix64, settle, spread, table
 WINDOW = 7
 SIGNS = 64
 LEAST = 3
-#: Rows of a range of ids; ranges number at most MOST_RANGES, whose first ids are broadcast (under 1 MB).
+#: Rows of a range; ranges number about MOST_RANGES at most, whose first rows are broadcast (17 bytes each, under 20 MB).
 RANGE_ROWS = 2000
-MOST_RANGES = 20_000
+MOST_RANGES = 1_000_000
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _ROLL = mix64(np.arange(1001, 1257, dtype=np.uint64)).astype(np.uint32)
@@ -148,32 +149,52 @@ def likeness(x: str, y: str) -> float:
     return max((2 * common_length(p, q) / (len(p) + len(q)) for p, q in pairs if p and q), default=0.0)
 
 
+def _sortable(o: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Pairs of 64-bit numbers as strings that sort like them; a last byte keeps zeros at their ends."""
+    sign = np.uint64(1 << 63)
+    out = np.ones((len(o), 17), np.uint8)
+    for at, x in ((0, o), (8, h)):
+        out[:, at : at + 8] = (x.astype(np.int64).view(np.uint64) ^ sign).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def _edges(light: DataFrame, rows: int) -> np.ndarray:
+    """Every ``rows``-th pair (o, h) of each partition of a range-partitioned sort, from its first on, without the least of
+    all: ranges between edges have up to ``rows`` rows, or those of one pair."""
+
+    def run(batches):
+        at = 0
+        for batch in batches:
+            picked = np.arange(-at % rows, batch.num_rows, rows)
+            at += batch.num_rows
+            yield batch.take(pa.array(picked))
+
+    got = light.repartitionByRange("o", "h").sortWithinPartitions("o", "h").mapInArrow(run, "o long, h long").toArrow()
+    return np.unique(_sortable(got["o"].to_numpy(), got["h"].to_numpy()))[1:]
+
+
 def next_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(rng, doc_id, text, guest): sorted within partitions, each range in descending order of id, its last row a guest:
     the first of the next range, or of the first range after the last one."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = base.count()
-    n_ranges = max(1, min(MOST_RANGES, -(-n // range_rows)))
-    cuts: list[float] = []
-    if n_ranges > 1:
-        cuts = sorted({float(c) for c in base.select(order.cast("double").alias("o")).stat.approxQuantile("o", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges)})
-    edges = np.array(cuts)
+    base = base.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.xxhash64("text").alias("h"))
+    light = settle(base.select("o", "h"), "ctph-order")
+    edges = _edges(light, max(range_rows, -(-light.count() // MOST_RANGES)))
 
     @F.pandas_udf("int")
-    def range_of(o):
+    def range_of(o, h):
         import pandas as pd
 
-        return pd.Series(len(edges) - np.searchsorted(edges, o.to_numpy(), "left"))
+        return pd.Series(len(edges) - np.searchsorted(edges, _sortable(o.to_numpy(), h.to_numpy()), "right"))
 
-    rng = range_of(order.cast("double")) if cuts else F.lit(0)
-    heads = base.select(rng.alias("rng"), order.alias("o"), F.xxhash64("text").alias("h")).groupBy("rng").agg(F.max(F.struct("o", "h")).alias("head"))
+    rng = range_of("o", "h") if len(edges) else F.lit(0)
+    heads = light.select(rng.alias("rng"), "o", "h").groupBy("rng").agg(F.max(F.struct("o", "h")).alias("head"))
     # one row a range, at most MOST_RANGES: small enough to sort in one task and to send to all
     by = Window.orderBy("rng")
     before = F.lag("rng").over(by)
     guests = heads.select("head", F.coalesce(before, F.max("rng").over(Window.partitionBy(F.lit(0)))).alias("to"))
     g = F.broadcast(settle(guests.select(F.col("head.o").alias("_o"), F.col("head.h").alias("_h"), "to"), "ctph-heads"))
-    rows = base.select("doc_id", "text", order.alias("o"), F.xxhash64("text").alias("h"), rng.alias("rng"))
+    rows = base.select("doc_id", "text", "o", "h", rng.alias("rng"))
     rows = rows.join(g, (rows.o == g._o) & (rows.h == g._h), "left")
     own = F.struct(F.col("rng").alias("rng"), F.lit(0).alias("guest"))
     lent = F.struct(F.col("to").alias("rng"), F.lit(1).alias("guest"))
