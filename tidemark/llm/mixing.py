@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, table, text_or_empty
+from .common import WORD, join_counted, settle, table, text_or_empty
 
 #: Sources take these weights in turn, in the order of their names.
 WEIGHTS = (1, 2, 3)
 #: No target is above this many times its source's words, so no document is repeated more often.
 MOST = 3
 SEED = "mix-1"
-#: Up to so many sources the table of rates (under 100 bytes a row) is broadcast; beyond, it is joined by shuffle.
+#: Up to so many sources the table of rates (under 100 bytes a row) is broadcast; beyond, only those of many rows are.
 BROADCAST_SOURCES = 50_000
 
 
@@ -61,15 +61,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return free.select("source", "source_size", F.when(F.col("cut"), cap.cast("double")).otherwise((F.col("w") * words).cast("double") / weight.cast("double")).alias("target"))
 
 
+def _with_source(rows: DataFrame, targets: DataFrame, light: DataFrame) -> DataFrame:
+    """rows with their source's other columns of targets; light: a row with its source for each of rows."""
+    if targets.count() <= BROADCAST_SOURCES:
+        t = F.broadcast(targets.withColumnRenamed("source", "_source"))
+        return rows.join(t, rows["source"].eqNullSafe(t["_source"])).drop("_source")
+    key = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
+    counts = light.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    per = settle(targets.select(key.alias("_key"), *[c for c in targets.columns if c != "source"]).join(counts, "_key"), "mix-rates")
+    return join_counted(rows.withColumn("_key", key), per, "_key", "_rows").drop("_key", "_rows")
+
+
 def rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """sized (source, size, ...) with source_size, target and rate."""
     targets = settle(source_targets(sized.select("source", "size"), weights, most), "mix-targets")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    names = [c for c in sized.columns]
-    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return sized.join(t, sized["source"].eqNullSafe(t["_source"])).select(*[sized[c] for c in names], "source_size", "target", rate.alias("rate"))
+    return _with_source(sized, targets, sized.select("source")).select(*sized.columns, "source_size", "target", rate.alias("rate"))
 
 
 def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
@@ -83,10 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.col("source"), word_count(text_or_empty()).alias("size"))
     light = settle(packed.select("source", "size"), "mix-sizes")
     targets = settle(source_targets(light, weights, most), "mix-targets")
-    t = targets.select(F.col("source").alias("_source"), (F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("rate"))
-    if t.count() <= BROADCAST_SOURCES:
-        t = F.broadcast(t)
-    out = packed.join(t, packed["source"].eqNullSafe(t["_source"]))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    out = _with_source(packed, targets.select("source", rate.alias("rate")), light)
     n = copies(F.col("_row.doc_id"), F.col("rate"), seed).cast("int")
     return out.select("_row", F.explode(F.array_repeat(F.lit(0), n)).alias("_copy")).select(*[F.col("_row").getField(c).alias(c) for c in names])
 
