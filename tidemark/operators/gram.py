@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import pearson
+
 #: Features of a block, dates of a lot.
 BLOCK, LOT = 64, 512
 
@@ -19,7 +21,9 @@ def pair_sums(long: DataFrame, block: int = BLOCK, lot: int = LOT, order: str =
     """a, b (features, a < b), n, and the sums x, y, xx, yy, xy over the dates that both have; values less their feature's
     mean, which leaves correlations as they are. long: (order, feature, value), a value a date and feature."""
     rows = long.where("value IS NOT NULL").select(F.col(order).alias("_d"), "feature", F.col("value").cast("double").alias("value"))
-    stats = rows.groupBy("feature").agg(F.avg("value").alias("_m"), F.count(F.lit(1)).alias("_c"))
+    # a constant is its own mean, of which sums would make rounding's leftovers
+    mean = F.when(F.min("value") == F.max("value"), F.min("value")).otherwise(F.avg("value"))
+    stats = rows.groupBy("feature").agg(mean.alias("_m"))
     named = stats.select("feature", "_m", (F.row_number().over(Window.orderBy("feature")) - 1).alias("i"))  # a row a feature
     n_features, n_dates = stats.count(), max(1, rows.agg(F.approx_count_distinct("_d")).first()[0])
     blocks, lots = max(1, -(-n_features // block)), max(1, -(-n_dates // lot))
@@ -56,11 +60,21 @@ def pair_sums(long: DataFrame, block: int = BLOCK, lot: int = LOT, order: str =
     return sums.join(name("i", "a"), "i").join(name("j", "b"), "j").select("a", "b", F.col("n").cast("long").alias("n"), "x", "y", "xx", "yy", "xy")
 
 
-def pair_correlations(long: DataFrame, least: int = 20, block: int = BLOCK, lot: int = LOT, order: str = "date") -> DataFrame:
-    """a, b, r, n of the pairs that share at least so many dates and vary on them."""
-    s = pair_sums(long, block, lot, order)
+def pair_correlations(long: DataFrame, least: int = 20, block: int = BLOCK, lot: int = LOT, order: str = "date", flat: bool = False) -> DataFrame:
+    """a, b, r, n of the pairs that share at least so many dates and vary on them; with ``flat`` the others as well, without r.
+
+    Where the sums can't tell a small variance from none, the pair's values are joined by date and looked at themselves."""
+    s = pair_sums(long, block, lot, order).where(F.col("n") >= least)
     n = F.col("n")
     cov, vx, vy = (F.col(c) - F.col(a) * F.col(b) / n for c, a, b in (("xy", "x", "y"), ("xx", "x", "x"), ("yy", "y", "y")))
     # what rounding leaves of a constant is no variance
-    flat = (vx <= 1e-12 * F.col("xx")) | (vy <= 1e-12 * F.col("yy"))
-    return s.where(n >= least).where(~flat).select("a", "b", (cov / F.sqrt(vx * vy)).alias("r"), "n")
+    if not flat:
+        still = (vx <= 1e-12 * F.col("xx")) | (vy <= 1e-12 * F.col("yy"))
+        return s.where(~still).select("a", "b", (cov / F.sqrt(vx * vy)).alias("r"), "n")
+    none = (F.col("xx") == 0) | (F.col("yy") == 0)  # all at the mean
+    unsure = ~none & ((vx <= 1e-9 * F.col("xx")) | (vy <= 1e-9 * F.col("yy")))
+    rows = long.where("value IS NOT NULL").select(F.col(order).alias("_d"), "feature", F.col("value").cast("double").alias("value"))
+    side = lambda c: rows.select("_d", F.col("feature").alias(c), F.col("value").alias(f"_{c}"))
+    asked = s.select("a", "b", "n", unsure.alias("_u"), F.when(~none & ~unsure, cov / F.sqrt(vx * vy)).alias("r"))
+    again = asked.where("_u").select("a", "b").join(side("a"), "a").join(side("b"), ["_d", "b"]).groupBy("a", "b").agg(pearson("_a", "_b").alias("_r"))
+    return asked.join(again, ["a", "b"], "left").select("a", "b", F.when(F.col("_u"), F.col("_r")).otherwise(F.col("r")).alias("r"), "n")

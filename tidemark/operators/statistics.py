@@ -81,8 +81,8 @@ def first_of_each(rows: DataFrame, name: str, place: str) -> DataFrame:
 
 
 def overlap(long: DataFrame, least: int = 20) -> DataFrame:
-    """a, b, r, n for unordered pairs of features, by blocked Gram matrices."""
-    return pair_correlations(long, least).select("a", "b", F.round("r", 3).alias("r"), "n")
+    """a, b, r, n for unordered pairs of features, by blocked Gram matrices; r is null where one doesn't vary."""
+    return pair_correlations(long, least, flat=True).select("a", "b", F.round("r", 3).alias("r"), "n")
 
 
 #: Labels of a confusion matrix at most.
