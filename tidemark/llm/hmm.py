@@ -10,8 +10,9 @@ probability, and those of the words of a class (seen ones and one unseen) sum to
    of all tokens.
 2. Texts become symbols, two bytes a token, and are written once.
 3. Baum-Welch: every round goes through all symbols of all training texts; tasks sum their expected counts, Spark adds these
-   up by symbol, and the bounded tables of the next round (STATES numbers a symbol) come back. Only the point to start from
-   is found on a bounded sample, of at most WARM_TEXTS texts and WARM_TOKENS tokens.
+   up by symbol, and the bounded tables of the next round (STATES numbers a symbol) come back. The point to start from is
+   the model that fits the neighbours of all training texts: how often each symbol stands before each of CONTEXTS groups of
+   symbols is counted over all of them (a bounded table), and rounds on that table are enough.
 4. Texts run side by side, in order of length. Those over LONG tokens are cut into pieces; the product of each piece's
    transitions, from every state at once, gives what every piece begins (and ends) with, so the recursions are exact.
 
@@ -37,9 +38,10 @@ STATES = 8
 OWN, CLASSES, FREQUENT = 8192, 2048, 1 << 16
 END_SYMBOL = OWN + CLASSES
 SYMBOLS = END_SYMBOL + 1
-#: Rounds over all training texts, after so many on the sample that they start from.
-ROUNDS, WARM_ROUNDS = 2, 25
-WARM_TEXTS, WARM_TOKENS = 4000, 400_000
+#: Rounds over all training texts, after so many on the table of neighbours; the table's groups of symbols: frequent words, the
+#: other words with symbols, groups of classes, the end.
+ROUNDS, START_ROUNDS = 2, 100
+CONTEXTS, CONTEXT_WORDS = 128, 95
 #: Added to a count: the contract's base, and the share of the whole corpus's distribution in each state's.
 ADDED, PRIOR = 0.1, 20.0
 #: Tokens of a text that are run through at a time, and of all texts side by side.
@@ -452,32 +454,56 @@ def baum_welch(coded: DataFrame, model: Model) -> Counts:
     return got
 
 
-def warm(coded: DataFrame, prior: np.ndarray, n_texts: int) -> Model:
-    """Where Baum-Welch starts from: rounds over a sample, texts in the order of a hash as far as they fit."""
-    by = F.xxhash64("symbols")
-    fit, left = [], WARM_TOKENS
-    # of many texts only those of small hash are sorted, some four times as many as are asked for
-    share = min(1.0, 4 * WARM_TEXTS / max(n_texts, 1))
-    some = coded.select("row", "n_tokens", by.alias("h")).where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    for r in some.orderBy("h", "row").limit(WARM_TEXTS).collect():
-        if r.n_tokens <= left:
-            fit.append((r.row,))
-            left -= r.n_tokens
+def _contexts() -> np.ndarray:
+    """Each symbol's group, as the one after another."""
+    symbol = np.arange(SYMBOLS)
+    group = np.minimum(symbol, CONTEXT_WORDS)
+    group[OWN:] = CONTEXT_WORDS + 1 + symbol[OWN:] % (CONTEXTS - CONTEXT_WORDS - 2)
+    group[END_SYMBOL] = CONTEXTS - 1
+    return group
+
+
+def _neighbours(batches):
+    """cell (symbol * CONTEXTS + group of the symbol after it), n: a task's counts."""
+    group, counts = _contexts(), np.zeros(SYMBOLS * CONTEXTS, np.int64)
+    for _, texts in _texts(batches):
+        flat = np.concatenate(texts).astype(np.int64)
+        inside = flat[:-1] != END_SYMBOL  # each text ends so
+        counts += np.bincount(flat[:-1][inside] * CONTEXTS + group[flat[1:][inside]], minlength=len(counts))
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["cell", "n"])
+
+
+def neighbour_counts(model: Model, pairs: np.ndarray) -> Counts:
+    """Expected counts of as many texts of two symbols, the second known by its group; pairs: (SYMBOLS, CONTEXTS)."""
+    group, got = _contexts(), Counts()
+    after = np.stack([np.bincount(group, model.emit[:, k], CONTEXTS) for k in range(STATES)])
+    step = model.start[:, None] * model.step
+    first = step @ after  # (STATES, CONTEXTS) of the first symbol's state and the second's group
+    share = pairs / np.maximum(model.emit @ first, 1e-300)
+    seen = share.T @ model.emit
+    got.emit = model.emit * (share @ first.T + (seen @ step)[group])
+    got.step = step * (after @ seen).T
+    got.start = got.step.sum(axis=1)
+    return got
+
+
+def begin(coded: DataFrame, prior: np.ndarray) -> Model:
+    """Where Baum-Welch starts from: the same rounds over pairs of neighbours, each pair a text of two, whose counts over all
+    of coded (symbols) are one table."""
+    parts = coded.select("symbols").mapInArrow(_neighbours, "cell int, n long")
+    t = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS * CONTEXTS rows of 12 bytes
+    counts = np.zeros(SYMBOLS * CONTEXTS)
+    counts[np.asarray(t["cell"])] = np.asarray(t["n"])
     model = Model.random(prior)
-    if not fit:
-        return model
-    ids = F.broadcast(coded.sparkSession.createDataFrame(fit, "row long"))  # at most WARM_TEXTS numbers
-    _, texts = _opened(coded.join(ids, "row").select("symbols").toArrow().to_batches())
-    for _ in range(WARM_ROUNDS):
-        got = Counts()
-        gather(model, texts, got)
-        model = got.model(prior)
+    for _ in range(START_ROUNDS if counts.any() else 0):
+        model = neighbour_counts(model, counts.reshape(SYMBOLS, CONTEXTS)).model(prior)
     return model
 
 
-def fit(coded: DataFrame, prior: np.ndarray, n_texts: int, rounds: int = ROUNDS) -> Model:
-    """coded: row, n_tokens, symbols of the training texts."""
-    model = warm(coded, prior, n_texts)
+def fit(coded: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """coded: symbols of the training texts."""
+    model = begin(coded, prior)
     for _ in range(rounds):
         model = baum_welch(coded, model).model(prior)
     return model
@@ -502,7 +528,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select("doc_id", held_out.alias("held_out"), text_or_empty().alias("text"))
     counts, known = count_words(rows.where(~F.col("held_out")).select("text"))
     coded = settle(rows.mapInArrow(_coded(known, ["doc_id", "held_out"]), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, " + _CODED_DDL), "hmm-texts")
-    model = fit(coded.where(~F.col("held_out")), known.prior, int(known.ends))
+    model = fit(coded.where(~F.col("held_out")), known.prior)
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner"]
     types = dict(coded.dtypes)
     scored = coded.select(*names, "symbols").mapInArrow(_scored(model, names), ", ".join(f"{c} {types[c]}" for c in names) + ", lik double")
