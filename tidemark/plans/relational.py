@@ -8,7 +8,7 @@ from ..functions.expressions import year_bin
 from ..operators import features as feat
 from ..operators.windows import top_rows
 from ..schema import STATS, labels
-from ..sources.adapters import chunk_scores, market, qa_turns, table, with_views
+from ..sources.adapters import chunk_scores, keyed, market, qa_turns, table, with_views
 from .base import query, r, rounded
 
 _CODE = "CASE topic WHEN 'MONETARY_POLICY_AND_INFLATION' THEN 'MP' WHEN 'ECONOMIC_PERFORMANCE' THEN 'EP' WHEN 'FISCAL_AND_STRUCTURAL' THEN 'FS' ELSE 'OI' END"
@@ -39,9 +39,11 @@ def star_join(spark, sf):
 
 @query("label_join_fanout", "SELECT o_orderkey AS chunk_rowid, CAST(count(*) AS BIGINT) AS labels, count(DISTINCT l_returnflag) AS kinds FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def label_join_fanout(spark, sf):
-    """A chunk joined with its topics comes once per topic: that is meant."""
-    j = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return j.groupBy(F.col("o_orderkey").alias("chunk_rowid")).agg(F.count(F.lit(1)).alias("labels"), F.countDistinct("l_returnflag").alias("kinds"))
+    """A chunk joined with its topics comes once per topic: that is meant. Both sides are counted by key before they meet."""
+    o = table(spark, sf, "orders").where("o_orderkey IS NOT NULL").groupBy(F.col("o_orderkey").alias("chunk_rowid")).agg(F.count(F.lit(1)).alias("m"))
+    li = keyed(table(spark, sf, "lineitem").where("l_orderkey IS NOT NULL").select("l_orderkey", "l_returnflag"), "l_orderkey")
+    t = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_returnflag").alias("kinds"))
+    return o.join(t, F.col("chunk_rowid") == F.col("l_orderkey")).select("chunk_rowid", (F.col("m") * F.col("n")).alias("labels"), "kinds")
 
 
 @query("key_lookup", "SELECT o_orderkey AS chunk_rowid, (SELECT c_name FROM customer WHERE c_custkey = o_custkey) AS model FROM orders")
