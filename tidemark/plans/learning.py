@@ -9,7 +9,7 @@ from ..operators import classifier, distributed, scoring
 from ..operators import learning as ml
 from ..operators import statistics as stat
 from ..operators import windows as win
-from ..sources.adapters import chunk_scores, market, table, with_views
+from ..sources.adapters import chunk_scores, keyed, market, table, with_views
 from .base import query, r, rounded
 from .series import joined, meeting_scores
 
@@ -198,7 +198,7 @@ def _judged(spark, sf):
     """Documents with a mark from their labels (good ones positive, others negative); those of every fifth id are held out."""
     good = F.when(F.max("quality") > F.max("toxic"), "positive").otherwise("negative")
     marks = table(spark, sf, "labels").groupBy("doc_id").agg(good.alias("mark"))
-    return table(spark, sf, "documents").select("doc_id", "text", "lang").join(marks, "doc_id", "left").withColumn("held_out", F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)))
+    return keyed(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", rows=1 << 14).join(marks, "doc_id", "left").withColumn("held_out", F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)))
 
 
 @query("trained_sentiment")
